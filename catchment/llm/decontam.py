@@ -23,7 +23,7 @@ from catchment.llm.common import broadcast_up_to, stored
 
 #: Words of a window, rarest words of a window that the index is asked for.
 WINDOW, KEYS = 10, 2
-#: Rows up to which a stored benchmark-side or candidate table is broadcast.
+#: Rows up to which a stored benchmark-side table is broadcast.
 BROADCAST_ROWS = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -85,8 +85,8 @@ def occurrences(docs: DataFrame, found: DataFrame, bench: DataFrame) -> DataFram
     """doc_id, n_words, and for each window that occurs: item_id, start, n (null if none)."""
     found = found.join(broadcast_up_to(bench, BROADCAST_ROWS), "item").select("doc_id", F.struct("item_id", "shift", "iw", "n", "last").alias("c"))
     found = stored(found.groupBy("doc_id").agg(F.collect_list("c").alias("cs")), "candidates")
-    # beyond the bound both sides are shuffled by doc_id
-    found = broadcast_up_to(found.withColumnRenamed("doc_id", "owner"), BROADCAST_ROWS // 10)
+    # candidates grow with the corpus: both sides are shuffled by doc_id
+    found = found.withColumnRenamed("doc_id", "owner").hint("shuffle_hash")
     rows = docs.select("doc_id", "text").join(found, F.col("doc_id").eqNullSafe(F.col("owner")), "left").select("doc_id", words(F.col("text")).alias("w"), "cs")
     rows = rows.select("doc_id", F.size("w").alias("n_words"), F.when(F.col("cs").isNotNull(), F.col("w")).alias("w"), F.explode_outer("cs").alias("c"))
     rows = rows.select("doc_id", "n_words", "w", "c", F.explode_outer(F.sequence(F.lit(0), F.col("c.last"))).alias("k"))
@@ -134,4 +134,4 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` without any benchmark window."""
     bad = stored(search(docs, benchmark).where(F.size("hits") > 0).select(F.col("doc_id").alias("_bad_")), "contaminated")
-    return docs.join(broadcast_up_to(bad, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("_bad_")), "left_anti")
+    return docs.join(bad.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_bad_")), "left_anti")
