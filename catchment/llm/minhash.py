@@ -5,12 +5,18 @@ coordinate k of a text's signature is the least value of the second permutation
 its places shifted by k. Two permutations so serve all coordinates.
 
 Texts with equal shingle sets form a class, of which only the smallest doc_id goes on.
-Classes that agree in all rows of a band share a bucket. Within a bucket no pair list is
-made: in each round every class is compared, on full sets, with one member of the bucket
-(another one each round) unless they are already connected; links found merge components.
-What is still unconnected after ``STAR_ROUNDS`` rounds is compared exactly, pair by pair,
-except pairs whose set sizes rule the link out. So a bucket loses no link, whatever its
-size, and linked groups cost a pass each, not their square.
+Classes that agree in all rows of a band share a bucket. No bucket's pairs are listed:
+
+1. Every member is compared, on full sets, with the bucket's centre c, the member that
+   meets most others in all its buckets.
+2. A member u without a link to c may still be linked with another member v. Sizes say how
+   many shingles u and v must share, |u & c| how many of these c can have: the rest, t, lie
+   outside c. Where t >= 1, u looks up its rarest shingles outside c, all but t - 1, among
+   those of the other members, and meets who has one. Where t < 1, u meets v directly.
+   Pairs that are in one component by then are left out.
+
+This loses no link of a bucket, and a large group of near copies costs about its size, not
+its square.
 """
 
 from __future__ import annotations
@@ -20,15 +26,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from catchment.llm.common import stored
 
 #: Signature: BANDS bands of ROWS coordinates. A pair of similarity 0.8 shares no band with
 #: probability (1 - 0.8^ROWS)^BANDS.
 BANDS, ROWS = 40, 5
-STAR_ROUNDS = 3
 #: Distinct words that a Python worker keeps the hashes of.
 MEMORY_WORDS = 200_000
 #: Shingles whose signatures are worked on together, so that arrays stay in cache.
@@ -151,23 +157,25 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.first("hashes").alias("hashes"))  # repeated rows
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) with 100 * intersection >= percent * union, on full sets."""
+def compared(pairs: DataFrame, sets: DataFrame, outside: bool = False) -> DataFrame:
+    """``pairs`` (a, b) with ``both``, the size of the intersection of their full sets, and
+    with ``outside`` the hashes of b that a lacks."""
+    schema = "a long, b long, both long" + ", own array<long>" * outside
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            both, own = [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int(np.count_nonzero(y[at] == x))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                hit = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+                both.append(int(np.count_nonzero(hit)))
+                if outside:
+                    own.append(y[~hit].view(np.int64))
+            out = [batch.column(0), batch.column(1), pa.array(both, pa.int64())] + [pa.array(own, pa.list_(pa.int64()))] * outside
+            yield pa.RecordBatch.from_arrays(out, names=["a", "b", "both", "own"][: len(out)])
 
     left, right = sets.withColumnsRenamed({"doc_id": "a", "hashes": "x"}), sets.withColumnsRenamed({"doc_id": "b", "hashes": "y"})
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, schema)
 
 
 def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -201,45 +209,59 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, r
     classes = sketched.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = stored(classes, "classes")
     cells = classes.select(F.explode("bands").alias("key"), F.col("class_id").alias("node"), "n")
-    shared = stored(cells.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"), "shared-keys")
-    cells = stored(cells.join(shared, "key").select("key", "node", "n"), "cells")
-    nodes = stored(cells.select("node").distinct(), "nodes")
+    shared = stored(cells.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "shared-keys")
+    cells = stored(cells.join(shared, "key").select("key", "node", "n", "members"), "cells")
+    nodes = stored(cells.groupBy("node").agg(F.sum("members").alias("meets")), "nodes")
     sets = stored(shingle_sets(docs, nodes.select(F.col("node").alias("doc_id")), k), "sets")
-    labels = nodes.select("node", F.col("node").alias("label"))
-    tested: DataFrame | None = None
-
-    def compare(pairs: DataFrame, labels: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, DataFrame, bool]:
-        pairs = pairs.where((F.least("na", "nb") * 100) >= F.greatest("na", "nb") * percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
-            return labels, pairs if tested is None else tested, False
-        found = stored(linked(pairs, sets, percent), "found")
-        return (labels if found.isEmpty() else components(found, labels)), pairs if tested is None else tested.union(pairs), True
-
-    def open_cells(labels: DataFrame) -> DataFrame:
-        """Cells of the buckets that hold more than one component."""
-        now = stored(cells.join(labels, "node"), "labelled")
-        mixed_keys = stored(now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo != hi").select("key", "members"), "open-keys")
-        return stored(now.join(mixed_keys, "key"), "open")
-
-    for turn in range(STAR_ROUNDS):
-        now = open_cells(labels)
-        if now.isEmpty():
-            break
-        # one member a bucket: the first, then the least of another hash each round
-        order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-        centres = stored(now.groupBy("key").agg(F.min_by(F.struct("node", "n", "label"), order).alias("c")), "centres")
-        pairs = now.join(centres, "key").where("label != c.label").select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("c.node").alias("b"), F.col("c.n").alias("nb"))
-        labels, tested, _ = compare(pairs, labels, tested)
-    else:
-        # buckets of two are done after the first round
-        now = stored(open_cells(labels).where("members > 2"), "rest")
-        if not now.isEmpty():
-            other = now.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("label_b"))
-            pairs = now.join(other, "key").where("node < b and label != label_b").select(F.col("node").alias("a"), F.col("n").alias("na"), "b", "nb")
-            labels, tested, _ = compare(pairs, labels, tested)
+    linked = F.col("both") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+
+    # every member with the centre of its bucket
+    most = F.max(F.struct("meets", (-F.col("node")).alias("neg"), "n"))
+    centres = stored(cells.join(nodes, "node").groupBy("key").agg(most.alias("c")).select("key", (-F.col("c.neg")).alias("a"), F.col("c.n").alias("na")), "centres")
+    stars = stored(cells.join(centres, "key").where("node != a").select("a", "na", F.col("node").alias("b"), F.col("n").alias("nb")).distinct(), "stars")
+    star = stored(stars.join(compared(stars, sets), ["a", "b"]).withColumn("linked", linked), "compared")
+    labels = components(star.where("linked"), nodes.select("node", F.col("node").alias("label")))
+
+    # members without a link to the centre, in groups that aren't one component
+    # (of two such members, the one of the smaller component looks up)
+    weight = labels.groupBy("label").agg(F.count("*").alias("size"))
+    weighed = stored(labels.join(weight, "label").select(F.col("node").alias("b"), F.struct("size", "label").alias("component")), "weighed")
+    inner = stored(star.join(weighed, "b"), "labelled")
+    open_ = inner.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("top"), F.min("linked").alias("all"), F.max(F.when(F.col("linked"), F.col("component"))).alias("home"), F.min("nb").alias("floor")).where("low != top and not all").select("a", "top", "home", "floor")
+    rest = stored(inner.join(stored(open_, "open"), "a"), "rest")
+    looks = ~F.col("linked") & ((F.col("component") < F.col("top")) | F.coalesce(F.col("home") != F.col("component"), F.lit(False)))
+    rest = rest.withColumn("looks", looks)
+
+    def needed(x: Column, y: Column) -> Column:
+        """Shared shingles that link sets of these sizes."""
+        return F.ceil((x + y) * percent / (100 + percent))
+
+    # sizes up to ``direct``: what u shares with c is enough for a link
+    rest = rest.withColumn("direct", F.floor(F.col("both") * (100 + percent) / percent) - F.col("nb"))
+    own = rest.join(compared(rest, sets, outside=True).select("a", "b", "own"), ["a", "b"])
+    own = stored(own.select("a", "b", "nb", "both", "linked", "component", "looks", "direct", "floor", F.explode("own").alias("shingle")), "outside")
+    shared_ = stored(own.groupBy("a", "shingle").agg(F.count("*").alias("members")).where("members > 1"), "outside-shared")
+    # the smallest v that isn't met directly, how many shingles outside c it must share, and
+    # so how many of u's may be left out
+    smallest = F.greatest("floor", F.ceil(F.col("nb") * percent / 100), F.col("direct") + 1)
+    least = F.greatest(needed(F.col("nb"), smallest) - F.col("both"), F.lit(1))
+    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.coalesce("members", F.lit(1)), "shingle"))
+    probes = own.where("looks").join(shared_, ["a", "shingle"], "left").withColumn("rank", rank)
+    probes = probes.where((F.col("rank") <= F.col("nb") - F.col("both") - least + 1) & F.col("members").isNotNull())
+    names = [F.col("b").alias("u"), F.col("nb").alias("nu"), F.col("both").alias("wu"), F.col("component").alias("cu")]
+    probes = stored(probes.select("a", "shingle", *names), "probes")
+    open_pair = (F.col("component") != F.col("cu")) & (F.col("linked") | (F.col("cu") < F.col("component"))) & (F.least("nb", "nu") * 100 >= F.greatest("nb", "nu") * percent)
+    meet = own.select("a", "shingle", "b", "nb", "linked", "component").join(probes, ["a", "shingle"]).where(open_pair).select("u", "nu", "b", "nb")
+    close = rest.where("looks and direct >= floor").select("a", *names)
+    close = rest.select("a", "b", "nb", "both", "linked", "component").join(close, "a")
+    close = close.where(open_pair & (needed(F.col("nb"), F.col("nu")) <= F.least("both", "wu"))).select("u", "nu", "b", "nb")
+    meet = meet.union(close)
+    u, v = F.struct(F.col("u").alias("node"), F.col("nu").alias("n")), F.struct(F.col("b").alias("node"), F.col("nb").alias("n"))
+    pairs = meet.select(F.least(u, v).alias("x"), F.greatest(u, v).alias("y")).distinct()
+    pairs = stored(pairs.select(F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.col("y.node").alias("b"), F.col("y.n").alias("nb")), "pairs")
+    more = stored(pairs.join(compared(pairs, sets), ["a", "b"]).where(linked), "found")
+    if not more.isEmpty():
+        labels = components(more.union(star.where("linked").select(more.columns)), labels)
 
     heads = labels.where("node != label").select(F.col("node").alias("class_id"), "label")
     placed = stored(classes.select("set_id", "class_id").join(heads, "class_id", "left").select("set_id", "class_id", F.coalesce("label", "class_id").alias("component")), "placed")
