@@ -55,4 +55,28 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_decontamination, op4_language, op5_lm, op6_topk, op7_warc, op8_minhash, op9_bpe, op10_sharding)}
-SQL: dict[str, str] = {}
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL: dict[str, str] = {
+    "op3_decontamination": f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+b AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+bn AS (SELECT item_id, w, least(len(w), 10) AS n FROM b WHERE len(w) > 0),
+bk AS (SELECT item_id, w, n, unnest(range(0, len(w) - n + 1)) AS k FROM bn),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, k + 1, k + n), ' ') AS g FROM bk),
+ns AS (SELECT DISTINCT n FROM bw),
+dn AS (SELECT doc_id, w, n FROM d CROSS JOIN ns WHERE len(w) >= n),
+dk AS (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS k FROM dn),
+hits AS (SELECT doc_id, item_id, k, dk.n FROM dk JOIN bw ON dk.n = bw.n AND array_to_string(list_slice(w, k + 1, k + dk.n), ' ') = g),
+places AS (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hits),
+np AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM places GROUP BY doc_id),
+ids AS (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits),
+ni AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS s FROM ids GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN np ON np.doc_id = d.doc_id LEFT JOIN ni ON ni.doc_id = d.doc_id""",
+    "op6_topk": """
+WITH c AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings),
+v AS (SELECT vec_id, i, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM c),
+s AS (SELECT q.vec_id AS query_id, o.vec_id, sum(q.x * o.x) AS score FROM v q JOIN v o ON q.i = o.i AND q.vec_id <> o.vec_id WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, o.vec_id),
+r AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 5""",
+}
