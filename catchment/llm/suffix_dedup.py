@@ -33,8 +33,8 @@ from catchment.llm.minhash import WordHashes, mixed
 
 #: Words of a repeat at least; words that decide where suffixes stay; K-grams of a window.
 LEAST, K, SPAN = 50, 10, 24
-#: Words of context on each side of a suffix.
-REACH = 64
+#: Words of context on each side of a suffix: no match of LEAST words needs more.
+REACH = LEAST
 
 
 def minimisers(words: np.ndarray, k: int = K, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +199,8 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     copies there while these reach less far to the left. At ends the span may so be short of
     the longest match by up to SPAN + K words.
     """
-    flagged = stored(with_equal_neighbour(suffixes(docs)), "suffixes").distinct()
+    # stored, as sorting by range reads its input twice
+    flagged = stored(with_equal_neighbour(stored(suffixes(docs), "suffixes")), "flagged").distinct()
     found = stored(neighbours(contexts(docs, flagged), least), "neighbours")
     ends = found.where(F.col("right").isNotNull()).select("right", "left", "doc_id", "pos").distinct()
 
