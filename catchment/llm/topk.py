@@ -92,14 +92,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).groupBy("vec_id").agg(F.min("v").alias("v"))
     rows = rows.withColumn("dim", F.size("v"))
-    # document ranges of even size: ids sorted over all, cut every BLOCK * TILE_BLOCKS rows
+    # document ranges of even size: a vector's rank is its place in its sorted partition after
+    # the rows of the partitions before, of which there is a count each
     rows = stored(rows.repartitionByRange("dim", "vec_id").sortWithinPartitions("dim", "vec_id").withColumn("part", F.spark_partition_id()), "vectors")
-    size = BLOCK * TILE_BLOCKS
-    place = F.row_number().over(Window.partitionBy("part", "dim").orderBy("vec_id")) - 1
-    docs = rows.withColumn("tile", F.struct("dim", "part", F.floor(place / size).alias("cut")))
-    queries = rows.where(is_query)
-    lot = F.floor((F.row_number().over(Window.partitionBy("part", "dim").orderBy("vec_id")) - 1) / TILE_QUERIES)
-    queries = queries.withColumn("lot", F.struct("part", lot.alias("cut")))
+    query = rows.withColumn("is_query", F.coalesce(is_query, F.lit(False)))
+    before = Window.partitionBy("dim").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = query.groupBy("dim", "part").agg(F.count("*").alias("n"), F.count_if("is_query").alias("q"))
+    parts = stored(parts.select("dim", "part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "q")]), "parts")
+    ranked = query.join(parts, ["dim", "part"])
+    inside = Window.partitionBy("dim", "part").orderBy("vec_id")
+    docs = ranked.withColumn("tile", F.struct("dim", F.floor((F.col("n_before") + F.row_number().over(inside) - 1) / (BLOCK * TILE_BLOCKS)).alias("cut")))
+    queries = ranked.where("is_query").withColumn("lot", F.floor((F.col("q_before") + F.row_number().over(inside) - 1) / TILE_QUERIES))
     # one row for each tile and lot: how often vectors and queries are sent
     tiles = stored(docs.select("tile").distinct(), "tiles")
     lots = stored(queries.select("dim", "lot").distinct(), "lots")
