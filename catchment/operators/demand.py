@@ -84,3 +84,24 @@ def site_table(cases: DataFrame, fractions: DataFrame, population: DataFrame) ->
         "scope", "site", "cases", (100 * F.col("cases") / F.sum("cases").over(total)).alias("percent"),
         F.when(F.col("population") > 0, 100 * F.col("cases") / F.col("population")).alias("rate"), (F.col("cases") * F.col("fraction")).alias("treatments"),
     )
+
+
+def cases_for(cases: DataFrame, wanted: DataFrame) -> DataFrame:
+    """scope, site, cases of each row of ``wanted`` (scope, site): 0 where missing or not finite."""
+    x = F.col("cases")
+    finite = F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")), x).otherwise(0.0)
+    sums = cases.groupBy("scope", "site").agg(F.sum(finite).alias("cases"))
+    return wanted.join(sums, ["scope", "site"], "left").fillna(0.0, ["cases"])
+
+
+def total_cases(cases: DataFrame, sites: list[str]) -> DataFrame:
+    """scope, cases: the sum over a choice of sites; negative counts as 0."""
+    return cases.where(F.col("site").isin(sites)).groupBy("scope").agg(F.sum(F.greatest("cases", F.lit(0.0))).alias("cases"))
+
+
+def headline(demand: DataFrame, population: DataFrame, cases: DataFrame) -> DataFrame:
+    """scope, demand, of_population, of_cases (percent; null where the denominator is 0)."""
+    sums = cases.groupBy("scope").agg(F.sum("cases").alias("cases"))
+    rows = population.join(demand, "scope", "left").join(sums, "scope", "left").fillna(0.0, ["demand"])
+    part = lambda c: F.when(F.col(c) > 0, 100 * F.col("demand") / F.col(c))
+    return rows.select("scope", "demand", part("population").alias("of_population"), part("cases").alias("of_cases"))

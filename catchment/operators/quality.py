@@ -50,6 +50,14 @@ def stacked(facilities: DataFrame, cell: str = "cell_id") -> DataFrame:
     return facilities.withColumn("level", F.row_number().over(order)).withColumn("below", below)
 
 
+def not_near(new: DataFrame, existing: DataFrame, side: float = 1e-4) -> DataFrame:
+    """Rows of ``new`` (scope, lat, lon) with no ``existing`` place of the scope within ``side``
+    degrees on both axes."""
+    near = existing.select(F.col("scope").alias("s"), F.col("lat").alias("a"), F.col("lon").alias("b"), F.floor(F.col("lat") / side).alias("k"))
+    near = near.withColumn("k", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)))
+    return new.join(near, (F.floor(new["lat"] / side) == near["k"]) & (new["scope"] == near["s"]) & (F.abs(new["lat"] - near["a"]) < side) & (F.abs(new["lon"] - near["b"]) < side), "left_anti")
+
+
 def scenario(facilities: DataFrame, overrides: DataFrame, custom: DataFrame, capacity: float) -> DataFrame:
     """Facilities with capacity (overrides by name, else machines times ``capacity``), then the
     custom ones that have a place and none within 1e-4 degrees on both axes.
@@ -58,10 +66,7 @@ def scenario(facilities: DataFrame, overrides: DataFrame, custom: DataFrame, cap
     base = facilities.join(overrides.withColumnRenamed("capacity", "own"), "name", "left").withColumn("capacity", F.coalesce("own", F.col("machines") * capacity))
     base = base.withColumn("machines", F.col("capacity") / capacity).select("scope", "fac_seq", "name", "lat", "lon", "machines", "capacity")
     new = custom.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    side = 1e-4
-    near = base.select(F.col("scope").alias("s"), F.col("lat").alias("a"), F.col("lon").alias("b"), F.floor(F.col("lat") / side).alias("k"))
-    near = near.withColumn("k", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)))
-    new = new.join(near, (F.floor(new["lat"] / side) == near["k"]) & (new["scope"] == near["s"]) & (F.abs(new["lat"] - near["a"]) < side) & (F.abs(new["lon"] - near["b"]) < side), "left_anti")
+    new = not_near(new, base)
     last = base.groupBy("scope").agg(F.max("fac_seq").alias("last"))
     place = F.row_number().over(Window.partitionBy("scope").orderBy("name", "lat", "lon"))  # a user's list
     new = new.withColumn("place", place).join(last, "scope", "left").withColumn("fac_seq", F.coalesce("last", F.lit(0)) + F.col("place"))

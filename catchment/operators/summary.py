@@ -72,3 +72,20 @@ def extent(cells: DataFrame) -> DataFrame:
     mid = (F.max("lat") + F.min("lat")) / 2
     high, wide = (F.max("lat") - F.min("lat")) * 111.32, (F.max("lon") - F.min("lon")) * 111.32 * F.cos(F.radians(mid))
     return cells.groupBy("scope").agg(F.greatest(high, wide).alias("extent_km"))
+
+
+def display_range(rows: DataFrame, distance: str, count: str) -> DataFrame:
+    """scope, p95_km, low, high: where the scales of a distance and of a count end."""
+    return rows.groupBy("scope").agg(F.percentile(distance, 0.95).alias("p95_km"), F.greatest(F.min(count), F.lit(1e-3)).alias("low"), F.max(count).alias("high"))
+
+
+def stop_tests(result: DataFrame) -> DataFrame:
+    """scope, most_unmet, farthest_km, served: what a plan's stop rules look at."""
+    served = F.when(F.sum("demand") > 0, F.sum("treated") / F.sum("demand")).otherwise(0.0)
+    return result.groupBy("scope").agg(F.max("untreated").alias("most_unmet"), F.max("nearest_km").alias("farthest_km"), served.alias("served"))
+
+
+def compared(before: DataFrame, after: DataFrame, values: list[str]) -> DataFrame:
+    """scope, and for each of ``values`` of two statistics: before, after and the change."""
+    a, b = (x.select("scope", *[F.col(v).alias(f"{v}_{k}") for v in values]) for x, k in ((before, "before"), (after, "after")))
+    return a.join(b, "scope").select("scope", *[c for v in values for c in (F.col(f"{v}_before"), F.col(f"{v}_after"), (F.col(f"{v}_after") - F.col(f"{v}_before")).alias(f"{v}_change"))])

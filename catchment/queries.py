@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catchment.functions import geo, text
-from catchment.operators import access, allocation, demand, model, quality, summary
+from catchment.operators import access, allocation, cells, demand, model, quality, summary
 from catchment.plans import planning
 from catchment.sources import fixtures as fx
-from catchment.sources import readers
+from catchment.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -414,6 +415,184 @@ def j8(spark: SparkSession, sf: str) -> DataFrame:
     return found.join(nations, F.upper(F.regexp_replace("source_name", "^X", "")) == F.upper("n_name")).select("name", F.col("n_nationkey").alias("source"))
 
 
+# --- cells and snapping -----------------------------------------------------------
+H3 = "617700169958293503 + CAST(c_custkey AS BIGINT) * 1048576"
+PARENT = "(({} & -67553994410557441) | (7::BIGINT << 52) | ((1::BIGINT << 24) - 1))"
+
+
+def hexagons(spark: SparkSession, sf: str) -> DataFrame:
+    h = F.lit(617700169958293503) + F.col("c_custkey").cast("long") * 1048576
+    return fx.table(spark, sf, "customer").select("c_custkey", h.alias("h3"), F.greatest(F.col("c_acctbal").cast("double"), F.lit(0.0)).alias("population"))
+
+
+@query("A1_resampled_population", f" SELECT {PARENT.format(f'({H3})')} AS h3, round(sum(greatest(CAST(c_acctbal AS DOUBLE), 0.0)), 4) AS population FROM customer GROUP BY 1")
+def a1(spark: SparkSession, sf: str) -> DataFrame:
+    return cells.resample(hexagons(spark, sf), 7).select("h3", *r4("population"))
+
+
+@query("J13_parent_targets", f", h AS (SELECT c_custkey AS k, {PARENT.format(f'({H3})')} AS parent FROM customer) SELECT k, parent FROM h WHERE parent IN (SELECT parent FROM h WHERE k % 50 = 0)")
+def j13(spark: SparkSession, sf: str) -> DataFrame:
+    rows = hexagons(spark, sf)
+    targets = rows.where("c_custkey % 50 = 0").select(geo.h3_parent(F.col("h3"), 7).alias("parent"))
+    return cells.with_parent(rows, targets, 7).select(F.col("c_custkey").alias("k"), "parent")
+
+
+@query("J14_snapped_facilities", " SELECT fac_seq, arg_min(cell_id, km) AS cell_id FROM pairs GROUP BY fac_seq")
+def j14(spark: SparkSession, sf: str) -> DataFrame:
+    return cells.snapped(fx.facilities(spark, sf), fx.cells(spark, sf), geo.haversine_km)
+
+
+@query("J15_snap_target", MIN + " SELECT p.cell_id, arg_min(p.fac_seq, p.km) AS fac_seq, round(min(p.km), 4) AS km FROM pairs p LEFT JOIN mins m ON m.cell_id = p.cell_id AND m.fac_seq = p.fac_seq WHERE p.km <= 60.0 OR m.minutes <= 40.0 GROUP BY p.cell_id")
+def j15(spark: SparkSession, sf: str) -> DataFrame:
+    return cells.snap_target(fx.cells(spark, sf), fx.facilities(spark, sf), 60.0, minutes(spark, sf), 40.0, geo.haversine_km).select("cell_id", "fac_seq", *r4("km"))
+
+
+@query("J16_custom_places", ", c AS (SELECT fac_seq, scope, lat + CASE WHEN fac_seq % 3 = 0 THEN 0.5 ELSE 0.00005 END AS lat, lon FROM fac) SELECT fac_seq FROM c WHERE NOT EXISTS (SELECT 1 FROM fac f WHERE f.scope = c.scope AND abs(f.lat - c.lat) < 1e-4 AND abs(f.lon - c.lon) < 1e-4)")
+def j16(spark: SparkSession, sf: str) -> DataFrame:
+    fac = fx.facilities(spark, sf)
+    custom = fac.withColumn("lat", F.col("lat") + F.when(F.col("fac_seq") % 3 == 0, 0.5).otherwise(0.00005))
+    return quality.not_near(custom, fac).select("fac_seq")
+
+
+# --- more figures -----------------------------------------------------------------
+@query("A4_cases_for_sites", " SELECT n_nationkey AS scope, w.site, round(coalesce(c.cases, 0.0), 4) AS cases FROM nation CROSS JOIN (VALUES ('PROMO'), ('LARGE'), ('UNKNOWN')) AS w(site) LEFT JOIN cases c ON c.scope = n_nationkey AND c.site = w.site")
+def a4(spark: SparkSession, sf: str) -> DataFrame:
+    wanted = fx.countries(spark, sf).select("scope", F.explode(F.array(*map(F.lit, ("PROMO", "LARGE", "UNKNOWN")))).alias("site"))
+    return demand.cases_for(fx.incidence(spark, sf), wanted).select("scope", "site", *r4("cases"))
+
+
+@query("A14_display_range", " SELECT d.scope, round(quantile_cont(nearest_km, 0.95), 4) AS p95_km, greatest(min(population), 0.001) AS low, max(population) AS high FROM dem d LEFT JOIN near n ON d.cell_id = n.cell_id GROUP BY d.scope")
+def a14(spark: SparkSession, sf: str) -> DataFrame:
+    return summary.display_range(near(spark, sf), "nearest_km", "population").select("scope", *r4("p95_km"), "low", "high")
+
+
+@query("A19_headline", " SELECT t.scope, round(coalesce(n.demand, 0.0), 4) AS demand, round(CASE WHEN total > 0 THEN 100 * coalesce(n.demand, 0.0) / total END, 4) AS of_population, round(CASE WHEN k.c > 0 THEN 100 * coalesce(n.demand, 0.0) / k.c END, 4) AS of_cases FROM tot t LEFT JOIN national n ON n.scope = t.scope LEFT JOIN (SELECT scope, sum(cases) AS c FROM cases GROUP BY scope) k ON k.scope = t.scope")
+def a19(spark: SparkSession, sf: str) -> DataFrame:
+    pop = fx.cells(spark, sf).groupBy("scope").agg(F.sum("population").alias("population"))
+    return demand.headline(national(spark, sf), pop, fx.incidence(spark, sf)).select("scope", *r4("demand", "of_population", "of_cases"))
+
+
+@query("A24_installed", " SELECT n_regionkey AS region, count(*) AS facilities, sum(machines) AS machines FROM fac JOIN nation ON n_nationkey = scope GROUP BY n_regionkey")
+def a24(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.facilities(spark, sf).groupBy("scope").agg(F.count("*").alias("n"), F.sum("machines").alias("m"))
+    return rows.join(fx.countries(spark, sf), "scope").groupBy("region").agg(F.sum("n").alias("facilities"), F.sum("m").alias("machines"))
+
+
+@query("A25_stop_tests", ACC + ALLOC + " SELECT scope, round(max(rem), 4) AS most_unmet, round(max(nearest_km), 4) AS farthest_km, round(CASE WHEN sum(demand) > 0 THEN sum(treated) / sum(demand) ELSE 0.0 END, 6) AS served FROM done GROUP BY scope")
+def a25(spark: SparkSession, sf: str) -> DataFrame:
+    return summary.stop_tests(result(spark, sf)).select("scope", *r4("most_unmet", "farthest_km"), F.round("served", 6).alias("served"))
+
+
+@query("A26_total_cases", " SELECT scope, round(sum(greatest(cases, 0.0)), 4) AS cases FROM cases WHERE site IN ('PROMO', 'SMALL') GROUP BY scope")
+def a26(spark: SparkSession, sf: str) -> DataFrame:
+    return demand.total_cases(fx.incidence(spark, sf), ["PROMO", "SMALL"]).select("scope", *r4("cases"))
+
+
+@query("C9_burden_map", " SELECT cell_id // 2 AS h, cell_id, scope, round(demand, 4) AS demand FROM (SELECT *, row_number() OVER (PARTITION BY cell_id // 2 ORDER BY demand DESC, scope, cell_id) AS r FROM dem) x WHERE r = 1")
+def c9(spark: SparkSession, sf: str) -> DataFrame:
+    rows = demand_cells(spark, sf).withColumn("h", F.floor(F.col("cell_id") / 2)).withColumn("scope", F.struct("scope", "cell_id"))
+    return model.best_of_border(rows, "h", "demand").select("h", "scope.cell_id", "scope.scope", *r4("demand"))
+
+
+# --- regions as scopes, and scenarios ---------------------------------------------
+STATS = " SELECT scope, cells, round(demand, 4) AS demand, round(treated, 4) AS treated, round(with_access, 2) AS with_access, facilities, round(machines, 4) AS machines FROM stats"
+
+
+def short(rows: DataFrame) -> DataFrame:
+    return rows.select("scope", "cells", *r4("demand", "treated"), F.round("with_access", 2).alias("with_access"), "facilities", *r4("machines"))
+
+
+def of_region(key: str) -> str:
+    return f"(SELECT n_regionkey FROM nation WHERE n_nationkey = {key}) AS scope"
+
+
+REGIONAL = VIEWS.replace("c_nationkey AS scope", of_region("c_nationkey")).replace("s_nationkey AS scope", of_region("s_nationkey")).replace("GROUP BY s_nationkey, p_type", "GROUP BY 1, 2")
+SQL["C7_region_uniform"] = "WITH RECURSIVE " + REGIONAL + ACC + ALLOC + STATS
+
+
+@query("C7_region_uniform")
+def c7(spark: SparkSession, sf: str) -> DataFrame:
+    member = fx.countries(spark, sf).select("scope", "region")
+
+    def pooled(rows: DataFrame) -> DataFrame:
+        return rows.join(member, "scope").drop("scope").withColumnRenamed("region", "scope")
+
+    people, fac = pooled(fx.cells(spark, sf)), pooled(fx.facilities(spark, sf))
+    cases = pooled(fx.incidence(spark, sf)).groupBy("scope", "site").agg(F.sum("cases").alias("cases"))
+    wanted = demand.cell_demand(people, demand.demand_optimal(cases, fx.fractions(spark)))
+    return short(model.statistics(model.compute_access(wanted, fac, **OPTIONS), fac))
+
+
+END = "AS machines FROM supplier),"
+SCENARIO = VIEWS.replace("fac AS (SELECT s_suppkey", "old AS (SELECT s_suppkey").replace(END, END + "\nfac AS (SELECT fac_seq, scope, lat, lon, CASE WHEN fac_seq % 5 = 0 THEN 100.0::DOUBLE / 450 ELSE machines END AS machines FROM old UNION ALL SELECT max(fac_seq) + 1, scope, max(lat) + 1, max(lon), 2.0 FROM old GROUP BY scope),")
+
+
+def changed(spark: SparkSession, sf: str) -> DataFrame:
+    fac = fx.facilities(spark, sf).withColumn("name", F.concat(F.lit("f"), F.col("fac_seq").cast("string")))
+    overrides = fac.where("fac_seq % 5 = 0").select("name", F.lit(100.0).alias("capacity"))
+    spot = fac.groupBy("scope").agg(F.max("lat").alias("lat"), F.max("lon").alias("lon"))
+    custom = spot.select("scope", F.lit("new").alias("name"), (F.col("lat") + 1).alias("lat"), "lon", F.lit(900.0).alias("capacity"))
+    return quality.scenario(fac, overrides, custom, 450.0).drop("capacity")
+
+
+def changed_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    fac = changed(spark, sf)
+    return model.statistics(model.compute_access(demand_cells(spark, sf), fac, **OPTIONS), fac)
+
+
+SQL["C13_scenario"] = "WITH RECURSIVE " + SCENARIO + ACC + ALLOC + STATS
+
+
+@query("C13_scenario")
+def c13(spark: SparkSession, sf: str) -> DataFrame:
+    return short(changed_statistics(spark, sf))
+
+
+SQL["C15_before_after"] = f"""
+SELECT b.scope, round(b.treated, 4) AS treated_before, round(a.treated, 4) AS treated_after, round(a.treated - b.treated, 4) + 0.0 AS treated_change
+FROM (WITH RECURSIVE {VIEWS + ACC + ALLOC} SELECT scope, treated FROM stats) b JOIN (WITH RECURSIVE {SCENARIO + ACC + ALLOC} SELECT scope, treated FROM stats) a ON a.scope = b.scope"""
+
+
+@query("C15_before_after")
+def c15(spark: SparkSession, sf: str) -> DataFrame:
+    before = model.statistics(result(spark, sf), fx.facilities(spark, sf))
+    return summary.compared(before, changed_statistics(spark, sf), ["treated"]).select("scope", *r4("treated_before", "treated_after"), (F.round("treated_change", 4) + 0.0).alias("treated_change"))
+
+
+# --- sinks ------------------------------------------------------------------------
+@query("S2_region_table", " SELECT cell_id, round(population, 4) AS population FROM cells JOIN nation ON n_nationkey = scope WHERE n_regionkey = 1")
+def s2(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{sinks.shared_folder(spark)}/population-{uuid.uuid4().hex}"
+    rows = fx.cells(spark, sf).join(fx.countries(spark, sf).select("scope", "region"), "scope")
+    sinks.keep(rows.select("cell_id", "population", "region"), path, region=None, res=4)
+    return sinks.kept(spark, path, region=1, res=4).select("cell_id", *r4("population"))
+
+
+@query("S9_travel_time_table", MIN + " SELECT cell_id, fac_seq, minutes FROM mins")
+def s9(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{sinks.shared_folder(spark)}/minutes-{uuid.uuid4().hex}"
+    for mode, times in (("driving", 1.0), ("transit", 2.0)):
+        sinks.keep(minutes(spark, sf).withColumn("minutes", F.col("minutes") * times), path, mode=mode, res=4)
+    return sinks.kept(spark, path, mode="driving", res=4)
+
+
+@query("S10_report_tables", ACC + ALLOC + " SELECT n_name AS name, round(treated, 4) AS treated FROM stats JOIN nation ON n_nationkey = scope")
+def s10(spark: SparkSession, sf: str) -> DataFrame:
+    path, fac, people = f"{sinks.shared_folder(spark)}/report-{uuid.uuid4().hex}", fx.facilities(spark, sf), fx.countries(spark, sf)
+    skipped = model.skip_reasons(people, fx.cells(spark, sf), fx.incidence(spark, sf), fac)
+    sinks.write_report(model.country_report(model.statistics(result(spark, sf), fac), people), skipped, path)
+    return spark.read.parquet(f"{path}/Results").select("name", *r4("treated"))
+
+
+@query("S11_kept_result", ACC + " SELECT cell_id, access FROM acc")
+def s11(spark: SparkSession, sf: str) -> DataFrame:
+    path, people = f"{sinks.shared_folder(spark)}/result-{uuid.uuid4().hex}", fx.cells(spark, sf)
+    for reach in (REACH, 2 * REACH):
+        pairs = access.pairs_within(people, fx.facilities(spark, sf), reach, geo.haversine_km)
+        sinks.keep(access.geographic_access(people, pairs, model="step", reach=reach).select("cell_id", "access"), path, model="step", reach=reach)
+    return sinks.kept(spark, path, model="step", reach=REACH)
+
+
 # --- plans ------------------------------------------------------------------------
 @query("C14_placement_plan")
 def c14(spark: SparkSession, sf: str) -> DataFrame:

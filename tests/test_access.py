@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from catchment.functions import geo, text
-from catchment.operators import access, allocation, demand, model, quality, summary
-from catchment.sources import readers
+from catchment.operators import access, allocation, cells, demand, model, quality, summary
+from catchment.sources import readers, sinks
 
 
 def values(df, *names):
@@ -126,3 +126,29 @@ def test_border_cells_and_patch(spark):
     raw = spark.createDataFrame([(1, None, None), (2, 5.0, 5.0)], "row int, lat double, lon double")
     patch = spark.createDataFrame([(1, 7.0, 8.0)], "row int, new_lat double, new_lon double")
     assert values(quality.patched(raw, patch), "row", "lat") == [(1, 7.0), (2, 5.0)]
+
+
+def test_cases_for_sites_that_are_missing_or_not_finite(spark):
+    cases = spark.createDataFrame([(1, "a", 2.0), (1, "b", float("nan")), (2, "a", float("inf")), (2, "b", None)], "scope int, site string, cases double")
+    wanted = spark.createDataFrame([(s, k) for s in (1, 2, 3) for k in ("a", "b")], "scope int, site string")
+    assert values(demand.cases_for(cases, wanted), "scope", "site", "cases") == [(1, "a", 2.0), (1, "b", 0.0), (2, "a", 0.0), (2, "b", 0.0), (3, "a", 0.0), (3, "b", 0.0)]
+
+
+def test_snapping(spark):
+    spots = spark.createDataFrame([(1, 1, 0.0, 0.0), (2, 1, 0.0, 5.0), (3, 1, 40.0, 0.0)], "cell_id long, scope int, lat double, lon double")
+    fac = spark.createDataFrame([(7, 1, 0.0, 0.2, 1.0), (8, 1, 0.0, 3.0, 1.0)], "fac_seq long, scope int, lat double, lon double, machines double")
+    assert values(cells.snapped(fac, spots), "fac_seq", "cell_id") == [(7, 1), (8, 2)]
+    minutes = spark.createDataFrame([(1, 8, 5.0), (2, 8, 20.0), (3, 8, 90.0)], "cell_id long, fac_seq long, minutes double")
+    assert values(cells.snap_target(spots, fac, 50.0, minutes, 30.0), "cell_id", "fac_seq") == [(1, 7), (2, 8)]
+    new = spark.createDataFrame([(1, 0.00005, 0.2), (1, 0.0002, 0.2), (2, 0.0, 0.2)], "scope int, lat double, lon double")
+    assert values(quality.not_near(new, fac), "scope", "lat") == [(1, 0.0002), (2, 0.0)]
+
+
+def test_kept_tables_replace_only_their_partition(spark, tmp_path):
+    path = f"file://{tmp_path}/kept"
+    row = lambda v: spark.createDataFrame([(v,)], "v int")
+    for mode, v in (("a", 1), ("b", 2), ("a", 3)):
+        sinks.keep(row(v), path, mode=mode, res=4)
+    assert values(sinks.kept(spark, path, mode="a", res=4), "v") == [(3,)]
+    assert values(sinks.kept(spark, path, mode="b", res=4), "v") == [(2,)]
+    assert values(sinks.kept(spark, path, mode="c"), "v") == []
