@@ -12,6 +12,9 @@ LEAST_RADIUS_KM = 6335.0
 #: Mean hexagon edge in km of resolutions 0 to 8.
 EDGE_KM = [1281.256011, 483.0568391, 182.5129565, 68.97922179, 26.07175968, 9.854090990, 3.724532667, 1.406475763, 0.531414010]
 
+#: The longest travel time in seconds that the service answers, by resolution; else the first.
+LONGEST_S = {5: 36000, 6: 36000, 7: 36000, 8: 28800, 9: 14400, 10: 5400, 11: 2700, 12: 1800}
+
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a, b = F.radians(lat1), F.radians(lat2)
@@ -42,6 +45,12 @@ def decay(d: Column, model: str = "step", scale: float = 30.0, shape: float = 2.
     return F.when(d <= (10 * scale if cutoff is None else cutoff), p).otherwise(F.lit(0.0))
 
 
+def travel_cap(resolution: Column, seconds: Column) -> Column:
+    """Seconds asked for (null: as long as can be), limited by what the resolution allows."""
+    limit = F.coalesce(*[F.when(resolution == r, F.lit(s)) for r, s in LONGEST_S.items()], F.lit(LONGEST_S[5]))
+    return F.least(seconds, limit)
+
+
 def ring(km: Column, resolution: int = 4) -> Column:
     """Ring of hexagons around a facility: half-even rounding, ring 0 is its own."""
     return F.rint(km / (EDGE_KM[resolution] * 3**0.5)).cast("int")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from catchment.functions import geo, text
 from catchment.operators import access, allocation, cells, demand, model, quality, summary
@@ -597,3 +598,163 @@ def s11(spark: SparkSession, sf: str) -> DataFrame:
 @query("C14_placement_plan")
 def c14(spark: SparkSession, sf: str) -> DataFrame:
     return planning.place(demand_cells(spark, sf), fx.facilities(spark, sf), steps=2, machines=2.0, snap_km=100.0, **OPTIONS)
+
+
+# --- single steps of the model ----------------------------------------------------
+@query("P7_aggregate_rows", " SELECT scope, site, site IN ('PROMO') AS aggregate FROM cases")
+def p7(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.when(F.col("site") == "PROMO", " All Cancers ").otherwise(F.col("site"))
+    return fx.incidence(spark, sf).select("scope", "site", text.is_aggregate(name).alias("aggregate"))
+
+
+@query("P9_capacity", " SELECT fac_seq, machines * 450.0 AS capacity FROM fac")
+def p9(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.facilities(spark, sf).select("fac_seq", (F.col("machines") * 450.0).alias("capacity"))
+
+
+@query("P10_per_area", " SELECT cell_id, CASE WHEN cell_id % 7 > 0 THEN round(population / ((cell_id % 7) / 10.0), 4) END AS people FROM cells")
+def p10(spark: SparkSession, sf: str) -> DataFrame:
+    area = (F.col("cell_id") % 7).cast("double")
+    return fx.cells(spark, sf).select("cell_id", F.round(summary.per_area(F.col("population"), area), 4).alias("people"))
+
+
+@query("P15_percent_served", ACC + ALLOC + " SELECT cell_id, round(CASE WHEN demand > 0 THEN 100 * treated / demand ELSE 0.0 END, 4) AS percent FROM done")
+def p15(spark: SparkSession, sf: str) -> DataFrame:
+    return result(spark, sf).select("cell_id", F.round(100 * F.col("served"), 4).alias("percent"))
+
+
+@query("J1_all_distances", " SELECT cell_id, fac_seq, round(km, 4) AS km FROM pairs")
+def j1(spark: SparkSession, sf: str) -> DataFrame:
+    """Distances within each scope, without a limit: as many rows as the reference's matrix."""
+    rows = fx.cells(spark, sf).join(access.named(fx.facilities(spark, sf)), "scope")
+    return access.with_km(rows, geo.haversine_km).select("cell_id", "fac_seq", *r4("km"))
+
+
+@query("J6_minutes_or_cap", MIN + " SELECT p.cell_id, p.fac_seq, coalesce(m.minutes, 600.0) AS minutes, m.minutes IS NULL AS unreached FROM pairs p LEFT JOIN mins m ON m.cell_id = p.cell_id AND m.fac_seq = p.fac_seq")
+def j6(spark: SparkSession, sf: str) -> DataFrame:
+    """Travel times of all pairs, the smallest of repeated ones; what is missing is out of reach."""
+    twice = minutes(spark, sf).union(minutes(spark, sf).withColumn("minutes", F.col("minutes") + 1))
+    least = twice.groupBy("cell_id", "fac_seq").agg(F.min("minutes").alias("minutes"))
+    rows = fx.cells(spark, sf).select("cell_id", "scope").join(fx.facilities(spark, sf).select("fac_seq", "scope"), "scope").join(least, ["cell_id", "fac_seq"], "left")
+    return rows.select("cell_id", "fac_seq", F.coalesce("minutes", F.lit(600.0)).alias("minutes"), F.col("minutes").isNull().alias("unreached"))
+
+
+@query("J10_without_facilities", " SELECT cell_id, 0.0::DOUBLE AS access, round(demand, 4) AS untreated FROM dem WHERE scope NOT IN (SELECT scope FROM fac WHERE machines > 2 AND fac_seq % 2 = 1)")
+def j10(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of scopes that have no facility: no access, all demand unmet."""
+    fac = fx.facilities(spark, sf).where("machines > 2 and fac_seq % 2 = 1")
+    rows = model.compute_access(demand_cells(spark, sf), fac, **OPTIONS)
+    return rows.join(fac, "scope", "left_anti").select("cell_id", "access", *r4("untreated"))
+
+
+@query("A2_region_population", " SELECT n_regionkey AS region, cell_id // 2 AS h, round(sum(population), 4) AS population FROM cells JOIN nation ON n_nationkey = scope GROUP BY 1, 2")
+def a2(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of a region's countries; those that several countries hold are summed."""
+    rows = fx.cells(spark, sf).join(fx.countries(spark, sf), "scope").groupBy("region", F.floor(F.col("cell_id") / 2).alias("h"))
+    return rows.agg(F.round(F.sum("population"), 4).alias("population"))
+
+
+@query("A9_nearest_minutes", MIN + " SELECT cell_id, min(minutes) AS nearest_min FROM mins GROUP BY cell_id")
+def a9(spark: SparkSession, sf: str) -> DataFrame:
+    return minutes(spark, sf).groupBy("cell_id").agg(F.min("minutes").alias("nearest_min"))
+
+
+@query("A21_unreachable", " SELECT d.scope, CAST(count(*) FILTER (nearest_km IS NULL OR nearest_km > 100) AS BIGINT) AS cells, round(CASE WHEN sum(population) > 0 THEN 100 * coalesce(sum(population) FILTER (nearest_km IS NULL OR nearest_km > 100), 0.0) / sum(population) ELSE 0.0 END, 4) AS percent FROM dem d LEFT JOIN near n ON n.cell_id = d.cell_id GROUP BY d.scope")
+def a21(spark: SparkSession, sf: str) -> DataFrame:
+    km = F.when(F.col("nearest_km") <= 100, F.col("nearest_km"))
+    rows = summary.distance_summary(near(spark, sf).withColumn("nearest_km", km))
+    total = fx.cells(spark, sf).groupBy("scope").agg(F.sum("population").alias("population"))
+    return rows.join(total, "scope").select("scope", F.col("unreached_cells").alias("cells"), F.round(100 * model.ratio("unreached_population", "population"), 4).alias("percent"))
+
+
+@query("A23_ratios", ACC + ALLOC + ", x AS (SELECT n_name AS name, CASE WHEN demand > 0 THEN least(machines * 450.0 / demand, 1.0) ELSE 0.0 END AS c, CASE WHEN population > 0 THEN with_access / population ELSE 0.0 END AS g, CASE WHEN demand > 0 THEN treated / demand ELSE 0.0 END AS s FROM stats JOIN nation ON n_nationkey = scope) SELECT name, round_even(c, 4) AS capacity_ratio, round_even(g, 4) AS geography_access, round_even(s, 4) AS combined_access, round_even(1 - c, 4) AS capacity_deficit, round_even(1 - g, 4) AS geography_deficit, round_even(1 - s, 4) AS combined_deficit FROM x")
+def a23(spark: SparkSession, sf: str) -> DataFrame:
+    rows = model.country_report(model.statistics(result(spark, sf), fx.facilities(spark, sf)), fx.countries(spark, sf))
+    return rows.select("name", "capacity_ratio", "geography_access", "combined_access", "capacity_deficit", "geography_deficit", "combined_deficit")
+
+
+@query("O2_best_cell", ACC + ALLOC + " SELECT scope, round(score, 4) AS score FROM (SELECT scope, max(rem) AS score FROM done GROUP BY scope) x")
+def o2(spark: SparkSession, sf: str) -> DataFrame:
+    return planning.best_cells(result(spark, sf)).select("scope", *r4("score"))
+
+
+@query("O3_site_order", " SELECT scope, site, CAST(row_number() OVER (PARTITION BY scope ORDER BY cases DESC, site) AS INTEGER) AS place FROM cases")
+def o3(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.incidence(spark, sf).withColumn("place", F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("cases"), "site"))).select("scope", "site", "place")
+
+
+@query("U4_scopes", " SELECT 'region' AS kind, r_name AS name FROM region UNION ALL SELECT 'country', n_name FROM nation WHERE n_nationkey IN (SELECT scope FROM cases) AND n_name NOT IN (SELECT r_name FROM region)")
+def u4(spark: SparkSession, sf: str) -> DataFrame:
+    """What can be chosen: regions, and countries with cases that aren't regions themselves."""
+    regions = fx.table(spark, sf, "region").select(F.lit("region").alias("kind"), F.col("r_name").alias("name"))
+    named = fx.countries(spark, sf).join(fx.incidence(spark, sf), "scope", "left_semi").select(F.lit("country").alias("kind"), "name")
+    return regions.union(named.join(regions, "name", "left_anti").select("kind", "name"))
+
+
+@query("F9_human_numbers", " SELECT k, CASE WHEN x = 0 THEN '0' WHEN x >= 1e6 THEN printf('%.1f M', x / 1e6) WHEN x >= 1e3 THEN printf('%.1f k', x / 1e3) ELSE printf('%.1f', x) END AS label FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 10 = 0 THEN 0.0::DOUBLE ELSE CAST(c_custkey * 1613 - 1601 AS DOUBLE) END AS x FROM customer WHERE c_custkey * 1613 % 100 <> 51) t")
+def f9(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_custkey")
+    rows = fx.table(spark, sf, "customer").where(k * 1613 % 100 != 51)  # no ties of rounding, where engines differ
+    return rows.select(k.alias("k"), text.human(F.when(k % 10 == 0, 0.0).otherwise((k * 1613 - 1601).cast("double"))).alias("label"))
+
+
+@query("F10_next_wednesday", " SELECT o_orderkey AS k, strftime(CAST(o_orderdate AS DATE) + CAST((9 - dayofweek(CAST(o_orderdate AS DATE))) % 7 + 1 AS INTEGER), '%Y-%m-%d 08:00:00') AS departure FROM orders")
+def f10(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), text.next_wednesday(F.col("o_orderdate").cast("date")).cast("string").alias("departure"))
+
+
+@query("F11_fingerprints", " SELECT scope, left(md5(string_agg(p, ';' ORDER BY p)), 8) AS mark FROM (SELECT scope, concat(CAST(CAST(round(lat * 100) AS BIGINT) AS VARCHAR), ' ', CAST(CAST(round(lon * 100) AS BIGINT) AS VARCHAR)) AS p FROM fac) x GROUP BY scope")
+def f11(spark: SparkSession, sf: str) -> DataFrame:
+    place = F.concat_ws(" ", *[F.round(F.col(c) * 100).cast("long").cast("string") for c in ("lat", "lon")])
+    return fx.facilities(spark, sf).groupBy("scope").agg(text.fingerprint(F.collect_list(place)).alias("mark"))
+
+
+@query("F12_travel_cap", " SELECT c_custkey AS k, least(c_custkey * 60, CASE c_custkey % 9 + 4 WHEN 8 THEN 28800 WHEN 9 THEN 14400 WHEN 10 THEN 5400 WHEN 11 THEN 2700 WHEN 12 THEN 1800 ELSE 36000 END) AS seconds FROM customer")
+def f12(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return fx.table(spark, sf, "customer").select(k.alias("k"), geo.travel_cap(k % 9 + 4, k * 60).alias("seconds"))
+
+
+@query("C2_demand_methods", " SELECT 'optimal' AS method, scope, round(demand, 4) AS demand FROM national UNION ALL SELECT 'proportional', scope, round(sum(cases) * 0.52, 4) FROM cases GROUP BY scope UNION ALL SELECT 'custom', scope, round(sum(CASE WHEN site = 'PROMO' THEN cases * 0.4 ELSE 0.0 END), 4) FROM cases GROUP BY scope")
+def c2(spark: SparkSession, sf: str) -> DataFrame:
+    cases = fx.incidence(spark, sf)
+    own = spark.createDataFrame([("promo", 40.0)], "site string, percent double")
+    kinds = {"optimal": national(spark, sf), "proportional": demand.demand_proportional(cases, 0.52), "custom": demand.demand_custom(cases, own)}
+    parts = [rows.select(F.lit(kind).alias("method"), "scope", *r4("demand")) for kind, rows in kinds.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("C4_geographic_access", ACC + " SELECT cell_id, access::DOUBLE AS access, round(nearest_km, 4) AS nearest_km, round(access * population, 4) AS with_access FROM acc")
+def c4(spark: SparkSession, sf: str) -> DataFrame:
+    people, fac = fx.cells(spark, sf), fx.facilities(spark, sf)
+    rows = access.geographic_access(people, access.pairs_within(people, fac, REACH, geo.haversine_km), model="step", reach=REACH)
+    rows = rows.join(access.nearest(people, fac, distance=geo.haversine_km).select("cell_id", "nearest_km"), "cell_id", "left")
+    return rows.select("cell_id", "access", *r4("nearest_km", "with_access"))
+
+
+BORDER = VIEWS.replace("cells AS (", "single AS (", 1).replace("AS population FROM customer),", "AS population FROM customer),\ncells AS (SELECT min(cell_id) AS cell_id, scope, min(lat) AS lat, min(lon) AS lon, sum(population) AS population FROM single GROUP BY scope, cell_id // 2),", 1)
+SQL["C8_region_by_country"] = "WITH RECURSIVE " + BORDER + ACC + ALLOC + """, a AS (SELECT n_regionkey AS region, sum(demand) AS demand, sum(treated) AS treated, sum(machines) AS machines FROM stats JOIN nation ON n_nationkey = scope GROUP BY 1),
+b AS (SELECT n_regionkey AS region, sum(population) AS population, sum(access * population) AS with_access FROM (SELECT *, row_number() OVER (PARTITION BY cell_id // 2 ORDER BY access DESC, scope) AS r FROM acc) x JOIN nation ON n_nationkey = scope WHERE r = 1 GROUP BY 1)
+SELECT a.region, round(demand, 4) AS demand, round(treated, 4) AS treated, machines, round(population, 2) AS population, round(with_access, 2) AS with_access FROM a JOIN b ON a.region = b.region"""
+
+
+@query("C8_region_by_country")
+def c8(spark: SparkSession, sf: str) -> DataFrame:
+    """Countries are scopes; a cell that several hold counts for the one with the best access."""
+    h = F.floor(F.col("cell_id") / 2).alias("h")
+    sums = [F.min(c).alias(c) for c in ("cell_id", "lat", "lon")] + [F.sum("population").alias("population")]
+    people, fac = fx.cells(spark, sf).groupBy("scope", h).agg(*sums), fx.facilities(spark, sf)
+    rows = model.compute_access(demand.cell_demand(people, national(spark, sf)), fac, **OPTIONS)
+    out = model.region_statistics(rows, model.statistics(rows, fac), fx.countries(spark, sf), "h")
+    return out.select("region", *r4("demand", "treated"), "machines", F.round("population", 2).alias("population"), F.round("with_access", 2).alias("with_access"))
+
+
+@query("S8_travel_time_responses", MIN + " SELECT CAST(cell_id AS VARCHAR) AS h3, CAST(fac_seq AS VARCHAR) AS search_id, minutes FROM mins")
+def s8(spark: SparkSession, sf: str) -> DataFrame:
+    """Travel times written as responses of the service, a search for each facility, and read back."""
+    path = f"{sinks.shared_folder(spark)}/responses-{uuid.uuid4().hex}"
+    seconds = F.col("minutes") * 60
+    cell = F.struct(F.col("cell_id").cast("string").alias("id"), F.struct(seconds.alias("min"), F.when(F.col("cell_id") % 2 == 0, seconds).alias("mean")).alias("properties"))
+    found = minutes(spark, sf).groupBy("fac_seq").agg(F.collect_list(cell).alias("cells"))
+    found.select(F.array(F.struct(F.col("fac_seq").cast("string").alias("search_id"), "cells")).alias("results")).write.json(path)
+    return readers.travel_times(spark, path, lines=True)

@@ -80,10 +80,10 @@ def actual_fractions(spark: SparkSession, folder: str) -> DataFrame:
 TRAVEL = "results array<struct<search_id:string,cells:array<struct<id:string,properties:struct<min:double,mean:double>>>>>"
 
 
-def travel_times(spark: SparkSession, path: str) -> DataFrame:
-    """h3, search_id, minutes from response files: the mean, or else the least, in minutes;
+def travel_times(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """h3, search_id, minutes from files of a response each (``lines``: one a line): the mean, or else the least, in minutes;
     the smallest of repeated ones. A missing row is out of reach."""
-    r = spark.read.schema(TRAVEL).json(path, multiLine=True).select(F.explode("results").alias("r"))
+    r = spark.read.schema(TRAVEL).json(path, multiLine=not lines).select(F.explode("results").alias("r"))
     c = r.select("r.search_id", F.explode("r.cells").alias("c"))
     rows = c.select(F.col("c.id").alias("h3"), "search_id", (F.coalesce("c.properties.mean", "c.properties.min") / 60).alias("minutes"))
     return rows.where(F.col("minutes").isNotNull()).groupBy("h3", "search_id").agg(F.min("minutes").alias("minutes"))

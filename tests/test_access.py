@@ -117,7 +117,8 @@ def test_weighted_median_and_bands(spark):
 
 def test_text_functions(spark):
     row = spark.sql("select 'Lip, Oral-Cavity 2' s, date'2024-05-01' d, 1234567.0D x").select(text.site_key(F.col("s")), text.next_wednesday(F.col("d")).cast("string"), text.human(F.col("x"))).first()
-    assert tuple(row) == ("liporalcavity2", "2024-05-08 08:00:00", "1.2M")
+    assert tuple(row) == ("liporalcavity2", "2024-05-08 08:00:00", "1.2 M")
+    assert [r[0] for r in spark.createDataFrame([(None,), (0.0,), (7.0,), (-3400.0,)], "x double").select(text.human(F.col("x"))).collect()] == ["N/A", "0", "7.0", "-3.4 k"]
 
 
 def test_border_cells_and_patch(spark):
@@ -152,3 +153,15 @@ def test_kept_tables_replace_only_their_partition(spark, tmp_path):
     assert values(sinks.kept(spark, path, mode="a", res=4), "v") == [(3,)]
     assert values(sinks.kept(spark, path, mode="b", res=4), "v") == [(2,)]
     assert values(sinks.kept(spark, path, mode="c"), "v") == []
+
+
+def test_actual_fractions_take_the_country_from_the_file_name(spark, tmp_path):
+    (tmp_path / "ABC.csv").write_text("Lip, oral cavity,0.2\nbroken\n")
+    (tmp_path / "XYZ.csv").write_text("Liver, 0.5 \n")
+    (tmp_path / "readme.txt").write_text("Liver,1\n")
+    assert values(readers.actual_fractions(spark, str(tmp_path)), "iso3", "site_key", "fraction") == [("ABC", "liporalcavity", 0.2), ("XYZ", "liver", 0.5)]
+
+
+def test_travel_cap(spark):
+    rows = spark.createDataFrame([(8, 30000), (8, 60), (8, None), (4, 99999)], "r int, s int")
+    assert [r[0] for r in rows.select(geo.travel_cap(F.col("r"), F.col("s"))).collect()] == [28800, 60, 28800, 36000]
