@@ -2,20 +2,19 @@
 
 A text is a sequence of words (ASCII white space splits, A-Z lower-cased), each a 64-bit
 hash. Of its suffixes only those at minimisers stay: the K-gram with the least hash of
-every SPAN consecutive ones. A passage of LEAST words holds at least one minimiser that
-all its copies select too, wherever they stand.
+every SPAN consecutive ones. A passage of LEAST words holds minimisers that all its copies
+select too, wherever they stand.
 
 1. Sort the retained suffixes by their first K words, keep those with an equal neighbour
    (rows at the ends of sorted partitions stay as well: the next step decides).
-2. Cut for each of these the REACH words to its right and left, sort by the words to the
-   right, compare neighbours: their longest common prefix extends the match to the right,
-   their common words before the suffix extend it to the left.
-3. A match of LEAST words or more is a repeat of both neighbours; overlapping repeats of a
-   document merge into passages.
-
-Sorting is by range over (words, doc_id, position), so a passage that is in a third of all
-documents is spread over many tasks, and each suffix meets two neighbours, however often
-its passage occurs.
+2. A window of LEAST words can only repeat if every minimiser inside it was kept. Sort the
+   hashes of all such windows: one with an equal neighbour repeats, whatever else stands
+   around it in its text.
+3. Overlapping repeated windows of a document merge into passages.
+
+Sorting is by range over (hash, doc_id, position), so a passage that is in a third of all
+documents is spread over many tasks, and each row meets two neighbours, however often its
+passage occurs.
 """
 
 from __future__ import annotations
@@ -33,24 +32,36 @@ from catchment.llm.minhash import WordHashes, mixed
 
 #: Words of a repeat at least; words that decide where suffixes stay; K-grams of a window.
 LEAST, K, SPAN = 50, 10, 24
-#: Words of context on each side of a suffix: no match of LEAST words needs more.
-REACH = LEAST
+
+
+def grams(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the ``k`` words from each position on: two halves of a power of 2, which may overlap."""
+    h, width = words, 1
+    while h.size and width < k:
+        step = min(width, k - width)
+        h = mixed(h[:-step] * np.uint64(0x9E3779B97F4A7C15) + h[step:]) if h.size > step else h[:0]
+        width += step
+    return h
+
+
+def selected(h: np.ndarray, span: int) -> np.ndarray:
+    """The position of the least of ``span`` values from each position on, the first on ties.
+
+    Values are compared by their upper 32 bits: the lower ones hold the position."""
+    least, width = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64), 1
+    while width < span:
+        step = min(width, span - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    return (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def minimisers(words: np.ndarray, k: int = K, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the minimisers of a text, and the hash of the K-gram at each."""
-    n = len(words) - k + 1
-    if n < 1:
+    h = grams(words, k)
+    if not h.size:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for j in range(k):
-        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + words[j : n + j])
-    span = min(span, n)
-    windows = np.lib.stride_tricks.sliding_window_view(h, span)
-    at = []
-    for lo in range(0, len(windows), 1 << 16):
-        at.append(np.arange(lo, min(len(windows), lo + (1 << 16))) + windows[lo : lo + (1 << 16)].argmin(axis=1))
-    pos = np.unique(np.concatenate(at))
+    pos = np.unique(selected(h, min(span, len(h))))
     return pos, h[pos]
 
 
@@ -103,124 +114,122 @@ def with_equal_neighbour(rows: DataFrame) -> DataFrame:
     return ranged.mapInArrow(run, "doc_id long, pos long")
 
 
-CONTEXT = "right binary, left binary, doc_id long, pos long"
-
-
-def contexts(docs: DataFrame, places: DataFrame, reach: int = REACH) -> DataFrame:
-    """For each suffix in ``places`` (doc_id, pos) the words to its right, and those to its
-    left from the nearest on: 4 bytes a word, big-endian, so bytes sort as words do."""
+def windows(docs: DataFrame, places: DataFrame, least: int = LEAST, k: int = K, span: int = SPAN) -> DataFrame:
+    """key (hash of ``least`` words), doc_id, pos of the windows whose minimisers are all in
+    ``places`` (doc_id, pos)."""
+    inner = least - k - span + 2  # sets of span K-grams inside a window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            out: list[tuple] = []
+            keys, ids, starts, held = [], [], [], 0
             for doc_id, text, pos in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                w = (mixed(hashes.of(text.as_py())) >> np.uint64(32)).astype(">u4")
-                for p in pos.values.to_numpy().tolist() if isinstance(pos, pa.ListScalar) else pos.as_py():
-                    out.append((w[p : p + reach].tobytes(), w[max(0, p - reach) : p][::-1].tobytes(), doc_id, p))
-                if len(out) > 20_000:
-                    yield pack(out)
-                    out = []
-            if out:
-                yield pack(out)
-
-    def pack(out: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["right", "left", "doc_id", "pos"])
+                w = hashes.of(text.as_py())
+                if len(w) < least:
+                    continue
+                h = grams(w, k)
+                kept = np.zeros(max(len(h), pos.values.to_numpy().max() + 1), np.int64)
+                kept[pos.values.to_numpy()] = 1
+                count = np.concatenate([[0], np.cumsum(kept[selected(h, span)])])
+                at = np.flatnonzero(count[inner:] - count[:-inner] == inner)
+                keys.append(grams(w, least)[at].view(np.int64))
+                ids.append(np.full(len(at), doc_id, np.int64))
+                starts.append(at)
+                held += len(at)
+                if held > 200_000:
+                    yield pack(keys, ids, starts)
+                    keys, ids, starts, held = [], [], [], 0
+            if held:
+                yield pack(keys, ids, starts)
+
+    def pack(*columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names=["key", "doc_id", "pos"])
 
     owned = places.groupBy("doc_id").agg(F.collect_set("pos").alias("pos"))  # of one text
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    return rows.join(owned.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "pos").mapInArrow(run, CONTEXT)
+    return rows.join(owned.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "pos").mapInArrow(run, "key long, doc_id long, pos long")
 
 
-def common(a: bytes, b: bytes) -> int:
-    """Equal words at the start of both."""
-    n = min(len(a), len(b)) // 4
-    if a[: 4 * n] == b[: 4 * n]:
-        return n
-    x, y = np.frombuffer(a, np.uint32, n), np.frombuffer(b, np.uint32, n)
-    return int((x != y).argmax())
+MATCH = "doc_id long, pos long, other_id long"
 
 
-MATCH = "doc_id long, start long, end long, other_id long"
+def equal_runs(key: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc_id, pos, other_id of the sorted rows whose key others share; other_id is the doc_id
+    of the first other row. Equal rows count once."""
+    if len(key) < 2:
+        return doc[:0], pos[:0], doc[:0]
+    fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])])
+    key, doc, pos = key[fresh], doc[fresh], pos[fresh]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(first, len(key)))
+    other = doc[np.repeat(first, size)]
+    many = first[size > 1]
+    other[many] = doc[many + 1]
+    keep = np.repeat(size > 1, size)
+    return doc[keep], pos[keep], other[keep]
 
 
-def neighbours(rows: DataFrame, least: int) -> DataFrame:
-    """Matches between neighbours of sorted suffixes, and as rows with ``right`` the first
-    and last suffix of every partition, whose other neighbour another task has."""
+def repeated(rows: DataFrame) -> DataFrame:
+    """Sorted windows (key, doc_id, pos) whose key others share, and as rows with ``key`` the
+    first and last row of every partition, whose other neighbour another task has."""
+    names = ["doc_id", "pos", "other_id", "key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: tuple | None = None
+        held = [np.zeros(0, np.int64)] * 3  # the first and the last row of the last key
+        start = True
         for batch in batches:
-            out, ends = [], []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if before is None:
-                    ends.append(row)
-                else:
-                    out += matches(before, row, least)
-                before = row
-            if out or ends:
-                yield pack(out, ends)
-        if before is not None:
-            yield pack([], [before])
-
-    def pack(out: list[tuple], ends: list[tuple]) -> pa.RecordBatch:
-        both = [(*m, None, None, None) for m in out] + [(d, None, None, None, r, le, p) for r, le, d, p in ends]
-        kinds = [pa.int64()] * 4 + [pa.binary(), pa.binary(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*both, strict=True), kinds, strict=True)], names=["doc_id", "start", "end", "other_id", "right", "left", "pos"])
-
-    ranged = rows.repartitionByRange("right", "doc_id", "pos").sortWithinPartitions("right", "doc_id", "pos")
-    return ranged.mapInArrow(run, MATCH + ", right binary, left binary, pos long")
-
-
-def matches(a: tuple, b: tuple, least: int) -> list[tuple]:
-    """The match around two suffixes (right, left, doc_id, pos), for each of the two."""
-    after = common(a[0], b[0])
-    if not after:
-        return []
-    ahead = common(a[1], b[1])
-    if after + ahead < least:
-        return []
-    return [(x[2], x[3] - ahead, x[3] + after, y[2]) for x, y in ((a, b), (b, a)) if x[2:] != y[2:]]
+            if not len(batch):
+                continue
+            new = [c.to_numpy() for c in batch.columns]
+            if start:
+                yield pack(new[1][:1], new[2][:1], None, new[0][:1])
+                start = False
+            rows = [np.concatenate([a, b]) for a, b in zip(held, new, strict=True)]
+            yield pack(*equal_runs(*rows), None)
+            low = int(np.searchsorted(rows[0], rows[0][-1]))
+            held = [c[[low, -1]] if len(c) - low > 1 else c[-1:] for c in rows]
+        if not start:
+            yield pack(held[1][-1:], held[2][-1:], None, held[0][-1:])
+
+    def pack(*columns: np.ndarray | None) -> pa.RecordBatch:
+        n = len(columns[0])
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in columns], names=names)
+
+    ranged = rows.repartitionByRange("key", "doc_id", "pos").sortWithinPartitions("key", "doc_id", "pos")
+    return ranged.mapInArrow(run, MATCH + ", key long")
 
 
 def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Passages of ``least`` words or more that stand twice or more in the corpus.
 
     Returns a row for each passage of a document: doc_id, start_word, end_word (exclusive),
-    n_words, other_id (the smallest doc_id that a part of it was matched with; doc_id itself
-    if the passage repeats within the document). Documents without any don't appear. Null
-    texts, null doc_ids and texts shorter than ``least`` have none. Rows that repeat a doc_id
-    and its text count as one document. Copies of a document are one passage each.
-
-    A passage is found through the neighbours of its suffixes in sorted order, a sample of
-    all its partners: any passage of LEAST words has a suffix in its first SPAN + K - 1
-    words, and is missed only if longer common prefixes of other texts stand between all its
-    copies there while these reach less far to the left. At ends the span may so be short of
-    the longest match by up to SPAN + K words.
+    n_words, other_id (a doc_id that a part of it was matched with, the smallest of those met
+    in sorted order; doc_id itself if the passage repeats within the document). Documents
+    without any don't appear. Null texts, null doc_ids and texts shorter than ``least`` have
+    none. Rows that repeat a doc_id and its text count as one document. Copies of a document
+    are one passage each.
+
+    A passage is the union of overlapping windows of ``least`` words that each stand elsewhere
+    too. All such windows are found, but for 64-bit hashes: two different windows have equal
+    ones with a chance of 5e-20 a pair.
     """
+    if least < K + SPAN - 1:
+        raise ValueError(f"a window of less than {K + SPAN - 1} words may hold no minimiser")
     # stored, as sorting by range reads its input twice
     flagged = stored(with_equal_neighbour(stored(suffixes(docs), "suffixes")), "flagged").distinct()
-    found = stored(neighbours(contexts(docs, flagged), least), "neighbours")
-    ends = found.where(F.col("right").isNotNull()).select("right", "left", "doc_id", "pos").distinct()
+    found = stored(repeated(windows(docs, flagged, least)), "repeated")
+    ends = found.where(F.col("key").isNotNull()).select("key", "doc_id", "pos").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None
-        for batch in batches:
-            out: list[tuple] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if before is not None:
-                    out += matches(before, row, least)
-                before = row
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] or [pa.array([], pa.int64())] * 4, names=["doc_id", "start", "end", "other_id"])
+        rows = [[c.to_numpy() for c in b.columns] for b in batches]
+        columns = [np.concatenate(c) for c in zip(*rows, strict=True)] or [np.zeros(0, np.int64)] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in equal_runs(*columns)], names=["doc_id", "pos", "other_id"])
 
     # two rows a partition: one task takes them, however large the corpus
-    seams = ends.coalesce(1).sortWithinPartitions("right", "doc_id", "pos").mapInArrow(run, MATCH)
-    spans = found.where(F.col("start").isNotNull()).select("doc_id", "start", "end", "other_id").union(seams)
-    spans = spans.groupBy("doc_id", "start", "end").agg(F.min("other_id").alias("other_id"))
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))
+    seams = ends.coalesce(1).sortWithinPartitions("key", "doc_id", "pos").mapInArrow(run, MATCH)
+    spans = found.where(F.col("key").isNull()).select("doc_id", "pos", "other_id").union(seams)
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    fresh = F.coalesce((F.col("pos") > F.lag("pos").over(order) + least).cast("int"), F.lit(1))
     merged = spans.withColumn("fresh", fresh).withColumn("passage", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = merged.groupBy("doc_id", "passage").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("other_id").alias("other_id"))
+    out = merged.groupBy("doc_id", "passage").agg(F.min("pos").alias("start_word"), (F.max("pos") + least).alias("end_word"), F.min("other_id").alias("other_id"))
     return out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "other_id")

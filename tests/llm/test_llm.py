@@ -114,6 +114,34 @@ def test_repeats(docs, none):
     assert all(r["n_words"] >= 50 for r in rows)
 
 
+def test_repeats_have_exact_spans_beside_a_hot_line(spark):
+    """Passages that start before or end after a line of many other texts, whose copies other
+    texts separate in sorted order; edits close by; spans equal those of all windows."""
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"v{x}" for x in rng.integers(0, 10**9, n)]
+    line, after = word(45), [word(30) for _ in range(6)]
+    texts = []
+    for i in range(120):
+        lead = word(20)
+        for k in range(1 + (i % 3 == 0)):  # of these lines some have a true copy, with another text behind
+            texts.append([*word(30), *lead[: 5 + i % 16], *line, *after[(i + k) % 6][: 1 + (i * 7 + k) % 30], *word(25)])
+    base = word(150)
+    for i in range(30):
+        texts.append([*base[: 20 + 4 * i], f"e{i}", *base[20 + 4 * i :]])
+    count = Counter(tuple(w[k : k + 50]) for w in texts for k in range(len(w) - 49))
+    want = set()
+    for i, w in enumerate(texts):
+        at = [k for k in range(len(w) - 49) if count[tuple(w[k : k + 50])] > 1]
+        first = None
+        for k, n in zip(at, [*at, 10**9][1:], strict=True):
+            first = k if first is None else first
+            if n > k + 50:
+                want.add((i, first, k + 50))
+                first = None
+    rows = suffix_dedup.repeats(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3)).collect()
+    assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in rows} == want and len(rows) == len(want)
+
+
 # --- 3 -----------------------------------------------------------------------------
 def test_decontamination(spark, docs, none):
     items = [(1, BASE[2]), (2, "one"), (3, None), (4, ""), (5, " ".join(LONG.split()[500:515])), (5, "two words"), (6, " ".join(BASE[3].split()[-12:]) + " tail"), (6, " ".join(BASE[3].split()[-12:]) + " tail")]
