@@ -98,6 +98,22 @@ def test_terms_that_give_an_entity_away(spark):
     assert f":{text.index('chief')}:" not in out[0]
 
 
+def test_terms_are_marked_wherever_they_stand(spark):
+    """Far from the address, in texts without it, and of entities met in two contexts; terms
+    of one text, or of copies of one, stay."""
+    far = " ".join(f"pad{c}" for c in "abcdefghijklmnopqrstuvwxyz" * 3)
+    rows = [(i, f"x{c}x mail z@corp.com y{c}y {far} Zorblat {far}") for i, c in enumerate("abcd")]
+    rows += [(10 + i, f"u{c}u mail w@corp.com v{c}v Quixel") for i, c in enumerate("ab")]
+    rows += [(20 + i, "mail copy@corp.com Onlyhere") for i in range(5)]
+    rows += [(30, "of Zorblat alone")] + [(100 + i, f"a plain text mail number {far}") for i in range(3000)]
+    out = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for i, t in rows[:6] + [(30, rows[11][1])]:
+        name = "Quixel" if "Quixel" in t else "Zorblat"
+        at = t.index(name)
+        assert re.findall("(?:remove|generalise):[0-9:]+", out[i]["spans"]) == [f"remove:{at}:{at + len(name)}"]
+    assert not any(out[i]["n_terms"] for i, _ in rows if 20 <= i < 30 or i >= 100)
+
+
 # --- 2 -----------------------------------------------------------------------------
 def test_repeats(docs, none):
     assert suffix_dedup.repeats(none).count() == 0
