@@ -114,6 +114,13 @@ def test_terms_are_marked_wherever_they_stand(spark):
     assert not any(out[i]["n_terms"] for i, _ in rows if 20 <= i < 30 or i >= 100)
 
 
+def test_sanitising_rows_without_or_with_equal_doc_id(spark):
+    rows = [(None, "mail a@b.com", 12), (None, "clean text", 10), (7, "ab c@d.org", 10), (7, "1.2.3.4 then words", 18), (8, None, None)]
+    out = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(2)).collect()
+    want = [(None, "mail [EMAIL]", 12), (None, "clean text", 10), (7, "ab [EMAIL]", 10), (7, "[IP] then words", 15), (8, None, None)]
+    assert sorted(map(tuple, out), key=str) == sorted(want, key=str)
+
+
 # --- 2 -----------------------------------------------------------------------------
 def test_repeats(docs, none):
     assert suffix_dedup.repeats(none).count() == 0
