@@ -36,8 +36,9 @@ MEMORY_WORDS = 250_000
 
 
 def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies:
-    printable Latin-1 bytes stand for themselves, the others, in order, for 256 on."""
+    """The printable character that stands for each byte in byte-level vocabularies, a fixed
+    rule of the file format: printable Latin-1 bytes stand for themselves, the others, in
+    order, for 256 on."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
     later = iter(range(256, 512))
     return [chr(b) if b in own else chr(next(later)) for b in range(256)]
@@ -97,7 +98,7 @@ class WordCodec:
         self.edge_to = np.array([edges[k] for k in self.edge_keys.tolist()], np.int64)
         self.accept = np.array(accept, np.int64)
         self.codes: dict[str, bytes] = {}
-        self.texts: dict[str, str] = {}
+        self.texts: dict[str, bytes] = {}
 
     # --- speculation -----------------------------------------------------------
     def propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +209,7 @@ class WordCodec:
         for i, ids in enumerate(np.split(token, cuts)):
             ids = self.merge(raw[i]) if i in failing else ids.tolist()
             self.codes[words[i]] = np.array(ids, "<u4").tobytes()
-            self.texts[words[i]] = " ".join([self.names[t] for t in ids])
+            self.texts[words[i]] = self.decode(ids).encode()
 
     def stable_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """``stable`` of each distinct pair, dealt back."""
@@ -235,7 +236,7 @@ class WordCodec:
             self.codes, self.texts = {}, {}
         if not self.codes:
             for t, i in self.specials.items():
-                self.codes[t], self.texts[t] = np.array([i], "<u4").tobytes(), t
+                self.codes[t], self.texts[t] = np.array([i], "<u4").tobytes(), t.encode()
         new = list(set().union(*words) - self.codes.keys())
         for k in range(0, len(new), 50_000):
             self.learn(new[k : k + 50_000])
@@ -259,46 +260,54 @@ def codec(path: str) -> WordCodec:
     return _codecs[path]
 
 
-def text_groups(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of a batch with about so many characters, one text at least."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > chars:
-            yield start, i
-            start, size = i, 0
+def text_groups(texts: pa.Array, chars: int = 500_000) -> Iterator[list[str]]:
+    """The texts of a batch (null: empty) in runs of about so many characters, one text at least."""
+    held, size = [], 0
+    for t in texts:
+        t = t.as_py() or ""
+        if held and size + len(t) > chars:
+            yield held
+            held, size = [], 0
+        held.append(t)
         size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+    if held:
+        yield held
 
 
-def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, with_ids: bool = False, with_decoded: bool = False) -> DataFrame:
     """One row for each row of ``docs`` (needs doc_id, text; other columns are not read).
 
-    Returns doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``with_ids`` also
-    ids array<int> and decoded. A null or blank text has no tokens and decodes to the
-    empty text. Repeated rows give repeated results; a null doc_id stays null.
+    Returns doc_id, n_tokens, ids_sha256, decoded_sha256, with ``with_ids`` also ids
+    array<int>, with ``with_decoded`` also decoded. A null or blank text has no tokens and
+    decodes to the empty text. Repeated rows give repeated results; a null doc_id stays null.
+    An empty table gives no rows. A worker holds the words of one run of texts at a time.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    schema += ", ids array<int>, decoded string" if with_ids else ""
+    schema += ", ids array<int>" * with_ids + ", decoded string" * with_decoded
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            rows = []
-            for lo, hi in text_groups(texts):
-                words = [c.pieces(t) for t in texts[lo:hi]]
+            at = 0
+            for texts in text_groups(batch.column(1)):
+                words = [c.pieces(t) for t in texts]
                 c.prepare(words)
+                codes, decoded, hashes = [], [], []
                 for w in words:
-                    code = b"".join(map(c.codes.__getitem__, w))
-                    decoded = " ".join(map(c.texts.__getitem__, w))
-                    row = (len(code) // 4, hashlib.sha256(code).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                    rows.append((*row, np.frombuffer(code, "<u4").astype(np.int32), decoded) if with_ids else row)
-            columns = [ids, *(list(zip(*rows, strict=True)) or [[]] * (5 if with_ids else 3))]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, kinds[i]) if i else x for i, x in enumerate(columns)],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)],
-            )
+                    codes.append(b"".join(map(c.codes.__getitem__, w)))
+                    text = b" ".join(map(c.texts.__getitem__, w))
+                    hashes.append(hashlib.sha256(text).hexdigest())
+                    if with_decoded:
+                        decoded.append(text.decode())
+                sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+                out = [batch.column(0).slice(at, len(texts)), pa.array(sizes), pa.array([hashlib.sha256(x).hexdigest() for x in codes]), pa.array(hashes)]
+                if with_ids:
+                    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                    out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(codes), "<i4"))))
+                if with_decoded:
+                    out.append(pa.array(decoded, pa.string()))
+                yield pa.RecordBatch.from_arrays(out, names=names)
+                at += len(texts)
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)

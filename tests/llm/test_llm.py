@@ -4,6 +4,7 @@ texts, ties, repeated rows, empty tables, extra columns with clashing names."""
 import base64
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -202,6 +203,59 @@ def test_language(spark, docs, none):
     assert langid.identify(docs).count() == len(TEXTS) + 2 and langid.identify(none).count() == 0
 
 
+def plain_grams(text):
+    c = "".join(x.lower()[0] if unicodedata.category(x)[0] in "LM" else " " for x in text).split()
+    c = " " + "".join(f"{x} " for x in c)
+    return [c[i : i + n] for n in (1, 2, 3) for i in range(len(c) - n + 1)]
+
+
+def bucket(gram):
+    return int(langid.buckets(np.array([ord(x) if x != " " else 0 for x in gram], np.uint32))[len(gram) - 1][-1])
+
+
+def test_language_equals_plain_naive_bayes(spark):
+    """Scores of whole texts, by one n-gram after the other, for texts of all kinds and lengths."""
+    texts = [t for t in TEXTS if t] + ["", "  ", "1 2", "É ß", "ab\u0301c", "\U0001d400 x", "a" * 70_000, "Ab, c" * 9_000]
+    langs = ["b", "a", "c"]
+    known = {lang: Counter(map(bucket, plain_grams(" ".join(texts[k : 12 + k])))) for k, lang in enumerate(langs)}
+    n = {"a": 5, "b": 3, "c": 1}
+    model = langid.Model({x: np.array([known[x][b] for b in range(langid.BUCKETS)]) for x in langs}, n)
+    want = []
+    for t in texts:
+        g = [bucket(x) for x in plain_grams(t)]
+        total = {x: sum(float(np.float32(np.log((known[x][b] + 0.5) / (sum(known[x].values()) + 0.5 * langid.BUCKETS)))) for b in g) + np.log(n[x] / 9) for x in langs}
+        want.append((max("abc", key=total.get) if any(unicodedata.category(x)[0] == "L" for x in t) else "und", total, len(g)))
+    names, scores = model.predict(texts)
+    for t, name, score, (best, total, size) in zip(texts, names, scores, want, strict=True):
+        m = np.array([total[x] for x in "abc"]) / max(1, size / 50)
+        p = np.exp(m - m.max())
+        assert name == best and score == (pytest.approx(p.max() / p.sum(), rel=1e-4) if best != "und" else 0)
+
+
+def test_language_of_a_text_beyond_a_piece_is_that_of_the_whole(monkeypatch):
+    text = "Wörter, und  1 mehr. " * 4_000 + "x"
+    want = Counter(map(bucket, plain_grams(text)))
+    monkeypatch.setattr(langid, "PIECE", 1_009)
+    got = Counter(int(b) for c, lead in langid.folded_pieces(text) for bs in langid.buckets(c, lead) for b in bs if b < langid.BUCKETS)
+    assert got == want
+    c, start, _ = langid.folded([text, "", "one", "1"])
+    assert len(start) == 4 and Counter(int(b) for bs in langid.buckets(c[: start[1]]) for b in bs if b < langid.BUCKETS) == want
+
+
+def test_language_sample_is_bounded_for_repeated_rows(spark):
+    rows = [(7, "same text here", "en")] * 500 + [(i, f"ein text {i}", "de") for i in range(300)]
+    rows = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = Counter(r["lang"] for r in langid.sample_rows(rows, {"en": 500, "de": 300}, 20).collect())
+    assert got == {"en": 20, "de": 20}
+
+
+def test_keeping_known_languages_passes_columns_of_any_name(spark):
+    rows = [(i if i % 3 else None, f"the cat and the house {i}", "en", 0.5, "x", 1) for i in range(40)] + [(99, "123", "en", 0.1, "y", 2), (99, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string, `my col` int")
+    out = langid.keep_known(docs)
+    assert out.columns == docs.columns and out.count() == 40 and langid.keep_known(docs.limit(0)).count() == 0
+
+
 # --- 5 -----------------------------------------------------------------------------
 def test_language_model(docs, none):
     rows = lm.score(docs).collect()
@@ -334,7 +388,7 @@ def library():
 
 def test_bpe(docs, none):
     path, t = library()
-    rows = bpe.encode_documents(docs, path, with_ids=True).collect()
+    rows = bpe.encode_documents(docs, path, with_ids=True, with_decoded=True).collect()
     assert len(rows) == len(TEXTS) + 2 and bpe.encode_documents(none, path).count() == 0
     for r in rows:
         ids = t.encode(TEXTS[r["doc_id"]] or "", add_special_tokens=False).ids
