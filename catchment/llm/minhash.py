@@ -272,6 +272,16 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, r
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs`` without those of which a near duplicate with a smaller doc_id stays."""
-    gone = stored(groups(docs, k, percent).where("not kept").select("doc_id").distinct(), "duplicates")
-    return docs.join(gone, "doc_id", "left_anti")
+    """Rows of ``docs`` without those of which a near duplicate with a smaller doc_id stays.
+
+    Of rows that repeat a doc_id one stays, or none; a row without doc_id stands for itself
+    and stays. Texts that are null, empty or of a few words are near duplicates of equal
+    ones only (null and empty ones of none). Columns of any name pass through."""
+    found = groups(docs, k, percent)
+    gone = stored(found.where("not kept").select(F.col("doc_id").alias("_gone_")).distinct(), "duplicates")
+    twice = stored(found.where("kept").groupBy(F.col("doc_id").alias("_twice_")).agg(F.count("*").alias("_n_")).where("_n_ > 1").select("_twice_"), "repeated-ids")
+    rows = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["_gone_"], "left_anti")
+    if twice.isEmpty():
+        return rows
+    same = rows["doc_id"] == twice["_twice_"]
+    return rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))

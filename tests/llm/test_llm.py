@@ -377,6 +377,15 @@ def test_members_far_from_the_centre(spark):
     assert {r["doc_id"]: r["component_id"] for r in out} == {i: c for i, (_, c) in enumerate(want)}
 
 
+def test_one_of_repeated_rows_stays(spark):
+    text = BASE[3]
+    rows = [(5, text, "s", 1)] * 3 + [(6, text, "s", 1), (9, BASE[4], "s", 1), (9, BASE[4], "s", 1), (None, text, "s", 1), (None, None, "s", 1), (7, None, "s", 1), (8, "", "s", 1), (3, BASE[5], "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string, _gone_ int").repartition(3)
+    left = minhash.keep_first(docs)
+    assert sorted((r["doc_id"] for r in left.collect()), key=str) == sorted([5, 9, None, None, 7, 8, 3], key=str) and left.columns == docs.columns
+    assert minhash.keep_first(docs.limit(0)).count() == 0
+
+
 # --- 9 -----------------------------------------------------------------------------
 def library():
     public = pytest.importorskip("public_tokenizers")
