@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +39,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has ``rows`` rows at most, else as it is.
+def bytes_held(df: DataFrame) -> int:
+    """About the bytes of all rows of ``df``, a stored table, in memory."""
+    width = F.lit(16 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(f"`{name}`"), F.lit(0))
+        elif kind.startswith(("array", "struct", "map")):
+            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(f"`{name}`"))), F.lit(0))
+    return df.agg(F.sum(width.cast("long"))).first()[0] or 0
 
-    ``df`` must have narrow rows and be cheap to count (a stored table)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+def broadcast_if_small(df: DataFrame, most_mb: int = 16) -> DataFrame:
+    """``df``, a stored table, with a broadcast hint if its rows take up ``most_mb`` at most,
+    else as it is: the join then shuffles."""
+    return F.broadcast(df) if bytes_held(df) <= most_mb << 20 else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has a column of that name."""
+    have = {c.lower() for c in df.columns}
+    while name in have:
+        name += "_"
+    return name
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

@@ -119,6 +119,9 @@ class Model:
         total = sum(texts.values())
         self.prior = np.log([texts[lang] / total for lang in self.langs]) if total else np.zeros(0)
 
+    def gathered(self, b: np.ndarray) -> np.ndarray:
+        return np.take(self.logp, b, axis=0, mode="clip")
+
     def totals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Summed log probabilities (texts x languages), numbers of n-grams, whether there is a letter."""
         if len(texts) == 1 and len(texts[0]) > PIECE:
@@ -128,16 +131,16 @@ class Model:
                 for b in buckets(c, lead):
                     n += int(np.count_nonzero(b < BUCKETS))
                     for lo in range(0, len(b), GROUP):
-                        total[0] += self.logp[b[lo : lo + GROUP]].sum(axis=0, dtype=np.float64)
+                        total[0] += self.gathered(b[lo : lo + GROUP]).sum(axis=0, dtype=np.float64)
             has = any(letter[code_points(texts[0][k : k + PIECE])].any() for k in range(0, len(texts[0]), PIECE))
             return total, np.array([n]), np.array([has])
         c, start, has = folded(texts)
         found = buckets(c)
-        n = sum(np.add.reduceat((b < BUCKETS).astype(np.int64), start) for b in found)
-        rows = self.logp[found[0]]
-        rows += self.logp[found[1]]
-        rows += self.logp[found[2]]
-        return np.add.reduceat(rows, start, axis=0, dtype=np.float64), n, has
+        n = sum(np.add.reduceat(b < BUCKETS, start, dtype=np.int64) for b in found)
+        rows = self.gathered(found[0])
+        rows += self.gathered(found[1])
+        rows += self.gathered(found[2])
+        return np.add.reduceat(rows.astype(np.float64), start, axis=0), n, has
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language of each text and its posterior; the posterior is taken of the mean n-gram

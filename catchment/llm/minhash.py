@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from catchment.llm.common import stored
+from catchment.llm.common import mixed, stored
 
 #: Signature: BANDS bands of ROWS coordinates. A pair of similarity 0.8 shares no band with
 #: probability (1 - 0.8^ROWS)^BANDS.
@@ -57,13 +57,6 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
     """Sorted hashes of the distinct k-word shingles; fewer words are one shingle."""
     if not len(words):

@@ -26,6 +26,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def decontamination_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of op3: items whose two rarest words stand near each other."""
+    return decontam.near_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -54,7 +59,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_decontamination, op4_language, op5_lm, op6_topk, op7_warc, op8_minhash, op9_bpe, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_decontamination, decontamination_proximity, op4_language, op5_lm, op6_topk, op7_warc, op8_minhash, op9_bpe, op10_sharding)}
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 SQL: dict[str, str] = {
     "op3_decontamination": f"""
@@ -69,10 +74,20 @@ dk AS (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS k FROM dn),
 hits AS (SELECT doc_id, item_id, k, dk.n FROM dk JOIN bw ON dk.n = bw.n AND array_to_string(list_slice(w, k + 1, k + dk.n), ' ') = g),
 places AS (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hits),
 np AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM places GROUP BY doc_id),
-ids AS (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits),
+ids AS (SELECT DISTINCT doc_id, coalesce(CAST(item_id AS VARCHAR), '') AS i FROM hits),
 ni AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS s FROM ids GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN np ON np.doc_id = d.doc_id LEFT JOIN ni ON ni.doc_id = d.doc_id""",
+    "decontamination_proximity": f"""
+WITH d AS (SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM (SELECT doc_id, {WORDS} AS w FROM documents) x),
+b AS (SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, {WORDS} AS w FROM benchmark),
+bt AS (SELECT DISTINCT item_id, w, unnest(w) AS term FROM b),
+n AS (SELECT term, count(*) AS c FROM d GROUP BY term),
+r AS (SELECT item_id, w, bt.term, row_number() OVER (PARTITION BY item_id, w ORDER BY coalesce(c, 0), bt.term) AS r FROM bt LEFT JOIN n ON n.term = bt.term),
+p AS (SELECT x.item_id, x.w, x.term AS a, y.term AS b FROM r x JOIN r y ON x.item_id = y.item_id AND x.w = y.w AND x.r = 1 AND y.r = 2),
+da AS (SELECT p.item_id, p.w, doc_id, pos FROM p JOIN d ON d.term = p.a),
+db AS (SELECT p.item_id, p.w, doc_id, pos FROM p JOIN d ON d.term = p.b)
+SELECT da.doc_id, da.item_id, count(*) AS n_near FROM da JOIN db ON da.item_id = db.item_id AND da.w = db.w AND da.doc_id = db.doc_id AND abs(da.pos - db.pos) <= 16 GROUP BY da.doc_id, da.item_id""",
     "op6_topk": """
 WITH c AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings),
 v AS (SELECT vec_id, i, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM c),

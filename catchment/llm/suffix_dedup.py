@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from catchment.llm.common import stored
-from catchment.llm.minhash import WordHashes, mixed
+from catchment.llm.common import mixed, stored
+from catchment.llm.minhash import WordHashes
 
 #: Words of a repeat at least; words that decide where suffixes stay; K-grams of a window.
 LEAST, K, SPAN = 50, 10, 24

@@ -122,6 +122,82 @@ def test_sanitising_rows_without_or_with_equal_doc_id(spark):
     assert sorted(map(tuple, out), key=str) == sorted(want, key=str)
 
 
+def test_disclosure_equals_plain_cooccurrence(spark):
+    """Every figure of the method, by loops over whole texts, for values and for classes."""
+    rng = np.random.default_rng(3)
+    names = [f"w{a}{b}x" for a in "abcdefgh" for b in "abcdefgh"]
+    texts = []
+    for i in range(400):
+        t = [*rng.choice(names, 12)]
+        if i % 40 < 2:
+            t.insert(6, f"p{i % 3}@d{i % 2}.org")
+        if i % 50 == 7:
+            t += ["Apikey", "9f8e7d6c5b4a39281706f5e4d3c2b1a09f8e7d6c"[i // 50 :] + "77aa88bb"]
+        texts.append(" ".join(t))
+    texts += [texts[0]] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    total, owners, met, df, units = len(texts), Counter(), Counter(), Counter(), {}
+    for t in texts:
+        df.update(pii.terms(t))
+        base, more = pii.all_spans(t)
+        taken = sorted((s, e) for _, s, e in base + more)
+        own, found = [x for x, _, _ in pii.outside(t, taken)], {}
+        for k, s, e in base + more:
+            c = " ".join(pii.context(t, s, e, taken))
+            found.setdefault((True, pii.number(pii.entity(k, t[s:e]))), set()).add(pii.number(c))
+            for x in pii.classes(k, t[s:e]):
+                found[False, pii.number(x)] = {tuple(pii.sketch(own))}
+        for name, u in found.items():
+            owners[name] += 1
+            for x in set(own):
+                met[name, x] += 1
+                units.setdefault((name, x), set()).add(min(u))
+    pairs = {}
+    for (name, x), n in met.items():
+        u = units[name, x]
+        support = len(u) if name[0] else min(len({v[k] for v in u}) for k in range(pii.SKETCH))
+        if name[0] and len({v for (a, _), vs in units.items() if a == name for v in vs}) < 2 or not name[0] and owners[name] > pii.RARE_CLASS * total:
+            continue
+        pairs[name, x] = (n, support)
+    tests, want = max(total, len(pairs)), set()
+    for (name, x), (n, support) in pairs.items():
+        if support < 2:
+            continue
+        ic = np.log(total / owners[name])
+        disclosure = np.log(n * total / (df[x] * owners[name])) / ic
+        mean = df[x] * owners[name] / total
+        tail = -mean + support * np.log(mean) - (support * np.log(support) - support + np.log(2 * np.pi * support) / 2) + np.log((support + 1) / (support + 1 - mean)) if support > mean else 0
+        if disclosure >= (pii.GENERALISE_AT if name[0] else pii.CLASS_AT) and tail + np.log(tests) <= np.log(pii.SIGNIFICANT):
+            want.add((x, name[1], round(float(disclosure), 9)))
+    got = {(r["term"], r["entity"], round(r["disclosure"], 9)) for r in pii.disclosing(docs).collect()}
+    assert got == want and any(x == "apikey" for x, _, _ in got)
+
+
+def test_secrets_and_their_terms(spark, monkeypatch):
+    run = "1eb9c654e721b4f812088970e66a6345cee33dd6"
+    assert pii.secrets(f"token = {run}!", []) == [("secret", 8, 48)] and pii.secrets(f"token = {run}!", [(0, 9)]) == []
+    assert not pii.secrets("a" * 50 + "1b2c3d4e" + " 12345678901234567890 internationalisierung2019abcdefgh", [])
+    assert len(pii.secrets("x9" * 200_000, [])) == 0 and pii.context("a b " * 3, 4, 5, []) is not None
+    rows = [(i, f"{'abcdefgh'[i]}{'abcdefgh'[i]}q words{'abcdefgh'[i]} pass{'abcdefgh'[i] * 3} phrase {run[i:]}{run[:i]}", 7) for i in range(8)] + [(20 + i, f"plain words number {i}", 3) for i in range(600)]
+    docs = spark.createDataFrame([*rows, (None, f"phrase {run}", 1), (None, "a@b.de phrase", 2)], "doc_id long, text string, later int")
+    for size in (pii.TERMS_BYTES, 200):  # in one part, and in many
+        monkeypatch.setattr(pii, "TERMS_BYTES", size)
+        found = pii.find(docs).collect()
+        assert sum(r["n_secret"] for r in found) == 9 and sum(r["n_found"] for r in found) == 9 + 1 + sum(r["n_terms"] for r in found)
+        clean = pii.sanitise(docs)
+        assert clean.columns == docs.columns
+        out = sorted(r["text"].strip() for r in clean.where("doc_id is null").collect())
+        assert out == ["[EMAIL]", "[SECRET]"]
+
+
+def test_sanitising_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.com", 1, 2, 3, 4)], "doc_id long, text string, _spans_ int, redacted int, `my col` int, f int")
+    out = pii.sanitise(docs)
+    assert out.columns == docs.columns and out.first()["text"] == "mail [EMAIL]" and pii.find(docs).count() == 1
+    texts = spark.createDataFrame([("k1", "mail a@b.com")], "doc_id string, text string")
+    assert pii.sanitise(texts).first()["doc_id"] == "k1" and pii.find(texts).first()["n_email"] == 1
+
+
 # --- 2 -----------------------------------------------------------------------------
 def test_repeats(docs, none):
     assert suffix_dedup.repeats(none).count() == 0
@@ -177,8 +253,9 @@ def test_decontamination(spark, docs, none):
         n = min(10, len(w))
         for k in range(len(w) - n + 1) if w else []:
             windows.setdefault(tuple(w[k : k + n]), set()).add(i)
-    rows = {r["doc_id"]: r for r in decontam.report(docs, bench).collect()}
-    assert len(rows) == len(TEXTS)
+    rows = decontam.report(docs, bench).collect()
+    assert len(rows) == len(TEXTS) + 2
+    rows = {r["doc_id"]: r for r in rows}
     for i, t in enumerate(TEXTS):
         w, hit, found = pattern.findall(lower(t)), set(), set()
         for n in {len(g) for g in windows}:
@@ -189,8 +266,41 @@ def test_decontamination(spark, docs, none):
         sha = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
         assert tuple(rows[i]) == (i, len(w), len(hit), len(found), sha, bool(hit))
     assert decontam.report(docs, bench.limit(0)).where("contaminated").count() == 0 and decontam.report(none, bench).count() == 0
-    postings = spark.createDataFrame([("a", 1, 5), ("b", 1, 8), ("b", 1, 20), ("b", 2, 6)], "term string, doc_id long, pos int")
-    assert [tuple(r) for r in decontam.proximity(postings, "a", "b", 3).collect()] == [(1, 5, 8)]
+
+
+@pytest.mark.parametrize("part_mb", [16, 0])
+def test_near_matches(spark, docs, none, part_mb, monkeypatch):
+    """Against all pairs of places, with tables broadcast and shuffled, and many parts."""
+    if not part_mb:
+        monkeypatch.setattr(decontam, "parts_of", lambda df, c: [F.broadcast(df.where(F.pmod(F.xxhash64(c), F.lit(3)) == k)) for k in range(3)])
+        monkeypatch.setattr(decontam, "broadcast_if_small", lambda df, mb: df)
+    items = [(1, BASE[2]), (2, "one"), (None, "two words"), (4, None), (5, " ".join(LONG.split()[500:515])), (6, BASE[3]), (6, BASE[3])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    every = [*range(len(TEXTS)), 7, 7]
+    found = [pattern.findall(lower(t)) for t in TEXTS]
+    count = Counter(w for i in every for w in found[i])
+    want = Counter()
+    for i, t in set(items):
+        two = sorted(set(pattern.findall(lower(t))), key=lambda w: (count[w], w.encode()))[:2]
+        if len(two) == 2:
+            for d in every:
+                a, b = ([k for k, w in enumerate(found[d]) if w == x] for x in two)
+                if n := sum(abs(x - y) <= decontam.WITHIN for x in a for y in b):
+                    want[d, str(i) if i is not None else "", n] += 1
+    assert Counter(map(tuple, decontam.near_matches(docs, bench).collect())) == want and len(want) > 5
+    assert decontam.near_matches(none, bench).count() == 0 and decontam.near_matches(docs, bench.limit(0)).count() == 0
+    left = decontam.drop_contaminated(docs.withColumn("key", F.lit(1)), bench)
+    assert left.count() == decontam.report(docs, bench).where("not contaminated").count()
+
+
+def test_contaminated_rows_without_id_go_alone(spark):
+    bench = spark.createDataFrame([(None, "alpha beta gamma")], "item_id long, text string")
+    docs = spark.createDataFrame([(None, "Alpha, beta gamma!", 1), (None, "clean", 2), (None, None, 3), (5, "clean", 4), (5, "alpha beta gamma", 5)], "doc_id long, text string, `my col` int")
+    left = decontam.drop_contaminated(docs, bench)
+    assert sorted(r["my col"] for r in left.collect()) == [2, 3, 4] and left.columns == docs.columns
+    got = [(r["n_items"], r["items_sha256"]) for r in decontam.report(docs, bench).where("contaminated").collect()]
+    assert got == [(1, hashlib.sha256(b"").hexdigest())] * 2
 
 
 # --- 4 -----------------------------------------------------------------------------
