@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from catchment.llm.common import mixed, stored
+from catchment.llm.common import broadcast_if_small, mixed, stored
 
 #: Signature: BANDS bands of ROWS coordinates. A pair of similarity 0.8 shares no band with
 #: probability (1 - 0.8^ROWS)^BANDS.
@@ -196,11 +196,13 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, r
     component_id is the smallest doc_id reachable over links; kept marks it. Texts that are
     null or without words have no shingles and stand alone. Texts of fewer than k words are
     one shingle, equal only to equal ones. Rows that repeat a doc_id should repeat its text;
-    they give a row each. An empty table gives no rows.
+    they give a row each. Null doc_ids take no part: such a row is in the component of texts
+    equal to its own, if a row with a doc_id has one, else its component_id and kept are null.
+    An empty table gives no rows. Other columns aren't read.
     """
     sketched = stored(sketch(docs, k, bands, rows), "sketch")
-    classes = sketched.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    classes = stored(classes, "classes")
+    classes = sketched.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("docs"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = stored(classes.where("class_id is not null"), "classes")
     cells = classes.select(F.explode("bands").alias("key"), F.col("class_id").alias("node"), "n")
     shared = stored(cells.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "shared-keys")
     cells = stored(cells.join(shared, "key").select("key", "node", "n", "members"), "cells")
@@ -217,8 +219,8 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, r
 
     # members without a link to the centre, in groups that aren't one component
     # (of two such members, the one of the smaller component looks up)
-    weight = labels.groupBy("label").agg(F.count("*").alias("size"))
-    weighed = stored(labels.join(weight, "label").select(F.col("node").alias("b"), F.struct("size", "label").alias("component")), "weighed")
+    weight = stored(labels.groupBy("label").agg(F.count("*").alias("size")), "component-sizes")
+    weighed = stored(labels.join(broadcast_if_small(weight), "label").select(F.col("node").alias("b"), F.struct("size", "label").alias("component")), "weighed")
     inner = stored(star.join(weighed, "b"), "labelled")
     open_ = inner.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("top"), F.min("linked").alias("all"), F.max(F.when(F.col("linked"), F.col("component"))).alias("home"), F.min("nb").alias("floor")).where("low != top and not all").select("a", "top", "home", "floor")
     rest = stored(inner.join(stored(open_, "open"), "a"), "rest")
@@ -256,12 +258,13 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, r
     if not more.isEmpty():
         labels = components(more.union(star.where("linked").select(more.columns)), labels)
 
-    heads = labels.where("node != label").select(F.col("node").alias("class_id"), "label")
-    placed = stored(classes.select("set_id", "class_id").join(heads, "class_id", "left").select("set_id", "class_id", F.coalesce("label", "class_id").alias("component")), "placed")
-    # singletons need no row there: only classes of several documents or with links
-    place = placed.select("set_id", "class_id", "component")
+    # only classes of several documents, or with links to others, need a row
+    heads = stored(labels.where("node != label").select(F.col("node").alias("class_id"), "label"), "heads")
+    placed = classes.select("set_id", "class_id", "docs").join(broadcast_if_small(heads), "class_id", "left").where("docs > 1 or label is not null")
+    place = stored(placed.select("set_id", "class_id", F.coalesce("label", "class_id").alias("component")), "placed")
     component = F.coalesce("component", "doc_id")
-    return sketched.select("doc_id", "n_shingles", "set_id").join(place, "set_id", "left").select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    rows = sketched.select("doc_id", "n_shingles", "set_id").join(broadcast_if_small(place), "set_id", "left")
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
