@@ -28,11 +28,13 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
+from catchment.llm.common import small_batches
+
 #: Characters of which all Unicode versions since 10 say the same; a text with others is
 #: normalised and split by the tokenizers library, whose tables may be of another version.
 COMMON = regex.compile(r"[\x00-\u0527\u1E00-\u1EFF\u2010-\u2064\u20A0-\u20BF\u2190-\u23FE\u3000-\u3029\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FCC\uAC00-\uD7A3\U0001F300-\U0001F64F]*+")
-#: Words kept with their codes by each Python worker; the memory is emptied beyond.
-MEMORY_WORDS = 250_000
+#: Words kept with their codes by a task at most; the memory is emptied beyond, and after it.
+MEMORY_WORDS = 150_000
 
 
 def byte_symbols() -> list[str]:
@@ -260,7 +262,7 @@ def codec(path: str) -> WordCodec:
     return _codecs[path]
 
 
-def text_groups(texts: pa.Array, chars: int = 500_000) -> Iterator[list[str]]:
+def text_groups(texts: pa.Array, chars: int = 250_000) -> Iterator[list[str]]:
     """The texts of a batch (null: empty) in runs of about so many characters, one text at least."""
     held, size = [], 0
     for t in texts:
@@ -309,5 +311,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False, with_de
                     out.append(pa.array(decoded, pa.string()))
                 yield pa.RecordBatch.from_arrays(out, names=names)
                 at += len(texts)
+        c.codes, c.texts = {}, {}  # the worker outlives the task
 
+    small_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)

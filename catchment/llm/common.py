@@ -39,6 +39,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of texts that go to Python at once: 10,000, the usual number, would be tens of MB, which
+#: JVM and worker both hold several times.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of the session have BATCH_ROWS rows at most, if they may have more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def bytes_held(df: DataFrame) -> int:
     """About the bytes of all rows of ``df``, a stored table, in memory."""
     width = F.lit(16 * len(df.columns))

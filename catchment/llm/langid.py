@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from catchment.llm.common import small_batches
+
 BUCKETS = 1 << 16
 #: Texts a language that fitting reads at most: the bound of the sample.
 SAMPLE = 2_000
@@ -216,6 +218,7 @@ def predicted(docs: DataFrame, model: Model) -> Column:
 
     Only the text goes through Python. A null or letterless text is ``und`` with score 0.
     Ties go to the first language in alphabetical order."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")

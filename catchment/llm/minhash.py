@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from catchment.llm.common import broadcast_if_small, mixed, stored
+from catchment.llm.common import broadcast_if_small, mixed, small_batches, stored
 
 #: Signature: BANDS bands of ROWS coordinates. A pair of similarity 0.8 shares no band with
 #: probability (1 - 0.8^ROWS)^BANDS.
@@ -200,6 +200,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, r
     equal to its own, if a row with a doc_id has one, else its component_id and kept are null.
     An empty table gives no rows. Other columns aren't read.
     """
+    small_batches(docs.sparkSession)
     sketched = stored(sketch(docs, k, bands, rows), "sketch")
     classes = sketched.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("docs"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = stored(classes.where("class_id is not null"), "classes")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from catchment.llm.common import mixed, stored
+from catchment.llm.common import mixed, small_batches, stored
 from catchment.llm.minhash import WordHashes
 
 #: Words of a repeat at least; words that decide where suffixes stay; K-grams of a window.
@@ -215,6 +215,7 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """
     if least < K + SPAN - 1:
         raise ValueError(f"a window of less than {K + SPAN - 1} words may hold no minimiser")
+    small_batches(docs.sparkSession)
     # stored, as sorting by range reads its input twice
     flagged = stored(with_equal_neighbour(stored(suffixes(docs), "suffixes")), "flagged").distinct()
     found = stored(repeated(windows(docs, flagged, least)), "repeated")
