@@ -90,7 +90,8 @@ db AS (SELECT p.item_id, p.w, doc_id, pos FROM p JOIN d ON d.term = p.b)
 SELECT da.doc_id, da.item_id, count(*) AS n_near FROM da JOIN db ON da.item_id = db.item_id AND da.w = db.w AND da.doc_id = db.doc_id AND abs(da.pos - db.pos) <= 16 GROUP BY da.doc_id, da.item_id""",
     "op6_topk": """
 WITH c AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings),
-v AS (SELECT vec_id, i, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM c),
+bad AS (SELECT DISTINCT vec_id FROM c WHERE x IS NULL OR NOT isfinite(x)),
+v AS (SELECT vec_id, i, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM c WHERE vec_id IS NOT NULL AND vec_id NOT IN (SELECT vec_id FROM bad WHERE vec_id IS NOT NULL)),
 s AS (SELECT q.vec_id AS query_id, o.vec_id, sum(q.x * o.x) AS score FROM v q JOIN v o ON q.i = o.i AND q.vec_id <> o.vec_id WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, o.vec_id),
 r AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 5""",

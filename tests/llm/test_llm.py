@@ -413,6 +413,32 @@ def test_top_k(spark):
     assert out[1150] == {1: (1151, 128 * 64)} and set(out) == {*range(0, 700, 50), 1150}
 
 
+def test_top_k_in_many_blocks_and_parts(spark):
+    """Clustered vectors, small blocks and several broadcast parts, repeated rows and ties,
+    components beyond 32 bits; blocks that bounds exclude aren't scored."""
+    rng = np.random.default_rng(4)
+    centre = rng.integers(-300, 300, (12, 6))
+    m = centre[rng.integers(0, 12, 600)] + rng.integers(-4, 5, (600, 6))
+    m[100:110] = m[50]
+    m[0] = m[0] * 2**31
+    rows = [(i, x.tolist()) for i, x in enumerate(m)] + [(7, m[7].tolist())] * 3 + [(650, [1]), (None, [1] * 6)]
+    docs = spark.createDataFrame(rows, "vec_id long, v array<long>").repartition(3)
+    out = {}
+    for r in topk.top_k(docs, F.col("vec_id") % 20 == 0, 5, block=16, part_bytes=900).collect():
+        out.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, 600, 20):
+        s = m @ m[q]
+        best = [i for i in np.lexsort((np.arange(600), -s)) if i != q][:5]
+        assert sorted(out[q]) == [(k + 1, i, s[i]) for k, i in enumerate(best)]
+    assert 650 not in out and topk.top_k(docs.limit(0), F.lit(True)).count() == 0
+    order = np.lexsort(m.T)
+    blocks = [(order[i : i + 16], x, x.min(axis=0), x.max(axis=0)) for i in range(0, 600, 16) for x in [m[order[i : i + 16]]]]
+    best, scored = topk.Best(np.array([33]), m[33:34], np.array([topk.NONE]), 5), []
+    best.add = lambda who, ids, v: (scored.append(len(ids)), topk.Best.add(best, who, ids, v))
+    best.take(blocks)
+    assert sum(scored) < 300
+
+
 # --- 7 -----------------------------------------------------------------------------
 def test_warc(spark, tmp_path):
     big = "".join(RNG.choice(list("abcdefé\x00\r\n"), 300_000))
