@@ -1,37 +1,48 @@
 """Language-model scores: a log-bilinear neural model trained by noise-contrastive estimation.
 
-Classes are the CLASSES most frequent tokens and one for all others; a token of that class
-is told from others by its smoothed share of their counts. The model predicts a class from
-the two before it: r = c1 * R[w1] + c2 * R[w2], score = r . Q[w] + b[w]. Every task trains
-a copy on all training texts it reads (distinct triples of a chunk, weighted, with noise
-classes drawn by unigram frequency), and copies are averaged by their numbers of tokens.
-For scoring, batched matrix products give each context's normaliser, so the token
-probabilities are exact.
-
-Token counts cover the whole corpus. Frequent tokens (COMMON at most) go to the tasks as a
-broadcast variable; the rest, each of which is rare by choice, meets its counts in a join.
+Every token has a class: the NAMED most frequent ones their own, any other one of ENDINGS
+classes by its last two characters. The model predicts the class of a token from the
+context classes of the two before it: r = R2[two back] + R1[one back], score = r . Q + b. Within
+a class a token has its smoothed share of the class's counts, which cover the whole corpus
+and leave room for a token never seen. So every token has a probability, and all sum to 1.
+
+Training works on the counts of class triples of all training texts, summed by Spark, so the
+result doesn't depend on how the texts are partitioned. Triples are dealt by a hash of their
+context into a number of parts that only depends on how many they are (and that is bounded,
+as classes are); each part trains a copy in a fixed order, with noise drawn by class
+frequency, and a round ends with the mean of the copies. For scoring, batched matrix products
+give each context's normaliser.
+
+Frequent tokens (COMMON at most) go to the tasks as a broadcast variable; the rest, each of
+which is rare by choice, meets its counts in a join.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catchment.llm.common import stored
+from catchment.llm.common import small_batches, stored
 from catchment.llm.langid import remainder
 
-CLASSES, WIDTH, COMMON = 511, 16, 100_000
-#: Of training: noise classes a batch, texts' tokens a chunk, triples a batch, passes, rate.
-NOISE, CHUNK, BATCH, PASSES, RATE = 32, 1 << 19, 8192, 2, 0.15
-#: Distinct tokens held while counting.
-HELD_TOKENS = 200_000
-FIRST = CLASSES + 1  # the class before a text
+#: Classes of single tokens, classes by endings; as contexts, the first of the one and groups of the other.
+NAMED, ENDINGS, CONTEXT_NAMED, CONTEXT_ENDINGS = 1024, 1024, 256, 256
+CLASSES, CONTEXTS = NAMED + ENDINGS, CONTEXT_NAMED + CONTEXT_ENDINGS
+WIDTH, COMMON = 32, 100_000
+#: Of training: noise classes a batch, triples a batch, rounds, rate.
+NOISE, BATCH, ROUNDS, RATE = 64, 2048, 2, 0.3
+#: Triples of a part, and parts at most.
+PART_TRIPLES, PARTS = 500_000, 64
+#: Tokens of a run of texts whose triples are counted together; distinct tokens held.
+CHUNK, HELD_TOKENS = 1 << 19, 200_000
+FIRST = CONTEXTS  # the context before a text
 
 
 def raw_tokens(text: str | None) -> list[bytes]:
@@ -66,70 +77,123 @@ def token_counts(rows: DataFrame) -> DataFrame:
     return parts.groupBy("token").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
+def ending(token: bytes) -> int:
+    """Number of the class of a token's last two characters."""
+    return zlib.crc32(token.decode()[-2:].encode()) % ENDINGS
+
+
+def ending_column(token: Column) -> Column:
+    """``ending`` of a column; the last two characters as Spark has them."""
+    return (F.crc32(F.right(token, F.lit(2)).cast("binary")) % ENDINGS).cast("int")
+
+
 @dataclass
 class Lexicon:
-    """The frequent tokens, their counts, and totals. Index 0 stands for all other tokens;
-    classes are the indexes up to CLASSES, beyond them 0."""
+    """The frequent tokens, their counts, and totals. Index 0 stands for all other tokens."""
 
     index: dict[bytes, int]
     counts: np.ndarray
     total: int
     distinct: int
     below: int
+    #: By index: the class; by class: training tokens and distinct ones.
+    kind: np.ndarray
+    held: np.ndarray
+    types: np.ndarray
 
     def log10_base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
 
-    def rest_shift(self) -> float:
-        """log10 of a token's share of the rest class over its share of all."""
-        top = self.counts[1 : CLASSES + 1]
-        rest = max(0, self.total - int(top.sum())) + 0.1 * (max(0, self.distinct - int((top > 0).sum())) + 1)
-        return float(np.log10((self.total + 0.1 * (self.distinct + 1)) / rest))
-
     def class_shares(self) -> np.ndarray:
-        c = np.zeros(CLASSES + 1)
-        top = self.counts[1 : CLASSES + 1]
-        c[1 : len(top) + 1] = top
-        c[0] = max(0, self.total - top.sum())
-        return (c + 0.5) / (c + 0.5).sum()
+        return (self.held + 0.5) / (self.held + 0.5).sum()
+
+    def shift(self) -> np.ndarray:
+        """By class: log10 of a token's share of its class over its share of all; for a class
+        of one token what makes that share 1."""
+        return np.log10((self.total + 0.1 * (self.distinct + 1)) / (self.held + 0.1 * (self.types + 1)))
 
-    def classes(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids <= CLASSES, ids, 0)
+    def contexts(self, classes: np.ndarray) -> np.ndarray:
+        """The context class of each class."""
+        c = np.arange(CLASSES)
+        name = {i: w for w, i in self.index.items() if 0 < i <= NAMED}
+        for k in range(CONTEXT_NAMED, NAMED):
+            c[k] = CONTEXT_NAMED + (ending(name[k + 1]) if k + 1 in name else 0) % CONTEXT_ENDINGS
+        c[NAMED:] = CONTEXT_NAMED + np.arange(ENDINGS) % CONTEXT_ENDINGS
+        return c[classes]
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        get = self.index.get
-        return np.fromiter((get(w, 0) for w in words), np.int32, len(words))
+
+class Tokens(dict):
+    """Token -> its index if it is a frequent one, else -1 - its class."""
+
+    def __init__(self, lex: Lexicon):
+        super().__init__()
+        self.lex = lex
+
+    def __missing__(self, token: bytes) -> int:
+        i = self.lex.index.get(token)
+        v = i if i else -1 - NAMED - ending(token)
+        if len(self) >= HELD_TOKENS:
+            self.clear()
+        self[token] = v
+        return v
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Index (0: rare) and class of each token."""
+        v = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        ids = np.maximum(v, 0)
+        return ids, np.where(v > 0, self.lex.kind[ids], -1 - v)
 
 
 def lexicon(counts: DataFrame) -> Lexicon:
     """From stored counts. Tokens of a count of ``below`` or more are COMMON at most."""
     level = F.floor(F.log2("n"))
     rows = counts.groupBy(level.alias("level")).agg(F.count("*").alias("types"), F.sum("c").alias("c"), F.count_if(F.col("c") > 0).alias("v")).collect()  # 64 at most
-    below, held = 62, 0
+    below, many = 62, 0
     for r in sorted(rows, key=lambda r: -r["level"]):
-        if held + r["types"] > COMMON:
+        if many + r["types"] > COMMON:
             break
-        held, below = held + r["types"], r["level"]
-    top = counts.where(level >= below).select("token", "c", "n").collect() if held else []  # COMMON at most
+        many, below = many + r["types"], r["level"]
+    top = counts.where(level >= below).select("token", "c", "n").collect() if many else []  # COMMON at most
     top.sort(key=lambda r: (-r["c"], -r["n"], r["token"]))
-    return Lexicon({r["token"].encode(): i + 1 for i, r in enumerate(top)}, np.array([0, *(r["c"] for r in top)], np.int64), sum(r["c"] for r in rows), sum(r["v"] for r in rows), 1 << below)
+    names = [r["token"].encode() for r in top]
+    c = np.array([0, *(r["c"] for r in top)], np.int64)
+    kind = np.array([0, *(i if i < NAMED else NAMED + ending(w) for i, w in enumerate(names))], np.int64)
+    held, types = np.zeros(CLASSES), np.zeros(CLASSES)
+    for r in counts.groupBy(ending_column(F.col("token")).alias("e")).agg(F.sum("c").alias("c"), F.count_if(F.col("c") > 0).alias("v")).collect():  # ENDINGS at most
+        held[NAMED + r["e"]], types[NAMED + r["e"]] = r["c"], r["v"]
+    for i, w in enumerate(names[:NAMED]):
+        e = NAMED + ending(w)
+        held[e], types[e] = held[e] - c[i + 1], types[e] - (c[i + 1] > 0)
+        held[i] = c[i + 1]
+        types[i] = 0  # one token, whose share is 1
+    return Lexicon({w: i + 1 for i, w in enumerate(names)}, c, sum(r["c"] for r in rows), sum(r["v"] for r in rows), 1 << below, kind, held, types)
+
+
+def summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct places, and the sum of the rows of each."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return at[first], np.add.reduceat(rows[order], first, axis=0)
 
 
 class Bilinear:
-    """Parameters, training, normalised probabilities."""
+    """Parameters with their gradients' squared sums, training, normalised probabilities."""
 
     def __init__(self, shares: np.ndarray, seed: int = 7):
         rng = np.random.default_rng(seed)
-        n = len(shares)
-        self.shares = shares
-        self.r = rng.normal(0, 0.1, (n + 1, WIDTH)).astype(np.float32)
+        self.shares, n = shares, len(shares)
+        self.r = rng.normal(0, 0.1, (2 * (CONTEXTS + 1), WIDTH)).astype(np.float32)  # two back, then one back
         self.q = rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32)
         self.b = np.log(shares).astype(np.float32)
-        self.c = np.ones((2, WIDTH), np.float32)
-        self.sums = [np.full(x.shape, 1e-3, np.float32) for x in (self.r, self.q, self.b, self.c)]
+        self.sums = [np.full(x.shape, 1e-3, np.float32) for x in (self.r, self.q, self.b)]
 
     def hidden(self, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
-        return self.r[w1] * self.c[0] + self.r[w2] * self.c[1]
+        return self.r[w1] + self.r[CONTEXTS + 1 + w2]
+
+    def update(self, k: int, at: np.ndarray, g: np.ndarray) -> None:
+        self.sums[k][at] += (g * g).astype(np.float32)
+        (self.r, self.q, self.b)[k][at] += (RATE * g / np.sqrt(self.sums[k][at])).astype(np.float32)
 
     def step(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> None:
         """One gradient step of the contrastive loss on weighted triples."""
@@ -142,102 +206,136 @@ class Bilinear:
         g_own = weight / (1 + np.exp(np.clip(own, -30, 30)))
         g_other = -weight[:, None] / (1 + np.exp(np.clip(-other, -30, 30)))
         g_h = g_own[:, None] * self.q[w] + g_other @ self.q[noise]
-        g_q = totals(w, g_own[:, None] * h, len(self.q))
-        np.add.at(g_q, noise, g_other.T @ h)
-        g_b = np.bincount(w, g_own, len(self.b)) + np.bincount(noise, g_other.sum(axis=0), len(self.b))
-        g_r = totals(w1, g_h * self.c[0], len(self.r)) + totals(w2, g_h * self.c[1], len(self.r))
-        g_c = np.stack([(g_h * self.r[w1]).sum(axis=0), (g_h * self.r[w2]).sum(axis=0)])
-        for x, s, g in zip((self.r, self.q, self.b, self.c), self.sums, (g_r, g_q, g_b, g_c), strict=True):
-            s += (g * g).astype(np.float32)
-            x += (RATE * g / np.sqrt(s)).astype(np.float32)
-
-    def train(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray, rng: np.random.Generator) -> None:
-        n = len(self.shares) + 1
-        code, weight = np.unique((w1.astype(np.int64) * n + w2) * n + w, return_counts=True)
-        for _ in range(PASSES):
-            order = rng.permutation(len(code))
-            for lo in range(0, len(order), BATCH):
-                part = order[lo : lo + BATCH]
-                c = code[part]
-                self.step(c // (n * n), c // n % n, c % n, weight[part], rng)
+        at = np.concatenate([w, noise])
+        where, g_q = summed(at, np.column_stack([np.concatenate([g_own[:, None] * h, g_other.T @ h]), np.concatenate([g_own, g_other.sum(axis=0)])]))
+        self.update(0, *summed(np.concatenate([w1, CONTEXTS + 1 + w2]), np.concatenate([g_h, g_h])))
+        self.update(1, where, g_q[:, :-1])
+        self.update(2, where, g_q[:, -1])
+
+    def train(self, code: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> None:
+        """One pass over weighted triples, coded as by ``coded``."""
+        order = rng.permutation(len(code))
+        for lo in range(0, len(order), BATCH):
+            part = order[lo : lo + BATCH]
+            context, w = np.divmod(code[part], CLASSES)
+            self.step(*np.divmod(context, CONTEXTS + 1), w, weight[part], rng)
 
     def rows(self) -> np.ndarray:
-        """All parameters as rows of WIDTH + 1 numbers."""
-        out = np.zeros((len(self.r) + len(self.q) + 2, WIDTH + 1))
-        out[: len(self.r), :WIDTH] = self.r
-        out[len(self.r) : -2, :WIDTH], out[len(self.r) : -2, WIDTH] = self.q, self.b
-        out[-2:, :WIDTH] = self.c
-        return out
+        """All parameters, then their sums, as rows of WIDTH + 1 numbers."""
+        parts = [np.column_stack([x, np.zeros(len(x))]) if b is None else np.column_stack([x, b]) for x, b in ((self.r, None), (self.q, self.b), (self.sums[0], None), (self.sums[1], self.sums[2]))]
+        return np.concatenate(parts).astype(np.float64)
 
     def load(self, rows: np.ndarray) -> None:
-        rows = rows.astype(np.float32)
-        n = len(self.r)
-        self.r, self.q, self.b, self.c = rows[:n, :WIDTH], rows[n:-2, :WIDTH], rows[n:-2, WIDTH], rows[-2:, :WIDTH]
+        r, q, sr, sq = np.split(rows.astype(np.float32), np.cumsum([len(self.r), len(self.q), len(self.r)]))
+        self.r, self.q, self.b = r[:, :-1].copy(), q[:, :-1].copy(), q[:, -1].copy()
+        self.sums = [sr[:, :-1].copy(), sq[:, :-1].copy(), sq[:, -1].copy()]
 
     def log10(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray, known: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities; ``known`` keeps the normalisers of contexts."""
-        code = w1 * len(self.r) + w2
+        code = w1 * (CONTEXTS + 1) + w2
         new = np.unique(code[np.isnan(known[code])])
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            s = self.hidden(part // len(self.r), part % len(self.r)) @ self.q.T + self.b
+        for lo in range(0, len(new), 1024):
+            part = new[lo : lo + 1024]
+            s = self.hidden(*np.divmod(part, CONTEXTS + 1)) @ self.q.T + self.b
             top = s.max(axis=1)
             known[part] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
         s = np.einsum("ij,ij->i", self.hidden(w1, w2), self.q[w]) + self.b[w]
         return (s - known[code]) / np.log(10)
 
 
-def totals(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sum of the rows that go to each of n places."""
-    return np.stack([np.bincount(at, rows[:, j], n) for j in range(rows.shape[1])], axis=1)
-
-
-def before(classes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The class two back and the class one back of each token, FIRST before a text."""
-    one = np.concatenate([[FIRST], classes[:-1]])
+def before(contexts: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The context class two back and the one back of each token, FIRST before a text."""
+    one = np.concatenate([[FIRST], contexts[:-1]])
     one[starts] = FIRST
     two = np.concatenate([[FIRST], one[:-1]])
     two[starts] = FIRST
     return two, one
 
 
-def text_runs(texts: list[str | None], lex: Lexicon, size: int) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """Runs of texts of about ``size`` tokens: (index of the first, tokens of each)."""
-    first, run, n = 0, [], 0
-    for i, t in enumerate(texts):
-        run.append(raw_tokens(t))
+def coded(two: np.ndarray, one: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    return (two * (CONTEXTS + 1) + one) * CLASSES + classes
+
+
+def text_runs(texts: pa.Array, size: int) -> Iterator[list[list[bytes]]]:
+    """Runs of texts of about ``size`` tokens: the tokens of each."""
+    run, n = [], 0
+    for t in texts:
+        run.append(raw_tokens(t.as_py()))
         n += len(run[-1])
         if n >= size:
-            yield first, run
-            first, run, n = i + 1, [], 0
+            yield run
+            run, n = [], 0
     if run:
-        yield first, run
+        yield run
 
 
-def fit(rows: DataFrame, lex: Lexicon) -> Bilinear:
-    """Train on every row that isn't held out: a copy a task, then the weighted mean."""
+def classed(run: list[list[bytes]], known: Tokens, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the tokens of a run: starts of texts, sizes, indexes, classes, contexts two back and one back."""
+    sizes = np.array([len(w) for w in run])
+    starts = np.cumsum(sizes) - sizes
+    ids, classes = known.of([w for words in run for w in words])
+    return starts, sizes, ids, classes, *before(context[classes], starts)
+
+
+def triple_counts(rows: DataFrame, lex: Lexicon) -> DataFrame:
+    """code, n: how often each triple of classes stands in the rows that aren't held out."""
     sent = rows.sparkSession.sparkContext.broadcast(lex)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = sent.value
-        model, rng, n = Bilinear(lex.class_shares()), np.random.default_rng(11), 0
+        known, context = Tokens(sent.value), sent.value.contexts(np.arange(CLASSES))
+        code = [np.zeros(0, np.int64)]
         for batch in batches:
-            for _, part in text_runs(batch.column(0).to_pylist(), lex, CHUNK):
-                classes = np.concatenate([lex.classes(lex.ids(w)) for w in part])
-                starts = np.cumsum([0, *(len(w) for w in part[:-1])])
-                model.train(*before(classes, starts), classes, rng)
-                n += len(classes)
-        if n:
-            p = model.rows()
-            flat = pa.ListArray.from_arrays(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1], pa.array(p.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(p))), pa.array([float(n)] * len(p)), flat], names=["place", "n", "v"])
-
-    parts = rows.where(~F.col("held_out")).select("text").mapInArrow(run, "place long, n double, v array<double>")
-    mean = parts.groupBy("place").agg(*[(F.sum(F.col("v")[j] * F.col("n")) / F.sum("n")).alias(f"v{j}") for j in range(WIDTH + 1)])
+            for part in text_runs(batch.column(0), CHUNK // 8):
+                _, _, _, classes, two, one = classed(part, known, context)
+                code.append(coded(two, one, classes))
+                if sum(map(len, code)) >= CHUNK:
+                    found, n = np.unique(np.concatenate(code), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["code", "n"])
+                    code = [np.zeros(0, np.int64)]
+        found, n = np.unique(np.concatenate(code), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["code", "n"])
+
+    return rows.where(~F.col("held_out")).select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def fit(rows: DataFrame, lex: Lexicon) -> Bilinear:
+    """ROUNDS times: a copy trained by each part of the triples, then their weighted mean."""
+    triples = stored(triple_counts(rows, lex), "triples")
+    parts = min(PARTS, 1 + triples.count() // PART_TRIPLES)
+    part = F.pmod(F.xxhash64(F.floor(F.col("code") / CLASSES)), F.lit(parts)).cast("int")
+    dealt = triples.withColumn("part", part).repartition(parts, "part").sortWithinPartitions("part", "code")
     model = Bilinear(lex.class_shares())
-    found = sorted(mean.collect())  # 2 * CLASSES + 5 rows, whatever the corpus
-    if found:
-        model.load(np.array([r[1:] for r in found]))
+    for turn in range(ROUNDS):
+        sent = rows.sparkSession.sparkContext.broadcast((model.shares, model.rows()))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, turn: int = turn) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            def trained(now: int, held: list) -> pa.RecordBatch:
+                code, n = (np.concatenate(x) for x in zip(*held, strict=True))
+                copy = Bilinear(sent.value[0])
+                copy.load(sent.value[1])
+                copy.train(code, n, np.random.default_rng([turn, now]))
+                p = copy.rows()
+                flat = pa.ListArray.from_arrays(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1], pa.array(p.ravel()))
+                return pa.RecordBatch.from_arrays([pa.array(np.arange(len(p))), pa.array([float(n.sum())] * len(p)), flat], names=["place", "n", "v"])
+
+            now, held = None, []
+            for batch in batches:
+                code, n, part = (c.to_numpy() for c in batch.columns)
+                for i in np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1):
+                    if len(i):
+                        if now is not None and part[i[0]] != now:
+                            yield trained(now, held)
+                            held = []
+                        now = int(part[i[0]])
+                        held.append((code[i], n[i]))
+            if held:
+                yield trained(now, held)
+
+        copies = dealt.mapInArrow(run, "place long, n double, v array<double>")
+        mean = copies.groupBy("place").agg(*[(F.sum(F.col("v")[j] * F.col("n")) / F.sum("n")).alias(f"v{j}") for j in range(WIDTH + 1)])
+        found = sorted(mean.collect())  # 4 * (CONTEXTS + 1) + 2 * CLASSES rows, whatever the corpus
+        if found:
+            model.load(np.array([r[1:] for r in found]))
     return model
 
 
@@ -250,28 +348,25 @@ def score_common(rows: DataFrame, lex: Lexicon, model: Bilinear) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, model = sent.value
-        base, known, shift = lex.log10_base(lex.counts), lex.counts > 0, lex.rest_shift()
-        base[0] = known[0] = 0
-        norms = np.full((CLASSES + 2) ** 2, np.nan)
+        base, seen, shift = lex.log10_base(lex.counts), lex.counts > 0, lex.shift()
+        share = base + shift[lex.kind]  # of a frequent token in its class
+        share[1 : NAMED + 1] = 0.0
+        base[0] = share[0] = seen[0] = 0
+        norms = np.full((CONTEXTS + 1) ** 2, np.nan)
+        known, context = Tokens(lex), lex.contexts(np.arange(CLASSES))
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
-            for _, part in text_runs(batch.column(2).to_pylist(), lex, 200_000):
-                words = [w for run in part for w in run]
-                ids = lex.ids(words)
-                sizes = np.array([len(w) for w in part])
-                starts = np.cumsum(sizes) - sizes
-                classes = lex.classes(ids)
-                lm = model.log10(*before(classes, starts), classes, norms)
-                lm += np.where(classes == 0, base[ids] + shift, 0)
+            at = 0
+            for part in text_runs(batch.column(2), 100_000):
+                starts, sizes, ids, classes, two, one = classed(part, known, context)
+                lm = model.log10(two, one, classes, norms) + np.where(ids > 0, share[ids], shift[classes])
                 rare = np.flatnonzero(ids == 0)
-                cuts = np.searchsorted(rare, starts[1:])
-                out[0] += sizes.tolist()
-                out[1] += np.add.reduceat(known[ids].astype(np.int64), starts).tolist()
-                out[2] += np.add.reduceat(base[ids], starts).tolist()
-                out[3] += np.add.reduceat(lm, starts).tolist()
-                out[4] += [[words[i].decode() for i in r.tolist()] for r in np.split(rare, cuts)]
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+                words = [w for run in part for w in run]
+                out = [sizes, np.add.reduceat(seen[ids].astype(np.int64), starts), np.add.reduceat(base[ids], starts), np.add.reduceat(lm, starts)]
+                cut = np.concatenate([np.searchsorted(rare, starts), [len(rare)]]).astype(np.int32)
+                names = pa.array([words[i] for i in rare.tolist()], pa.binary()).cast(pa.string())
+                columns = [batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), *map(pa.array, out), pa.ListArray.from_arrays(pa.array(cut), names)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+                at += len(part)
 
     return rows.select("doc_id", "held_out", "text").mapInArrow(run, SCORED)
 
@@ -280,9 +375,12 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row.
 
     Rows whose remainder(10) isn't 0 are learned from. A null or blank text is one token,
-    the end. Repeated rows are counted, and scored, each. Without training rows all counts
-    are 0 and the model is uniform over what it knows.
+    the end. Repeated rows are counted, and scored, each; null doc_ids stay null and count as
+    the empty text for the fold. Without training rows all counts are 0 and the model is
+    uniform over its classes. Other columns aren't read; an empty table gives no rows. The
+    same rows get the same scores, but for rounding, however they are partitioned.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(10) == 0).alias("held_out"), "text")
     counts = stored(token_counts(rows), "token-counts")
     lex = lexicon(counts)

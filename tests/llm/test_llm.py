@@ -386,17 +386,50 @@ def test_language_model(docs, none):
 def test_model_is_normalised_and_learns():
     rng = np.random.default_rng(0)
     w = np.tile([1, 2, 3, 4], 20_000)
-    shares = np.array([0.02, 0.245, 0.245, 0.245, 0.245])
-    model = lm.Bilinear(np.concatenate([shares, np.full(lm.CLASSES - 4, 1e-9)]) / (1 + 1e-9 * (lm.CLASSES - 4)))
-    two, one = lm.before(w, np.array([0]))
-    for _ in range(60):
-        model.train(two, one, w, rng)
-    norms = np.full((lm.CLASSES + 2) ** 2, np.nan)
-    n = lm.CLASSES + 1
-    total = 10 ** model.log10(np.full(n, 1), np.full(n, 2), np.arange(n), norms)
+    shares = np.full(lm.CLASSES, 1e-9)
+    shares[:5] = [0.02, 0.245, 0.245, 0.245, 0.245]
+    model = lm.Bilinear(shares / shares.sum())
+    code, n = np.unique(lm.coded(*lm.before(w, np.array([0])), w), return_counts=True)
+    for _ in range(400):
+        model.train(code, n, rng)
+    norms = np.full((lm.CONTEXTS + 1) ** 2, np.nan)
+    every = np.arange(lm.CLASSES)
+    total = 10 ** model.log10(np.full(len(every), 1), np.full(len(every), 2), every, norms)
     assert total.sum() == pytest.approx(1, abs=1e-4) and total[3] > 0.5
 
 
+def test_scores_are_those_of_the_fitted_model_however_rows_are_dealt(spark):
+    """Each token by hand from the fitted parameters and plain counts; equal for 1 and 16 partitions."""
+    rng = np.random.default_rng(8)
+    vocab = [f"{'abcdefghijklmnop'[i % 16]}{'xyzäö'[i % 5]}{i}{'stuv'[i % 4]}é" for i in range(3_000)] + ["The", "of"]
+    texts = [" ".join(vocab[int(x)] for x in rng.zipf(1.3, rng.integers(0, 60)) % len(vocab)) for _ in range(400)] + [None]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = [{r["doc_id"]: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(k)).collect()} for k in (1, 16)]
+    assert all(got[0][i]["score"] == pytest.approx(got[1][i]["score"], abs=1e-4) for i in got[0])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", (langid.remainder(10) == 0).alias("held_out"))
+    lex = lm.lexicon(lm.stored(lm.token_counts(docs), "token-counts"))
+    model = lm.fit(docs, lex)
+    count = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in [*words(t), b""])
+    named = {w: i - 1 for w, i in lex.index.items() if i <= lm.NAMED}
+    kind = lambda w: named.get(w, lm.NAMED + zlib.crc32(w.decode()[-2:].encode()) % lm.ENDINGS)
+    inside = Counter()
+    for w, c in count.items():
+        inside[kind(w)] += c
+    types = Counter(kind(w) for w in count)
+    context = lex.contexts(np.arange(lm.CLASSES))
+    for i in [*range(0, 400, 37), 400]:
+        two = one = lm.FIRST
+        total = 0.0
+        for w in [*words(texts[i]), b""]:
+            k = kind(w)
+            s = (model.r[two] + model.r[lm.CONTEXTS + 1 + one]).astype(float) @ model.q.T.astype(float) + model.b
+            total += (s[k] - np.log(np.exp(s).sum())) / np.log(10)
+            if w not in named:
+                total += np.log10((count[w] + 0.1) / (inside[k] + 0.1 * (types[k] + 1)))
+            two, one = one, context[k]
+        assert got[0][i]["score"] == pytest.approx(total, abs=2e-3)
+
+
 # --- 6 -----------------------------------------------------------------------------
 def test_top_k(spark):
     v = [[float(x) for x in RNG.normal(0, 0.2, 8)] for _ in range(700)]
