@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 EARTH_KM, EQUATOR_KM, FLATTENING = 6371.0088, 6378.137, 1 / 298.257223563
 #: The smallest radius of curvature: a cube side made with it never loses a pair.
 LEAST_RADIUS_KM = 6335.0
-#: Mean hexagon edge in km of resolutions 0 to 8.
-EDGE_KM = [1281.256011, 483.0568391, 182.5129565, 68.97922179, 26.07175968, 9.854090990, 3.724532667, 1.406475763, 0.531414010]
+#: Mean hexagon edge in km, and mean hexagon area in square km, of resolutions 0 to 15.
+EDGE_KM = [1281.256011, 483.0568391, 182.5129565, 68.97922179, 26.07175968, 9.854090990, 3.724532667, 1.406475763, 0.531414010, 0.200786148, 0.075863783, 0.028663897, 0.010830188, 0.004092010, 0.001546100, 0.000584169]
+AREA_KM2 = [4357449.416078383, 609788.441794133, 86801.780398997, 12393.434655088, 1770.347654491, 252.903858182, 36.129062164, 5.161293360, 0.737327598, 0.105332513, 0.015047502, 0.002149643, 0.000307092, 0.000043870, 0.000006267, 0.000000895]
 
 #: The longest travel time in seconds that the service answers, by resolution; else the first.
 LONGEST_S = {5: 36000, 6: 36000, 7: 36000, 8: 28800, 9: 14400, 10: 5400, 11: 2700, 12: 1800}
@@ -56,6 +57,11 @@ def ring(km: Column, resolution: int = 4) -> Column:
     return F.rint(km / (EDGE_KM[resolution] * 3**0.5)).cast("int")
 
 
+def cell_size(resolution: Column) -> list[Column]:
+    """edge_km and area_km2, the means of a resolution; null beyond 0 to 15."""
+    return [F.get(F.array(*map(F.lit, x)), resolution).alias(name) for x, name in ((EDGE_KM, "edge_km"), (AREA_KM2, "area_km2"))]
+
+
 def h3_number(text: Column) -> Column:
     return F.conv(text, 16, 10).cast("decimal(20,0)").cast("long")
 

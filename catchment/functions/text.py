@@ -24,7 +24,8 @@ def number(text: Column) -> Column:
 
 
 def human(x: Column) -> Column:
-    """1.2 M, 3.4 k, one decimal below; 0 stands bare and null is N/A."""
+    """1.2 M, 3.4 k, one decimal below; 0 stands bare and null is N/A. Half of the last
+    decimal rounds away from zero."""
     one = lambda v, unit: F.concat(F.format_string("%.1f", v), F.lit(unit))
     big = F.abs(x)
     return F.when(x.isNull(), "N/A").when(x == 0, "0").when(big >= 1e6, one(x / 1e6, " M")).when(big >= 1e3, one(x / 1e3, " k")).otherwise(one(x, ""))

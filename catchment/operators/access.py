@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catchment.functions.geo import cube, decay, lambert_km
+from catchment.sources.sinks import stored
 
 Distance = Callable[[Column, Column, Column, Column], Column]
 
@@ -38,17 +39,22 @@ def pairs_within(cells: DataFrame, facilities: DataFrame, radius_km: float, dist
 def nearest(cells: DataFrame, facilities: DataFrame, first_km: float = 50.0, distance: Distance = lambert_km, most_km: float = 20_100.0) -> DataFrame:
     """cell_id, nearest_km, fac_seq: the nearest facility of the scope, however far.
 
-    Range joins of growing radius; each takes the cells that the last left over, until all
-    cells whose scope has a facility are done."""
-    rest = cells.join(facilities.select("scope").distinct(), "scope", "left_semi")
+    Range joins of growing radius; each takes the cells that the last left over, until none
+    is left. Cells whose scope has no facility have no row. Every round is stored, so none is
+    computed twice; the last one, a product, is for the few cells beyond a ninth of the globe."""
+    facilities = stored(facilities, "near-facilities")
+    rest = stored(cells.join(facilities.select("scope").distinct(), "scope", "left_semi").select("cell_id", "scope", "lat", "lon"), "near-rest")
     out, radius = None, first_km
     while True:
         pairs = pairs_within(rest, facilities, radius, distance)
         best = pairs.groupBy("cell_id").agg(F.min(F.struct("km", "fac_seq")).alias("b")).select("cell_id", F.col("b.km").alias("nearest_km"), "b.fac_seq")
+        best = stored(best, "near-best")
         out = best if out is None else out.union(best)
         if radius >= most_km:
             return out
-        rest = rest.join(best, "cell_id", "left_anti")
+        rest = stored(rest.join(best, "cell_id", "left_anti"), "near-rest")
+        if rest.isEmpty():
+            return out
         radius = min(radius * 8, most_km)
 
 

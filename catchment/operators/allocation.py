@@ -1,8 +1,10 @@
 """Capacity allocation: facilities in order, each serving rings outward.
 
-Only the order inside a scope matters, so scopes are independent tasks. Within a scope the
-state is one number a cell, and pairs stream in facility order: a task holds the scope's
-in-range pairs. ``wave`` does one facility of every scope in DataFrame operations alone."""
+Only the order inside a scope matters, so scopes are independent. There are two plans with
+the same result. Grouped: a scope is a task, its state one number a cell, its pairs streamed
+in facility order. Waves, for scopes whose pairs would be too many for a task: a facility is
+ready once no earlier one that still waits shares a cell with it; all that are ready serve in
+one step of joins and sums, whatever their scope."""
 
 from __future__ import annotations
 
@@ -12,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from catchment.sources.sinks import stored
+
 SCHEMA = "cell_id long, treated double"
 
 
@@ -36,11 +40,46 @@ def allocate_scope(pairs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"cell_id": cells, "treated": np.minimum(start - left, start)})
 
 
-def allocate(pairs: DataFrame) -> DataFrame:
-    """cell_id, treated from (scope, cell_id, fac_seq, ring, p, capacity, demand) with p > 0.
+#: Pairs of a scope up to which it is one task.
+TASK_PAIRS = 5_000_000
+
+
+def allocate(pairs: DataFrame, task_pairs: int = TASK_PAIRS) -> DataFrame:
+    """scope, cell_id, treated from (scope, cell_id, fac_seq, ring, p, capacity, demand) with p > 0.
+
+    Facilities without capacity serve nobody; cells out of all ranges have no row. Scopes of
+    more than ``task_pairs`` pairs go by waves."""
+    pairs = stored(pairs.select("scope", "cell_id", "fac_seq", "ring", "p", "capacity", "demand"), "allocation-pairs")
+    large = stored(pairs.groupBy("scope").agg(F.count("*").alias("n")).where(F.col("n") > task_pairs).select("scope"), "large-scopes")
+    kind = pairs.schema["scope"].dataType.simpleString()
+    if large.isEmpty():
+        return pairs.groupBy("scope").applyInPandas(with_scope, f"scope {kind}, {SCHEMA}")
+    grouped = pairs.join(large, "scope", "left_anti").groupBy("scope").applyInPandas(with_scope, f"scope {kind}, {SCHEMA}")
+    return grouped.union(allocate_by_waves(pairs.join(large, "scope", "left_semi")))
+
+
+def with_scope(pairs: pd.DataFrame) -> pd.DataFrame:
+    out = allocate_scope(pairs)
+    out.insert(0, "scope", pairs["scope"].iloc[0])
+    return out
+
 
-    Facilities without capacity serve nobody; cells out of all ranges have no row."""
-    return pairs.select("scope", "cell_id", "fac_seq", "ring", "p", "capacity", "demand").groupBy("scope").applyInPandas(allocate_scope, SCHEMA)
+def allocate_by_waves(pairs: DataFrame) -> DataFrame:
+    """``allocate`` in DataFrame operations alone. As many steps as the longest chain of
+    facilities that share cells; what is left of each cell's demand is stored after each."""
+    key = ["scope", "cell_id"]
+    start = stored(pairs.groupBy(*key).agg(F.max("demand").alias("demand")), "wave-start")
+    left = start.withColumnRenamed("demand", "left")
+    waiting = stored(pairs.where("capacity > 0").drop("demand").withColumn("fac_seq", F.struct("scope", "fac_seq")), "wave-pairs")
+    while not waiting.isEmpty():
+        head = waiting.groupBy(*key).agg(F.min("fac_seq").alias("head"))
+        ready = waiting.join(head, key).groupBy("fac_seq").agg(F.min(F.col("fac_seq") == F.col("head")).alias("ready")).where("ready").select("fac_seq")
+        ready = stored(ready, "wave-ready")
+        now = waiting.join(ready, "fac_seq", "left_semi").join(left, key).withColumn("demand", F.col("left"))
+        served = wave(now).select(F.col("fac_seq.scope").alias("scope"), "cell_id", "served")
+        left = stored(left.join(served, key, "left").select(*key, (F.col("left") - F.coalesce("served", F.lit(0.0))).alias("left")), "wave-left")
+        waiting = stored(waiting.join(ready, "fac_seq", "left_anti"), "wave-pairs")
+    return start.join(left, key).select(*key, F.least(F.col("demand") - F.col("left"), F.col("demand")).alias("treated"))
 
 
 def wave(pairs: DataFrame) -> DataFrame:

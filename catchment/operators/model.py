@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from catchment.functions.geo import decay, lambert_km, ring
 from catchment.operators.access import Distance, geographic_access, nearest, pairs_within
 from catchment.operators.allocation import allocate
+from catchment.sources.sinks import stored
 
 CAPACITY = 450.0
 
@@ -25,7 +26,10 @@ def compute_access(
     untreated, served and, by distance, nearest_km.
 
     ``minutes`` (cell_id, fac_seq, minutes; a missing row is out of reach) drive the
-    probability in place of km; rings stay those of the distance."""
+    probability in place of km; rings stay those of the distance. Population and demand that
+    are null, NaN or negative count as 0."""
+    positive = {c: F.when(F.nanvl(F.col(c), F.lit(0.0)) > 0, F.col(c)).otherwise(0.0) for c in ("population", "demand")}
+    cells = stored(cells.withColumns(positive), "access-cells")
     options = {"model": model, "scale": scale, "shape": shape, "cutoff": cutoff, "reach": reach}
     if minutes is None:
         pairs = pairs_within(cells, facilities, range_km(model, scale, cutoff, reach), distance)
@@ -36,10 +40,10 @@ def compute_access(
         pairs = cells.join(reached, "cell_id").join(far, "fac_seq")
         pairs = pairs.withColumn("km", distance(F.col("lat"), F.col("lon"), F.col("f_lat"), F.col("f_lon")))
         p = decay(F.col("minutes"), **options)
-    pairs = pairs.withColumn("p", p).where("p > 0")
+    pairs = stored(pairs.withColumn("p", p).where("p > 0"), "access-pairs")
     out = geographic_access(cells, pairs, F.col("p"))
     served = allocate(pairs.where("machines > 0").select("scope", "cell_id", "fac_seq", ring(F.col("km"), resolution).alias("ring"), "p", (F.col("machines") * capacity).alias("capacity"), "demand"))
-    out = out.join(served, "cell_id", "left").fillna(0.0, ["treated"]).withColumn("untreated", F.col("demand") - F.col("treated"))
+    out = out.join(served, ["scope", "cell_id"], "left").fillna(0.0, ["treated"]).withColumn("untreated", F.col("demand") - F.col("treated"))
     out = out.withColumn("served", F.when(F.col("demand") > 0, F.col("treated") / F.col("demand")).otherwise(0.0))
     if minutes is None:
         out = out.join(nearest(cells, facilities, distance=distance).select("cell_id", "nearest_km"), "cell_id", "left")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -11,17 +9,7 @@ from pyspark.sql import Window
 from catchment.functions.geo import lambert_km
 from catchment.operators.access import pairs_within
 from catchment.operators.model import compute_access
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to and read from the checkpoint folder, if the session has one, else cached:
-    a step must not compute the earlier ones again."""
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        return df.cache()
-    path = f"{root.rstrip('/')}/plan-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from catchment.sources.sinks import stored
 
 
 def best_cells(result: DataFrame, score: Column | None = None) -> DataFrame:
@@ -37,22 +25,22 @@ def place(cells: DataFrame, facilities: DataFrame, steps: int, machines: float,
     ``least`` or more: to the nearest facility within ``snap_km``, or as a new one after
     all others. The driver holds no rows, only the plan of each step."""
     distance = options.get("distance", lambert_km)
-    cells, now, out = stored(cells), facilities.select("scope", "fac_seq", "lat", "lon", "machines"), None
-    result = stored(compute_access(cells, now, **options))
+    cells, now, out = stored(cells, "plan-cells"), facilities.select("scope", "fac_seq", "lat", "lon", "machines"), None
+    result = stored(compute_access(cells, now, **options), "plan-result")
     base = result.groupBy("scope").agg(F.sum("treated").alias("treated"))
     log = base.select("scope", F.lit(0).alias("step"), F.lit(None).cast("long").alias("cell_id"), F.lit(None).cast("long").alias("fac_seq"), F.lit(None).cast("double").alias("score"), "treated")
     out = log
     for step in range(1, steps + 1):
-        best = stored(best_cells(result).where(F.col("score") >= least))
+        best = stored(best_cells(result).where(F.col("score") >= least), "plan-best")
         close = pairs_within(best, now.select("scope", "fac_seq", "lat", "lon"), snap_km, distance)
         close = close.groupBy("scope").agg(F.min_by("fac_seq", F.struct("km", "fac_seq")).alias("snap"))
         last = now.groupBy("scope").agg(F.max("fac_seq").alias("last"))
-        chosen = stored(best.join(close, "scope", "left").join(last, "scope", "left").select("scope", "cell_id", "score", "lat", "lon", "snap", F.coalesce("snap", F.coalesce("last", F.lit(0)) + 1).alias("fac_seq")))
+        chosen = stored(best.join(close, "scope", "left").join(last, "scope", "left").select("scope", "cell_id", "score", "lat", "lon", "snap", F.coalesce("snap", F.coalesce("last", F.lit(0)) + 1).alias("fac_seq")), "plan-chosen")
         more = chosen.select("scope", "fac_seq", F.lit(machines).alias("more"))
         grown = now.join(more, ["scope", "fac_seq"], "left").withColumn("machines", F.col("machines") + F.coalesce("more", F.lit(0.0))).drop("more")
         new = chosen.where("snap is null").select("scope", "fac_seq", "lat", "lon", F.lit(machines).alias("machines"))
-        now = stored(grown.select("scope", "fac_seq", "lat", "lon", "machines").union(new))
-        result = stored(compute_access(cells, now, **options))
+        now = stored(grown.select("scope", "fac_seq", "lat", "lon", "machines").union(new), "plan-facilities")
+        result = stored(compute_access(cells, now, **options), "plan-result")
         sums = result.groupBy("scope").agg(F.sum("treated").alias("treated"))
         out = out.union(sums.join(chosen, "scope").select("scope", F.lit(step).alias("step"), "cell_id", "fac_seq", "score", "treated"))
     gain = F.col("treated") - F.lag("treated").over(Window.partitionBy("scope").orderBy("step"))

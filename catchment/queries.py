@@ -282,7 +282,7 @@ def a12(spark: SparkSession, sf: str) -> DataFrame:
 # --- regions ----------------------------------------------------------------------
 @query("A22_region_statistics", ACC + ALLOC + " SELECT n_regionkey AS region, round(sum(demand), 4) AS demand, round(sum(treated), 4) AS treated, sum(machines) AS machines, round(sum(with_access), 2) AS with_access FROM stats JOIN nation ON n_nationkey = scope GROUP BY n_regionkey")
 def a22(spark: SparkSession, sf: str) -> DataFrame:
-    rows = result(spark, sf).cache()
+    rows = sinks.stored(result(spark, sf), "result")
     out = model.region_statistics(rows, model.statistics(rows, fx.facilities(spark, sf)), fx.countries(spark, sf))
     return out.select("region", *r4("demand", "treated"), "machines", F.round("with_access", 2).alias("with_access"))
 
@@ -673,9 +673,10 @@ def a23(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("name", "capacity_ratio", "geography_access", "combined_access", "capacity_deficit", "geography_deficit", "combined_deficit")
 
 
-@query("O2_best_cell", ACC + ALLOC + " SELECT scope, round(score, 4) AS score FROM (SELECT scope, max(rem) AS score FROM done GROUP BY scope) x")
+@query("O2_best_cell", ACC + ALLOC + " SELECT scope, cell_id, score FROM (SELECT scope, cell_id, round(rem, 4) AS score, row_number() OVER (PARTITION BY scope ORDER BY round(rem, 4) DESC, cell_id) AS r FROM done) x WHERE r = 1")
 def o2(spark: SparkSession, sf: str) -> DataFrame:
-    return planning.best_cells(result(spark, sf)).select("scope", *r4("score"))
+    """The cell of each scope with the most unmet demand (to 4 decimals), the first on ties."""
+    return planning.best_cells(result(spark, sf), F.round("untreated", 4)).select("scope", "cell_id", "score")
 
 
 @query("O3_site_order", " SELECT scope, site, CAST(row_number() OVER (PARTITION BY scope ORDER BY cases DESC, site) AS INTEGER) AS place FROM cases")
@@ -691,13 +692,53 @@ def u4(spark: SparkSession, sf: str) -> DataFrame:
     return regions.union(named.join(regions, "name", "left_anti").select("kind", "name"))
 
 
-@query("F9_human_numbers", " SELECT k, CASE WHEN x = 0 THEN '0' WHEN x >= 1e6 THEN printf('%.1f M', x / 1e6) WHEN x >= 1e3 THEN printf('%.1f k', x / 1e3) ELSE printf('%.1f', x) END AS label FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 10 = 0 THEN 0.0::DOUBLE ELSE CAST(c_custkey * 1613 - 1601 AS DOUBLE) END AS x FROM customer WHERE c_custkey * 1613 % 100 <> 51) t")
+TENTH = "printf('%.1f', CAST(round(CAST({} AS DECIMAL(30, 9)), 1) AS DOUBLE))"
+
+
+@query("F9_human_numbers", f" SELECT k, CASE WHEN x = 0 THEN '0' WHEN x >= 1e6 THEN {TENTH.format('x / 1e6')} || ' M' WHEN x >= 1e3 THEN {TENTH.format('x / 1e3')} || ' k' ELSE {TENTH.format('x')} END AS label FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 10 = 0 THEN 0.0::DOUBLE ELSE CAST(c_custkey * 1613 - 1601 AS DOUBLE) END AS x FROM customer) t")
 def f9(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
-    rows = fx.table(spark, sf, "customer").where(k * 1613 % 100 != 51)  # no ties of rounding, where engines differ
+    rows = fx.table(spark, sf, "customer")
     return rows.select(k.alias("k"), text.human(F.when(k % 10 == 0, 0.0).otherwise((k * 1613 - 1601).cast("double"))).alias("label"))
 
 
+@query("F6_cell_sizes", f" SELECT c_custkey AS k, edge_km, area_km2 FROM customer LEFT JOIN (VALUES {', '.join(f'({i}, {e!r}::DOUBLE, {a!r}::DOUBLE)' for i, (e, a) in enumerate(zip(geo.EDGE_KM, geo.AREA_KM2, strict=True)))}) AS t(res, edge_km, area_km2) ON c_custkey % 17 = res")
+def f6(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return fx.table(spark, sf, "customer").select(k.alias("k"), *geo.cell_size((k % 17).cast("int")))
+
+
+FLAT = repr(geo.FLATTENING)
+LAMBERT = f""", ab AS (SELECT d.cell_id, f.fac_seq, atan((1 - {FLAT}) * tan(radians(d.lat))) AS p, atan((1 - {FLAT}) * tan(radians(f.lat))) AS q, radians(f.lon) - radians(d.lon) AS l FROM cells d JOIN fac f ON d.scope = f.scope),
+sg AS (SELECT *, 2 * asin(sqrt(least(pow(sin((q - p) / 2), 2) + cos(p) * cos(q) * pow(sin(l / 2), 2), 1.0))) AS s, (p + q) / 2 AS m, (q - p) / 2 AS h FROM ab),
+lam AS (SELECT cell_id, fac_seq, CASE WHEN s = 0 THEN 0.0 ELSE {geo.EQUATOR_KM} * (s - {FLAT} / 2 * ((s - sin(s)) * pow(sin(m) * cos(h), 2) / pow(cos(s / 2), 2) + (s + sin(s)) * pow(cos(m) * sin(h), 2) / pow(sin(s / 2), 2))) END AS km FROM sg)"""
+
+
+@query("F1_geodesic_range", LAMBERT + " SELECT cell_id, fac_seq, round(km, 4) AS km FROM lam WHERE km <= 400.0")
+def f1(spark: SparkSession, sf: str) -> DataFrame:
+    """The range join with the default distance, on the ellipsoid."""
+    return access.pairs_within(fx.cells(spark, sf), fx.facilities(spark, sf), 400.0).select("cell_id", "fac_seq", *r4("km"))
+
+
+SOFT = (ACC + ALLOC).replace("p.km) AS", "p.km) AS").replace("s.cap, CAST(", "s.cap, CASE WHEN p.km <= 600.0 THEN exp(-p.km / 60.0) ELSE 0.0 END AS p, CAST(").replace("AND p.fac_seq = s.fac_seq WHERE p.km <= 200.0)", "AND p.fac_seq = s.fac_seq WHERE p.km <= 600.0)").replace("0.0 ELSE rem * least(", "0.0 ELSE rem * p * least(").replace("i.ring, i.cap,", "i.ring, i.cap, i.p,").replace("THEN 0.0 ELSE w.rem END", "THEN 0.0 ELSE w.rem * i.p END")
+
+
+@query("C3_soft_decay", SOFT + " SELECT cell_id, scope, round(treated, 4) AS treated FROM done")
+def c3_soft(spark: SparkSession, sf: str) -> DataFrame:
+    """Allocation where a facility is offered what is left times the decay of the distance."""
+    rows = model.compute_access(demand_cells(spark, sf), fx.facilities(spark, sf), **OPTIONS | {"model": "exponential", "scale": 60.0})
+    return rows.select("cell_id", "scope", *r4("treated"))
+
+
+@query("P8_sanitised", " SELECT c_custkey AS cell_id, CASE WHEN c_custkey % 5 = 0 OR c_acctbal IS NULL THEN 0.0 ELSE greatest(CAST(c_acctbal AS DOUBLE), 0.0) END AS demand FROM customer")
+def p8(spark: SparkSession, sf: str) -> DataFrame:
+    """Demand that is NaN or negative counts as 0; without facilities all of it is unmet."""
+    raw = F.when(F.col("cell_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("balance"))
+    balance = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("cell_id"), F.col("c_acctbal").cast("double").alias("balance"))
+    rows = model.compute_access(fx.cells(spark, sf).join(balance, "cell_id").withColumn("demand", raw), fx.facilities(spark, sf).limit(0), **OPTIONS)
+    return rows.select("cell_id", F.col("untreated").alias("demand"))
+
+
 @query("F10_next_wednesday", " SELECT o_orderkey AS k, strftime(CAST(o_orderdate AS DATE) + CAST((9 - dayofweek(CAST(o_orderdate AS DATE))) % 7 + 1 AS INTEGER), '%Y-%m-%d 08:00:00') AS departure FROM orders")
 def f10(spark: SparkSession, sf: str) -> DataFrame:
     return fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), text.next_wednesday(F.col("o_orderdate").cast("date")).cast("string").alias("departure"))

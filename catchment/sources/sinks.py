@@ -3,17 +3,34 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary one in a local session."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets one temporary folder; on a cluster that would
+    lose data, so it is an error there."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and spark.sparkContext.master.split("[")[0] != "local":
+    if root:
+        return root.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return (root or "file://" + tempfile.mkdtemp(prefix="spark-kept-")).rstrip("/")
+    root = "file://" + tempfile.mkdtemp(prefix="spark-kept-")
+    spark.conf.set("spark.checkpoint.dir", root)
+    return root
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: what uses it isn't computed again,
+    and survives the loss of executors. A session's tables are in one folder, by its application id."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/catchment-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def keep(df: DataFrame, path: str, **keys: object) -> None:

@@ -165,3 +165,26 @@ def test_actual_fractions_take_the_country_from_the_file_name(spark, tmp_path):
 def test_travel_cap(spark):
     rows = spark.createDataFrame([(8, 30000), (8, 60), (8, None), (4, 99999)], "r int, s int")
     assert [r[0] for r in rows.select(geo.travel_cap(F.col("r"), F.col("s"))).collect()] == [28800, 60, 28800, 36000]
+
+
+def test_waves_equal_grouped_allocation(spark):
+    """Both plans on chains of facilities that share cells, with full and soft decay."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for scope in range(3):
+        for cell in range(40):
+            for fac in rng.choice(12, 4, replace=False):
+                rows.append((scope, 100 * scope + cell, int(fac), int(rng.integers(0, 4)), scope, float(fac % 5), float(cell % 7)))
+    from pyspark.sql import functions as F
+
+    from catchment.operators import allocation
+
+    for soft in (False, True):
+        p = F.exp(-F.col("ring") / 3.0) if soft else F.lit(1.0)
+        pairs = spark.createDataFrame(rows, "scope int, cell_id long, fac_seq long, ring int, s int, capacity double, demand double").withColumn("p", p)
+        one, two = (sorted(map(tuple, allocation.allocate(pairs, n).collect())) for n in (10**6, 0))
+        by_waves = sorted(map(tuple, allocation.allocate_by_waves(pairs).collect()))
+        assert [r[:2] for r in one] == [r[:2] for r in by_waves] == [r[:2] for r in two]
+        assert all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(one, by_waves, strict=True)) and sum(r[2] for r in one) > 0
