@@ -41,7 +41,7 @@ NOISE, BATCH, ROUNDS, RATE = 64, 2048, 2, 0.3
 #: Triples of a part, and parts at most.
 PART_TRIPLES, PARTS = 500_000, 64
 #: Tokens of a run of texts whose triples are counted together; distinct tokens held.
-CHUNK, HELD_TOKENS = 1 << 19, 200_000
+CHUNK, HELD_TOKENS = 1 << 21, 200_000
 FIRST = CONTEXTS  # the context before a text
 
 
@@ -187,6 +187,7 @@ class Bilinear:
         self.q = rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32)
         self.b = np.log(shares).astype(np.float32)
         self.sums = [np.full(x.shape, 1e-3, np.float32) for x in (self.r, self.q, self.b)]
+        self.known = np.full((CONTEXTS + 1) ** 2, np.nan)  # normalisers of contexts
 
     def hidden(self, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
         return self.r[w1] + self.r[CONTEXTS + 1 + w2]
@@ -285,7 +286,7 @@ def triple_counts(rows: DataFrame, lex: Lexicon) -> DataFrame:
         known, context = Tokens(sent.value), sent.value.contexts(np.arange(CLASSES))
         code = [np.zeros(0, np.int64)]
         for batch in batches:
-            for part in text_runs(batch.column(0), CHUNK // 8):
+            for part in text_runs(batch.column(0), 1 << 16):
                 _, _, _, classes, two, one = classed(part, known, context)
                 code.append(coded(two, one, classes))
                 if sum(map(len, code)) >= CHUNK:
@@ -336,6 +337,20 @@ def fit(rows: DataFrame, lex: Lexicon) -> Bilinear:
         found = sorted(mean.collect())  # 4 * (CONTEXTS + 1) + 2 * CLASSES rows, whatever the corpus
         if found:
             model.load(np.array([r[1:] for r in found]))
+    # the normalisers of all contexts met, once; (CONTEXTS + 1)^2 numbers at most
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            code = batch.column(0).to_numpy()
+            norms = np.full(len(model.known), np.nan)
+            model.log10(*np.divmod(code, CONTEXTS + 1), np.zeros(len(code), np.int64), norms)
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(norms[code])], names=["context", "norm"])
+
+    contexts = triples.select(F.floor(F.col("code") / CLASSES).cast("long").alias("context")).distinct()
+    for r in contexts.mapInArrow(normalised, "context long, norm double").collect():
+        model.known[r["context"]] = r["norm"]
     return model
 
 
@@ -352,7 +367,7 @@ def score_common(rows: DataFrame, lex: Lexicon, model: Bilinear) -> DataFrame:
         share = base + shift[lex.kind]  # of a frequent token in its class
         share[1 : NAMED + 1] = 0.0
         base[0] = share[0] = seen[0] = 0
-        norms = np.full((CONTEXTS + 1) ** 2, np.nan)
+        norms = model.known.copy()
         known, context = Tokens(lex), lex.contexts(np.arange(CLASSES))
         for batch in batches:
             at = 0
