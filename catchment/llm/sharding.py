@@ -1,6 +1,6 @@
 """Sharding by fixed virtual slots.
 
-A record's slot is a hash of its doc_id, one of ``SLOTS``. Spark sums bytes and rows
+A record's slot is a hash of its doc_id and text, one of ``SLOTS``. Spark sums bytes and rows
 for each slot; the slot-to-shard map (SLOTS rows, whatever the data) is balanced on the
 driver, stored with its version in the shared folder, and joined to the records. When
 shards are added or sizes drift, the map is edited: as few slots as are needed move, and
@@ -21,7 +21,9 @@ SLOTS = 8192
 
 
 def virtual_slot(slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int")
+    """Slot of a record: by doc_id and text, so that rows without doc_id, or that share one,
+    are dealt out too; only equal rows (a group of copies with one doc_id) share a slot."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(slots)).cast("int")
 
 
 def record_size() -> Column:
@@ -92,8 +94,10 @@ def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS) -> DataFrame:
 
     Law ``bytes``: shard sizes are as near equal as whole slots allow; a record larger than
     a shard's share makes its shard larger. ``slot`` is the record's place in its shard,
-    0 to rows - 1. Repeated rows are records of their own, in one virtual slot; null doc_ids
-    share a slot; a null text has size 1 and the crc32 of nothing, 0. An empty table gives
+    0 to rows - 1. Equal texts (groups) under different doc_ids are records like any other and
+    may go to different shards: the law is about bytes, not groups. Rows that repeat doc_id and
+    text are records of their own, in one virtual slot; null doc_ids are dealt by their texts; a
+    null text has size 1 and the crc32 of nothing, 0. An empty table gives
     no rows. grown_shard is null (only law ``key`` has it).
     """
     sizes = slot_sizes(docs, slots)

@@ -16,7 +16,7 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,21 +62,31 @@ def write_record(kind: str, page_id: int | None, url: str | None, payload: bytes
 
 @dataclass
 class Record:
+    """Headers by lower-case name; ``verified`` is whether what digests the record states hold
+    (True if it states none); ``digest`` is that of the payload read."""
+
     headers: dict[str, str]
     length: int
     payload: bytes
     verified: bool
     offset: int
-    problems: list[str] = field(default_factory=list)
+    digest: str
+
+
+#: Bytes of an HTTP header at most.
+HTTP_HEADER = 1 << 20
 
 
 def read_archive(data: bytes, keep_payload: bool = True) -> Iterator[Record]:
-    """Records in order. Raises ValueError on a broken frame; a wrong digest is marked."""
+    """Records in order. Raises ValueError on a broken frame; a wrong digest is marked.
+
+    The payload of an HTTP message (Content-Type application/http) is what follows its header;
+    of any other record it is the whole block."""
     at = 0
     while at < len(data):
         inflate, begin, fed = zlib.decompressobj(31), at, at
-        held, headers, sha, got, parts, tail = b"", None, hashlib.sha1(), 0, [], b""
-        need = 0
+        held, headers, got, parts, tail, need = b"", None, 0, [], b"", 0
+        block, payload, lead = hashlib.sha1(), hashlib.sha1(), None
         while not inflate.eof:
             chunk = inflate.unconsumed_tail
             if not chunk:
@@ -90,12 +100,19 @@ def read_archive(data: bytes, keep_payload: bool = True) -> Iterator[Record]:
                 lines = held[:end].split(b"\r\n")
                 if not lines[0].startswith(b"WARC/1."):
                     raise ValueError(f"no WARC record at {begin}")
-                headers = {k.decode(): v.decode() for k, _, v in (x.partition(b": ") for x in lines[1:])}
-                need, held = int(headers["Content-Length"]), held[end + 4 :]
+                headers = {k.strip().decode().lower(): v.strip().decode() for k, _, v in (x.partition(b":") for x in lines[1:])}
+                need, held = int(headers["content-length"]), held[end + 4 :]
+                lead = b"" if headers.get("content-type", "").startswith("application/http") else None
             if headers is not None:
                 take, tail_part = held[: need - got], held[need - got :]
-                sha.update(take)
+                block.update(take)
                 got += len(take)
+                if lead is not None:  # the HTTP header isn't over yet
+                    lead += take
+                    take = b""
+                    if (end := lead.find(b"\r\n\r\n")) >= 0 or len(lead) > HTTP_HEADER or got == need:
+                        take, lead = lead[end + 4 if end >= 0 else 0 :], None
+                payload.update(take)
                 if keep_payload:
                     parts.append(take)
                 tail += tail_part
@@ -103,10 +120,12 @@ def read_archive(data: bytes, keep_payload: bool = True) -> Iterator[Record]:
         at = fed - len(inflate.unused_data)
         if headers is None or got != need or tail != b"\r\n\r\n":
             raise ValueError(f"record at {begin} doesn't match its Content-Length")
-        said = headers.get("WARC-Payload-Digest", "").removeprefix("sha1:")
-        own = base64.b32encode(sha.digest()).decode()
-        verified = headers["WARC-Type"] == "revisit" or said == own
-        yield Record(headers, need, b"".join(parts), verified, begin)
+        own = {k: base64.b32encode(x.digest()).decode() for k, x in (("block", block), ("payload", payload))}
+        said = {k: headers.get(f"warc-{k}-digest", "") for k in own}
+        if headers.get("warc-type") == "revisit":  # its payload is elsewhere
+            said["payload"] = ""
+        verified = all(not v.lower().startswith("sha1:") or v[5:].upper() == own[k] for k, v in said.items())
+        yield Record(headers, need, b"".join(parts), verified, begin, own["payload"])
 
 
 def mark_revisits(pages: DataFrame) -> DataFrame:
@@ -148,14 +167,18 @@ def write_archives(records: DataFrame) -> DataFrame:
 
 
 def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
-    """One row for each record of archives (path, content); raises on a wrong digest."""
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, path string, offset long"
+    """One row for each record of archives (path, content); raises on a wrong digest.
+
+    Reads any archive of a gzip member a record: header names of any case, digests that may
+    be missing (payload_digest is then computed), ids that aren't of ``write_record`` (page_id
+    is then null, record_id has them), records without a target. An empty archive has no rows."""
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string, path string, offset long"
     schema += ", payload binary" if payloads else ""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def number(urn: str | None) -> int | None:
         digits = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-        return int(digits) if digits else None
+        return int(digits) if digits.lstrip("-").isdecimal() else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,10 +188,12 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
                     if not r.verified:
                         raise ValueError(f"wrong digest in {path} at {r.offset}")
                     h = r.headers
-                    row = (number(h["WARC-Record-ID"]), int(h["X-Payload-Length"]) if "X-Payload-Length" in h else r.length, h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"], number(h.get("WARC-Refers-To")), h["WARC-Target-URI"], path, r.offset)
+                    said = h.get("warc-payload-digest", "").removeprefix("sha1:") or r.digest
+                    row = (number(h.get("warc-record-id")), int(h.get("x-payload-length", r.length)), said, h.get("warc-type"), number(h.get("warc-refers-to")), h.get("warc-target-uri"), h.get("warc-record-id"), path, r.offset)
                     rows.append((*row, r.payload) if payloads else row)
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names=names)
+                if rows:
+                    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.string()] * 3, pa.int64(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names=names)
 
     return archives.select("path", "content").mapInArrow(run, schema)
 
@@ -176,7 +201,7 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write a record for each row of ``pages`` (page_id, url, html), read the archives back.
 
-    Returns page_id, payload_bytes, payload_digest, record_type, refers_to, url, path, offset.
+    Returns page_id, payload_bytes, payload_digest, record_type, refers_to, url, record_id, path, offset.
     A null html is the empty payload, which counts as equal to others; a null url is empty.
     Of rows that repeat a page_id with the payload's smallest page_id, all are responses.
     A null page_id comes back null; it refers to the smallest other page_id if there is one.

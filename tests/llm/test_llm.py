@@ -496,6 +496,23 @@ def test_warc(spark, tmp_path):
     assert [r.verified for r in warc.read_archive(c.compress(record) + c.flush())] == [False]
 
 
+def test_warc_reads_standard_records(spark):
+    def member(head, body):
+        c = zlib.compressobj(6, zlib.DEFLATED, 31)
+        text = "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + f"Content-Length: {len(body)}\r\n\r\n"
+        return c.compress(text.encode() + body + b"\r\n\r\n") + c.flush()
+
+    html = b"<html>" + b"x" * 200_000
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + html
+    info = member({"WARC-Type": "warcinfo", "WARC-Record-ID": "<urn:uuid:1-2>"}, b"software: x\r\n")
+    good = {"warc-type": "response", "warc-record-id": "<urn:uuid:3-4>", "warc-target-uri": "http://a/", "content-type": "application/http; msgtype=response", "WARC-Payload-Digest": "sha1:" + warc.digest(html), "WARC-Block-Digest": "sha1:" + warc.digest(http)}
+    data = info + member(good, http)
+    rows = warc.read_archives(spark.createDataFrame([("a", bytearray(data)), ("empty", bytearray(b""))], "path string, content binary"), payloads=True).collect()
+    assert [(r["page_id"], r["record_type"], r["url"], r["record_id"]) for r in rows] == [(None, "warcinfo", None, "<urn:uuid:1-2>"), (None, "response", "http://a/", "<urn:uuid:3-4>")]
+    assert bytes(rows[1]["payload"]) == html and rows[1]["payload_digest"] == warc.digest(html)
+    assert [r.verified for r in warc.read_archive(member(good | {"WARC-Block-Digest": "sha1:" + warc.digest(html)}, http))] == [False]
+
+
 # --- 8 -----------------------------------------------------------------------------
 def components(k, percent=80):
     sets = [{tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if (w := words(t)) else set() for t in TEXTS]
@@ -598,6 +615,14 @@ def test_sharding(docs, none):
         assert sorted(r["slot"] for r in rows if r["shard"] == k) == list(range(sum(r["shard"] == k for r in rows)))
 
 
+def test_rows_without_id_are_balanced(spark):
+    rows = [(None if i % 2 else 5, f"text number {i} " * 20) for i in range(3_000)]
+    sizes = Counter()
+    for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        sizes[r["shard"]] += r["size"]
+    assert len(sizes) == 16 and max(sizes.values()) < 1.1 * min(sizes.values())
+
+
 def test_maps_are_balanced_and_edits_are_few():
     sizes = {s: (int(RNG.integers(1, 1000)), 1) for s in range(4096)}
     one = sharding.first_map(sizes, 16, 4096)
