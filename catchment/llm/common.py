@@ -30,12 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and
     survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/catchment/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
