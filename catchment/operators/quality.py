@@ -32,6 +32,11 @@ def repair_places(rows: DataFrame, boxes: DataFrame, gazetteer: DataFrame) -> Da
     return found.select("row", "reason", method.alias("method"), F.coalesce("a.lat", "b.lat").alias("new_lat"), F.coalesce("a.lon", "b.lon").alias("new_lon"))
 
 
+def repair_counts(patch: DataFrame) -> DataFrame:
+    """reason, method, rows: how many places of a patch were bad for what reason, and how they were found."""
+    return patch.groupBy("reason", "method").agg(F.count("*").alias("rows"))
+
+
 def patched(rows: DataFrame, patch: DataFrame) -> DataFrame:
     """``rows`` with the places of a patch (row, new_lat, new_lon); rows that failed keep theirs."""
     out = rows.join(patch.select("row", "new_lat", "new_lon"), "row", "left")

@@ -8,7 +8,9 @@ from pyspark.sql import Window
 
 from catchment.functions.geo import lambert_km
 from catchment.operators.access import pairs_within
+from catchment.operators.cells import snap_target
 from catchment.operators.model import compute_access
+from catchment.operators.summary import stop_tests
 from catchment.sources.sinks import stored
 
 
@@ -18,28 +20,51 @@ def best_cells(result: DataFrame, score: Column | None = None) -> DataFrame:
     return result.groupBy("scope").agg(F.max(row).alias("b")).select("scope", "b.score", (-F.col("b.o")).alias("cell_id"), "b.lat", "b.lon")
 
 
-def place(cells: DataFrame, facilities: DataFrame, steps: int, machines: float, snap_km: float, least: float = 1.0, **options: object) -> DataFrame:
+#: What a step's cell is chosen by: unmet demand, or how far how many people are from a facility.
+SCORES = {"unmet": "untreated", "distance": "coalesce(nearest_km, 0.0) * greatest(population, 0.0)"}
+
+
+def unfinished(result: DataFrame, stop: dict[str, float]) -> DataFrame:
+    """scope of those that none of the rules ``stop`` ends: most_unmet or farthest_km below a
+    value, served at or above one. A scope without any distance isn't ended by farthest_km."""
+    done = F.lit(False)
+    for name, value in stop.items():
+        done = done | F.coalesce(F.col(name) >= value if name == "served" else F.col(name) < value, F.lit(False))
+    return stop_tests(result).where(~done).select("scope")
+
+
+def place(
+    cells: DataFrame, facilities: DataFrame, steps: int, machines: float, snap_km: float, score: str = "unmet", least: float | None = None,
+    stop: dict[str, float] | None = None, minutes: DataFrame | None = None, snap_min: float = 0.0, **options: object,
+) -> DataFrame:
     """scope, step, cell_id, fac_seq, score, treated, gain of each step.
 
-    A step adds ``machines`` at the best cell of each scope whose unmet demand there is
-    ``least`` or more: to the nearest facility within ``snap_km``, or as a new one after
-    all others. The driver holds no rows, only the plan of each step."""
+    A step adds ``machines`` at the best cell by ``score`` (see SCORES) of each scope: to the
+    nearest facility within ``snap_km`` or, by ``minutes`` (cell_id, fac_seq, minutes), within
+    ``snap_min``, else as a new one after all others. A scope ends after ``steps``, when a rule
+    of ``stop`` holds (see unfinished), or when no score reaches ``least`` (unmet: 1, distance:
+    0). Only the scopes that a step changed are computed anew. The driver holds no rows."""
     distance = options.get("distance", lambert_km)
-    cells, now, out = stored(cells, "plan-cells"), facilities.select("scope", "fac_seq", "lat", "lon", "machines"), None
+    least = least if least is not None else 1.0 if score == "unmet" else 0.0
+    if minutes is None:
+        minutes = cells.sparkSession.createDataFrame([], "cell_id long, fac_seq long, minutes double")
+    cells, now = stored(cells, "plan-cells"), facilities.select("scope", "fac_seq", "lat", "lon", "machines")
     result = stored(compute_access(cells, now, **options), "plan-result")
     base = result.groupBy("scope").agg(F.sum("treated").alias("treated"))
-    log = base.select("scope", F.lit(0).alias("step"), F.lit(None).cast("long").alias("cell_id"), F.lit(None).cast("long").alias("fac_seq"), F.lit(None).cast("double").alias("score"), "treated")
-    out = log
+    out = base.select("scope", F.lit(0).alias("step"), F.lit(None).cast("long").alias("cell_id"), F.lit(None).cast("long").alias("fac_seq"), F.lit(None).cast("double").alias("score"), "treated")
     for step in range(1, steps + 1):
-        best = stored(best_cells(result).where(F.col("score") >= least), "plan-best")
-        close = pairs_within(best, now.select("scope", "fac_seq", "lat", "lon"), snap_km, distance)
-        close = close.groupBy("scope").agg(F.min_by("fac_seq", F.struct("km", "fac_seq")).alias("snap"))
+        best = best_cells(result, F.expr(SCORES[score])).where(F.col("score") >= least)
+        best = stored(best.join(unfinished(result, stop or {}), "scope", "left_semi"), "plan-best")
+        if best.isEmpty():
+            break
+        snap = snap_target(best.select("scope", "cell_id", "lat", "lon"), now.select("scope", "fac_seq", "lat", "lon"), snap_km, minutes, snap_min, distance).select("cell_id", F.col("fac_seq").alias("snap"))
         last = now.groupBy("scope").agg(F.max("fac_seq").alias("last"))
-        chosen = stored(best.join(close, "scope", "left").join(last, "scope", "left").select("scope", "cell_id", "score", "lat", "lon", "snap", F.coalesce("snap", F.coalesce("last", F.lit(0)) + 1).alias("fac_seq")), "plan-chosen")
+        chosen = stored(best.join(snap, "cell_id", "left").join(last, "scope", "left").select("scope", "cell_id", "score", "lat", "lon", "snap", F.coalesce("snap", F.coalesce("last", F.lit(0)) + 1).alias("fac_seq")), "plan-chosen")
         more = chosen.select("scope", "fac_seq", F.lit(machines).alias("more"))
-        grown = now.join(more, ["scope", "fac_seq"], "left").withColumn("machines", F.col("machines") + F.coalesce("more", F.lit(0.0))).drop("more")
+        grown = now.join(chosen, "scope", "left_semi").join(more, ["scope", "fac_seq"], "left").withColumn("machines", F.col("machines") + F.coalesce("more", F.lit(0.0)))
         new = chosen.where("snap is null").select("scope", "fac_seq", "lat", "lon", F.lit(machines).alias("machines"))
         now = stored(grown.select("scope", "fac_seq", "lat", "lon", "machines").union(new), "plan-facilities")
+        cells = cells.join(chosen, "scope", "left_semi")
         result = stored(compute_access(cells, now, **options), "plan-result")
         sums = result.groupBy("scope").agg(F.sum("treated").alias("treated"))
         out = out.union(sums.join(chosen, "scope").select("scope", F.lit(step).alias("step"), "cell_id", "fac_seq", "score", "treated"))

@@ -395,8 +395,10 @@ def j9(spark: SparkSession, sf: str) -> DataFrame:
     return quality.scenario(fac, overrides, custom.union(copies), 450.0).select("scope", "fac_seq", "capacity")
 
 
-@query("C16_place_repair", ", b AS (SELECT s_suppkey AS k, s_nationkey AS country, CASE WHEN s_suppkey % 6 = 0 THEN NULL WHEN s_suppkey % 6 = 1 THEN 99.0 ELSE 10.0 END AS lat FROM supplier) SELECT k AS row, CASE WHEN lat IS NULL THEN 'missing' ELSE 'outside' END AS reason, CASE WHEN country % 3 = 0 THEN 'FAILED' WHEN k % 4 = 0 THEN 'name+city+country' ELSE 'city+country' END AS method, CASE WHEN country % 3 = 0 THEN NULL WHEN k % 4 = 0 THEN 2.0 ELSE 1.0 END AS new_lat FROM b WHERE lat IS NULL OR lat > 90")
-def c16(spark: SparkSession, sf: str) -> DataFrame:
+BAD = ", b AS (SELECT s_suppkey AS k, s_nationkey AS country, CASE WHEN s_suppkey % 6 = 0 THEN NULL WHEN s_suppkey % 6 = 1 THEN 99.0 ELSE 10.0 END AS lat FROM supplier), patch AS (SELECT k AS row, CASE WHEN lat IS NULL THEN 'missing' ELSE 'outside' END AS reason, CASE WHEN country % 3 = 0 THEN 'FAILED' WHEN k % 4 = 0 THEN 'name+city+country' ELSE 'city+country' END AS method, CASE WHEN country % 3 = 0 THEN NULL WHEN k % 4 = 0 THEN 2.0 ELSE 1.0 END AS new_lat FROM b WHERE lat IS NULL OR lat > 90)"
+
+
+def repaired(spark: SparkSession, sf: str) -> DataFrame:
     k, c = F.col("s_suppkey"), F.col("s_nationkey").cast("string")
     sup = fx.table(spark, sf, "supplier")
     rows = sup.select(k.alias("row"), c.alias("country"), c.alias("city"), F.col("s_name").alias("name"), F.when(k % 6 == 1, 99.0).when(k % 6 != 0, 10.0).alias("lat"), F.lit(10.0).alias("lon"))
@@ -404,7 +406,17 @@ def c16(spark: SparkSession, sf: str) -> DataFrame:
     good = F.col("s_nationkey") % 3 != 0
     full = sup.where(good & (k % 4 == 0)).select(F.col("s_name").alias("name"), c.alias("city"), c.alias("country"), F.lit(2.0).alias("lat"), F.lit(2.0).alias("lon"))
     town = sup.where(good).select(F.lit(None).cast("string").alias("name"), c.alias("city"), c.alias("country"), F.lit(1.0).alias("lat"), F.lit(1.0).alias("lon"))
-    return quality.repair_places(rows, boxes, full.union(town)).select("row", "reason", "method", "new_lat")
+    return quality.repair_places(rows, boxes, full.union(town))
+
+
+@query("C16_place_repair", BAD + " SELECT * FROM patch")
+def c16(spark: SparkSession, sf: str) -> DataFrame:
+    return repaired(spark, sf).select("row", "reason", "method", "new_lat")
+
+
+@query("C16_repair_counts", BAD + " SELECT reason, method, count(*) AS rows FROM patch GROUP BY reason, method")
+def c16_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.repair_counts(repaired(spark, sf))
 
 
 @query("J8_names", " SELECT n_name AS name, n_nationkey AS source FROM nation")
@@ -600,6 +612,12 @@ def c14(spark: SparkSession, sf: str) -> DataFrame:
     return planning.place(demand_cells(spark, sf), fx.facilities(spark, sf), steps=2, machines=2.0, snap_km=100.0, **OPTIONS)
 
 
+@query("C14_plan_by_distance")
+def c14_distance(spark: SparkSession, sf: str) -> DataFrame:
+    """New places where people have far to go, until no cell is farther than 500 km or four are added."""
+    return planning.place(demand_cells(spark, sf), fx.facilities(spark, sf), 4, 2.0, 20.0, "distance", stop={"farthest_km": 500.0}, minutes=minutes(spark, sf), snap_min=30.0, **OPTIONS)
+
+
 # --- single steps of the model ----------------------------------------------------
 @query("P7_aggregate_rows", " SELECT scope, site, site IN ('PROMO') AS aggregate FROM cases")
 def p7(spark: SparkSession, sf: str) -> DataFrame:

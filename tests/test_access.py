@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from catchment.functions import geo, text
 from catchment.operators import access, allocation, cells, demand, model, quality, summary
+from catchment.plans import planning
 from catchment.sources import readers, sinks
 
 
@@ -188,3 +189,50 @@ def test_waves_equal_grouped_allocation(spark):
         by_waves = sorted(map(tuple, allocation.allocate_by_waves(pairs).collect()))
         assert [r[:2] for r in one] == [r[:2] for r in by_waves] == [r[:2] for r in two]
         assert all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(one, by_waves, strict=True)) and sum(r[2] for r in one) > 0
+
+
+def serial_plan(spark, people, places, steps, machines, snap_km, score, stop, minutes, snap_min, options):
+    """The plan of one scope after the other, in plain Python but for the model and its distance."""
+    km = lambda a, b: 2 * 6371.0088 * math.asin(math.sqrt(math.sin((b[0] - a[0]) / 2) ** 2 + math.cos(a[0]) * math.cos(b[0]) * math.sin((b[1] - a[1]) / 2) ** 2))
+    radians = lambda r: (math.radians(r["lat"]), math.radians(r["lon"]))
+    out = []
+    for scope in sorted({c["scope"] for c in people}):
+        own, fac = [c for c in people if c["scope"] == scope], [dict(f) for f in places if f["scope"] == scope]
+        run = lambda: model.compute_access(spark.createDataFrame(pd.DataFrame(own)), spark.createDataFrame(pd.DataFrame(fac)), **options).toPandas().to_dict("records")  # noqa: B023, E731
+        now = run()
+        out.append((scope, 0, None, None, round(sum(c["treated"] for c in now), 6)))
+        for step in range(1, steps + 1):
+            total = sum(c["demand"] for c in now)
+            tests = {"most_unmet": max(c["untreated"] for c in now), "farthest_km": max(c["nearest_km"] for c in now), "served": sum(c["treated"] for c in now) / total}
+            if any(tests[k] >= v if k == "served" else tests[k] < v for k, v in stop.items()):
+                break
+            worth = {c["cell_id"]: c["untreated"] if score == "unmet" else c["nearest_km"] * c["population"] for c in now}
+            best = min(worth, key=lambda c: (-worth[c], c))
+            if worth[best] < (1.0 if score == "unmet" else 0.0):
+                break
+            at = next(c for c in own if c["cell_id"] == best)
+            close = [(km(radians(at), radians(f)), f["fac_seq"]) for f in fac]
+            close = [x for x in close if x[0] <= snap_km or minutes.get((best, x[1]), math.inf) <= snap_min]
+            if close:
+                seq = min(close)[1]
+                next(f for f in fac if f["fac_seq"] == seq)["machines"] += machines
+            else:
+                seq = max(f["fac_seq"] for f in fac) + 1
+                fac.append({"scope": scope, "fac_seq": seq, "lat": at["lat"], "lon": at["lon"], "machines": machines})
+            now = run()
+            out.append((scope, step, best, seq, round(sum(c["treated"] for c in now), 6)))
+    return out
+
+
+@pytest.mark.parametrize(("score", "stop"), [("unmet", {"served": 0.6, "most_unmet": 40.0}), ("distance", {"farthest_km": 60.0})])
+def test_placement_equals_the_serial_loop(spark, score, stop):
+    rng = np.random.default_rng(7)
+    people = [{"cell_id": i, "scope": 1 + i % 2, "lat": float(a), "lon": float(b), "population": float(1000 + i), "demand": float(d)} for i, (a, b, d) in enumerate(zip(rng.uniform(0, 2, 24), rng.uniform(0, 2, 24), rng.uniform(5, 80, 24), strict=True))]
+    places = [{"scope": 1 + i % 2, "fac_seq": i, "lat": 0.5 * i, "lon": 0.4, "machines": 1.0} for i in range(4)]
+    minutes = {(c["cell_id"], f["fac_seq"]): 20.0 for c in people for f in places if c["scope"] == f["scope"] and c["cell_id"] % 3 == 0}
+    options = {"model": "step", "reach": 50.0, "capacity": 60.0, "resolution": 4, "distance": geo.haversine_km}
+    table = spark.createDataFrame([(*k, v) for k, v in minutes.items()], "cell_id long, fac_seq long, minutes double")
+    plan = planning.place(spark.createDataFrame(pd.DataFrame(people)), spark.createDataFrame(pd.DataFrame(places)), 3, 2.0, 15.0, score, stop=stop, minutes=table, snap_min=25.0, **options)
+    rows = sorted((r["scope"], r["step"], r["cell_id"], r["fac_seq"], round(r["treated"], 6)) for r in plan.collect())
+    assert len(rows) > 2
+    assert rows == serial_plan(spark, people, places, 3, 2.0, 15.0, score, stop, minutes, 25.0, options)
