@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catchment.llm import bpe, decontam, langid, lm, minhash, pii, sharding, suffix_dedup, topk, warc
+from catchment.llm import bpe, decontam, exact_dedup, hard_negatives, langid, lm, minhash, pii, sharding, suffix_dedup, topk, warc, whiten
 from catchment.llm.common import table
 
 
@@ -59,7 +59,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_decontamination, decontamination_proximity, op4_language, op5_lm, op6_topk, op7_warc, op8_minhash, op9_bpe, op10_sharding)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_decontamination, decontamination_proximity, op4_language, op5_lm, op6_topk, op7_warc, op8_minhash, op9_bpe, op10_sharding, op11_whitening, op12_exact_dedup, op13_hard_negatives)}
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 SQL: dict[str, str] = {
     "op3_decontamination": f"""
@@ -95,4 +107,16 @@ v AS (SELECT vec_id, i, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM
 s AS (SELECT q.vec_id AS query_id, o.vec_id, sum(q.x * o.x) AS score FROM v q JOIN v o ON q.i = o.i AND q.vec_id <> o.vec_id WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, o.vec_id),
 r AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 5""",
+    "op12_exact_dedup": """
+WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h FROM documents),
+g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY h)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, t.h AS text_sha256 FROM t JOIN g ON g.h = t.h""",
+    "op13_hard_negatives": """
+WITH c AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings),
+bad AS (SELECT DISTINCT vec_id FROM c WHERE x IS NULL OR NOT isfinite(x)),
+v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, i, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM c WHERE vec_id IS NOT NULL AND label IS NOT NULL AND vec_id NOT IN (SELECT vec_id FROM bad WHERE vec_id IS NOT NULL)),
+s AS (SELECT q.vec_id AS a, o.vec_id AS b, q.label = o.label AS same, sum(q.x * o.x) AS score FROM v q JOIN v o ON q.i = o.i AND q.vec_id <> o.vec_id WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, o.vec_id, q.label = o.label),
+p AS (SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM s WHERE same),
+n AS (SELECT p.a, p.b, p.score AS ps, s.b AS n, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS rank FROM p JOIN s ON s.a = p.a WHERE p.r <= 5 AND NOT same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT a AS anchor_id, b AS positive_id, CAST(rank AS INTEGER) AS rank, n AS negative_id, CAST(ps AS BIGINT) AS positive_score, CAST(ns AS BIGINT) AS negative_score FROM n WHERE rank <= 3""",
 }
