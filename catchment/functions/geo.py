@@ -62,6 +62,21 @@ def cell_size(resolution: Column) -> list[Column]:
     return [F.get(F.array(*map(F.lit, x)), resolution).alias(name) for x, name in ((EDGE_KM, "edge_km"), (AREA_KM2, "area_km2"))]
 
 
+def polygon_km2(boundary: Column) -> Column:
+    """Area of a convex cell on the sphere from its corners (array of lat, lon structs, in order):
+    the excesses of the triangles that its first corner makes with each side."""
+    corners = F.transform(boundary, lambda p: F.array(*unit_vector(p["lat"], p["lon"])))
+    dot = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+    def excess(a: Column, b: Column, c: Column) -> Column:
+        volume = a[0] * (b[1] * c[2] - b[2] * c[1]) + a[1] * (b[2] * c[0] - b[0] * c[2]) + a[2] * (b[0] * c[1] - b[1] * c[0])
+        return 2 * F.atan2(F.abs(volume), 1 + dot(a, b) + dot(b, c) + dot(c, a))
+
+    sides = F.sequence(F.lit(2), F.greatest(F.size(boundary) - 1, F.lit(2)))
+    parts = F.transform(sides, lambda i: excess(F.get(corners, F.lit(0)), F.get(corners, i - 1), F.get(corners, i)))
+    return F.when(F.size(boundary) > 2, EARTH_KM**2 * F.aggregate(parts, F.lit(0.0), lambda s, e: s + e))
+
+
 def h3_number(text: Column) -> Column:
     return F.conv(text, 16, 10).cast("decimal(20,0)").cast("long")
 
@@ -78,8 +93,12 @@ def h3_parent(cell: Column, resolution: int) -> Column:
     return F.when(h3_resolution(cell) >= resolution, parent)
 
 
+def unit_vector(lat: Column, lon: Column) -> list[Column]:
+    """x, y, z of a point on the unit sphere."""
+    a, b = F.radians(lat), F.radians(lon)
+    return [F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)]
+
+
 def cube(lat: Column, lon: Column, radius_km: float) -> list[Column]:
     """Cube of the unit sphere that a point lies in, for pairs within ``radius_km``."""
-    side = radius_km / LEAST_RADIUS_KM
-    a, b = F.radians(lat), F.radians(lon)
-    return [F.floor(v / side) for v in (F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a))]
+    return [F.floor(v / (radius_km / LEAST_RADIUS_KM)) for v in unit_vector(lat, lon)]

@@ -2,9 +2,13 @@
 
 Only the order inside a scope matters, so scopes are independent. There are two plans with
 the same result. Grouped: a scope is a task, its state one number a cell, its pairs streamed
-in facility order. Waves, for scopes whose pairs would be too many for a task: a facility is
-ready once no earlier one that still waits shares a cell with it; all that are ready serve in
-one step of joins and sums, whatever their scope."""
+in facility order. Waves, for scopes whose pairs would be too many for a task: a facility's wave
+is one more than the last wave of any earlier facility that shares a cell with it, so
+facilities of a wave don't compete and serve in one step of joins and sums, whatever their
+scope. Waves are numbered first, from the order of facilities in each cell; each wave then reads
+its own pairs and the demand that earlier waves left for them, and passes on what it leaves to
+the wave of each cell's next facility. Every pair is written and read once more, however many
+waves there are."""
 
 from __future__ import annotations
 
@@ -14,9 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from catchment.sources.sinks import stored
+from catchment.sources.sinks import new_path, stored
 
 SCHEMA = "cell_id long, treated double"
+#: Pairs of a scope up to which it is one task.
+TASK_PAIRS = 5_000_000
 
 
 def allocate_scope(pairs: pd.DataFrame) -> pd.DataFrame:
@@ -40,16 +46,13 @@ def allocate_scope(pairs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"cell_id": cells, "treated": np.minimum(start - left, start)})
 
 
-#: Pairs of a scope up to which it is one task.
-TASK_PAIRS = 5_000_000
-
-
 def allocate(pairs: DataFrame, task_pairs: int = TASK_PAIRS) -> DataFrame:
-    """scope, cell_id, treated from (scope, cell_id, fac_seq, ring, p, capacity, demand) with p > 0.
+    """scope, cell_id, treated from (scope, cell_id, fac_seq, ring, p, capacity, demand) with p > 0,
+    which should be a stored table: it is read more than once.
 
     Facilities without capacity serve nobody; cells out of all ranges have no row. Scopes of
     more than ``task_pairs`` pairs go by waves."""
-    pairs = stored(pairs.select("scope", "cell_id", "fac_seq", "ring", "p", "capacity", "demand"), "allocation-pairs")
+    pairs = pairs.select("scope", "cell_id", "fac_seq", "ring", "p", "capacity", "demand")
     large = stored(pairs.groupBy("scope").agg(F.count("*").alias("n")).where(F.col("n") > task_pairs).select("scope"), "large-scopes")
     kind = pairs.schema["scope"].dataType.simpleString()
     if large.isEmpty():
@@ -64,31 +67,68 @@ def with_scope(pairs: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def allocate_by_waves(pairs: DataFrame) -> DataFrame:
-    """``allocate`` in DataFrame operations alone. As many steps as the longest chain of
-    facilities that share cells; what is left of each cell's demand is stored after each."""
-    key = ["scope", "cell_id"]
-    start = stored(pairs.groupBy(*key).agg(F.max("demand").alias("demand")), "wave-start")
-    left = start.withColumnRenamed("demand", "left")
-    waiting = stored(pairs.where("capacity > 0").drop("demand").withColumn("fac_seq", F.struct("scope", "fac_seq")), "wave-pairs")
-    while not waiting.isEmpty():
-        head = waiting.groupBy(*key).agg(F.min("fac_seq").alias("head"))
-        ready = waiting.join(head, key).groupBy("fac_seq").agg(F.min(F.col("fac_seq") == F.col("head")).alias("ready")).where("ready").select("fac_seq")
-        ready = stored(ready, "wave-ready")
-        now = waiting.join(ready, "fac_seq", "left_semi").join(left, key).withColumn("demand", F.col("left"))
-        served = wave(now).select(F.col("fac_seq.scope").alias("scope"), "cell_id", "served")
-        left = stored(left.join(served, key, "left").select(*key, (F.col("left") - F.coalesce("served", F.lit(0.0))).alias("left")), "wave-left")
-        waiting = stored(waiting.join(ready, "fac_seq", "left_anti"), "wave-pairs")
-    return start.join(left, key).select(*key, F.least(F.col("demand") - F.col("left"), F.col("demand")).alias("treated"))
+def wave_numbers(chains: DataFrame) -> DataFrame:
+    """scope, fac_seq, wave (from 0) of ``chains`` (scope, fac_seq, next: the facility after it in
+    some cell, or null).
+
+    A facility's wave is the length of the longest chain of facilities before it. The facility
+    after in a cell is enough: what lies further on in the cell comes after that one. Each round
+    numbers the facilities of whose predecessors none is left and strikes them out; it reads
+    links between facilities, not pairs."""
+    links = stored(chains.where("next is not null").select("scope", "fac_seq", "next").distinct(), "wave-links")
+    waits = links.groupBy("scope", F.col("next").alias("fac_seq")).agg(F.count("*").alias("waits"))
+    rest = stored(chains.select("scope", "fac_seq").distinct().join(waits, ["scope", "fac_seq"], "left").fillna(0, ["waits"]), "wave-rest")
+    out, number = None, 0
+    while True:
+        ready = stored(rest.where("waits = 0").select("scope", "fac_seq", F.lit(number).alias("wave")), "wave-ready")
+        out = ready if out is None else out.union(ready)
+        struck = links.join(ready, ["scope", "fac_seq"], "left_semi").groupBy("scope", F.col("next").alias("fac_seq")).agg(F.count("*").alias("struck"))
+        rest = rest.where("waits > 0").join(struck, ["scope", "fac_seq"], "left")
+        rest = stored(rest.select("scope", "fac_seq", (F.col("waits") - F.coalesce("struck", F.lit(0))).alias("waits")), "wave-rest")
+        number += 1
+        if rest.isEmpty():
+            return stored(out, "wave-numbers")
 
 
-def wave(pairs: DataFrame) -> DataFrame:
-    """cell_id, fac_seq, served of facilities that don't compete: ``pairs`` (fac_seq, cell_id,
-    ring, p, capacity, demand) where each cell has one facility."""
-    offered = F.col("demand") * F.col("p")
-    sums = pairs.groupBy("fac_seq", "ring").agg(F.sum(offered).alias("total"), F.max("capacity").alias("cap"))
-    order = Window.partitionBy("fac_seq").orderBy("ring")
+def allocate_by_waves(pairs: DataFrame) -> DataFrame:
+    """``allocate`` in DataFrame operations alone, a step for each wave."""
+    key, spark = ["scope", "cell_id"], pairs.sparkSession
+    chain = Window.partitionBy(*key).orderBy("fac_seq")
+    able = pairs.where("capacity > 0").withColumn("next", F.lead("fac_seq").over(chain))
+    able = stored(able.select(*key, "fac_seq", "next", "ring", "p", "capacity", "demand"), "wave-chains")
+    if able.isEmpty():
+        return pairs.select(*key, F.lit(0.0).alias("treated")).distinct()
+    waves = wave_numbers(able)
+    then = waves.select("scope", F.col("fac_seq").alias("next"), F.col("wave").alias("next_wave"))
+    by_wave, inbox = new_path(spark, "wave-pairs"), new_path(spark, "wave-inbox")
+    staged = able.join(waves, ["scope", "fac_seq"]).join(then, ["scope", "next"], "left").drop("next").fillna(-1, ["next_wave"])
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    staged.repartition("wave", F.pmod(F.xxhash64(*key), F.lit(files))).write.partitionBy("wave").parquet(by_wave)
+    shape = staged.drop("wave").schema
+    kind = f"scope {shape['scope'].dataType.simpleString()}, cell_id long, left double"
+    for number in range(waves.agg(F.max("wave")).first()[0] + 1):
+        now = spark.read.schema(shape).parquet(f"{by_wave}/wave={number}")
+        if number:
+            come = spark.read.schema(kind).parquet(f"{inbox}/next_wave={number}")
+            now = now.join(come, key, "left").withColumn("demand", F.coalesce("left", "demand")).drop("left")
+        left = wave(now).select(*key, (F.col("demand") - F.col("served")).alias("left"), "next_wave")
+        left.write.mode("append").partitionBy("next_wave").parquet(inbox)
+    end = spark.read.schema(kind).parquet(f"{inbox}/next_wave=-1")  # one row a cell
+    start = pairs.groupBy(*key).agg(F.max("demand").alias("demand"))
+    return start.join(end, key, "left").select(*key, F.least(F.col("demand") - F.coalesce("left", "demand"), F.col("demand")).alias("treated"))
+
+
+def ring_parts(pairs: DataFrame) -> DataFrame:
+    """scope, fac_seq, ring, part: what share of a ring's offered demand a facility serves."""
+    sums = pairs.groupBy("scope", "fac_seq", "ring").agg(F.sum(F.col("demand") * F.col("p")).alias("total"), F.max("capacity").alias("cap"))
+    order = Window.partitionBy("scope", "fac_seq").orderBy("ring")  # a facility's rings: as many as its range is wide
     before = F.coalesce(F.sum("total").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     part = F.when(F.col("total") > 0, F.least(F.lit(1.0), F.greatest(F.col("cap") - before, F.lit(0.0)) / F.col("total"))).otherwise(0.0)
-    rings = sums.select("fac_seq", "ring", part.alias("part"))
-    return pairs.join(rings, ["fac_seq", "ring"]).select("cell_id", "fac_seq", (offered * F.col("part")).alias("served"))
+    return sums.select("scope", "fac_seq", "ring", part.alias("part"))
+
+
+def wave(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (scope, fac_seq, cell_id, ring, p, capacity, demand) with served, of facilities
+    that don't compete: each cell has one facility."""
+    rows = pairs.join(ring_parts(pairs), ["scope", "fac_seq", "ring"])
+    return rows.withColumn("served", F.col("demand") * F.col("p") * F.col("part")).drop("part")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from catchment.functions.geo import decay, lambert_km, ring
-from catchment.operators.access import Distance, geographic_access, nearest, pairs_within
-from catchment.operators.allocation import allocate
+from catchment.operators.access import KEY, Distance, geographic_access, named, nearest, pairs_within, with_km, with_scope
+from catchment.operators.allocation import TASK_PAIRS, allocate
+from catchment.operators.cells import merged_minutes, snapped_facilities
 from catchment.sources.sinks import stored
 
 CAPACITY = 450.0
@@ -18,38 +21,72 @@ def range_km(model: str, scale: float, cutoff: float | None, reach: float) -> fl
     return {"step": reach, "uniform": 20_100.0}.get(model, 10 * scale if cutoff is None else cutoff)
 
 
-def compute_access(
+class Inputs(NamedTuple):
+    """What the model is computed from, stored: ``cells`` (scope, cell_id, lat, lon, population,
+    demand), ``facilities`` (scope, fac_seq, lat, lon, machines), and ``pairs`` in range (scope,
+    cell_id, fac_seq, km, p, ring, demand); ``times`` (scope, cell_id, fac_seq, minutes), if given."""
+
+    cells: DataFrame
+    facilities: DataFrame
+    pairs: DataFrame
+    times: DataFrame | None
+
+
+def prepared(
     cells: DataFrame, facilities: DataFrame, model: str = "exponential", scale: float = 30.0, shape: float = 2.0, cutoff: float | None = None,
-    reach: float = 50.0, capacity: float = CAPACITY, resolution: int = 8, distance: Distance = lambert_km, minutes: DataFrame | None = None,
-) -> DataFrame:
-    """``cells`` (cell_id, scope, lat, lon, population, demand) with access, with_access, treated,
-    untreated, served and, by distance, nearest_km.
-
-    ``minutes`` (cell_id, fac_seq, minutes; a missing row is out of reach) drive the
-    probability in place of km; rings stay those of the distance. Population and demand that
-    are null, NaN or negative count as 0."""
+    reach: float = 50.0, resolution: int = 8, distance: Distance = lambert_km, minutes: DataFrame | None = None, snap: bool = False,
+) -> Inputs:
+    """Clean cells, facilities (snapped to their cells and merged, if asked) and the pairs in range.
+
+    Population and demand that are null, NaN or negative count as 0."""
     positive = {c: F.when(F.nanvl(F.col(c), F.lit(0.0)) > 0, F.col(c)).otherwise(0.0) for c in ("population", "demand")}
     cells = stored(cells.withColumns(positive), "access-cells")
+    minutes = minutes if minutes is None else with_scope(minutes, facilities)
+    if snap:
+        facilities, moved = snapped_facilities(facilities, cells, distance)
+        minutes = minutes if minutes is None else merged_minutes(minutes, moved)
+    fac = stored(facilities.select("scope", "fac_seq", "lat", "lon", "machines"), "access-facilities")
     options = {"model": model, "scale": scale, "shape": shape, "cutoff": cutoff, "reach": reach}
+    places, times = cells.select(*KEY, "lat", "lon", "demand"), None
     if minutes is None:
-        pairs = pairs_within(cells, facilities, range_km(model, scale, cutoff, reach), distance)
+        pairs = pairs_within(places, fac, range_km(model, scale, cutoff, reach), distance)
         p = decay(F.col("km"), **options)
     else:
-        reached = minutes.groupBy("cell_id", "fac_seq").agg(F.min("minutes").alias("minutes"))
-        far = facilities.withColumnsRenamed({"lat": "f_lat", "lon": "f_lon"}).drop("scope")
-        pairs = cells.join(reached, "cell_id").join(far, "fac_seq")
-        pairs = pairs.withColumn("km", distance(F.col("lat"), F.col("lon"), F.col("f_lat"), F.col("f_lon")))
+        times = stored(minutes.groupBy(*KEY, "fac_seq").agg(F.min("minutes").alias("minutes")), "access-times")
+        pairs = with_km(places.join(times, KEY).join(named(fac), ["scope", "fac_seq"]), distance)
         p = decay(F.col("minutes"), **options)
-    pairs = stored(pairs.withColumn("p", p).where("p > 0"), "access-pairs")
-    out = geographic_access(cells, pairs, F.col("p"))
-    served = allocate(pairs.where("machines > 0").select("scope", "cell_id", "fac_seq", ring(F.col("km"), resolution).alias("ring"), "p", (F.col("machines") * capacity).alias("capacity"), "demand"))
-    out = out.join(served, ["scope", "cell_id"], "left").fillna(0.0, ["treated"]).withColumn("untreated", F.col("demand") - F.col("treated"))
+    pairs = pairs.select(*KEY, "fac_seq", "km", p.alias("p"), ring(F.col("km"), resolution).alias("ring"), "demand").where("p > 0")
+    return Inputs(cells, fac, stored(pairs, "access-pairs"), times)
+
+
+def served_demand(pairs: DataFrame, facilities: DataFrame, capacity: float = CAPACITY, task_pairs: int = TASK_PAIRS) -> DataFrame:
+    """scope, cell_id, treated of the cells that some facility with machines reaches."""
+    able = facilities.where("machines > 0").select("scope", "fac_seq", (F.col("machines") * capacity).alias("capacity"))
+    return allocate(pairs.join(able, ["scope", "fac_seq"]), task_pairs)
+
+
+def compute_access(cells: DataFrame, facilities: DataFrame, model: str = "exponential", scale: float = 30.0, capacity: float = CAPACITY, **options: object) -> DataFrame:
+    """``cells`` (scope, cell_id, lat, lon, population, demand) with access, with_access, treated,
+    untreated, served and nearest_km; with ``minutes`` also nearest_min.
+
+    A cell that several scopes hold is a row of each, and meets that scope's facilities only.
+    ``minutes`` (scope, cell_id, fac_seq, minutes; scope may be left out if each fac_seq is of
+    one; a missing row is out of reach, the least of repeated ones counts) drive the probability in place of km; rings stay those of the distance.
+    ``snap`` moves facilities to the centres of their cells and merges those of one cell, minutes
+    too. Other options are those of ``prepared``."""
+    inputs = prepared(cells, facilities, model, scale, **options)
+    return assembled(inputs, served_demand(inputs.pairs, inputs.facilities, capacity), options.get("distance", lambert_km))
+
+
+def assembled(inputs: Inputs, treated: DataFrame, distance: Distance = lambert_km) -> DataFrame:
+    out = geographic_access(inputs.cells, inputs.pairs, F.col("p")).join(treated, KEY, "left").fillna(0.0, ["treated"])
+    out = out.withColumn("untreated", F.col("demand") - F.col("treated"))
     out = out.withColumn("served", F.when(F.col("demand") > 0, F.col("treated") / F.col("demand")).otherwise(0.0))
-    if minutes is None:
-        out = out.join(nearest(cells, facilities, distance=distance).select("cell_id", "nearest_km"), "cell_id", "left")
-    else:
-        out = out.join(minutes.groupBy("cell_id").agg(F.min("minutes").alias("nearest_min")), "cell_id", "left")
-    return out
+    out = out.join(nearest(inputs.cells, inputs.facilities, distance).select(*KEY, "nearest_km"), KEY, "left")
+    if inputs.times is None:
+        return out
+    reached = inputs.times.join(inputs.facilities.select("scope", "fac_seq"), ["scope", "fac_seq"], "left_semi")
+    return out.join(reached.groupBy(*KEY).agg(F.min("minutes").alias("nearest_min")), KEY, "left")
 
 
 def statistics(result: DataFrame, facilities: DataFrame, capacity: float = CAPACITY) -> DataFrame:
@@ -83,14 +120,16 @@ def skip_reasons(countries: DataFrame, cells: DataFrame, cases: DataFrame, facil
     return rows.select("name", reason.alias("reason")).where("reason is not null")
 
 
-def best_of_border(result: DataFrame, key: str, value: str = "access") -> DataFrame:
+def best_of_border(result: DataFrame, *key: str, value: str = "access") -> DataFrame:
     """One row for each ``key`` that several scopes hold: that with the highest value, then the first scope."""
-    order = Window.partitionBy(key).orderBy(F.desc(value), "scope")
+    order = Window.partitionBy(*key).orderBy(F.desc(value), "scope")  # as many rows as scopes that share a cell
     return result.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
 def region_statistics(result: DataFrame, stats: DataFrame, countries: DataFrame, key: str = "cell_id") -> DataFrame:
-    """Totals of countries by region; people with access after border cells are counted once."""
-    before = stats.join(countries.select("scope", "region"), "scope").groupBy("region").agg(*[F.sum(c).alias(c) for c in ("demand", "treated", "machines")])
-    after = best_of_border(result, key).join(countries.select("scope", "region"), "scope").groupBy("region").agg(F.sum("population").alias("population"), F.sum("with_access").alias("with_access"))
+    """Totals of countries by region; people with access after cells that several countries of
+    the region hold are counted once."""
+    member = countries.select("scope", "region")
+    before = stats.join(member, "scope").groupBy("region").agg(*[F.sum(c).alias(c) for c in ("demand", "treated", "machines")])
+    after = best_of_border(result.join(member, "scope"), "region", key).groupBy("region").agg(F.sum("population").alias("population"), F.sum("with_access").alias("with_access"))
     return before.join(after, "region")

@@ -6,33 +6,97 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-
-def distance_summary(result: DataFrame) -> DataFrame:
+from catchment.sources.sinks import stored
+
+
+#: Buckets that a range is cut into; rows of a bucket that are sorted in one task.
+BUCKETS, FEW = 1024, 10_000
+#: Rounds after which a range of doubles can't be cut any further.
+ROUNDS = 20
+
+
+def magnitude(v: Column) -> Column:
+    """A number that rises with v, by equal steps for equal ratios."""
+    return F.when(v == 0, 0.0).otherwise(F.signum(v) * (F.log(F.abs(v)) + 746))  # the least double is e^-744.4
+
+
+def first_reaching(rows: DataFrame, needs: DataFrame, few: int = FEW) -> DataFrame:
+    """scope, need, value: the least value of the scope at which the running sum of weights, by
+    rising value, reaches ``need`` (the greatest value if rounding keeps the sum below it).
+
+    ``rows`` is a stored table (scope, v, w), v not null, w at least 0; ``needs`` (scope, need) has
+    a few rows a scope. Each round cuts the range that an answer lies in into BUCKETS, of equal
+    width and of equal ratio by turns, and goes on with the one where the sum passes the need,
+    for all scopes in one job; a bucket of ``few`` rows or one value ends it. So no task sorts more
+    than a bucket, however large a scope is, and rounds are few however values are spread."""
+    ends = rows.groupBy("scope").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    key = ["scope", "need"]
+    open_ = stored(needs.distinct().join(ends, "scope").withColumn("before", F.lit(0.0)), "select-open")
+    wide = (F.col("n") > few) & (F.col("lo") < F.col("hi"))
+    for turn in range(ROUNDS):
+        if open_.where(wide).isEmpty():
+            break
+        v, lo, hi = (F.col(c) if turn % 2 == 0 else magnitude(F.col(c)) for c in ("v", "lo", "hi"))
+        width = (hi - lo) / BUCKETS
+        bucket = F.when(width > 0, F.least(F.floor((v - lo) / width), F.lit(BUCKETS - 1))).otherwise(0)
+        inside = rows.join(open_.where(wide), "scope").where(F.col("v").between(F.col("lo"), F.col("hi")))
+        sums = inside.groupBy(*key, "before", bucket.alias("bucket")).agg(F.sum("w").alias("w"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+        up = Window.partitionBy(*key).orderBy("bucket")  # BUCKETS rows
+        run = F.col("before") + F.sum("w").over(up)
+        sums = sums.withColumn("run", run).withColumn("last", F.max("bucket").over(Window.partitionBy(*key)))
+        hit = sums.where((F.col("run") >= F.col("need")) | (F.col("bucket") == F.col("last")))
+        pick = hit.groupBy(*key).agg(F.min(F.struct("bucket", "lo", "hi", "n", (F.col("run") - F.col("w")).alias("before"))).alias("b"))
+        pick = pick.select(*key, "b.lo", "b.hi", "b.n", "b.before")
+        open_ = stored(open_.where(~wide).select(*pick.columns).union(pick), "select-open")
+    inside = rows.join(open_, "scope").where(F.col("v").between(F.col("lo"), F.col("hi")))
+    sums = inside.groupBy(*key, "before", "hi", "v").agg(F.sum("w").alias("w"))
+    run = F.col("before") + F.sum("w").over(Window.partitionBy(*key).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))  # ``few`` rows
+    reached = sums.withColumn("run", run).where((F.col("run") >= F.col("need")) | (F.col("v") == F.col("hi")))
+    return reached.groupBy(*key).agg(F.min("v").alias("value"))
+
+
+def quantiles(rows: DataFrame, value: str, named: dict[str, float], few: int = FEW) -> DataFrame:
+    """scope, and a column for each of ``named``: the exact quantile of the values that aren't
+    null, between two by linear interpolation. Scopes without any have no row."""
+    data = stored(rows.where(F.col(value).isNotNull()).select("scope", F.col(value).cast("double").alias("v"), F.lit(1.0).alias("w")), "select-rows")
+    count = stored(data.groupBy("scope").agg(F.count("*").alias("n")), "select-count")
+    low = {k: F.floor(q * (F.col("n") - 1)).cast("double") + 1 for k, q in named.items()}
+    high = {k: F.ceil(q * (F.col("n") - 1)).cast("double") + 1 for k, q in named.items()}
+    needs = count.select("scope", F.explode(F.array(*low.values(), *high.values())).alias("need"))
+    found = first_reaching(data, needs, few).join(count, "scope")
+    at = lambda need: F.max(F.when(F.col("need") == need, F.col("value")))
+    sides = [c for k in named for c in (at(low[k]).alias(f"lo_{k}"), at(high[k]).alias(f"hi_{k}"))]
+    wide = found.groupBy("scope", "n").agg(*sides)
+    return wide.select("scope", *[(F.col(f"lo_{k}") + (F.col(f"hi_{k}") - F.col(f"lo_{k}")) * (q * (F.col("n") - 1) - F.floor(q * (F.col("n") - 1)))).alias(k) for k, q in named.items()])
+
+
+def distance_summary(result: DataFrame, few: int = FEW) -> DataFrame:
     """scope, median_km, p95_km, mean_km (weighted by population), and what is out of reach."""
+    rows = stored(result.select("scope", "nearest_km", "population"), "summary-rows")
     known = F.col("nearest_km").isNotNull()
     pop = F.when(known, F.col("population"))
-    return result.groupBy("scope").agg(
-        F.median("nearest_km").alias("median_km"), F.percentile("nearest_km", 0.95).alias("p95_km"), (F.sum(F.col("nearest_km") * pop) / F.sum(pop)).alias("mean_km"),
-        F.count_if(~known).alias("unreached_cells"), F.coalesce(F.sum(F.when(~known, F.col("population"))), F.lit(0.0)).alias("unreached_population"),
+    sums = rows.groupBy("scope").agg(
+        (F.sum(F.col("nearest_km") * pop) / F.sum(pop)).alias("mean_km"), F.count_if(~known).alias("unreached_cells"),
+        F.coalesce(F.sum(F.when(~known, F.col("population"))), F.lit(0.0)).alias("unreached_population"),
     )
+    parts = quantiles(rows, "nearest_km", {"median_km": 0.5, "p95_km": 0.95}, few)
+    return sums.join(parts, "scope", "left").select("scope", "median_km", "p95_km", "mean_km", "unreached_cells", "unreached_population")
 
 
-def weighted_median(rows: DataFrame, value: str, weight: str) -> DataFrame:
-    """scope, median: the first value where the running weight reaches half.
-
-    Weights are summed by value first, so the running sum is over distinct values."""
-    sums = rows.where(F.col(value).isNotNull()).groupBy("scope", value).agg(F.sum(weight).alias("w"))
-    run = F.sum("w").over(Window.partitionBy("scope").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    total = sums.groupBy("scope").agg(F.sum("w").alias("total"))
-    return sums.withColumn("run", run).join(total, "scope").where("run >= 0.5 * total").groupBy("scope").agg(F.min(value).alias("median"))
+def weighted_median(rows: DataFrame, value: str, weight: str, few: int = FEW) -> DataFrame:
+    """scope, median: the first value where the running weight reaches half."""
+    data = stored(rows.where(F.col(value).isNotNull()).select("scope", F.col(value).cast("double").alias("v"), F.col(weight).cast("double").alias("w")), "select-rows")
+    needs = data.groupBy("scope").agg((0.5 * F.sum("w")).alias("need"))
+    return first_reaching(data, needs, few).select("scope", F.col("value").alias("median"))
 
 
 def histogram(rows: DataFrame, value: str, bins: int, weight: str | None = None) -> DataFrame:
     """bin (0 to bins - 1, of equal width from least to greatest), amount; empty bins have no row."""
-    ends = rows.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))  # one row
-    width = (F.col("hi") - F.col("lo")) / bins
-    bin_ = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0)).cast("long")
-    return rows.where(F.col(value).isNotNull()).join(F.broadcast(ends)).groupBy(bin_.alias("bin")).agg((F.count("*") if weight is None else F.sum(weight)).alias("amount"))
+    data = stored(rows.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), (F.lit(1) if weight is None else F.col(weight)).alias("w")), "histogram-rows")
+    lo, hi = data.agg(F.min("v"), F.max("v")).first()  # two numbers
+    width = 0.0 if lo is None else (hi - lo) / bins
+    bin_ = F.least(F.floor((F.col("v") - lo) / width), F.lit(bins - 1)) if width > 0 else F.lit(0)
+    return data.groupBy(bin_.cast("long").alias("bin")).agg((F.count("*") if weight is None else F.sum("w")).alias("amount"))
 
 
 def capacity_gap(stats: DataFrame, optimal: DataFrame, proportional: DataFrame, capacity: float, per_million: float = 5.0) -> DataFrame:
@@ -74,9 +138,28 @@ def extent(cells: DataFrame) -> DataFrame:
     return cells.groupBy("scope").agg(F.greatest(high, wide).alias("extent_km"))
 
 
-def display_range(rows: DataFrame, distance: str, count: str) -> DataFrame:
+def display_range(rows: DataFrame, distance: str, count: str, few: int = FEW) -> DataFrame:
     """scope, p95_km, low, high: where the scales of a distance and of a count end."""
-    return rows.groupBy("scope").agg(F.percentile(distance, 0.95).alias("p95_km"), F.greatest(F.min(count), F.lit(1e-3)).alias("low"), F.max(count).alias("high"))
+    data = stored(rows.select("scope", distance, count), "summary-rows")
+    ends = data.groupBy("scope").agg(F.greatest(F.min(count), F.lit(1e-3)).alias("low"), F.max(count).alias("high"))
+    return ends.join(quantiles(data, distance, {"p95_km": 0.95}, few), "scope", "left").select("scope", "p95_km", "low", "high")
+
+
+#: What a map can show: column, whether it is a count (range from 0 to its greatest value, and
+#: may be shown by area) or a share (0 to 1).
+METRICS = {"deficit": ("untreated", True), "treated": ("treated", True), "demand": ("demand", True), "served": ("served", False), "access": ("access", False)}
+
+
+def displayed(result: DataFrame, metric: str, area_km2: Column | None = None) -> DataFrame:
+    """scope, cell_id, value, low, high of one of METRICS; counts per 10 square km if
+    ``area_km2`` is given."""
+    column, count = METRICS[metric]
+    value = F.col(column) if area_km2 is None or not count else per_area(F.col(column), area_km2)
+    rows = result.select("scope", "cell_id", value.alias("value"))
+    if not count:
+        return rows.withColumns({"low": F.lit(0.0), "high": F.lit(1.0)})
+    ends = rows.groupBy("scope").agg(F.max("value").alias("high"))
+    return rows.withColumn("low", F.lit(0.0)).join(ends, "scope").select("scope", "cell_id", "value", "low", "high")
 
 
 def stop_tests(result: DataFrame) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from catchment.functions.geo import lambert_km
-from catchment.operators.access import pairs_within
-from catchment.operators.cells import snap_target
-from catchment.operators.model import compute_access
+from catchment.functions.geo import decay, lambert_km, ring
+from catchment.operators.access import KEY, Distance, named, with_km, with_scope
+from catchment.operators.allocation import ring_parts
+from catchment.operators.cells import merged_minutes, snapped_facilities
+from catchment.operators.model import CAPACITY, assembled, prepared, served_demand
 from catchment.operators.summary import stop_tests
 from catchment.sources.sinks import stored
 
@@ -33,40 +36,108 @@ def unfinished(result: DataFrame, stop: dict[str, float]) -> DataFrame:
     return stop_tests(result).where(~done).select("scope")
 
 
-def place(
+class Plan(NamedTuple):
+    """``steps`` (scope, step, cell_id, fac_seq, score, treated, gain), ``facilities`` after the
+    last step, and ``result``, what compute_access would give for them."""
+
+    steps: DataFrame
+    facilities: DataFrame
+    result: DataFrame
+
+
+STATE = [*KEY, "lat", "lon", "population", "demand", "miss", "treated", "untreated", "nearest_km"]
+
+
+def close_facility(spots: DataFrame, facilities: DataFrame, snap_km: float, minutes: DataFrame | None, snap_min: float, distance: Distance) -> DataFrame:
+    """scope, snap: the nearest facility to the one spot of each scope, if it is near enough."""
+    rows = with_km(spots.select(*KEY, "lat", "lon").join(named(facilities), "scope"), distance)
+    near = F.col("km") <= snap_km
+    if minutes is not None:
+        times = minutes.join(spots.select(*KEY), KEY, "left_semi").where(F.col("minutes") <= snap_min).select(*KEY, "fac_seq", F.lit(True).alias("quick")).distinct()
+        rows, near = rows.join(times, [*KEY, "fac_seq"], "left"), near | F.col("quick").isNotNull()
+    return rows.where(near).groupBy("scope").agg(F.min(F.struct("km", "fac_seq")).alias("b")).select("scope", F.col("b.fac_seq").alias("snap"))
+
+
+def appended(state: DataFrame, new: DataFrame, capacity: float, resolution: int, distance: Distance, **model: object) -> DataFrame:
+    """``state`` of the scopes of ``new`` (one facility a scope, after all others: scope, fac_seq,
+    lat, lon, machines) with what it changes, and its km, p, ring and fac_seq.
+
+    What earlier facilities serve stays, so one pass over the cells is enough: the new one
+    serves its rings of the demand that is left."""
+    rows = with_km(state.join(named(new), "scope"), distance)
+    rows = rows.withColumns({"p": decay(F.col("km"), **model), "ring": ring(F.col("km"), resolution), "capacity": F.col("machines") * capacity})
+    parts = ring_parts(rows.where("p > 0 and capacity > 0").select("scope", "fac_seq", "ring", "p", "capacity", F.col("untreated").alias("demand")))
+    rows = rows.join(parts, ["scope", "fac_seq", "ring"], "left").withColumn("got", F.coalesce(F.col("untreated") * F.col("p") * F.col("part"), F.lit(0.0)))
+    rows = rows.withColumn("treated", F.least(F.col("treated") + F.col("got"), F.col("demand")))
+    changes = {"untreated": F.col("demand") - F.col("treated"), "miss": F.col("miss") * F.greatest(1 - F.col("p"), F.lit(0.0)), "nearest_km": F.least("nearest_km", "km")}
+    return rows.withColumns(changes).select(*STATE, "fac_seq", "km", "p", "ring")
+
+
+def plan(
     cells: DataFrame, facilities: DataFrame, steps: int, machines: float, snap_km: float, score: str = "unmet", least: float | None = None,
-    stop: dict[str, float] | None = None, minutes: DataFrame | None = None, snap_min: float = 0.0, **options: object,
-) -> DataFrame:
-    """scope, step, cell_id, fac_seq, score, treated, gain of each step.
-
-    A step adds ``machines`` at the best cell by ``score`` (see SCORES) of each scope: to the
-    nearest facility within ``snap_km`` or, by ``minutes`` (cell_id, fac_seq, minutes), within
-    ``snap_min``, else as a new one after all others. A scope ends after ``steps``, when a rule
-    of ``stop`` holds (see unfinished), or when no score reaches ``least`` (unmet: 1, distance:
-    0). Only the scopes that a step changed are computed anew. The driver holds no rows."""
-    distance = options.get("distance", lambert_km)
+    stop: dict[str, float] | None = None, minutes: DataFrame | None = None, snap_min: float = 0.0, capacity: float = CAPACITY, **options: object,
+) -> Plan:
+    """Add ``machines`` step by step at the best cell by ``score`` (see SCORES) of each scope: to
+    the nearest facility within ``snap_km`` or, by ``minutes`` (scope, cell_id, fac_seq, minutes),
+    within ``snap_min``, else as a new one after all others.
+
+    A scope ends after ``steps``, when a rule of ``stop`` holds (see unfinished), or when no
+    score reaches ``least`` (unmet: 1, distance: 0). Between steps each cell keeps what is
+    treated, the product of misses and the nearest distance. A new facility is a pass over its
+    scope's cells; only where one grew, its scope is allocated anew, from the stored pairs. The
+    driver holds no rows. ``options`` are those of the model, by distance; with ``snap``
+    facilities start at the centres of their cells, and one that would share a cell merges."""
+    distance, resolution = options.get("distance", lambert_km), options.get("resolution", 8)
+    decay_by = {k: v for k, v in options.items() if k in ("model", "scale", "shape", "cutoff", "reach")}
+    decay_by.setdefault("model", "exponential")
     least = least if least is not None else 1.0 if score == "unmet" else 0.0
-    if minutes is None:
-        minutes = cells.sparkSession.createDataFrame([], "cell_id long, fac_seq long, minutes double")
-    cells, now = stored(cells, "plan-cells"), facilities.select("scope", "fac_seq", "lat", "lon", "machines")
-    result = stored(compute_access(cells, now, **options), "plan-result")
-    base = result.groupBy("scope").agg(F.sum("treated").alias("treated"))
+    minutes = minutes if minutes is None else with_scope(minutes, facilities)
+    if options.pop("snap", False):
+        facilities, moved = snapped_facilities(facilities, cells, distance)
+        minutes = minutes if minutes is None else merged_minutes(minutes, moved)
+    inputs = prepared(cells, facilities, **options)
+    now, pairs = inputs.facilities, inputs.pairs
+    result = assembled(inputs, served_demand(pairs, now, capacity), distance).withColumn("miss", 1 - F.col("access"))
+    state, ended = stored(result.select(*STATE), "plan-state"), []
+    base = state.groupBy("scope").agg(F.sum("treated").alias("treated"))
     out = base.select("scope", F.lit(0).alias("step"), F.lit(None).cast("long").alias("cell_id"), F.lit(None).cast("long").alias("fac_seq"), F.lit(None).cast("double").alias("score"), "treated")
     for step in range(1, steps + 1):
-        best = best_cells(result, F.expr(SCORES[score])).where(F.col("score") >= least)
-        best = stored(best.join(unfinished(result, stop or {}), "scope", "left_semi"), "plan-best")
+        best = best_cells(state, F.expr(SCORES[score])).where(F.col("score") >= least)
+        best = stored(best.join(unfinished(state, stop or {}), "scope", "left_semi"), "plan-best")
+        ended.append(state.join(best, "scope", "left_anti"))
+        state = state.join(best, "scope", "left_semi")
         if best.isEmpty():
             break
-        snap = snap_target(best.select("scope", "cell_id", "lat", "lon"), now.select("scope", "fac_seq", "lat", "lon"), snap_km, minutes, snap_min, distance).select("cell_id", F.col("fac_seq").alias("snap"))
         last = now.groupBy("scope").agg(F.max("fac_seq").alias("last"))
-        chosen = stored(best.join(snap, "cell_id", "left").join(last, "scope", "left").select("scope", "cell_id", "score", "lat", "lon", "snap", F.coalesce("snap", F.coalesce("last", F.lit(0)) + 1).alias("fac_seq")), "plan-chosen")
-        more = chosen.select("scope", "fac_seq", F.lit(machines).alias("more"))
-        grown = now.join(chosen, "scope", "left_semi").join(more, ["scope", "fac_seq"], "left").withColumn("machines", F.col("machines") + F.coalesce("more", F.lit(0.0)))
+        chosen = best.join(close_facility(best, now, snap_km, minutes, snap_min, distance), "scope", "left").join(last, "scope", "left")
+        chosen = stored(chosen.select(*KEY, "score", "lat", "lon", "snap", F.coalesce("snap", F.coalesce("last", F.lit(0)) + 1).alias("fac_seq")), "plan-chosen")
         new = chosen.where("snap is null").select("scope", "fac_seq", "lat", "lon", F.lit(machines).alias("machines"))
+        more = chosen.where("snap is not null").select("scope", "fac_seq", F.lit(machines).alias("more"))
+        grown = now.join(more, ["scope", "fac_seq"], "left").withColumn("machines", F.col("machines") + F.coalesce("more", F.lit(0.0)))
         now = stored(grown.select("scope", "fac_seq", "lat", "lon", "machines").union(new), "plan-facilities")
-        cells = cells.join(chosen, "scope", "left_semi")
-        result = stored(compute_access(cells, now, **options), "plan-result")
-        sums = result.groupBy("scope").agg(F.sum("treated").alias("treated"))
+        after = stored(appended(state, new, capacity, resolution, distance, **decay_by), "plan-appended")
+        pairs = pairs.union(after.where("p > 0").select(*KEY, "fac_seq", "km", "p", "ring", "demand"))
+        state = state.join(more, "scope", "left_semi")
+        after = after.select(*STATE)
+        if not more.isEmpty():
+            treated = served_demand(pairs.join(more, "scope", "left_semi"), now.join(more, "scope", "left_semi"), capacity)
+            again = state.drop("treated", "untreated").join(treated, KEY, "left").fillna(0.0, ["treated"]).withColumn("untreated", F.col("demand") - F.col("treated"))
+            after = after.union(again.select(*STATE))
+        state = stored(after, "plan-state")
+        sums = state.groupBy("scope").agg(F.sum("treated").alias("treated"))
         out = out.union(sums.join(chosen, "scope").select("scope", F.lit(step).alias("step"), "cell_id", "fac_seq", "score", "treated"))
-    gain = F.col("treated") - F.lag("treated").over(Window.partitionBy("scope").orderBy("step"))
-    return out.withColumn("gain", gain)
+    for rows in ended:
+        state = state.union(rows)
+    served = F.when(F.col("demand") > 0, F.col("treated") / F.col("demand")).otherwise(0.0)
+    state = state.withColumns({"access": 1 - F.col("miss"), "served": served}).withColumn("with_access", F.col("access") * F.col("population")).drop("miss")
+    return Plan(with_gain(out), now, state)
+
+
+def with_gain(steps: DataFrame) -> DataFrame:
+    """``steps`` (scope, step, treated) with gain, what each adds to the one before."""
+    return steps.withColumn("gain", F.col("treated") - F.lag("treated").over(Window.partitionBy("scope").orderBy("step")))
+
+
+def place(cells: DataFrame, facilities: DataFrame, steps: int, machines: float, snap_km: float, score: str = "unmet", **options: object) -> DataFrame:
+    """The steps of a plan: scope, step, cell_id, fac_seq, score, treated, gain."""
+    return plan(cells, facilities, steps, machines, snap_km, score, **options).steps

@@ -50,9 +50,9 @@ national AS (SELECT scope, sum(cases * coalesce(fraction, 0.0)) AS demand FROM c
 tot AS (SELECT scope, sum(population) AS total FROM cells GROUP BY scope),
 dem AS (SELECT c.*, coalesce(n.demand, 0.0) * CASE WHEN t.total > 0 THEN c.population / t.total ELSE 0.0 END AS demand FROM cells c JOIN tot t ON c.scope = t.scope LEFT JOIN national n ON n.scope = c.scope),
 pairs AS (SELECT d.cell_id, d.scope, d.population, d.demand, f.fac_seq, f.machines, {KM.format(a="d", b="f")} AS km FROM dem d JOIN fac f ON d.scope = f.scope),
-near AS (SELECT cell_id, min(km) AS nearest_km FROM pairs GROUP BY cell_id)
+near AS (SELECT scope, cell_id, min(km) AS nearest_km FROM pairs GROUP BY scope, cell_id)
 """
-ACC = """, acc AS (SELECT d.cell_id, d.scope, d.population, d.demand, CASE WHEN n.nearest_km <= 200.0 THEN 1.0 ELSE 0.0 END AS access, n.nearest_km FROM dem d LEFT JOIN near n ON d.cell_id = n.cell_id)
+ACC = """, acc AS (SELECT d.cell_id, d.scope, d.population, d.demand, CASE WHEN n.nearest_km <= 200.0 THEN 1.0 ELSE 0.0 END AS access, n.nearest_km FROM dem d LEFT JOIN near n ON d.cell_id = n.cell_id AND d.scope = n.scope)
 """
 #: Allocation as a recursive query: one facility of every scope a step.
 ALLOC = f""", STEPS AS (SELECT scope, fac_seq, machines * 450.0 AS cap, row_number() OVER (PARTITION BY scope ORDER BY fac_seq) AS stp FROM fac WHERE machines > 0),
@@ -61,8 +61,8 @@ walk AS (SELECT cell_id, scope, demand AS rem, CAST(0 AS BIGINT) AS stp FROM dem
   SELECT cell_id, scope, rem - CASE WHEN ring IS NULL OR ring_sum <= 0 THEN 0.0 ELSE rem * least(1.0, greatest(cap - (cum - ring_sum), 0.0) / ring_sum) END, stp
   FROM (SELECT w.cell_id, w.scope, w.rem, w.stp + 1 AS stp, i.ring, i.cap, sum(CASE WHEN i.ring IS NULL THEN 0.0 ELSE w.rem END) OVER (PARTITION BY w.scope ORDER BY coalesce(i.ring, 1000000)) AS cum,
     sum(CASE WHEN i.ring IS NULL THEN 0.0 ELSE w.rem END) OVER (PARTITION BY w.scope, coalesce(i.ring, 1000000)) AS ring_sum
-    FROM walk w LEFT JOIN inr i ON w.cell_id = i.cell_id AND i.stp = w.stp + 1 WHERE w.stp < (SELECT max(stp) FROM STEPS)) x),
-done AS (SELECT a.cell_id, a.scope, a.population, a.demand, a.access, a.nearest_km, w.rem, a.demand - w.rem AS treated FROM acc a JOIN walk w ON a.cell_id = w.cell_id WHERE w.stp = (SELECT max(stp) FROM STEPS)),
+    FROM walk w LEFT JOIN inr i ON w.cell_id = i.cell_id AND w.scope = i.scope AND i.stp = w.stp + 1 WHERE w.stp < (SELECT max(stp) FROM STEPS)) x),
+done AS (SELECT a.cell_id, a.scope, a.population, a.demand, a.access, a.nearest_km, w.rem, a.demand - w.rem AS treated FROM acc a JOIN walk w ON a.cell_id = w.cell_id AND a.scope = w.scope WHERE w.stp = (SELECT max(stp) FROM STEPS)),
 fsum AS (SELECT scope, count(*) AS facilities, sum(machines) AS machines FROM fac GROUP BY scope),
 stats AS (SELECT d.scope, count(*) AS cells, sum(population) AS population, sum(demand) AS demand, sum(treated) AS treated, sum(access * population) AS with_access, coalesce(max(f.facilities), 0) AS facilities, coalesce(max(f.machines), 0.0) AS machines FROM done d LEFT JOIN fsum f ON d.scope = f.scope GROUP BY d.scope)
 """
@@ -84,7 +84,7 @@ def near(spark: SparkSession, sf: str) -> DataFrame:
     """Demand cells with nearest_km; null where the country has no facility."""
     cells = demand_cells(spark, sf)
     best = access.nearest(cells, fx.facilities(spark, sf), distance=geo.haversine_km)
-    return cells.join(best, "cell_id", "left")
+    return cells.join(best, ["scope", "cell_id"], "left")
 
 
 # --- scans and clean-up -----------------------------------------------------------
@@ -226,7 +226,7 @@ def w2(spark: SparkSession, sf: str) -> DataFrame:
     fac = fx.facilities(spark, sf).where("machines > 0")
     first = fac.join(fac.groupBy("scope").agg(F.min("fac_seq").alias("fac_seq")), ["scope", "fac_seq"], "left_semi")
     pairs = access.pairs_within(demand_cells(spark, sf), first, REACH, geo.haversine_km)
-    pairs = pairs.select("fac_seq", "cell_id", geo.ring(F.col("km"), 4).alias("ring"), F.lit(1.0).alias("p"), (F.col("machines") * 450.0).alias("capacity"), "demand")
+    pairs = pairs.select("scope", "fac_seq", "cell_id", geo.ring(F.col("km"), 4).alias("ring"), F.lit(1.0).alias("p"), (F.col("machines") * 450.0).alias("capacity"), "demand")
     return allocation.wave(pairs).select("cell_id", *r4("served"))
 
 
@@ -257,26 +257,63 @@ def j12(spark: SparkSession, sf: str) -> DataFrame:
     return fx.facilities(spark, sf).where("machines > 0").join(fx.incidence(spark, sf), "scope", "left_semi").select("scope").distinct()
 
 
-MIN = ", mins AS (SELECT cell_id, fac_seq, scope, population, demand, machines, km, 20 + CAST((cell_id * 7 + fac_seq * 13) % 100 AS DOUBLE) AS minutes FROM pairs WHERE (cell_id + fac_seq) % 3 <> 0)"
+MIN = ", mins AS (SELECT cell_id, fac_seq, scope, population, demand, machines, km, 20 + CAST((cell_id * 7 + fac_seq * 13) % 100 AS DOUBLE) AS minutes FROM pairs WHERE (cell_id + fac_seq) % 3 <> 0 AND km <= 400.0)"
 
 
 def minutes(spark: SparkSession, sf: str) -> DataFrame:
-    """A sparse travel-time table: a third of the pairs is out of reach."""
-    rows = fx.cells(spark, sf).select("cell_id", "scope").join(fx.facilities(spark, sf).select("fac_seq", "scope"), "scope").where("(cell_id + fac_seq) % 3 <> 0")
-    return rows.select("cell_id", "fac_seq", (20 + ((F.col("cell_id") * 7 + F.col("fac_seq") * 13) % 100).cast("double")).alias("minutes"))
+    """A sparse travel-time table (scope, cell_id, fac_seq, minutes): pairs beyond 400 km, and a
+    third of the others, are out of reach."""
+    rows = access.pairs_within(fx.cells(spark, sf), fx.facilities(spark, sf), 400.0, geo.haversine_km).where("(cell_id + fac_seq) % 3 <> 0")
+    return rows.select("scope", "cell_id", "fac_seq", (20 + ((F.col("cell_id") * 7 + F.col("fac_seq") * 13) % 100).cast("double")).alias("minutes"))
 
 
-@query("C6_travel_time_access", MIN + " SELECT d.cell_id, round(coalesce(a, 0.0), 6) AS access, m AS nearest_min FROM dem d LEFT JOIN (SELECT cell_id, 1 - product(1 - CASE WHEN minutes <= 300.0 THEN exp(-minutes / 30.0) ELSE 0.0 END) AS a, min(minutes) AS m FROM mins GROUP BY cell_id) x ON x.cell_id = d.cell_id")
+#: Allocation by travel time: minutes give the probability, rings stay those of the distance.
+TIMED = MIN + ALLOC.replace("s.cap, CAST(", "s.cap, exp(-p.minutes / 30.0) AS p, CAST(").replace("FROM pairs p JOIN STEPS", "FROM mins p JOIN STEPS").replace("WHERE p.km <= 200.0)", "WHERE p.minutes <= 300.0)").replace("0.0 ELSE rem * least(", "0.0 ELSE rem * p * least(").replace("i.ring, i.cap,", "i.ring, i.cap, i.p,").replace("THEN 0.0 ELSE w.rem END", "THEN 0.0 ELSE w.rem * i.p END")
+BY_TIME = " SELECT d.cell_id, round(coalesce(a, 0.0), 6) AS access, m AS nearest_min, round(treated, 4) AS treated FROM done d LEFT JOIN (SELECT scope, cell_id, 1 - product(1 - CASE WHEN minutes <= 300.0 THEN exp(-minutes / 30.0) ELSE 0.0 END) AS a, min(minutes) AS m FROM mins GROUP BY scope, cell_id) x ON x.cell_id = d.cell_id AND x.scope = d.scope"
+#: Facilities at the centres of their cells, those of one cell as one; travel times of their parts.
+SNAPPED = VIEWS.replace("fac AS (SELECT s_suppkey", "old AS (SELECT s_suppkey").replace("pairs AS (SELECT d.cell_id", f"""opairs AS (SELECT d.cell_id, d.scope, f.fac_seq, {KM.format(a="d", b="f")} AS km FROM dem d JOIN old f ON d.scope = f.scope),
+spot AS (SELECT scope, fac_seq, arg_min(cell_id, km) AS cell_id FROM opairs GROUP BY scope, fac_seq),
+moved AS (SELECT scope, fac_seq, cell_id, min(fac_seq) OVER (PARTITION BY scope, cell_id) AS new_seq FROM spot),
+fac AS (SELECT m.scope, m.new_seq AS fac_seq, m.cell_id AS at_cell, c.lat, c.lon, sum(o.machines) AS machines FROM moved m JOIN old o ON o.scope = m.scope AND o.fac_seq = m.fac_seq JOIN cells c ON c.scope = m.scope AND c.cell_id = m.cell_id GROUP BY 1, 2, 3, 4, 5),
+pairs AS (SELECT d.cell_id""")
+SNAPPED_MIN = MIN.replace(", mins AS (SELECT cell_id, fac_seq, scope, population, demand, machines, km,", ", times AS (SELECT o.scope, o.cell_id, m.new_seq AS fac_seq, min(minutes) AS minutes FROM (SELECT scope, cell_id, fac_seq,").replace("AS minutes FROM pairs WHERE", "AS minutes FROM opairs WHERE") + " o JOIN moved m ON m.scope = o.scope AND m.fac_seq = o.fac_seq GROUP BY 1, 2, 3), mins AS (SELECT p.*, t.minutes FROM pairs p JOIN times t ON t.scope = p.scope AND t.cell_id = p.cell_id AND t.fac_seq = p.fac_seq)"
+
+
+def by_time(spark: SparkSession, sf: str, **options: object) -> DataFrame:
+    rows = model.compute_access(demand_cells(spark, sf), fx.facilities(spark, sf), "exponential", 30.0, resolution=4, distance=geo.haversine_km, minutes=minutes(spark, sf), **options)
+    return rows.select("cell_id", F.round("access", 6).alias("access"), "nearest_min", *r4("treated"))
+
+
+@query("C6_travel_time_access", ACC + TIMED + BY_TIME)
 def c6(spark: SparkSession, sf: str) -> DataFrame:
-    rows = model.compute_access(demand_cells(spark, sf), fx.facilities(spark, sf), "exponential", 30.0, resolution=4, distance=geo.haversine_km, minutes=minutes(spark, sf))
-    return rows.select("cell_id", F.round("access", 6).alias("access"), "nearest_min")
+    return by_time(spark, sf)
+
+
+SQL["C6_snapped"] = "WITH RECURSIVE " + SNAPPED + ACC + TIMED.replace(MIN, SNAPPED_MIN) + BY_TIME
+
+
+@query("C6_snapped")
+def c6_snapped(spark: SparkSession, sf: str) -> DataFrame:
+    """Facilities of one cell are one, and so are their travel times."""
+    return by_time(spark, sf, snap=True)
+
+
+SQL["C5_snapped"] = "WITH RECURSIVE " + SNAPPED + ACC + ALLOC + " SELECT cell_id, access::DOUBLE AS access, round(nearest_km, 4) AS nearest_km, round(treated, 4) AS treated FROM done"
 
 
-@query("A12_coarser_minutes", MIN + " SELECT cell_id // 8 AS parent, fac_seq, round(sum(greatest(population, 1.0) * minutes) / sum(greatest(population, 1.0)), 4) AS minutes FROM mins GROUP BY cell_id // 8, fac_seq")
+@query("C5_snapped")
+def c5_snapped(spark: SparkSession, sf: str) -> DataFrame:
+    rows = model.compute_access(demand_cells(spark, sf), fx.facilities(spark, sf), snap=True, **OPTIONS)
+    return rows.select("cell_id", "access", *r4("nearest_km", "treated"))
+
+
+A12_H3 = "617700169958293503 + cell_id * 1048576"
+
+
+@query("A12_coarser_minutes", MIN + f" SELECT scope, (({A12_H3}) & -67553994410557441) | (7::BIGINT << 52) | ((1::BIGINT << 24) - 1) AS h3, fac_seq, round(sum(greatest(population, 1.0) * minutes) / sum(greatest(population, 1.0)), 4) AS minutes FROM mins GROUP BY 1, 2, 3")
 def a12(spark: SparkSession, sf: str) -> DataFrame:
-    rows = minutes(spark, sf).join(fx.cells(spark, sf).select("cell_id", "population"), "cell_id")
-    w = F.greatest("population", F.lit(1.0))
-    return rows.groupBy(F.floor(F.col("cell_id") / 8).alias("parent"), "fac_seq").agg(F.round(F.sum(w * F.col("minutes")) / F.sum(w), 4).alias("minutes"))
+    people = fx.cells(spark, sf).withColumn("h3", F.lit(617700169958293503) + F.col("cell_id") * 1048576)
+    return cells.coarser_minutes(minutes(spark, sf), people, 7).select("scope", "h3", "fac_seq", *r4("minutes"))
 
 
 # --- regions ----------------------------------------------------------------------
@@ -375,14 +412,24 @@ def f8(spark: SparkSession, sf: str) -> DataFrame:
     return fx.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), text.site_key(F.col("p_name")).alias("site_key"))
 
 
-@query("A10_merged_facilities", " SELECT scope, fac_seq // 2 AS cell_id, min(fac_seq) AS fac_seq, sum(machines) AS machines FROM fac GROUP BY scope, fac_seq // 2")
+SQL["A10_merged_facilities"] = "WITH " + SNAPPED + " SELECT scope, at_cell AS cell_id, fac_seq, machines FROM fac"
+
+
+@query("A10_merged_facilities")
 def a10(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.merged_facilities(fx.facilities(spark, sf).withColumn("cell_id", F.floor(F.col("fac_seq") / 2)))
+    """Facilities that snap to one cell, as one."""
+    return cells.snapped_facilities(fx.facilities(spark, sf), fx.cells(spark, sf), geo.haversine_km).facilities.select("scope", "cell_id", "fac_seq", "machines")
+
 
+SQL["W6_stacked"] = "WITH " + SNAPPED + " SELECT o.fac_seq, CAST(row_number() OVER (PARTITION BY o.scope, m.cell_id ORDER BY machines DESC, o.fac_seq) AS INTEGER) AS level, coalesce(sum(machines) OVER (PARTITION BY o.scope, m.cell_id ORDER BY machines DESC, o.fac_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS below FROM old o JOIN moved m ON m.scope = o.scope AND m.fac_seq = o.fac_seq"
 
-@query("W6_stacked", " SELECT fac_seq, CAST(row_number() OVER (PARTITION BY scope ORDER BY machines DESC, fac_seq) AS INTEGER) AS level, coalesce(sum(machines) OVER (PARTITION BY scope ORDER BY machines DESC, fac_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS below FROM fac")
+
+@query("W6_stacked")
 def w6(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.stacked(fx.facilities(spark, sf).withColumn("cell_id", F.lit(0))).select("fac_seq", "level", "below")
+    """Facilities of a cell, the largest lowest."""
+    fac = fx.facilities(spark, sf)
+    at = cells.snapped(fac, fx.cells(spark, sf), geo.haversine_km)
+    return quality.stacked(fac.join(at, ["scope", "fac_seq"])).select("fac_seq", "level", "below")
 
 
 @query("J9_scenario", " SELECT scope, fac_seq, CASE WHEN fac_seq % 5 = 0 THEN 100.0 ELSE machines * 450.0 END AS capacity FROM fac UNION ALL SELECT scope, max(fac_seq) + 1, 900.0 FROM fac GROUP BY scope")
@@ -452,7 +499,7 @@ def j13(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("J14_snapped_facilities", " SELECT fac_seq, arg_min(cell_id, km) AS cell_id FROM pairs GROUP BY fac_seq")
 def j14(spark: SparkSession, sf: str) -> DataFrame:
-    return cells.snapped(fx.facilities(spark, sf), fx.cells(spark, sf), geo.haversine_km)
+    return cells.snapped(fx.facilities(spark, sf), fx.cells(spark, sf), geo.haversine_km).select("fac_seq", "cell_id")
 
 
 @query("J15_snap_target", MIN + " SELECT p.cell_id, arg_min(p.fac_seq, p.km) AS fac_seq, round(min(p.km), 4) AS km FROM pairs p LEFT JOIN mins m ON m.cell_id = p.cell_id AND m.fac_seq = p.fac_seq WHERE p.km <= 60.0 OR m.minutes <= 40.0 GROUP BY p.cell_id")
@@ -504,7 +551,7 @@ def a26(spark: SparkSession, sf: str) -> DataFrame:
 @query("C9_burden_map", " SELECT cell_id // 2 AS h, cell_id, scope, round(demand, 4) AS demand FROM (SELECT *, row_number() OVER (PARTITION BY cell_id // 2 ORDER BY demand DESC, scope, cell_id) AS r FROM dem) x WHERE r = 1")
 def c9(spark: SparkSession, sf: str) -> DataFrame:
     rows = demand_cells(spark, sf).withColumn("h", F.floor(F.col("cell_id") / 2)).withColumn("scope", F.struct("scope", "cell_id"))
-    return model.best_of_border(rows, "h", "demand").select("h", "scope.cell_id", "scope.scope", *r4("demand"))
+    return model.best_of_border(rows, "h", value="demand").select("h", "scope.cell_id", "scope.scope", *r4("demand"))
 
 
 # --- regions as scopes, and scenarios ---------------------------------------------
@@ -525,14 +572,19 @@ SQL["C7_region_uniform"] = "WITH RECURSIVE " + REGIONAL + ACC + ALLOC + STATS
 
 @query("C7_region_uniform")
 def c7(spark: SparkSession, sf: str) -> DataFrame:
+    return region_uniform(spark, sf, fx.cells)
+
+
+def region_uniform(spark: SparkSession, sf: str, people: Query) -> DataFrame:
+    """Regions are scopes: cells that several of their countries hold are summed."""
     member = fx.countries(spark, sf).select("scope", "region")
 
     def pooled(rows: DataFrame) -> DataFrame:
         return rows.join(member, "scope").drop("scope").withColumnRenamed("region", "scope")
 
-    people, fac = pooled(fx.cells(spark, sf)), pooled(fx.facilities(spark, sf))
+    fac = pooled(fx.facilities(spark, sf))
     cases = pooled(fx.incidence(spark, sf)).groupBy("scope", "site").agg(F.sum("cases").alias("cases"))
-    wanted = demand.cell_demand(people, demand.demand_optimal(cases, fx.fractions(spark)))
+    wanted = demand.cell_demand(cells.pooled(people(spark, sf), member), demand.demand_optimal(cases, fx.fractions(spark)))
     return short(model.statistics(model.compute_access(wanted, fac, **OPTIONS), fac))
 
 
@@ -651,7 +703,8 @@ def j1(spark: SparkSession, sf: str) -> DataFrame:
 @query("J6_minutes_or_cap", MIN + " SELECT p.cell_id, p.fac_seq, coalesce(m.minutes, 600.0) AS minutes, m.minutes IS NULL AS unreached FROM pairs p LEFT JOIN mins m ON m.cell_id = p.cell_id AND m.fac_seq = p.fac_seq")
 def j6(spark: SparkSession, sf: str) -> DataFrame:
     """Travel times of all pairs, the smallest of repeated ones; what is missing is out of reach."""
-    twice = minutes(spark, sf).union(minutes(spark, sf).withColumn("minutes", F.col("minutes") + 1))
+    once = sinks.stored(minutes(spark, sf), "minutes")
+    twice = once.union(once.withColumn("minutes", F.col("minutes") + 1))
     least = twice.groupBy("cell_id", "fac_seq").agg(F.min("minutes").alias("minutes"))
     rows = fx.cells(spark, sf).select("cell_id", "scope").join(fx.facilities(spark, sf).select("fac_seq", "scope"), "scope").join(least, ["cell_id", "fac_seq"], "left")
     return rows.select("cell_id", "fac_seq", F.coalesce("minutes", F.lit(600.0)).alias("minutes"), F.col("minutes").isNull().alias("unreached"))
@@ -750,11 +803,11 @@ def c3_soft(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("P8_sanitised", " SELECT c_custkey AS cell_id, CASE WHEN c_custkey % 5 = 0 OR c_acctbal IS NULL THEN 0.0 ELSE greatest(CAST(c_acctbal AS DOUBLE), 0.0) END AS demand FROM customer")
 def p8(spark: SparkSession, sf: str) -> DataFrame:
-    """Demand that is NaN or negative counts as 0; without facilities all of it is unmet."""
+    """Demand that is NaN, null or negative counts as 0 in the model."""
     raw = F.when(F.col("cell_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("balance"))
     balance = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("cell_id"), F.col("c_acctbal").cast("double").alias("balance"))
-    rows = model.compute_access(fx.cells(spark, sf).join(balance, "cell_id").withColumn("demand", raw), fx.facilities(spark, sf).limit(0), **OPTIONS)
-    return rows.select("cell_id", F.col("untreated").alias("demand"))
+    rows = model.compute_access(fx.cells(spark, sf).join(balance, "cell_id").withColumn("demand", raw), fx.facilities(spark, sf), **OPTIONS)
+    return rows.select("cell_id", (F.col("treated") + F.col("untreated")).alias("demand"))
 
 
 @query("F10_next_wednesday", " SELECT o_orderkey AS k, strftime(CAST(o_orderdate AS DATE) + CAST((9 - dayofweek(CAST(o_orderdate AS DATE))) % 7 + 1 AS INTEGER), '%Y-%m-%d 08:00:00') AS departure FROM orders")
@@ -787,33 +840,67 @@ def c2(spark: SparkSession, sf: str) -> DataFrame:
 def c4(spark: SparkSession, sf: str) -> DataFrame:
     people, fac = fx.cells(spark, sf), fx.facilities(spark, sf)
     rows = access.geographic_access(people, access.pairs_within(people, fac, REACH, geo.haversine_km), model="step", reach=REACH)
-    rows = rows.join(access.nearest(people, fac, distance=geo.haversine_km).select("cell_id", "nearest_km"), "cell_id", "left")
+    rows = rows.join(access.nearest(people, fac, distance=geo.haversine_km).select("scope", "cell_id", "nearest_km"), ["scope", "cell_id"], "left")
     return rows.select("cell_id", "access", *r4("nearest_km", "with_access"))
 
 
-BORDER = VIEWS.replace("cells AS (", "single AS (", 1).replace("AS population FROM customer),", "AS population FROM customer),\ncells AS (SELECT min(cell_id) AS cell_id, scope, min(lat) AS lat, min(lon) AS lon, sum(population) AS population FROM single GROUP BY scope, cell_id // 2),", 1)
+#: Cells that two countries hold: one id and place, a row and population of each.
+SHARED = "cells AS (SELECT h AS cell_id, scope, min(lat0) AS lat, min(lon0) AS lon, sum(population) AS population FROM (SELECT *, cell_id // 2 AS h, first_value(lat) OVER (PARTITION BY cell_id // 2 ORDER BY cell_id) AS lat0, first_value(lon) OVER (PARTITION BY cell_id // 2 ORDER BY cell_id) AS lon0 FROM single) z GROUP BY h, scope),"
+BORDER, REGIONAL_BORDER = (v.replace("cells AS (", "single AS (", 1).replace("AS population FROM customer),", "AS population FROM customer),\n" + SHARED, 1) for v in (VIEWS, REGIONAL))
 SQL["C8_region_by_country"] = "WITH RECURSIVE " + BORDER + ACC + ALLOC + """, a AS (SELECT n_regionkey AS region, sum(demand) AS demand, sum(treated) AS treated, sum(machines) AS machines FROM stats JOIN nation ON n_nationkey = scope GROUP BY 1),
-b AS (SELECT n_regionkey AS region, sum(population) AS population, sum(access * population) AS with_access FROM (SELECT *, row_number() OVER (PARTITION BY cell_id // 2 ORDER BY access DESC, scope) AS r FROM acc) x JOIN nation ON n_nationkey = scope WHERE r = 1 GROUP BY 1)
+b AS (SELECT n_regionkey AS region, sum(population) AS population, sum(access * population) AS with_access FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey, cell_id ORDER BY access DESC, scope) AS r FROM acc JOIN nation ON n_nationkey = scope) x WHERE r = 1 GROUP BY 1)
 SELECT a.region, round(demand, 4) AS demand, round(treated, 4) AS treated, machines, round(population, 2) AS population, round(with_access, 2) AS with_access FROM a JOIN b ON a.region = b.region"""
 
 
+def border_result(spark: SparkSession, sf: str) -> DataFrame:
+    return model.compute_access(demand.cell_demand(fx.border_cells(spark, sf), national(spark, sf)), fx.facilities(spark, sf), **OPTIONS)
+
+
 @query("C8_region_by_country")
 def c8(spark: SparkSession, sf: str) -> DataFrame:
-    """Countries are scopes; a cell that several hold counts for the one with the best access."""
-    h = F.floor(F.col("cell_id") / 2).alias("h")
-    sums = [F.min(c).alias(c) for c in ("cell_id", "lat", "lon")] + [F.sum("population").alias("population")]
-    people, fac = fx.cells(spark, sf).groupBy("scope", h).agg(*sums), fx.facilities(spark, sf)
-    rows = model.compute_access(demand.cell_demand(people, national(spark, sf)), fac, **OPTIONS)
-    out = model.region_statistics(rows, model.statistics(rows, fac), fx.countries(spark, sf), "h")
+    """Countries are scopes; a cell that several of a region hold counts for the one with the best access."""
+    rows, fac = sinks.stored(border_result(spark, sf), "result"), fx.facilities(spark, sf)
+    out = model.region_statistics(rows, model.statistics(rows, fac), fx.countries(spark, sf))
     return out.select("region", *r4("demand", "treated"), "machines", F.round("population", 2).alias("population"), F.round("with_access", 2).alias("with_access"))
 
 
+SQL["C5_border_cells"] = "WITH RECURSIVE " + BORDER + ACC + ALLOC + " SELECT scope, cell_id, access::DOUBLE AS access, round(nearest_km, 4) AS nearest_km, round(demand, 4) AS demand, round(treated, 4) AS treated FROM done"
+
+
+@query("C5_border_cells")
+def c5_border(spark: SparkSession, sf: str) -> DataFrame:
+    """A cell of two countries has the access, distance and allocation of each one's own facilities."""
+    return border_result(spark, sf).select("scope", "cell_id", "access", *r4("nearest_km", "demand", "treated"))
+
+
+SQL["C10_border_report"] = "WITH RECURSIVE " + BORDER + ACC + ALLOC + " SELECT n_name AS name, round(population, 2) AS population, round(CASE WHEN population > 0 THEN with_access / population ELSE 0.0 END, 4) AS geography_access, round(CASE WHEN demand > 0 THEN treated / demand ELSE 0.0 END, 4) AS combined_access, round(treated, 4) AS treated FROM stats JOIN nation ON n_nationkey = scope"
+
+
+@query("C10_border_report")
+def c10_border(spark: SparkSession, sf: str) -> DataFrame:
+    rows = model.country_report(model.statistics(border_result(spark, sf), fx.facilities(spark, sf)), fx.countries(spark, sf))
+    return rows.select("name", F.round("population", 2).alias("population"), "geography_access", "combined_access", *r4("treated"))
+
+
+SQL["C7_region_border_cells"] = "WITH RECURSIVE " + REGIONAL_BORDER + ACC + ALLOC + STATS
+
+
+@query("C7_region_border_cells")
+def c7_border(spark: SparkSession, sf: str) -> DataFrame:
+    return region_uniform(spark, sf, fx.border_cells)
+
+
+RESPONSE_CELLS = 1000
+
+
 @query("S8_travel_time_responses", MIN + " SELECT CAST(cell_id AS VARCHAR) AS h3, CAST(fac_seq AS VARCHAR) AS search_id, minutes FROM mins")
 def s8(spark: SparkSession, sf: str) -> DataFrame:
-    """Travel times written as responses of the service, a search for each facility, and read back."""
-    path = f"{sinks.shared_folder(spark)}/responses-{uuid.uuid4().hex}"
-    seconds = F.col("minutes") * 60
+    """Travel times written as responses of the service, of RESPONSE_CELLS cells or so of one
+    search each, and read back."""
+    path = sinks.new_path(spark, "responses")
+    seconds, rows = F.col("minutes") * 60, sinks.stored(minutes(spark, sf), "minutes")
+    size = rows.groupBy("fac_seq").agg(F.ceil(F.count("*") / RESPONSE_CELLS).alias("parts"))
     cell = F.struct(F.col("cell_id").cast("string").alias("id"), F.struct(seconds.alias("min"), F.when(F.col("cell_id") % 2 == 0, seconds).alias("mean")).alias("properties"))
-    found = minutes(spark, sf).groupBy("fac_seq").agg(F.collect_list(cell).alias("cells"))
+    found = rows.join(size, "fac_seq").groupBy("fac_seq", F.pmod(F.xxhash64("cell_id"), F.col("parts"))).agg(F.collect_list(cell).alias("cells"))
     found.select(F.array(F.struct(F.col("fac_seq").cast("string").alias("search_id"), "cells")).alias("results")).write.json(path)
     return readers.travel_times(spark, path, lines=True)

@@ -27,6 +27,14 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("cell_id"), F.col("c_nationkey").alias("scope"), *_place("c_nationkey", "c_custkey", 37, 91, 601), pop.alias("population"))
 
 
+def border_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that two countries hold: one id and place, a row and population of each country."""
+    single = cells(spark, sf_dir).withColumn("h", F.floor(F.col("cell_id") / 2))
+    place = single.groupBy("h").agg(F.min_by("lat", "cell_id").alias("lat"), F.min_by("lon", "cell_id").alias("lon"))
+    rows = single.groupBy("h", "scope").agg(F.sum("population").alias("population")).join(place, "h")
+    return rows.select(F.col("h").alias("cell_id"), "scope", "lat", "lon", "population")
+
+
 def facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fac_seq, scope, lat, lon, machines."""
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("fac_seq"), F.col("s_nationkey").alias("scope"), *_place("s_nationkey", "s_suppkey", 53, 17, 401), (F.col("s_suppkey") % 4).cast("double").alias("machines"))

@@ -24,11 +24,16 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of the shared folder that nothing is at; a session's are in one folder, by its application id."""
+    return f"{shared_folder(spark)}/catchment-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: what uses it isn't computed again,
-    and survives the loss of executors. A session's tables are in one folder, by its application id."""
+    and survives the loss of executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/catchment-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -63,8 +63,11 @@ def test_range_join_equals_all_pairs(spark):
     for radius in (40.0, 900.0, 9000.0):
         full = access.with_km(cells.join(access.named(fac), "scope"), geo.haversine_km).where(F.col("km") <= radius)
         assert values(access.pairs_within(cells, fac, radius, geo.haversine_km), "cell_id", "fac_seq") == values(full, "cell_id", "fac_seq")
+    half = access.pairs_within(cells, fac, 9000.0, geo.haversine_km, cube_cells=3)  # nearly every cube splits
+    assert values(half, "cell_id", "fac_seq") == values(full, "cell_id", "fac_seq")
     full = access.with_km(cells.join(access.named(fac), "scope")).groupBy("cell_id").agg(F.min("km").alias("nearest_km"))
-    assert values(access.nearest(cells, fac), "cell_id", "nearest_km") == values(full, "cell_id", "nearest_km")
+    for leaf in (64, 5):
+        assert values(access.nearest(cells, fac, leaf=leaf), "cell_id", "nearest_km") == values(full, "cell_id", "nearest_km")
 
 
 def serial(pairs):
@@ -236,3 +239,138 @@ def test_placement_equals_the_serial_loop(spark, score, stop):
     rows = sorted((r["scope"], r["step"], r["cell_id"], r["fac_seq"], round(r["treated"], 6)) for r in plan.collect())
     assert len(rows) > 2
     assert rows == serial_plan(spark, people, places, 3, 2.0, 15.0, score, stop, minutes, 25.0, options)
+
+
+def test_dense_cube_is_dealt_over_tasks(spark):
+    """Half of all cells in one cube: no key of the join has more than cube_cells of them."""
+    cells = spark.createDataFrame([(i, 1, 1e-5 * (i % 100), 0.0) if i % 2 else (i, 1, float(i % 80), float(i % 170)) for i in range(2000)], "cell_id long, scope int, lat double, lon double")
+    fac = spark.createDataFrame([(i, 1, 0.01 * i, 0.0) for i in range(4)], "fac_seq long, scope int, lat double, lon double")
+    rows = access.pairs_within(cells, fac, 100.0, geo.haversine_km, cube_cells=50)
+    full = access.with_km(cells.join(access.named(fac), "scope"), geo.haversine_km).where("km <= 100")
+    assert rows.count() == full.count() >= 4000 and rows.distinct().count() == rows.count()
+    plain = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for k, v in plain.items():
+        spark.conf.set(k, v)
+    try:
+        sizes = [r["n"] for r in rows.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()]
+    finally:
+        for k in plain:
+            spark.conf.unset(k)
+    assert max(sizes) < 0.7 * sum(sizes)
+
+
+def test_nearest_of_ties_and_scopes(spark):
+    cells = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, 0.0, 0.0), (2, 3, 0.0, 0.0), (3, 1, 0.0, None)], "cell_id long, scope int, lat double, lon double")
+    fac = spark.createDataFrame([(9, 1, 0.0, 1.0), (8, 1, 0.0, -1.0), (7, 1, 0.0, 1.0), (5, 2, 0.0, 15.0), (6, 2, None, 1.0)], "fac_seq long, scope int, lat double, lon double")
+    for leaf in (64, 2):
+        got = access.nearest(cells, fac, geo.haversine_km, leaf)
+        assert [(r["scope"], r["cell_id"], r["fac_seq"]) for r in got.orderBy("scope").collect()] == [(1, 1, 7), (2, 1, 5)]
+    assert access.nearest(cells, fac.limit(0)).count() == 0
+
+
+def shared_cell(spark):
+    """Cell 1 is held by A, with a facility 11 km off, and by B, whose only one is 1,500 km off."""
+    cells = spark.createDataFrame([(1, "A", 0.0, 0.0, 10.0, 5.0), (1, "B", 0.0, 0.0, 20.0, 7.0), (2, "B", 0.0, 13.4, 30.0, 9.0)], "cell_id long, scope string, lat double, lon double, population double, demand double")
+    fac = spark.createDataFrame([(1, "A", 0.0, 0.1, 1.0), (1, "B", 0.0, 13.5, 1.0)], "fac_seq long, scope string, lat double, lon double, machines double")
+    return cells, fac
+
+
+def test_a_cell_of_two_scopes_meets_its_own_facilities(spark):
+    cells, fac = shared_cell(spark)
+    out = model.compute_access(cells, fac, "step", reach=50.0, capacity=4.0, distance=geo.haversine_km)
+    got = {(r["scope"], r["cell_id"]): r for r in out.collect()}
+    assert [(k, got[k]["access"], got[k]["treated"]) for k in sorted(got)] == [(("A", 1), 1.0, 4.0), (("B", 1), 0.0, 0.0), (("B", 2), 1.0, 4.0)]
+    assert [round(got[k]["nearest_km"]) for k in sorted(got)] == [11, 1501, 11]
+    minutes = spark.createDataFrame([("A", 1, 1, 10.0), ("B", 2, 1, 20.0)], "scope string, cell_id long, fac_seq long, minutes double")
+    out = model.compute_access(cells, fac, "step", reach=30.0, capacity=4.0, distance=geo.haversine_km, minutes=minutes)
+    assert values(out.where("access > 0"), "scope", "cell_id", "nearest_min") == [("A", 1, 10.0), ("B", 2, 20.0)]
+    stats = {r["scope"]: r for r in model.statistics(out, fac).collect()}
+    assert (stats["A"]["with_access"], stats["B"]["with_access"], stats["B"]["cells"]) == (10.0, 30.0, 2)
+    regions = spark.createDataFrame([("A", "x"), ("B", "x")], "scope string, region string")
+    total = model.region_statistics(out, model.statistics(out, fac), regions).first()
+    assert (total["population"], total["demand"], total["with_access"]) == (40.0, 21.0, 40.0)  # demand is summed before border cells are told apart
+    plan = planning.plan(cells, fac, 1, 1.0, 0.0, model="step", reach=50.0, capacity=4.0, distance=geo.haversine_km)
+    assert values(plan.steps.where("step = 1"), "scope", "cell_id", "fac_seq", "treated") == [("A", 1, 2, 5.0), ("B", 1, 2, 8.0)]
+
+
+def test_snapped_facilities_are_one_with_their_minutes(spark):
+    cells = spark.createDataFrame([(c, 1, 0.0, float(c), 10.0, 6.0) for c in range(4)], "cell_id long, scope int, lat double, lon double, population double, demand double")
+    fac = spark.createDataFrame([(1, 1, 0.0, 0.9, 1.0), (2, 1, 0.0, 3.2, 2.0), (3, 1, 0.1, 1.1, 0.5)], "fac_seq long, scope int, lat double, lon double, machines double")
+    merged, moved = cells_of(fac, cells)
+    assert values(merged, "fac_seq", "cell_id", "lon", "machines") == [(1, 1, 1.0, 1.5), (2, 3, 3.0, 2.0)]
+    assert values(moved, "fac_seq", "new_seq") == [(1, 1), (2, 2), (3, 1)]
+    out = model.compute_access(cells, fac, "step", reach=60.0, capacity=4.0, distance=geo.haversine_km, snap=True)
+    assert values(out, "cell_id", "access", "treated") == [(0, 0.0, 0.0), (1, 1.0, 6.0), (2, 0.0, 0.0), (3, 1.0, 6.0)] and out.where("cell_id = 1").first()["nearest_km"] == 0
+    minutes = spark.createDataFrame([(0, 3, 20.0), (0, 1, 50.0), (1, 1, 70.0), (2, 2, 10.0), (2, 2, 5.0)], "cell_id long, fac_seq long, minutes double")
+    out = model.compute_access(cells, fac, "step", reach=60.0, capacity=4.0, distance=geo.haversine_km, minutes=minutes, snap=True)
+    assert values(out.where("cell_id != 3"), "cell_id", "access", "treated", "nearest_min") == [(0, 1.0, 6.0, 20.0), (1, 0.0, 0.0, 70.0), (2, 1.0, 6.0, 5.0)]
+
+
+def cells_of(fac, people):
+    return cells.snapped_facilities(fac, people, geo.haversine_km)
+
+
+@pytest.mark.parametrize("few", [10_000, 3])
+def test_quantiles_equal_sorted_values(spark, few):
+    """Selection by narrowing ranges: ties, spread exponents, one value, none."""
+    rng = np.random.default_rng(8)
+    by = {1: rng.exponential(50, 700), 2: np.repeat([3.0, 7.0], 40), 3: 10.0 ** rng.uniform(-200, 200, 200), 4: np.array([5.0]), 6: -rng.integers(0, 9, 300).astype(float)}
+    rows = [(s, float(v), float(w)) for s, vs in by.items() for v, w in zip(vs, rng.integers(0, 4, len(vs)), strict=True)] + [(5, None, 1.0), (1, None, 9.0)]
+    frame = spark.createDataFrame(rows, "scope int, d double, w double").repartition(3)
+    got = {r["scope"]: r for r in summary.quantiles(frame, "d", {"a": 0.5, "b": 0.95, "c": 0.0, "e": 1.0}, few).collect()}
+    assert got.keys() == by.keys()
+    for s, vs in by.items():
+        assert [got[s][k] for k in "abce"] == pytest.approx(list(np.quantile(vs, [0.5, 0.95, 0.0, 1.0])), rel=1e-12)
+    for r in summary.weighted_median(frame, "d", "w", few).collect():
+        some = sorted((v, w) for s, v, w in rows if s == r["scope"] and v is not None)
+        run = np.cumsum([w for _, w in some])
+        assert r["median"] == some[int(np.argmax(run >= 0.5 * run[-1]))][0]
+    shown = summary.distance_summary(frame.withColumnsRenamed({"d": "nearest_km", "w": "population"}), few)
+    assert values(shown.where("scope = 5"), "median_km", "unreached_cells", "unreached_population") == [(None, 1, 1.0)]
+
+
+def test_wave_numbers_are_longest_chains(spark):
+    chains = spark.createDataFrame([(1, 1, 2), (1, 2, 5), (1, 5, None), (1, 1, 5), (1, 3, 4), (1, 4, None), (2, 2, 1 + 8), (2, 9, None)], "scope int, fac_seq long, next long")
+    assert values(allocation.wave_numbers(chains), "scope", "fac_seq", "wave") == [(1, 1, 0), (1, 2, 1), (1, 3, 0), (1, 4, 1), (1, 5, 2), (2, 2, 0), (2, 9, 1)]
+
+
+@pytest.mark.parametrize("kind", [{"model": "exponential", "scale": 25.0}])
+def test_plan_carries_what_a_new_computation_gives(spark, kind):
+    """After steps that append and merge, the carried state is that of the model for the new facilities."""
+    rng = np.random.default_rng(9)
+    people = [(int(i), int(i % 3), float(a), float(b), float(p), float(p / 9)) for i, (a, b, p) in enumerate(zip(rng.uniform(0, 2, 45), rng.uniform(0, 2, 45), rng.uniform(5, 800, 45), strict=True))]
+    people += [(3, 1, people[3][2], people[3][3], 700.0, 90.0)]  # a border cell
+    frame = spark.createDataFrame(people, "cell_id long, scope int, lat double, lon double, population double, demand double")
+    fac = spark.createDataFrame([(i, i % 2, 0.5 * i, 0.4, float(i % 3)) for i in range(6)], "fac_seq long, scope int, lat double, lon double, machines double")  # scope 2 has none
+    options = {**kind, "capacity": 30.0, "resolution": 4, "distance": geo.haversine_km}
+    plan = planning.plan(frame, fac, 3, 2.0, 70.0, **options)
+    assert plan.steps.count() == 12 and 6 < plan.facilities.count() < 15  # some appended, some merged
+    again = model.compute_access(frame, plan.facilities, **options)
+    names = ["scope", "cell_id", "access", "treated", "untreated", "nearest_km", "with_access"]
+    for x, y in zip(values(plan.result, *names), values(again, *names), strict=True):
+        assert x == pytest.approx(y, abs=1e-9)
+
+
+def test_levels_and_coarser_minutes(spark):
+    base = 617700169958293503
+    rows = spark.createDataFrame([(1, c, base + c * 2**20, float(c % 5)) for c in range(600)], "scope int, cell_id long, h3 long, population double")
+    got = cells.resample_levels(rows, 8, 5)
+    assert values(got.groupBy("res").agg(F.sum("population").alias("p")), "res", "p") == [(r, 1200.0) for r in (5, 6, 7, 8)]
+    for r in (5, 7):
+        assert values(got.where(f"res = {r}"), "h3", "population") == values(cells.resample(rows, r), "h3", "population")
+    minutes = spark.createDataFrame([(1, 0, 7, 10.0), (1, 3, 7, 30.0), (1, 4, 8, 5.0)], "scope int, cell_id long, fac_seq long, minutes double")
+    assert values(cells.coarser_minutes(minutes, rows, 5), "fac_seq", "minutes") == [(7, (10 * 1 + 30 * 3) / 4), (8, 5.0)]
+
+
+def test_area_of_a_cell(spark):
+    octant = [(0.0, 0.0), (0.0, 90.0), (90.0, 0.0)]
+    small = [(10.0, 20.0), (10.0, 20.01), (10.01, 20.01), (10.01, 20.0)]
+    rows = spark.createDataFrame([(1, octant), (2, small), (3, small[:2]), (4, None)], "k int, b array<struct<lat:double,lon:double>>")
+    got = [r[0] for r in rows.orderBy("k").select(geo.polygon_km2(F.col("b"))).collect()]
+    assert got[0] == pytest.approx(math.pi / 2 * 6371.0088**2) and got[1] == pytest.approx((6371.0088 * math.radians(0.01)) ** 2 * math.cos(math.radians(10.005)), rel=1e-6) and got[2] is None and got[3] is None
+
+
+def test_displayed_metrics(spark):
+    rows = spark.createDataFrame([(1, 1, 4.0, 6.0, 0.4, 0.9), (1, 2, 0.0, 1.0, 0.0, 0.1), (2, 3, 1.0, 1.0, 1.0, 1.0)], "scope int, cell_id long, treated double, demand double, served double, access double").withColumn("untreated", F.expr("demand - treated"))
+    assert values(summary.displayed(rows, "deficit", F.lit(5.0)), "cell_id", "value", "low", "high") == [(1, 4.0, 0.0, 4.0), (2, 2.0, 0.0, 4.0), (3, 0.0, 0.0, 0.0)]
+    assert values(summary.displayed(rows, "served", F.lit(5.0)), "cell_id", "value", "high") == [(1, 0.4, 1.0), (2, 0.0, 1.0), (3, 1.0, 1.0)]
