@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -13,7 +14,7 @@ from catchment.functions import geo, text
 from catchment.operators import access, allocation, cells, demand, model, quality, summary
 from catchment.plans import planning
 from catchment.sources import fixtures as fx
-from catchment.sources import readers, sinks
+from catchment.sources import readers, regions, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -633,7 +634,7 @@ def s2(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.kept(spark, path, region=1, res=4).select("cell_id", *r4("population"))
 
 
-@query("S9_travel_time_table", MIN + " SELECT cell_id, fac_seq, minutes FROM mins")
+@query("S9_travel_time_table", MIN + " SELECT scope, cell_id, fac_seq, minutes FROM mins")
 def s9(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{sinks.shared_folder(spark)}/minutes-{uuid.uuid4().hex}"
     for mode, times in (("driving", 1.0), ("transit", 2.0)):
@@ -904,3 +905,188 @@ def s8(spark: SparkSession, sf: str) -> DataFrame:
     found = rows.join(size, "fac_seq").groupBy("fac_seq", F.pmod(F.xxhash64("cell_id"), F.col("parts"))).agg(F.collect_list(cell).alias("cells"))
     found.select(F.array(F.struct(F.col("fac_seq").cast("string").alias("search_id"), "cells")).alias("results")).write.json(path)
     return readers.travel_times(spark, path, lines=True)
+
+
+# --- tables that follow their inputs ------------------------------------------------
+MOVED_FAC = "fac AS (SELECT fac_seq, scope, CASE WHEN fac_seq % 10 = 0 THEN lat + 0.5 ELSE lat END AS lat, lon, machines FROM old),"
+
+
+def moved_some(fac: DataFrame) -> DataFrame:
+    return fac.withColumn("lat", F.when(F.col("fac_seq") % 10 == 0, F.col("lat") + 0.5).otherwise(F.col("lat")))
+
+
+MOVED = VIEWS.replace("fac AS (SELECT s_suppkey", "old AS (SELECT s_suppkey").replace(END, END + "\n" + MOVED_FAC)
+SQL["S9_refreshed_times"] = "WITH " + MOVED + ", mins AS (SELECT scope, cell_id, fac_seq, round(km * 1.5, 4) AS minutes FROM pairs WHERE km <= 300.0) SELECT * FROM mins"
+
+
+@query("S9_refreshed_times")
+def s9_refreshed(spark: SparkSession, sf: str) -> DataFrame:
+    """Travel times kept by facility, after a tenth of the facilities moved: the others' are kept."""
+    path, people = sinks.new_path(spark, "times"), fx.cells(spark, sf)
+    for fac in (fx.facilities(spark, sf), moved_some(fx.facilities(spark, sf))):
+        place = F.array(F.format_string("%.5f %.5f", "lat", "lon"))
+        marks = fac.select("scope", "fac_seq", text.fingerprint(place).alias("mark"))
+
+        def times(keys: DataFrame, fac: DataFrame = fac) -> DataFrame:
+            pairs = access.pairs_within(people, fac.join(keys, ["scope", "fac_seq"], "left_semi"), 300.0, geo.haversine_km)
+            return pairs.select("scope", "cell_id", "fac_seq", F.round(F.col("km") * 1.5, 4).alias("minutes"))
+
+        kept = sinks.refreshed(spark, path, marks, ["scope", "fac_seq"], times)
+    return kept.rows
+
+
+SQL["S11_refreshed_result"] = "WITH " + MOVED + ACC + " SELECT scope, cell_id, access::DOUBLE AS access FROM acc"
+
+
+@query("S11_refreshed_result")
+def s11_refreshed(spark: SparkSession, sf: str) -> DataFrame:
+    """Access kept by country under the fingerprint of its facilities, after some moved."""
+    path, people = sinks.new_path(spark, "access"), fx.cells(spark, sf)
+    scopes = people.select("scope").distinct()
+    for fac in (fx.facilities(spark, sf), moved_some(fx.facilities(spark, sf))):
+        places = fac.groupBy("scope").agg(text.fingerprint(F.collect_list(F.format_string("%.5f %.5f", "lat", "lon"))).alias("mark"))
+        marks = scopes.join(places, "scope", "left").fillna("", ["mark"])
+
+        def computed(keys: DataFrame, fac: DataFrame = fac) -> DataFrame:
+            some = people.join(keys, "scope", "left_semi")
+            pairs = access.pairs_within(some, fac.join(keys, "scope", "left_semi"), REACH, geo.haversine_km)
+            return access.geographic_access(some, pairs, model="step", reach=REACH).select("scope", "cell_id", "access")
+
+        kept = sinks.refreshed(spark, path, marks, ["scope"], computed)
+    return kept.rows
+
+
+# --- more single steps --------------------------------------------------------------
+@query("S5_sites", " SELECT DISTINCT site FROM cases")
+def s5_sites(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.incidence(spark, sf).select("site").distinct()
+
+
+@query("S5_members", " SELECT n_nationkey AS scope, n_nationkey IN (SELECT scope FROM cases WHERE site = 'PROMO') AS has_cases FROM nation")
+def s5_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Which countries the incidence table has."""
+    have = fx.incidence(spark, sf).where("site = 'PROMO'").select("scope", F.lit(True).alias("has_cases"))
+    return fx.countries(spark, sf).select("scope").join(have, "scope", "left").fillna(False, ["has_cases"])
+
+
+@query("S7_actual_fractions", " SELECT iso3, site_key, fraction FROM (SELECT 'C' || chr(CAST(65 + scope // 26 AS INTEGER)) || chr(CAST(65 + scope % 26 AS INTEGER)) AS iso3, lower(site) AS site_key, round(cases % 1.0, 3) AS fraction FROM cases) x")
+def s7(spark: SparkSession, sf: str) -> DataFrame:
+    """Fractions written as a file for each country, and read back with the country of the file's name."""
+    path = sinks.new_path(spark, "actual")
+    letter = lambda x: F.char(F.lit(65) + x)
+    iso3 = F.concat(F.lit("C"), letter(F.floor(F.col("scope") / 26)), letter(F.col("scope") % 26))
+    rows = fx.incidence(spark, sf).select(iso3.alias("iso3"), F.concat_ws(", ", "site", F.round(F.col("cases") % 1.0, 3).cast("string")).alias("value"))
+    rows.repartition("iso3").write.partitionBy("iso3").text(path)
+    return readers.actual_fractions(spark, path)
+
+
+@query("U1_united_facilities", ", " + RAW + " SELECT 'file' AS source, name, CAST(lat AS DOUBLE) AS lat, CAST(cnt AS DOUBLE) AS machines FROM raw WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND cnt <> 'n/a' AND cnt <> '0' UNION ALL SELECT 'sheet', name, CAST(lat AS DOUBLE), CASE WHEN cnt = 'n/a' THEN 1.0 ELSE CAST(cnt AS DOUBLE) END FROM raw WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND cnt <> '0'")
+def u1(spark: SparkSession, sf: str) -> DataFrame:
+    parts = [s3(spark, sf).withColumn("source", F.lit("file")), s4(spark, sf).withColumn("source", F.lit("sheet"))]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True).select("source", "name", "lat", "machines")
+
+
+@query("U2_appended_facilities", ", c AS (SELECT fac_seq, scope, 'n' || lpad(CAST(fac_seq AS VARCHAR), 9, '0') AS name FROM fac WHERE fac_seq % 3 <> 0), m AS (SELECT scope, max(fac_seq) AS last FROM fac GROUP BY scope) SELECT scope, fac_seq, machines * 450.0 AS capacity FROM fac UNION ALL SELECT c.scope, last + row_number() OVER (PARTITION BY c.scope ORDER BY name), 50.0 FROM c JOIN m ON m.scope = c.scope")
+def u2(spark: SparkSession, sf: str) -> DataFrame:
+    """A user's facilities after the existing ones; those without a place are left out."""
+    fac = fx.facilities(spark, sf).withColumn("name", F.lit("old"))
+    name = F.concat(F.lit("n"), F.lpad(F.col("fac_seq").cast("string"), 9, "0"))
+    own = fac.select("scope", name.alias("name"), F.when(F.col("fac_seq") % 3 != 0, F.col("lat") + 0.01).alias("lat"), "lon", F.lit(50.0).alias("capacity"))
+    none = spark.createDataFrame([], "name string, capacity double")
+    return quality.scenario(fac, none, own, 450.0).select("scope", "fac_seq", "capacity")
+
+
+@query("J17_patched_places", BAD + " SELECT b.k AS row, coalesce(new_lat, lat) AS lat FROM b LEFT JOIN patch ON patch.row = b.k")
+def j17(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    rows = fx.table(spark, sf, "supplier").select(k.alias("row"), F.when(k % 6 == 1, 99.0).when(k % 6 != 0, 10.0).alias("lat"), F.lit(10.0).alias("lon"))
+    return quality.patched(rows, repaired(spark, sf)).select("row", "lat")
+
+
+@query("A11_scope_totals", ACC + ALLOC + " SELECT scope, round(sum(population), 2) AS population, round(sum(rem), 4) AS untreated, round(CASE WHEN sum(population) > 0 THEN sum(access * population) / sum(population) ELSE 0.0 END, 6) AS mean_access FROM done GROUP BY scope")
+def a11(spark: SparkSession, sf: str) -> DataFrame:
+    rows = model.statistics(result(spark, sf), fx.facilities(spark, sf))
+    return rows.select("scope", F.round("population", 2).alias("population"), *r4("untreated"), F.round("mean_access", 6).alias("mean_access"))
+
+
+@query("W7_step_gains", ", t AS (SELECT s_nationkey AS scope, CAST(l_linenumber AS INTEGER) AS step, sum(CAST(l_quantity AS DOUBLE)) AS treated FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2) SELECT scope, step, treated - lag(treated) OVER (PARTITION BY scope ORDER BY step) AS gain FROM t")
+def w7(spark: SparkSession, sf: str) -> DataFrame:
+    """What each step adds to the one before."""
+    lines = fx.table(spark, sf, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.sum(F.col("l_quantity").cast("double")).alias("q"))
+    rows = lines.join(fx.table(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    steps = rows.groupBy(F.col("s_nationkey").alias("scope"), F.col("l_linenumber").cast("int").alias("step")).agg(F.sum("q").alias("treated"))
+    return planning.with_gain(steps).select("scope", "step", "gain")
+
+
+@query("O1_report_order", ACC + ALLOC + " SELECT n_name AS name, CAST(row_number() OVER (ORDER BY round_even(CASE WHEN demand > 0 THEN treated / demand ELSE 0.0 END, 4), n_name) AS INTEGER) AS place FROM stats JOIN nation ON n_nationkey = scope")
+def o1(spark: SparkSession, sf: str) -> DataFrame:
+    """The place of each country in the report, worst served first, as the report is written."""
+    path = sinks.new_path(spark, "report")
+    report = model.country_report(model.statistics(result(spark, sf), fx.facilities(spark, sf)), fx.countries(spark, sf))
+    report.select("name").coalesce(1).write.text(path)  # a row a country, in the report's order
+    numbered = spark.read.text(path).select(F.col("value").alias("name"), F.monotonically_increasing_id().alias("at"))
+    return numbered.select("name", F.row_number().over(Window.orderBy("at")).alias("place"))
+
+
+SHOWN = " UNION ALL ".join(f"SELECT '{k}' AS metric, cell_id, round({v}, 4) AS value, 0.0::DOUBLE AS low, round({h}, 4) AS high FROM done" for k, v, h in (("deficit", "rem / 0.7", "max(rem / 0.7) OVER (PARTITION BY scope)"), ("treated", "treated / 0.7", "max(treated / 0.7) OVER (PARTITION BY scope)"), ("demand", "demand / 0.7", "max(demand / 0.7) OVER (PARTITION BY scope)"), ("served", "CASE WHEN demand > 0 THEN treated / demand ELSE 0.0 END", "1.0::DOUBLE"), ("access", "access::DOUBLE", "1.0::DOUBLE")))
+
+
+@query("P14_display_metric", ACC + ALLOC + " " + SHOWN)
+def p14(spark: SparkSession, sf: str) -> DataFrame:
+    """Each metric that a map can show, with its range; counts per 10 square km (of cells of 7)."""
+    rows = sinks.stored(result(spark, sf), "result")
+    parts = [summary.displayed(rows, k, F.lit(7.0)).select(F.lit(k).alias("metric"), "cell_id", *r4("value"), "low", *r4("high")) for k in summary.METRICS]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).union(parts[4])
+
+
+CORNER = "radians(lat + 0.1 * sin(k * pi() / 3)) AS a, radians(lon + 0.1 * cos(k * pi() / 3) / cos(radians(lat))) AS b"
+DOT = "({0}.x * {1}.x + {0}.y * {1}.y + {0}.z * {1}.z)"
+
+
+@query("F7_cell_areas", f", v AS (SELECT cell_id, k, cos(a) * cos(b) AS x, cos(a) * sin(b) AS y, sin(a) AS z FROM (SELECT cell_id, k, {CORNER} FROM cells, range(6) AS t(k)) c), e AS (SELECT p.cell_id, 2 * atan2(abs(p.x * (q.y * r.z - q.z * r.y) + p.y * (q.z * r.x - q.x * r.z) + p.z * (q.x * r.y - q.y * r.x)), 1 + {DOT.format('p', 'q')} + {DOT.format('q', 'r')} + {DOT.format('r', 'p')}) AS e FROM v p JOIN v q ON p.cell_id = q.cell_id JOIN v r ON r.cell_id = q.cell_id AND r.k = q.k + 1 WHERE p.k = 0 AND q.k >= 1) SELECT cell_id, round({geo.EARTH_KM}::DOUBLE * {geo.EARTH_KM} * sum(e), 3) AS area_km2 FROM e GROUP BY cell_id")
+def f7(spark: SparkSession, sf: str) -> DataFrame:
+    """Area of each cell from its corners: hexagons of a tenth of a degree."""
+    corner = lambda k: F.struct((F.col("lat") + 0.1 * math.sin(k * math.pi / 3)).alias("lat"), (F.col("lon") + 0.1 * math.cos(k * math.pi / 3) / F.cos(F.radians("lat"))).alias("lon"))
+    rows = fx.cells(spark, sf).withColumn("boundary", F.array(*map(corner, range(6))))
+    return rows.select("cell_id", F.round(geo.polygon_km2(F.col("boundary")), 3).alias("area_km2"))
+
+
+@query("J6_sparse_minutes", MIN + " SELECT p.scope, p.cell_id, count(m.minutes) AS reached, count(*) - count(m.minutes) AS unreached, round(avg(coalesce(m.minutes, 600.0)), 4) AS mean_minutes FROM pairs p LEFT JOIN mins m ON m.scope = p.scope AND m.cell_id = p.cell_id AND m.fac_seq = p.fac_seq GROUP BY p.scope, p.cell_id")
+def j6_sparse(spark: SparkSession, sf: str) -> DataFrame:
+    """Travel times with a cap for what is out of reach, without making a pair that is."""
+    rows = cells.minutes_or_cap(fx.cells(spark, sf), fx.facilities(spark, sf), minutes(spark, sf), 600.0)
+    return rows.select("scope", "cell_id", "reached", "unreached", *r4("mean_minutes"))
+
+
+LEVELS = " UNION ALL ".join(f"SELECT {r} AS res, (({H3}) & -67553994410557441) | ({r}::BIGINT << 52) | ((1::BIGINT << {3 * (15 - r)}) - 1) AS h3, round(sum(greatest(CAST(c_acctbal AS DOUBLE), 0.0)), 4) AS population FROM customer GROUP BY 2" for r in range(4, 9))
+
+
+@query("A1_all_levels", " " + LEVELS)
+def a1_levels(spark: SparkSession, sf: str) -> DataFrame:
+    return cells.resample_levels(hexagons(spark, sf), 8, 4).select("res", "h3", *r4("population"))
+
+
+CODES = ", ".join(f"({k}, '{c}')" for k, c in enumerate(fx.COUNTRY_CODES))
+MEMBERS = ", ".join(f"('{code}', '{m}')" for _, code, _, members in regions.PARTS for m in members.split())
+
+
+@query("J7_world_regions", f", code AS (SELECT * FROM (VALUES {CODES}) AS t(scope, alpha2)), part AS (SELECT * FROM (VALUES {MEMBERS}) AS t(region, alpha2)), mem AS (SELECT * FROM part UNION ALL SELECT DISTINCT 'WLD', alpha2 FROM part) SELECT region, count(*) AS cells, round(sum(population), 2) AS population FROM cells JOIN code ON code.scope = cells.scope JOIN mem ON mem.alpha2 = code.alpha2 GROUP BY region")
+def j7_world(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells and people of the regions of the world, each nation standing for a country."""
+    codes = spark.createDataFrame(list(enumerate(fx.COUNTRY_CODES)), "scope int, alpha2 string")
+    by = fx.cells(spark, sf).groupBy("scope").agg(F.count("*").alias("n"), F.sum("population").alias("p"))
+    rows = by.join(codes, "scope").join(regions.members(spark), "alpha2")
+    return rows.groupBy("region").agg(F.sum("n").alias("cells"), F.round(F.sum("p"), 2).alias("population"))
+
+
+NAMES = ", ".join("({}, '{}', '{}')".format(k, *(x.replace("'", "''") for x in pair)) for k, pair in enumerate(regions.ALIASES.items()))
+
+
+@query("J8_country_aliases", f", n AS (SELECT * FROM (VALUES {NAMES}) AS t(k, name, source_name)), src AS (SELECT source_name, count(*) AS facilities FROM supplier JOIN n ON s_suppkey % {len(regions.ALIASES)} = k GROUP BY 1) SELECT name, n.source_name, facilities FROM n JOIN src ON src.source_name = n.source_name")
+def j8_aliases(spark: SparkSession, sf: str) -> DataFrame:
+    """Facilities by the standard name of their country, which the source calls otherwise."""
+    called = F.element_at(F.array(*map(F.lit, regions.ALIASES.values())), (F.col("s_suppkey") % len(regions.ALIASES) + 1).cast("int"))
+    source = fx.table(spark, sf, "supplier").groupBy(called.alias("source_name")).agg(F.count("*").alias("facilities"))
+    names = regions.aliases(spark)
+    found = quality.resolve_names(names.select("name"), source.select("source_name"), names)
+    return found.join(source, "source_name").select("name", "source_name", "facilities")

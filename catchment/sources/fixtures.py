@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 #: Treatment fraction of each site.
 FRACTIONS = {"ECONOMY": 0.83, "LARGE": 0.68, "MEDIUM": 0.76, "PROMO": 0.58, "SMALL": 0.04, "STANDARD": 0.50}
 
+#: The country (ISO 3166 alpha-2) that stands for each nation, by its key.
+COUNTRY_CODES = "DZ AR BR CA EG ET FR DE IN ID IR IQ JP JO KE MA MZ PE CN RO SA VN RU GB US".split()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

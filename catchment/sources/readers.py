@@ -70,8 +70,12 @@ def utilisation(lines: DataFrame) -> DataFrame:
 
 
 def actual_fractions(spark: SparkSession, folder: str) -> DataFrame:
-    """iso3, site_key, fraction of a folder with a headerless file for each country."""
-    rows = spark.read.text(folder).select("value", F.regexp_extract(F.col("_metadata.file_name"), r"^([A-Za-z]{3})\.", 1).alias("iso3"))
+    """iso3, site_key, fraction of a folder with a headerless file for each country, named
+    by it (ABC.csv) or in a folder of its own (iso3=ABC)."""
+    rows = spark.read.text(folder)
+    named = F.regexp_extract(F.col("_metadata.file_name"), r"^([A-Za-z]{3})\.", 1)
+    iso3 = F.coalesce(F.col("iso3").cast("string"), named) if "iso3" in rows.columns else named
+    rows = rows.select("value", iso3.alias("iso3"))
     part = lambda k: F.regexp_extract("value", r"^(.*),([^,]*)$", k)
     rows = rows.select("iso3", site_key(part(1)).alias("site_key"), number(part(2)).alias("fraction"))
     return rows.where(F.col("fraction").isNotNull() & (F.col("iso3") != ""))

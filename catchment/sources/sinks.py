@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +56,60 @@ def kept(spark: SparkSession, path: str, **keys: object) -> DataFrame:
     return rows.drop(*keys)
 
 
+class Refreshed(NamedTuple):
+    """``rows`` as they are now, and the keys that were ``computed`` for them this time."""
+
+    rows: DataFrame
+    computed: DataFrame
+
+
+def refreshed(spark: SparkSession, path: str, marks: DataFrame, key: list[str], compute: Callable[[DataFrame], DataFrame]) -> Refreshed:
+    """Rows kept under ``path`` that follow their inputs: only for keys whose mark is new or has
+    changed, ``compute`` (of a table of those keys) is called, and its rows are written as a batch.
+
+    ``marks`` (the columns ``key``, mark: a fingerprint of what the rows of a key come from) says
+    which keys there are. A manifest says in which batch each key's rows are; rows of keys that
+    are gone or were replaced aren't read, and a batch without a live key is removed. Runs on one
+    path must not overlap."""
+    marks = marks.select(*key, "mark")
+    old, version = None, 1
+    try:
+        old = spark.read.parquet(f"{path}/manifest")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    if old is None:
+        stale, now = stored(marks, "stale"), None
+    else:
+        version = old.agg(F.max("version")).first()[0] + 1
+        last = stored(old.where(F.col("version") == version - 1).drop("version"), "manifest")
+        stale = stored(marks.join(last, [*key, "mark"], "left_anti"), "stale")
+        now = marks.join(last, [*key, "mark"]).select(*key, "mark", "batch")
+    if not stale.isEmpty():
+        compute(stale.select(*key)).write.mode("overwrite").parquet(f"{path}/rows/batch={version}")
+    fresh = stale.withColumn("batch", F.lit(version))
+    now = stored(fresh if now is None else now.union(fresh), "manifest")
+    now.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(f"{path}/manifest")
+    live = {r["batch"] for r in now.select("batch").distinct().collect()}  # as many as refreshes
+    if old is not None:
+        for r in old.where(F.col("version") == version - 1).select("batch").distinct().collect():
+            if r["batch"] not in live:
+                removed(spark, f"{path}/rows/batch={r['batch']}")
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(*[f"{path}/rows/batch={b}" for b in sorted(live)])
+    return Refreshed(rows.join(now.select(*key, "batch"), [*key, "batch"], "left_semi").drop("batch"), stale.select(*key))
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear_session(spark: SparkSession) -> None:
+    """Delete what ``stored`` has written in this session; no table made from it can be read any more."""
+    removed(spark, f"{shared_folder(spark)}/catchment-{spark.sparkContext.applicationId}")
+
+
 def write_report(results: DataFrame, skipped: DataFrame, path: str) -> None:
     """The two tables of a report: ``Results`` and ``Skipped``."""
     results.write.mode("overwrite").parquet(f"{path}/Results")

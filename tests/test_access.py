@@ -194,14 +194,35 @@ def test_waves_equal_grouped_allocation(spark):
         assert all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(one, by_waves, strict=True)) and sum(r[2] for r in one) > 0
 
 
-def serial_plan(spark, people, places, steps, machines, snap_km, score, stop, minutes, snap_min, options):
-    """The plan of one scope after the other, in plain Python but for the model and its distance."""
-    km = lambda a, b: 2 * 6371.0088 * math.asin(math.sqrt(math.sin((b[0] - a[0]) / 2) ** 2 + math.cos(a[0]) * math.cos(b[0]) * math.sin((b[1] - a[1]) / 2) ** 2))
-    radians = lambda r: (math.radians(r["lat"]), math.radians(r["lon"]))
+def km_between(a, b):
+    (p, q), (r, t) = (tuple(math.radians(x[k]) for k in ("lat", "lon")) for x in (a, b))
+    return 2 * 6371.0088 * math.asin(math.sqrt(math.sin((r - p) / 2) ** 2 + math.cos(p) * math.cos(r) * math.sin((t - q) / 2) ** 2))
+
+
+def plain_access(people, places, reach, capacity, resolution):
+    """The model of one scope by step decay, cell after cell."""
+    left = {c["cell_id"]: c["demand"] for c in people}
+    km = {(c["cell_id"], f["fac_seq"]): km_between(c, f) for c in people for f in places}
+    for f in sorted(places, key=lambda f: f["fac_seq"]):
+        cap, rings = f["machines"] * capacity, {}
+        for c in left:
+            if km[c, f["fac_seq"]] <= reach:
+                rings.setdefault(round(km[c, f["fac_seq"]] / (geo.EDGE_KM[resolution] * 3**0.5)), []).append(c)
+        for r in sorted(rings):
+            total = sum(left[c] for c in rings[r])
+            part = min(1.0, max(cap, 0.0) / total) if total > 0 else 0.0
+            for c in rings[r]:
+                left[c] -= left[c] * part
+            cap -= total * part
+    return [c | {"untreated": left[c["cell_id"]], "treated": c["demand"] - left[c["cell_id"]], "nearest_km": min(km[c["cell_id"], f["fac_seq"]] for f in places)} for c in people]
+
+
+def serial_plan(people, places, steps, machines, snap_km, score, stop, minutes, snap_min, options):
+    """The plan of one scope after the other, the whole model anew at each step, in plain Python."""
     out = []
     for scope in sorted({c["scope"] for c in people}):
         own, fac = [c for c in people if c["scope"] == scope], [dict(f) for f in places if f["scope"] == scope]
-        run = lambda: model.compute_access(spark.createDataFrame(pd.DataFrame(own)), spark.createDataFrame(pd.DataFrame(fac)), **options).toPandas().to_dict("records")  # noqa: B023, E731
+        run = lambda: plain_access(own, fac, options["reach"], options["capacity"], options["resolution"])  # noqa: B023, E731
         now = run()
         out.append((scope, 0, None, None, round(sum(c["treated"] for c in now), 6)))
         for step in range(1, steps + 1):
@@ -214,7 +235,7 @@ def serial_plan(spark, people, places, steps, machines, snap_km, score, stop, mi
             if worth[best] < (1.0 if score == "unmet" else 0.0):
                 break
             at = next(c for c in own if c["cell_id"] == best)
-            close = [(km(radians(at), radians(f)), f["fac_seq"]) for f in fac]
+            close = [(km_between(at, f), f["fac_seq"]) for f in fac]
             close = [x for x in close if x[0] <= snap_km or minutes.get((best, x[1]), math.inf) <= snap_min]
             if close:
                 seq = min(close)[1]
@@ -238,7 +259,7 @@ def test_placement_equals_the_serial_loop(spark, score, stop):
     plan = planning.place(spark.createDataFrame(pd.DataFrame(people)), spark.createDataFrame(pd.DataFrame(places)), 3, 2.0, 15.0, score, stop=stop, minutes=table, snap_min=25.0, **options)
     rows = sorted((r["scope"], r["step"], r["cell_id"], r["fac_seq"], round(r["treated"], 6)) for r in plan.collect())
     assert len(rows) > 2
-    assert rows == serial_plan(spark, people, places, 3, 2.0, 15.0, score, stop, minutes, 25.0, options)
+    assert rows == serial_plan(people, places, 3, 2.0, 15.0, score, stop, minutes, 25.0, options)
 
 
 def test_dense_cube_is_dealt_over_tasks(spark):
@@ -374,3 +395,28 @@ def test_displayed_metrics(spark):
     rows = spark.createDataFrame([(1, 1, 4.0, 6.0, 0.4, 0.9), (1, 2, 0.0, 1.0, 0.0, 0.1), (2, 3, 1.0, 1.0, 1.0, 1.0)], "scope int, cell_id long, treated double, demand double, served double, access double").withColumn("untreated", F.expr("demand - treated"))
     assert values(summary.displayed(rows, "deficit", F.lit(5.0)), "cell_id", "value", "low", "high") == [(1, 4.0, 0.0, 4.0), (2, 2.0, 0.0, 4.0), (3, 0.0, 0.0, 0.0)]
     assert values(summary.displayed(rows, "served", F.lit(5.0)), "cell_id", "value", "high") == [(1, 0.4, 1.0), (2, 0.0, 1.0), (3, 1.0, 1.0)]
+
+
+def test_kept_rows_follow_their_inputs(spark, tmp_path):
+    """Only keys whose mark changed are computed; rows of keys that went or changed aren't read, and
+    a batch without live keys is removed."""
+    path, asked = f"file://{tmp_path}/kept", []
+    marks = lambda m: spark.createDataFrame(list(m.items()), "scope int, mark string")
+
+    def compute(keys):
+        asked.append(sorted(r["scope"] for r in keys.collect()))
+        return keys.select("scope", F.explode(F.array(F.lit(len(asked)), F.lit(0))).alias("v"))
+
+    for m, new in (({1: "a", 2: "b", 3: "c"}, [1, 2, 3]), ({1: "a", 2: "b", 3: "c"}, []), ({1: "a", 2: "x", 4: "d"}, [2, 4]), ({1: "y", 2: "x"}, [1])):
+        kept = sinks.refreshed(spark, path, marks(m), ["scope"], compute)
+        assert sorted(r["scope"] for r in kept.computed.collect()) == new and {r["scope"] for r in kept.rows.collect()} == set(m)
+    assert asked == [[1, 2, 3], [2, 4], [1]] and values(kept.rows, "scope", "v") == [(1, 0), (1, 3), (2, 0), (2, 2)]
+    assert sorted(f.name for f in (tmp_path / "kept" / "rows").iterdir() if f.is_dir()) == ["batch=3", "batch=4"]
+
+
+def test_regions(spark):
+    from catchment.sources import regions
+
+    rows = {r["code"]: r["members"] for r in regions.regions(spark).collect()}
+    assert len(rows) == 12 and set(rows["WLD"]) == {m for k, v in rows.items() if k != "WLD" for m in v} and rows["NAM"] == ["CA", "PR", "US"]
+    assert all(len(m) == len(set(m)) for m in rows.values()) and regions.aliases(spark).count() == 28
