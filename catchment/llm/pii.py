@@ -37,8 +37,9 @@ KINDS = ("email", "ip", "card", "phone")
 GENERALISE_AT, REMOVE_AT, CLASS_AT = 0.7, 0.9, 0.95
 #: A class that a larger share of texts holds is no information to protect.
 RARE_CLASS = 0.05
-#: Coordinates of the sketch that tells texts apart from near copies.
-SKETCH = 4
+#: Coordinates of the sketch that tells texts apart from near copies; how many different ones
+#: count by single bits, beyond which trailing bits estimate them.
+SKETCH, FEW = 4, 48
 #: What a secret is: length, bits of information in all and a character, changes between
 #: letters and digits, at least.
 SECRET_CHARS, SECRET_BITS, SECRET_DENSITY, SECRET_CHANGES = 20, 64, 2.5, 4
@@ -158,16 +159,20 @@ def terms(text: str) -> set[str]:
 
 
 def sketch(names: list[str]) -> list[int]:
-    """SKETCH minimum hashes of a text's pairs of neighbouring terms, each as one of 64 bits.
+    """SKETCH minimum hashes of a text's pairs of neighbouring terms, each as one of 64 bits, and
+    then each as a bit k with a chance of 2^-(k+1), for counts that 64 bits don't hold.
     Pairs, as single frequent terms would be the minimum of texts that have nothing else in common."""
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
     h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] if len(h) > 1 else h
-    out = []
+    few, many = [], []
     for k in range(SKETCH):
         x = mixed(h + np.uint64(k))
-        bit = int(x.min() % np.uint64(64)) if len(x) else 0
-        out.append(1 << bit if bit < 63 else -(1 << 63))
-    return out
+        least = int(x.min()) if len(x) else 0
+        few.append(1 << least % 64 if least % 64 < 63 else -(1 << 63))
+        # the least of many hashes has no even upper bits, so it is mixed once more
+        spread = int(mixed(np.array([least + 1], np.uint64))[0]) | 1 << 40
+        many.append(spread & -spread)
+    return few + many
 
 
 SCAN = "term string, df long, entities array<struct<entity:long,unit:long>>, classes array<long>, sketch array<long>, terms array<string>"
@@ -248,9 +253,13 @@ def class_pairs(held: DataFrame, total: int) -> DataFrame:
     owners = named.groupBy("entity").agg(F.count("*").alias("owners")).where(F.col("owners") <= max(1, int(RARE_CLASS * total)))
     some = named.join(broadcast_if_small(stored(owners, "classes-owned")), "entity")
     rows = some.select("entity", "owners", "sketch", F.explode("terms").alias("term"))
-    bits = [F.bit_or(F.col("sketch")[k]).alias(f"b{k}") for k in range(SKETCH)]
+    bits = [F.bit_or(F.col("sketch")[k]).alias(f"b{k}") for k in range(2 * SKETCH)]
     rows = rows.groupBy("entity", "owners", "term").agg(F.count("*").alias("met"), *bits)
-    support = F.least(*[F.bit_count(f"b{k}") for k in range(SKETCH)]).cast("long")
+    few = F.least(*[F.bit_count(f"b{k}") for k in range(SKETCH)]).cast("long")
+    # Flajolet-Martin: as many trailing ones as the logarithm of the number of different values
+    ones = sum(F.bit_count(F.col(f"b{k}").bitwiseAND(F.bitwise_not(F.col(f"b{k}") + 1))) for k in range(SKETCH, 2 * SKETCH)) / SKETCH
+    many = F.least(F.floor(F.pow(F.lit(2.0), ones) / 0.77351).cast("long"), F.col("met"))
+    support = F.when(few < FEW, few).otherwise(F.greatest(few, many))
     return rows.select("entity", "owners", "term", "met", support.alias("support"))
 
 
@@ -258,7 +267,8 @@ def disclosing(docs: DataFrame) -> DataFrame:
     """term, entity, disclosure, act of the terms that give an entity away.
 
     Texts are the events; IC(e) = -log p(e). ``support`` counts different contexts of a value,
-    or different texts of a class (64 at most, near copies once), that hold the term. Were
+    or different texts of a class (near copies once; single bits up to FEW, beyond that an
+    estimate within a factor of about 1.5), that hold the term. Were
     term and entity independent, it would be at most Poisson with mean df * owners / total;
     its tail, times the number of pairs, must be below SIGNIFICANT."""
     scanned, total = stored(scan(docs), "pii-scan", "zstd"), docs.count()
