@@ -30,11 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of the shared folder that nothing is at; a session's are in one folder, by its application id."""
+    return f"{shared_dir(spark)}/catchment-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and
     survives the loss of executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/catchment/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

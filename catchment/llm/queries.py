@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from catchment.llm import bpe, decontam, exact_dedup, hard_negatives, langid, lm, minhash, pii, sharding, suffix_dedup, topk, warc, whiten
-from catchment.llm.common import table
+from catchment.llm.common import new_path, table
 
 
 def tokenizer_path() -> str:
@@ -59,6 +59,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def sharding_rebalanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored map of 16 shards, loaded, edited for 17 and stored again: where each row was and goes."""
+    docs, path = table(spark, sf_dir, "documents"), new_path(spark, "slot-map")
+    sharding.shard(docs, 16, path=path)
+    return sharding.rebalanced(docs, 17, path)
+
+
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -71,7 +78,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_decontamination, decontamination_proximity, op4_language, op5_lm, op6_topk, op7_warc, op8_minhash, op9_bpe, op10_sharding, op11_whitening, op12_exact_dedup, op13_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_decontamination, decontamination_proximity, op4_language, op5_lm, op6_topk, op7_warc, op8_minhash, op9_bpe, op10_sharding, sharding_rebalanced, op11_whitening, op12_exact_dedup, op13_hard_negatives)}
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 SQL: dict[str, str] = {
     "op3_decontamination": f"""

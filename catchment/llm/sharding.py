@@ -1,39 +1,52 @@
 """Sharding by fixed virtual slots.
 
-A record's slot is a hash of its doc_id and text, one of ``SLOTS``. Spark sums bytes and rows
-for each slot; the slot-to-shard map (SLOTS rows, whatever the data) is balanced on the
-driver, stored with its version in the shared folder, and joined to the records. When
-shards are added or sizes drift, the map is edited: as few slots as are needed move, and
-no record is hashed anew.
+A record's slot is a hash of its doc_id and text, one of ``SLOTS``. Equal records that would
+make a slot heavier than its share are dealt over several slots. Spark sums bytes and rows for
+each slot; the slot-to-shard map (SLOTS rows, whatever the data) is balanced on the driver,
+stored with its version in the shared folder, and joined to the records. When shards are
+added or sizes drift, the last stored version is loaded, edited and stored as the next: as few
+slots as are needed move, and no record is hashed anew.
 """
 
 from __future__ import annotations
 
 import heapq
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from catchment.llm.common import stored
+from catchment.llm.common import new_path, stored
 
 SLOTS = 8192
 
 
-def virtual_slot(slots: int = SLOTS) -> Column:
-    """Slot of a record: by doc_id and text, so that rows without doc_id, or that share one,
-    are dealt out too; only equal rows (a group of copies with one doc_id) share a slot."""
-    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(slots)).cast("int")
-
-
 def record_size() -> Column:
     """UTF-8 bytes of the text (null: none) plus 1."""
     return F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
 
 
-def slot_sizes(docs: DataFrame, slots: int = SLOTS) -> dict[int, tuple[int, int]]:
-    """slot -> (bytes, rows), for slots with rows: ``slots`` entries at most."""
-    rows = docs.select(virtual_slot(slots).alias("vslot"), record_size().alias("size"))
+def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """doc_id, size, text_crc32, vslot of each row, stored.
+
+    Records are told apart by doc_id and text. Those that repeat so often that their bytes are
+    more than a slot's share of all are dealt over as many slots as they make shares; there are
+    ``slots`` such records at most, whatever the data."""
+    rows = stored(docs.select(
+        "doc_id", record_size().alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.xxhash64("doc_id", "text").alias("key"), F.monotonically_increasing_id().alias("row"),
+    ), "records")
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    pieces = F.ceil(F.sum("size") * slots / F.lit(max(total, 1))).cast("int")
+    heavy = rows.groupBy("key").agg(F.count("*").alias("n"), F.least(pieces, F.lit(slots)).alias("pieces")).where("n > 1 and pieces > 1").select("key", "pieces")
+    copy = F.coalesce(F.pmod(F.xxhash64("row"), "pieces"), F.lit(0))
+    whole = F.when(copy == 0, F.col("key")).otherwise(F.xxhash64("key", copy))
+    return rows.join(F.broadcast(heavy), "key", "left").select("doc_id", "size", "text_crc32", "row", F.pmod(whole, F.lit(slots)).cast("int").alias("vslot"))
+
+
+def slot_sizes(rows: DataFrame) -> dict[int, tuple[int, int]]:
+    """slot -> (bytes, rows), for slots with rows: SLOTS entries at most."""
     found = rows.groupBy("vslot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
     return {r["vslot"]: (r["b"], r["n"]) for r in found}
 
@@ -78,35 +91,74 @@ def edited_map(old: list[int], sizes: dict[int, tuple[int, int]], shards: int, s
     return new
 
 
-def stored_map(spark: SparkSession, version: int, shards: list[int], sizes: dict[int, tuple[int, int]]) -> DataFrame:
-    """Write one version of the map, with for each slot the number of rows that stand before
-    it in its shard: (version, vslot, shard, before, bytes)."""
+MAP = "vslot int, shard int, before long, bytes long"
+
+
+def store_map(spark: SparkSession, path: str, version: int, shards: list[int], sizes: dict[int, tuple[int, int]]) -> DataFrame:
+    """Write one version of the map under ``path``, with for each slot the number of rows that
+    stand before it in its shard: (vslot, shard, before, bytes)."""
     before, rows = [0] * (max(shards, default=0) + 1), []
     for s, k in enumerate(shards):
         b, n = sizes.get(s, (0, 0))
-        rows.append((version, s, k, before[k], b))
+        rows.append((s, k, before[k], b))
         before[k] += n
-    return stored(spark.createDataFrame(rows, "version int, vslot int, shard int, before long, bytes long").coalesce(1), f"slot-map-v{version}")
+    where = f"{path}/version={version}"
+    spark.createDataFrame(rows, MAP).coalesce(1).write.parquet(where)
+    return spark.read.schema(MAP).parquet(where)
 
 
-def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS) -> DataFrame:
+def load_map(spark: SparkSession, path: str) -> tuple[int, list[int]] | None:
+    """The last version stored under ``path``, and the shard of each slot in it; None if there is none."""
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    version = rows.agg(F.max("version")).first()[0]
+    last = rows.where(F.col("version") == version).select("vslot", "shard").collect()  # a row a slot
+    return version, [k for _, k in sorted((r["vslot"], r["shard"]) for r in last)]
+
+
+def next_map(spark: SparkSession, path: str, sizes: dict[int, tuple[int, int]], shards: int, slots: int = SLOTS) -> tuple[int, DataFrame]:
+    """The version stored after the last under ``path``: that one edited for ``shards`` shards and
+    today's sizes, or the first."""
+    last = load_map(spark, path)
+    version, placed = (1, first_map(sizes, shards, slots)) if last is None else (last[0] + 1, edited_map(last[1], sizes, shards))
+    return version, store_map(spark, path, version, placed, sizes)
+
+
+def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot of each row.
 
     Law ``bytes``: shard sizes are as near equal as whole slots allow; a record larger than
     a shard's share makes its shard larger. ``slot`` is the record's place in its shard,
     0 to rows - 1. Equal texts (groups) under different doc_ids are records like any other and
     may go to different shards: the law is about bytes, not groups. Rows that repeat doc_id and
-    text are records of their own, in one virtual slot; null doc_ids are dealt by their texts; a
-    null text has size 1 and the crc32 of nothing, 0. An empty table gives
-    no rows. grown_shard is null (only law ``key`` has it).
+    text are records of their own, however many; null doc_ids are dealt by their texts; a null
+    text has size 1 and the crc32 of nothing, 0. An empty table gives no rows. grown_shard is
+    null (only law ``key`` has it). ``path`` keeps the map's versions: the last one stored there
+    is edited; without it the map is the first of a path of its own.
     """
-    sizes = slot_sizes(docs, slots)
-    placed = stored_map(docs.sparkSession, 1, first_map(sizes, shards, slots), sizes)
-    rows = docs.select(
-        "doc_id", record_size().alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), virtual_slot(slots).alias("vslot")
-    )
-    place = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32")) - 1
+    spark = docs.sparkSession
+    rows = stored(records(docs, slots), "placed")
+    _, placed = next_map(spark, path or new_path(spark, "slot-map"), slot_sizes(rows), shards, slots)
+    place = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "row")) - 1  # a slot's share of rows
     # the map has ``slots`` rows, whatever the data
     return rows.withColumn("place", place).join(F.broadcast(placed.select("vslot", "shard", "before")), "vslot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot"
     )
+
+
+def rebalanced(docs: DataFrame, shards: int, path: str, slots: int = SLOTS) -> DataFrame:
+    """doc_id, vslot, shard, new_shard, version of each row, after the map under ``path`` was
+    edited for ``shards`` shards; at most a few slots more than the new shards' share move."""
+    spark = docs.sparkSession
+    rows = stored(records(docs, slots), "placed")
+    sizes, old = slot_sizes(rows), load_map(spark, path)
+    if old is None:
+        raise ValueError(f"no map is stored at {path}")
+    was = spark.read.schema(MAP).parquet(f"{path}/version={old[0]}").select("vslot", "shard")
+    version, now = next_map(spark, path, sizes, shards, slots)
+    both = was.join(now.select("vslot", F.col("shard").alias("new_shard")), "vslot")
+    return rows.join(F.broadcast(both), "vslot").select("doc_id", "size", "vslot", "shard", "new_shard", F.lit(version).alias("version"))
