@@ -26,11 +26,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from catchment.llm.common import broadcast_if_small, mixed, small_batches, stored
+from catchment.llm.common import broadcast_if_small, free_name, mixed, small_batches, stored
 
 #: Signature: BANDS bands of ROWS coordinates. A pair of similarity 0.8 shares no band with
 #: probability (1 - 0.8^ROWS)^BANDS.
@@ -268,17 +269,53 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, r
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with ``name``: the place of each (doc_id, text) among all of them, in the order of
+    doc_id; equal rows share it, rows without doc_id have none."""
+    hashed = free_name(docs, "hashed")
+    text = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    docs = docs.withColumn(hashed, F.when(F.col("doc_id").isNotNull(), F.concat(F.col("text").isNull().cast("string"), text)))
+    keys = stored(docs.where(F.col("doc_id").isNotNull()).select("doc_id", hashed).distinct(), "keys")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, part = 0, TaskContext.get().partitionId()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(batch), part, np.int32)), pa.array(np.arange(n, n + len(batch)))], names=[*batch.schema.names, "part", "place"])
+            n += len(batch)
+
+    kind = keys.schema["doc_id"].dataType.simpleString()
+    sorted_ = keys.repartitionByRange("doc_id", hashed).sortWithinPartitions("doc_id", hashed)
+    places = stored(sorted_.mapInArrow(run, f"doc_id {kind}, {hashed} string, part int, place long"), "places")
+    sizes, before, rows = sorted(map(tuple, places.groupBy("part").agg(F.count("*")).collect())), 0, []  # a row a partition
+    for part, n in sizes:
+        rows.append((part, before))
+        before += n
+    starts = docs.sparkSession.createDataFrame(rows, "part int, start long")
+    places = places.join(F.broadcast(starts), "part").select("doc_id", hashed, (F.col("start") + F.col("place")).alias(name))
+    return docs.join(places, ["doc_id", hashed], "left").drop(hashed)
+
+
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Rows of ``docs`` without those of which a near duplicate with a smaller doc_id stays.
 
-    Of rows that repeat a doc_id one stays, or none; a row without doc_id stands for itself
-    and stays. Texts that are null, empty or of a few words are near duplicates of equal
-    ones only (null and empty ones of none). Columns of any name pass through."""
+    Of rows that repeat doc_id and text one stays, or none; rows of one doc_id with other texts
+    are documents of their own; a row without doc_id stands for itself and stays. Texts that
+    are null, empty or of a few words are near duplicates of equal ones only (null and empty
+    ones of none). Columns of any name pass through."""
+    ids = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"))
+    twice = stored(ids.where("n > 1").select("doc_id", (F.col("a") != F.col("b")).alias("other_texts")), "repeated-ids")
+    if not twice.where("other_texts").isEmpty():
+        name = free_name(docs, "place")
+        rows = stored(numbered(docs, name), "numbered")
+        found = stored(groups(rows.select(F.col(name).alias("doc_id"), "text"), k, percent), "grouped")
+        gone = found.where("not kept").select(F.col("doc_id").alias(name)).distinct()
+        left = rows.join(gone.hint("shuffle_hash"), name, "left_anti")
+        one = left.where(F.col(name).isNotNull()).dropDuplicates([name])
+        return one.unionByName(left.where(F.col(name).isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
     found = groups(docs, k, percent)
     gone = stored(found.where("not kept").select(F.col("doc_id").alias("_gone_")).distinct(), "duplicates")
-    twice = stored(found.where("kept").groupBy(F.col("doc_id").alias("_twice_")).agg(F.count("*").alias("_n_")).where("_n_ > 1").select("_twice_"), "repeated-ids")
     rows = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["_gone_"], "left_anti")
     if twice.isEmpty():
         return rows
-    same = rows["doc_id"] == twice["_twice_"]
+    same = rows["doc_id"] == twice["doc_id"]
     return rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))

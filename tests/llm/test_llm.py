@@ -115,6 +115,18 @@ def test_terms_are_marked_wherever_they_stand(spark):
     assert not any(out[i]["n_terms"] for i, _ in rows if 20 <= i < 30 or i >= 100)
 
 
+@pytest.mark.parametrize(("total", "every"), [(40_000, 20), (60_000, 25)])
+def test_terms_of_frequent_classes_are_found_at_any_size(spark, total, every):
+    """A twentieth or a twenty-fifth of the texts holds a secret behind one word; chance alone
+    would let them meet in a hundred texts, more than a sketch of 64 bits can count."""
+    n = F.col("id")
+    secret = F.concat(F.lit("token x7"), F.substring(F.sha2(n.cast("string"), 256), 1, 38), F.lit("q9"))
+    text = F.concat(*[F.concat(F.chr(97 + F.pmod(F.xxhash64(n, F.lit(k)), F.lit(26))), F.chr(97 + F.pmod(F.xxhash64(n, F.lit(k + 50)), F.lit(26))), F.lit("w ")) for k in range(12)])
+    docs = spark.range(total).select(n.alias("doc_id"), F.when(n % every == 0, F.concat(text, secret)).otherwise(text).alias("text"))
+    found = {r["term"] for r in pii.disclosing(docs).where("entity = %d" % pii.number("any:secret")).collect()}
+    assert found == {"token"}
+
+
 def test_sanitising_rows_without_or_with_equal_doc_id(spark):
     rows = [(None, "mail a@b.com", 12), (None, "clean text", 10), (7, "ab c@d.org", 10), (7, "1.2.3.4 then words", 18), (8, None, None)]
     out = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(2)).collect()
@@ -439,10 +451,11 @@ def test_top_k(spark):
     for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int").repartition(3)).collect():
         out.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
     m = np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)
+    m, ids = np.vstack([m, m[9:10]]), np.r_[np.arange(700), 9]  # a repeated row is a candidate of its own
     for q in range(0, 700, 50):
         s = m @ m[q]
-        best = [i for i in np.lexsort((np.arange(700), -s)) if i != q][:5]
-        assert out[q] == {k + 1: (i, s[i]) for k, i in enumerate(best)}
+        best = [i for i in np.lexsort((ids, -s)) if i != q][:5]
+        assert out[q] == {k + 1: (ids[i], s[i]) for k, i in enumerate(best)}
     assert out[1150] == {1: (1151, 128 * 64)} and set(out) == {*range(0, 700, 50), 1150}
 
 
@@ -454,20 +467,23 @@ def test_top_k_in_many_blocks_and_parts(spark):
     m = centre[rng.integers(0, 12, 600)] + rng.integers(-4, 5, (600, 6))
     m[100:110] = m[50]
     m[0] = m[0] * 2**31
-    rows = [(i, x.tolist()) for i, x in enumerate(m)] + [(7, m[7].tolist())] * 3 + [(650, [1]), (None, [1] * 6)]
+    more = [(7, m[7])] * 3 + [(40, m[41]), (40, m[50]), (60, m[60])]  # ids that repeat, with the same vector or another
+    rows = [(i, x.tolist()) for i, x in [*enumerate(m), *more]] + [(650, [1]), (None, [1] * 6)]
     docs = spark.createDataFrame(rows, "vec_id long, v array<long>").repartition(3)
     out = {}
     for r in topk.top_k(docs, F.col("vec_id") % 20 == 0, 5, block=16, part_bytes=900).collect():
         out.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    for q in range(0, 600, 20):
-        s = m @ m[q]
-        best = [i for i in np.lexsort((np.arange(600), -s)) if i != q][:5]
-        assert sorted(out[q]) == [(k + 1, i, s[i]) for k, i in enumerate(best)]
+    ids, every, want = np.r_[np.arange(600), [i for i, _ in more]], np.vstack([m, *[x for _, x in more]]), {}
+    for at in np.flatnonzero(ids % 20 == 0):
+        s = every @ every[at]
+        best = [i for i in np.lexsort((ids, -s)) if i != at][:5]
+        want.setdefault(int(ids[at]), []).extend((k + 1, ids[i], s[i]) for k, i in enumerate(best))
+    assert {q: sorted(x) for q, x in out.items()} == {q: sorted(x) for q, x in want.items()} and len(out[40]) == 15
     assert 650 not in out and topk.top_k(docs.limit(0), F.lit(True)).count() == 0
     order = np.lexsort(m.T)
-    blocks = [(order[i : i + 16], x, x.min(axis=0), x.max(axis=0)) for i in range(0, 600, 16) for x in [m[order[i : i + 16]]]]
+    blocks = [(order[i : i + 16], x, order[i : i + 16], x.min(axis=0), x.max(axis=0)) for i in range(0, 600, 16) for x in [m[order[i : i + 16]]]]
     best, scored = topk.Best(np.array([33]), m[33:34], np.array([topk.NONE]), 5), []
-    best.add = lambda who, ids, v: (scored.append(len(ids)), topk.Best.add(best, who, ids, v))
+    best.add = lambda who, ids, v, own: (scored.append(len(ids)), topk.Best.add(best, who, ids, v, own))
     best.take(blocks)
     assert sum(scored) < 300
 
@@ -623,6 +639,34 @@ def test_rows_without_id_are_balanced(spark):
     assert len(sizes) == 16 and max(sizes.values()) < 1.1 * min(sizes.values())
 
 
+def test_equal_rows_are_dealt_out(spark):
+    rows = [(None, "one and the same text " * 5)] * 1600 + [(i, f"t{i}") for i in range(100)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    sizes = Counter()
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+    assert len(got) == 1700 and len(sizes) == 16 and max(sizes.values()) < 1.1 * min(sizes.values())
+    assert all(sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got))) for k in sizes)
+
+
+def test_stored_maps_are_loaded_edited_and_stored_again(spark, tmp_path):
+    path = f"file://{tmp_path}/map"
+    rows = spark.createDataFrame([(i, f"text {i} " * (1 + i % 40)) for i in range(3000)], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        sharding.rebalanced(rows, 17, path)
+    first = {r["doc_id"]: r["shard"] for r in sharding.shard(rows, 16, path=path).collect()}
+    moved = sharding.rebalanced(rows, 17, path).collect()
+    assert {r["doc_id"]: r["shard"] for r in moved} == first and {r["version"] for r in moved} == {2}
+    loads = Counter()
+    for r in moved:
+        loads[r["new_shard"]] += r["size"]
+    total = sum(loads.values())
+    assert len(loads) == 17 and max(loads.values()) < 1.05 * min(loads.values())
+    assert sum(r["size"] for r in moved if r["shard"] != r["new_shard"]) < 1.3 * total / 17
+    assert {r["doc_id"]: r["shard"] for r in sharding.shard(rows, 17, path=path).collect()} == {r["doc_id"]: r["new_shard"] for r in moved}
+    assert sharding.load_map(spark, path)[0] == 3
+
+
 def test_maps_are_balanced_and_edits_are_few():
     sizes = {s: (int(RNG.integers(1, 1000)), 1) for s in range(4096)}
     one = sharding.first_map(sizes, 16, 4096)
@@ -634,6 +678,73 @@ def test_maps_are_balanced_and_edits_are_few():
 
 
 # --- pipeline ----------------------------------------------------------------------
+def test_near_dedup_keeps_texts_that_only_share_an_id(spark):
+    import corpus_pipeline
+
+    near = edited(BASE[5], 3)
+    rows = [(1, BASE[3], "a"), (1, BASE[5], "b"), (1, BASE[5], "b"), (2, near, "c"), (0, BASE[3], "d"), (None, BASE[3], "e"), (7, None, "f"), (7, "", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, place string").repartition(3)
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns and sorted(r["place"] for r in got.collect()) == ["b", "d", "e", "f", "g"]
+
+
+def test_pipeline_stages_equal_brute_force(spark, tmp_path):
+    """Each stage on a whole table, held against plain versions on what the stage before kept."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from catchment.llm.queries import tokenizer_path
+
+    sf = "/root/testdata/sf0.001"
+    docs, kept = spark.read.parquet(f"{sf}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf).write.parquet(f"{tmp_path}/{name}")
+        kept.append((docs, spark.read.parquet(f"{tmp_path}/{name}")))
+        docs = kept[-1][1]
+    (before, after), near, leaks, private, tokens = [[{r["doc_id"]: r for r in d.collect()} for d in pair] for pair in kept]
+    assert all(any(c.isalpha() for c in r["text"]) for r in after.values()) and len(after) >= 0.8 * len(before)
+    assert all(i in after for i, r in before.items() if r["lang"] and len(words(r["text"])) > 20)
+
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, r in near[0].items() if (w := words(r["text"]))}
+    head = {i: i for i in near[0]}
+
+    def root(i):
+        while head[i] != i:
+            i = head[i]
+        return i
+
+    names = sorted(sets)
+    for at, i in enumerate(names):
+        for j in names[at + 1 :]:
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                head[b] = a
+    assert set(near[1]) == {i for i in near[0] if root(i) == i}
+
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = pattern.findall(lower(r["text"]))
+        windows |= {tuple(w[k : k + min(10, len(w))]) for k in range(len(w) - min(10, len(w)) + 1)} if w else set()
+    sizes = {len(g) for g in windows}
+    dirty = {i for i, r in leaks[0].items() for w in [pattern.findall(lower(r["text"]))] if any(tuple(w[k : k + n]) in windows for n in sizes for k in range(len(w) - n + 1))}
+    assert set(leaks[1]) == set(leaks[0]) - dirty
+
+    assert set(private[1]) == set(private[0])
+    found = {r["doc_id"]: r["n_found"] for r in pii.find(kept[3][0]).collect()}
+    for i, r in private[0].items():
+        new = private[1][i]["text"]
+        if not found[i]:
+            assert new == r["text"]
+        assert all(r["text"][s:e] not in new or kind == "phone" for kind, s, e in plain_spans(r["text"])) and private[1][i]["n_chars"] == len(new)
+
+    library = Tokenizer.from_file(str(tokenizer_path()))
+    for i, r in tokens[1].items():
+        ids = library.encode(tokens[0][i]["text"] or "", add_special_tokens=False).ids
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+    assert set(tokens[1]) == set(tokens[0])
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
