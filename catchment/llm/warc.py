@@ -1,13 +1,14 @@
 """WARC archives: writer, and sequential reader.
 
 An archive is a run of gzip members, one for each record, so that any record can be
-read from its offset. A table of archives has the columns of Spark's ``binaryFile``
-source (path, content), so the reader takes either: archives written here as a table
-in the shared folder, or ``spark.read.format("binaryFile").load("*.warc.gz")``.
+read from its offset. A table of archives has an archive's bytes in pieces (path, part,
+content), so that archives of a gigabyte pass through tasks a piece at a time, and records may
+lie across pieces. Without part, a row is a whole archive, as Spark's ``binaryFile`` source has it:
+``spark.read.format("binaryFile").load("*.warc.gz")``.
 
 The reader is sequential: it inflates a member in bounded steps, reads the header block,
 takes Content-Length bytes, checks the payload's SHA-1 against the digest header, and goes
-on at the byte after the member.
+on at the byte after the member. Without payloads asked for, it holds a piece and a step.
 """
 
 from __future__ import annotations
@@ -15,17 +16,19 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catchment.llm.common import stored
+from catchment.llm.common import BATCH_ROWS, small_batches, stored
 
-#: Bytes after which a new archive begins, and bytes inflated at a time.
-ARCHIVE_BYTES, STEP = 4 << 20, 1 << 16
+#: Bytes after which a new archive begins, those of a piece, and bytes inflated at a time.
+ARCHIVE_BYTES, PIECE, STEP = 64 << 20, 1 << 20, 1 << 16
 #: Salts over which one payload's records are dealt.
 SALTS = 64
 VERSION = b"WARC/1.1\r\n"
@@ -77,21 +80,52 @@ class Record:
 HTTP_HEADER = 1 << 20
 
 
-def read_archive(data: bytes, keep_payload: bool = True) -> Iterator[Record]:
-    """Records in order. Raises ValueError on a broken frame; a wrong digest is marked.
+class Feed:
+    """The bytes of an archive, piece after piece, with the place of the next one."""
+
+    def __init__(self, pieces: Iterable[bytes]):
+        self.pieces, self.held, self.at = iter(pieces), [], 0
+
+    def more(self) -> bool:
+        while not self.held:
+            piece = next(self.pieces, None)
+            if piece is None:
+                return False
+            self.held = [memoryview(piece)] if len(piece) else []
+        return True
+
+    def take(self, n: int) -> memoryview | bytes:
+        """Up to n bytes; none at the end."""
+        if not self.more():
+            return b""
+        out = self.held[-1][:n]
+        self.held[-1] = self.held[-1][n:]
+        if not len(self.held[-1]):
+            self.held.pop()
+        self.at += len(out)
+        return out
+
+    def back(self, data: bytes) -> None:
+        if data:
+            self.held.append(memoryview(data))
+            self.at -= len(data)
+
+
+def read_archive(data: bytes | Iterable[bytes], keep_payload: bool = True) -> Iterator[Record]:
+    """Records of an archive, whole or in pieces, in order. Raises ValueError on a broken frame;
+    a wrong digest is marked.
 
     The payload of an HTTP message (Content-Type application/http) is what follows its header;
     of any other record it is the whole block."""
-    at = 0
-    while at < len(data):
-        inflate, begin, fed = zlib.decompressobj(31), at, at
+    feed = Feed([data] if isinstance(data, bytes) else data)
+    while feed.more():
+        inflate, begin = zlib.decompressobj(31), feed.at
         held, headers, got, parts, tail, need = b"", None, 0, [], b"", 0
         block, payload, lead = hashlib.sha1(), hashlib.sha1(), None
         while not inflate.eof:
             chunk = inflate.unconsumed_tail
             if not chunk:
-                chunk = data[fed : fed + STEP]
-                fed += len(chunk)
+                chunk = feed.take(STEP)
             out = inflate.decompress(chunk, STEP)
             if not chunk and not out and not inflate.eof:
                 raise ValueError(f"member at {begin} is cut off")
@@ -117,7 +151,7 @@ def read_archive(data: bytes, keep_payload: bool = True) -> Iterator[Record]:
                     parts.append(take)
                 tail += tail_part
                 held = b""
-        at = fed - len(inflate.unused_data)
+        feed.back(inflate.unused_data)
         if headers is None or got != need or tail != b"\r\n\r\n":
             raise ValueError(f"record at {begin} doesn't match its Content-Length")
         own = {k: base64.b32encode(x.digest()).decode() for k, x in (("block", block), ("payload", payload))}
@@ -143,31 +177,37 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(records: DataFrame) -> DataFrame:
-    """path string, content binary: archives of about ARCHIVE_BYTES, written to the shared folder."""
+    """path, part, content: archives of about ARCHIVE_BYTES in pieces of about PIECE, written to
+    the shared folder. A task holds a piece and a record."""
+    small_batches(records.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size, name = [], 0, None
+        held, size, total, part, name = [], 0, 0, 0, None
 
-        def archive() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(parts)], pa.binary())], names=["path", "content"])
+        def piece() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([b"".join(held)], pa.binary())], names=["path", "part", "content"])
 
         for batch in batches:
-            for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in zip(*batch.columns, strict=True):
+                page_id, url, html, refers_to = (x.as_py() for x in row)
                 kind = "response" if refers_to is None else "revisit"
-                parts.append(write_record(kind, page_id, url, html.encode(), refers_to))
-                size += len(parts[-1])
-                name = name or f"pages-{page_id}.warc.gz"
-                if size >= ARCHIVE_BYTES:
-                    yield archive()
-                    parts, size, name = [], 0, None
-        if parts:
-            yield archive()
+                held.append(write_record(kind, page_id, url, html.encode(), refers_to))
+                size += len(held[-1])
+                name = name or f"pages-{TaskContext.get().partitionId()}-{page_id}.warc.gz"
+                if size >= PIECE:
+                    yield piece()
+                    held, size, total, part = [], 0, total + size, part + 1
+                    if total >= ARCHIVE_BYTES:
+                        total, part, name = 0, 0, None
+        if held:
+            yield piece()
 
-    return stored(records.mapInArrow(run, "path string, content binary"), "warc")
+    return stored(records.mapInArrow(run, "path string, part int, content binary"), "warc")
 
 
 def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
-    """One row for each record of archives (path, content); raises on a wrong digest.
+    """One row for each record of archives (path, content, and part if they are in pieces, which
+    are brought together in order); raises on a wrong digest.
 
     Reads any archive of a gzip member a record: header names of any case, digests that may
     be missing (payload_digest is then computed), ids that aren't of ``write_record`` (page_id
@@ -180,21 +220,30 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
         digits = (urn or "").removeprefix("<urn:page:").removesuffix(">")
         return int(digits) if digits.lstrip("-").isdecimal() else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = []
-                for r in read_archive(content.as_py(), payloads):
-                    if not r.verified:
-                        raise ValueError(f"wrong digest in {path} at {r.offset}")
-                    h = r.headers
-                    said = h.get("warc-payload-digest", "").removeprefix("sha1:") or r.digest
-                    row = (number(h.get("warc-record-id")), int(h.get("x-payload-length", r.length)), said, h.get("warc-type"), number(h.get("warc-refers-to")), h.get("warc-target-uri"), h.get("warc-record-id"), path, r.offset)
-                    rows.append((*row, r.payload) if payloads else row)
-                if rows:
-                    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.string()] * 3, pa.int64(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names=names)
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.string()] * 3, pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names=names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = ((path.as_py(), content.as_py()) for batch in batches for path, content in zip(*batch.columns, strict=True))
+        for path, own in groupby(pieces, key=lambda x: x[0]):
+            rows, size = [], 0
+            for r in read_archive((content for _, content in own), payloads):
+                if not r.verified:
+                    raise ValueError(f"wrong digest in {path} at {r.offset}")
+                h = r.headers
+                said = h.get("warc-payload-digest", "").removeprefix("sha1:") or r.digest
+                row = (number(h.get("warc-record-id")), int(h.get("x-payload-length", r.length)), said, h.get("warc-type"), number(h.get("warc-refers-to")), h.get("warc-target-uri"), h.get("warc-record-id"), path, r.offset)
+                rows.append((*row, r.payload) if payloads else row)
+                size += len(r.payload)
+                if len(rows) >= BATCH_ROWS or size >= ARCHIVE_BYTES:
+                    yield packed(rows)
+                    rows, size = [], 0
+            if rows:
+                yield packed(rows)
+
+    if "part" in archives.columns:
+        archives = archives.repartition("path").sortWithinPartitions("path", "part")
     return archives.select("path", "content").mapInArrow(run, schema)
 
 
