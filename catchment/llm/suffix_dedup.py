@@ -199,15 +199,32 @@ def repeated(rows: DataFrame) -> DataFrame:
     return ranged.mapInArrow(run, MATCH + ", key long")
 
 
+def identified(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) with a doc_id for each document, and, where that isn't the table's own, its
+    names (key, doc_id).
+
+    The table's own serves if no text is without one and none stands for several texts. Else
+    a document's is a 64-bit hash of doc_id and text, or of text and row where there is no doc_id."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    check = rows.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b")).where("doc_id is null or a != b")
+    if check.isEmpty():
+        return rows, None
+    nameless = stored(rows.where("doc_id is null").select("text", F.monotonically_increasing_id().alias("row")), "nameless")
+    named = rows.where("doc_id is not null").select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
+    every = named.union(nameless.select(F.xxhash64("text", "row", F.lit("row")).alias("key"), F.lit(None).cast("long").alias("doc_id"), "text"))
+    return every.select(F.col("key").alias("doc_id"), "text"), stored(every.select("key", "doc_id").distinct(), "names")
+
+
 def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Passages of ``least`` words or more that stand twice or more in the corpus.
 
     Returns a row for each passage of a document: doc_id, start_word, end_word (exclusive),
     n_words, other_id (a doc_id that a part of it was matched with, the smallest of those met
     in sorted order; doc_id itself if the passage repeats within the document). Documents
-    without any don't appear. Null texts, null doc_ids and texts shorter than ``least`` have
-    none. Rows that repeat a doc_id and its text count as one document. Copies of a document
-    are one passage each.
+    without any don't appear. Null texts and texts shorter than ``least`` have none.
+    Rows that repeat a doc_id and its text count as one document; other texts under one doc_id,
+    and rows without doc_id, are documents of their own, whose rows bear what doc_id they have
+    (other_id then is some other of the matched). Copies of a document are one passage each.
 
     A passage is the union of overlapping windows of ``least`` words that each stand elsewhere
     too. All such windows are found, but for 64-bit hashes: two different windows have equal
@@ -216,6 +233,7 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     if least < K + SPAN - 1:
         raise ValueError(f"a window of less than {K + SPAN - 1} words may hold no minimiser")
     small_batches(docs.sparkSession)
+    docs, names = identified(docs)
     # stored, as sorting by range reads its input twice
     flagged = stored(with_equal_neighbour(stored(suffixes(docs), "suffixes")), "flagged").distinct()
     found = stored(repeated(windows(docs, flagged, least)), "repeated")
@@ -233,4 +251,9 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     fresh = F.coalesce((F.col("pos") > F.lag("pos").over(order) + least).cast("int"), F.lit(1))
     merged = spans.withColumn("fresh", fresh).withColumn("passage", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     out = merged.groupBy("doc_id", "passage").agg(F.min("pos").alias("start_word"), (F.max("pos") + least).alias("end_word"), F.min("other_id").alias("other_id"))
-    return out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "other_id")
+    out = out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "other_id")
+    if names is None:
+        return out
+    own, other = names.withColumnsRenamed({"key": "k", "doc_id": "own"}), names.withColumnsRenamed({"key": "k", "doc_id": "other"})
+    out = out.join(own, F.col("doc_id") == own["k"]).drop("k").join(other, F.col("other_id") == other["k"], "left")
+    return out.select(F.col("own").alias("doc_id"), "start_word", "end_word", "n_words", F.col("other").alias("other_id"))

@@ -254,6 +254,15 @@ def test_repeats_have_exact_spans_beside_a_hot_line(spark):
     assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in rows} == want and len(rows) == len(want)
 
 
+def test_repeats_of_rows_without_or_with_equal_ids(spark):
+    word = lambda n, k: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(None, word(60, "a")), (None, word(60, "a")), (3, word(60, "a")), (None, word(70, "b")), (5, word(80, "c")), (5, "x " + word(55, "d")), (6, word(55, "d")), (None, None), (7, word(80, "c")), (7, word(80, "c"))]
+    got = suffix_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    want = [(None, 0, 60), (None, 0, 60), (3, 0, 60), (5, 0, 80), (5, 1, 56), (6, 0, 55), (7, 0, 80)]
+    assert sorted(((r["doc_id"], r["start_word"], r["end_word"]) for r in got), key=key) == sorted(want, key=key)
+
+
 # --- 3 -----------------------------------------------------------------------------
 def test_decontamination(spark, docs, none):
     items = [(1, BASE[2]), (2, "one"), (3, None), (4, ""), (5, " ".join(LONG.split()[500:515])), (5, "two words"), (6, " ".join(BASE[3].split()[-12:]) + " tail"), (6, " ".join(BASE[3].split()[-12:]) + " tail")]
@@ -512,6 +521,28 @@ def test_warc(spark, tmp_path):
     assert [r.verified for r in warc.read_archive(c.compress(record) + c.flush())] == [False]
 
 
+def test_warc_archives_in_pieces(spark, monkeypatch):
+    """Records across pieces of any size, and archives of several pieces read in order."""
+    payloads = [RNG.bytes(n) for n in (0, 5, 70_000, 300_000, 1)]
+    data = b"".join(warc.write_record("response", i, "u", x) for i, x in enumerate(payloads))
+    for size in (1, 7, 1000, 100_000, len(data)):
+        if size > 7 or len(data) < 10**6:
+            pieces = [data[i : i + size] for i in range(0, len(data), size)]
+            back = list(warc.read_archive(iter([b"", *pieces, b""])))
+            assert [r.payload for r in back] == payloads and all(r.verified for r in back)
+            assert [data[r.offset : r.offset + 2] for r in back] == [b"\x1f\x8b"] * 5
+    with pytest.raises(ValueError):
+        list(warc.read_archive(iter([data[:-5]])))
+    monkeypatch.setattr(warc, "PIECE", 3_000)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 10_000)
+    html = ["".join(RNG.choice(list("abcdefgh"), int(n))) for n in RNG.integers(0, 6_000, 60)]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(html)], "page_id long, url string, html string").repartition(2)
+    archives = warc.write_archives(warc.mark_revisits(pages))
+    assert archives.groupBy("path").count().agg(F.max("count")).first()[0] >= 3 and archives.select("path").distinct().count() > 2
+    back = warc.read_archives(archives, payloads=True).collect()
+    assert {r["page_id"]: bytes(r["payload"]).decode() for r in back} == dict(enumerate(html)) and len(back) == 60
+
+
 def test_warc_reads_standard_records(spark):
     def member(head, body):
         c = zlib.compressobj(6, zlib.DEFLATED, 31)
