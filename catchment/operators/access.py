@@ -56,12 +56,11 @@ def pairs_within(cells: DataFrame, facilities: DataFrame, radius_km: float, dist
     return with_km(rows, distance).where(F.col("km") <= radius_km)
 
 
-def pyramid(facilities: DataFrame, leaf: int = LEAF) -> DataFrame:
-    """Cubes of the sphere that hold facilities of a scope, from a whole to small ones: scope,
+def pyramid(places: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """Cubes of the sphere that hold ``places`` (scope, lat, lon, fac_seq), from a whole to small ones: scope,
     level, bx, by, bz, the parent's px, py, pz, inside (places and the first fac_seq at each, null
     for cubes that split), and one facility as ``one``. A cube of more than ``leaf`` places splits."""
     side = F.lit(2.0) / F.pow(F.lit(float(FAN)), F.col("level"))
-    places = facilities.where("lat is not null and lon is not null").groupBy("scope", "lat", "lon").agg(F.min("fac_seq").alias("fac_seq"))
     rows = places.withColumns(dict(zip("xyz", unit_vector(F.col("lat"), F.col("lon")), strict=True))).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(DEPTH))))
     rows = rows.select("scope", "level", *[F.floor((F.col(c) + 1) / side).alias(f"b{c}") for c in "xyz"], F.struct("lat", "lon", "fac_seq").alias("place"))
     key = ["scope", "level", "bx", "by", "bz"]
@@ -83,8 +82,9 @@ def nearest(cells: DataFrame, facilities: DataFrame, distance: Distance = lamber
     a cube is less than any distance to a place in it). So a join has some ``leaf`` rows a cell
     and cube that is left, not one for each facility, and scopes of up to ``leaf`` places take
     one step."""
-    nodes = stored(pyramid(facilities, leaf), "pyramid")
-    split = not nodes.where("inside is null").isEmpty()
+    places = facilities.where("lat is not null and lon is not null").groupBy("scope", "lat", "lon").agg(F.min("fac_seq").alias("fac_seq"))
+    places = stored(places, "near-places")
+    split = not places.groupBy("scope").agg(F.count("*").alias("n")).where(F.col("n") > leaf).isEmpty()
     people = cells.where("lat is not null and lon is not null").select(*KEY, "lat", "lon")
     side = F.lit(2.0) / F.pow(F.lit(float(FAN)), F.col("level"))
     gap = [F.greatest(F.col(f"b{c}") * side - 1 - v, v - (F.col(f"b{c}") + 1) * side + 1, F.lit(0.0)) for c, v in zip("xyz", unit_vector(F.col("lat"), F.col("lon")), strict=True)]
@@ -99,10 +99,12 @@ def nearest(cells: DataFrame, facilities: DataFrame, distance: Distance = lamber
             found = found.union(reached(rows.where("inside is null"), "one"))
         return found.groupBy(*KEY).agg(F.min("b").alias("b"))
 
-    met = people.join(nodes.where("level = 0"), "scope")
-    best = best_of(met)
-    if split:
-        best, level = stored(best, "near-best"), 0
+    if not split:
+        best = best_of(people.join(places.groupBy("scope").agg(F.collect_list(F.struct("lat", "lon", "fac_seq")).alias("inside")), "scope"))
+    else:
+        nodes = stored(pyramid(places, leaf), "pyramid")
+        met = people.join(nodes.where("level = 0"), "scope")
+        best, level = stored(best_of(met), "near-best"), 0
         while True:
             left = met.where("inside is null").withColumn("beyond", beyond).join(best, KEY).where(F.col("beyond") <= F.col("b.km"))
             left = stored(left.select(*KEY, "lat", "lon", "b", *[F.col(f"b{c}").alias(f"p{c}") for c in "xyz"]), "near-left")

@@ -53,10 +53,11 @@ def allocate(pairs: DataFrame, task_pairs: int = TASK_PAIRS) -> DataFrame:
     Facilities without capacity serve nobody; cells out of all ranges have no row. Scopes of
     more than ``task_pairs`` pairs go by waves."""
     pairs = pairs.select("scope", "cell_id", "fac_seq", "ring", "p", "capacity", "demand")
-    large = stored(pairs.groupBy("scope").agg(F.count("*").alias("n")).where(F.col("n") > task_pairs).select("scope"), "large-scopes")
+    large = pairs.groupBy("scope").agg(F.count("*").alias("n")).where(F.col("n") > task_pairs).select("scope")
     kind = pairs.schema["scope"].dataType.simpleString()
     if large.isEmpty():
         return pairs.groupBy("scope").applyInPandas(with_scope, f"scope {kind}, {SCHEMA}")
+    large = stored(large, "large-scopes")
     grouped = pairs.join(large, "scope", "left_anti").groupBy("scope").applyInPandas(with_scope, f"scope {kind}, {SCHEMA}")
     return grouped.union(allocate_by_waves(pairs.join(large, "scope", "left_semi")))
 

@@ -18,7 +18,7 @@ CAPACITY = 450.0
 
 
 def range_km(model: str, scale: float, cutoff: float | None, reach: float) -> float:
-    return {"step": reach, "uniform": 20_100.0}.get(model, 10 * scale if cutoff is None else cutoff)
+    return reach if model == "step" else 10 * scale if cutoff is None else cutoff
 
 
 class Inputs(NamedTuple):
@@ -49,7 +49,8 @@ def prepared(
     options = {"model": model, "scale": scale, "shape": shape, "cutoff": cutoff, "reach": reach}
     places, times = cells.select(*KEY, "lat", "lon", "demand"), None
     if minutes is None:
-        pairs = pairs_within(places, fac, range_km(model, scale, cutoff, reach), distance)
+        every = model == "uniform"  # all pairs of a scope are in range
+        pairs = with_km(places.join(named(fac), "scope"), distance) if every else pairs_within(places, fac, range_km(model, scale, cutoff, reach), distance)
         p = decay(F.col("km"), **options)
     else:
         times = stored(minutes.groupBy(*KEY, "fac_seq").agg(F.min("minutes").alias("minutes")), "access-times")

@@ -1090,3 +1090,117 @@ def j8_aliases(spark: SparkSession, sf: str) -> DataFrame:
     names = regions.aliases(spark)
     found = quality.resolve_names(names.select("name"), source.select("source_name"), names)
     return found.join(source, "source_name").select("name", "source_name", "facilities")
+
+
+EVERYWHERE = ACC.replace("CASE WHEN n.nearest_km <= 200.0 THEN 1.0 ELSE 0.0 END", "CASE WHEN n.nearest_km IS NULL THEN 0.0 ELSE 1.0 END") + ALLOC.replace(" WHERE p.km <= 200.0)", ")")
+
+
+@query("C5_uniform", EVERYWHERE + " SELECT cell_id, access::DOUBLE AS access, round(treated, 4) AS treated FROM done")
+def c5_uniform(spark: SparkSession, sf: str) -> DataFrame:
+    """Every facility of the scope is in range; what is left to tell is capacity."""
+    rows = model.compute_access(demand_cells(spark, sf), fx.facilities(spark, sf), **OPTIONS | {"model": "uniform"})
+    return rows.select("cell_id", "access", *r4("treated"))
+
+
+#: The first step of a plan: where unmet demand is highest, merged with a facility within 100 km.
+CHOSEN = f"""chosen AS (SELECT * FROM (WITH RECURSIVE {VIEWS + ACC + ALLOC}, top AS (SELECT d.scope, d.cell_id, d.rem AS score, c.lat, c.lon FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY rem DESC, cell_id) AS r FROM done) d JOIN cells c ON c.scope = d.scope AND c.cell_id = d.cell_id WHERE r = 1 AND rem >= 1.0),
+close AS (SELECT b.scope, arg_min(f.fac_seq, {KM.format(a="b", b="f")}) AS s FROM top b JOIN fac f ON f.scope = b.scope WHERE {KM.format(a="b", b="f")} <= 100.0 GROUP BY b.scope),
+ends AS (SELECT scope, max(fac_seq) AS last FROM fac GROUP BY scope)
+SELECT stats.scope, stats.treated AS base, b.cell_id, b.lat, b.lon, s, coalesce(s, coalesce(last, 0) + 1) AS seq FROM stats LEFT JOIN top b ON b.scope = stats.scope LEFT JOIN close c ON c.scope = stats.scope LEFT JOIN ends e ON e.scope = stats.scope) q),
+fac AS (SELECT o.fac_seq, o.scope, o.lat, o.lon, o.machines + CASE WHEN c.s = o.fac_seq THEN 2.0 ELSE 0.0 END AS machines FROM old o LEFT JOIN chosen c ON c.scope = o.scope UNION ALL SELECT seq, scope, lat, lon, 2.0 FROM chosen WHERE s IS NULL AND cell_id IS NOT NULL),"""
+PLANNED = VIEWS.replace("fac AS (SELECT s_suppkey", "old AS (SELECT s_suppkey").replace(END, END + "\n" + CHOSEN)
+SQL["C14_one_step"] = "WITH RECURSIVE " + PLANNED + ACC + ALLOC + " SELECT scope, 0 AS step, CAST(-1 AS BIGINT) AS cell_id, CAST(-1 AS BIGINT) AS fac_seq, round(base, 4) AS treated FROM chosen UNION ALL SELECT c.scope, 1, c.cell_id, c.seq, round(t.treated, 4) FROM chosen c JOIN stats t ON t.scope = c.scope WHERE c.cell_id IS NOT NULL"
+
+
+@query("C14_one_step")
+def c14_one(spark: SparkSession, sf: str) -> DataFrame:
+    """The start (-1 for cell and facility) and the first step of a plan."""
+    rows = planning.place(demand_cells(spark, sf), fx.facilities(spark, sf), steps=1, machines=2.0, snap_km=100.0, **OPTIONS)
+    return rows.fillna(-1, ["cell_id", "fac_seq"]).select("scope", "step", "cell_id", "fac_seq", *r4("treated"))
+
+
+# --- rows of their own for steps that others hold -------------------------------------
+@query("P1_numbers", ", " + RAW + " SELECT k, CASE WHEN cnt = 'n/a' THEN 0.0 ELSE CAST(cnt AS DOUBLE) END AS machines FROM raw")
+def p1(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    rows = fx.table(spark, sf, "supplier").select(k.alias("k"), F.when(k % 7 == 0, "n/a").otherwise((k % 5).cast("string")).alias("cnt"))
+    return rows.select("k", F.coalesce(text.number(F.col("cnt")), F.lit(0.0)).alias("machines"))
+
+
+@query("P2_valid_places", ", " + RAW + " SELECT k, coalesce(lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180, false) AS valid FROM raw")
+def p2(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    rows = fx.table(spark, sf, "supplier").select(k.alias("k"), F.when(k % 11 != 0, (k * 53) % 200 - 100).cast("double").alias("lat"), ((k * 17) % 400 - 200).cast("double").alias("lon"))
+    return rows.select("k", readers.valid_place().alias("valid"))
+
+
+@query("P3_with_machines", " SELECT fac_seq, machines FROM fac WHERE machines > 0")
+def p3(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.facilities(spark, sf).where("machines > 0").select("fac_seq", "machines")
+
+
+@query("P4_sheet_counts", ", " + RAW + " SELECT cnt, count(*) AS rows, sum(CASE WHEN cnt = 'n/a' THEN 1.0 ELSE CAST(cnt AS DOUBLE) END) AS machines FROM raw WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND cnt <> '0' GROUP BY cnt")
+def p4(spark: SparkSession, sf: str) -> DataFrame:
+    """A sheet's rows by what their count said: none is one machine, 0 is no row."""
+    raw = raw_facilities(spark, sf)
+    sheet = raw.select(F.concat_ws("|", "Operator Name", F.col(readers.COUNTS[0])).alias("Name"), "Latitude", "Longitude", F.col(readers.COUNTS[0]).alias("Count"))
+    rows = readers.facility_sheet(sheet).withColumn("cnt", F.element_at(F.split("name", r"\|"), -1))
+    return rows.groupBy("cnt").agg(F.count("*").alias("rows"), F.sum("machines").alias("machines"))
+
+
+@query("P5_clean_places", " SELECT s_suppkey AS k, trim(s_name) AS name, round(round_even(s_suppkey / 7.0::DOUBLE, 5), 5) AS lat FROM supplier WHERE s_suppkey / 7.0 <= 90")
+def p5(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    raw = fx.table(spark, sf, "supplier").select(
+        k.cast("string").alias("City"), F.concat(F.lit("  "), F.trim("s_name"), F.lit(" ")).alias("Operator Name"), F.lit("x").alias("Country"),
+        (k / F.lit(7.0)).cast("string").alias("Latitude"), F.lit("0").alias("Longitude"), F.lit("1").alias(readers.COUNTS[0]),
+    )
+    return readers.facility_file(raw).select(F.col("city").cast("long").alias("k"), "name", "lat")
+
+
+@query("P6_single_sites", AGG + " SELECT scope, site, round(cases, 4) AS cases FROM c2 WHERE site NOT LIKE 'All cancers%'")
+def p6(spark: SparkSession, sf: str) -> DataFrame:
+    site = F.col("site")
+    name = F.when(site == "PROMO", " All Cancers").when(site == "LARGE", "all cancers excl. NMSC ").otherwise(site)
+    times = F.when(site == "PROMO", 6).when(site == "LARGE", 5).otherwise(1)
+    rows = fx.incidence(spark, sf).select("scope", name.alias("site"), (F.col("cases") * times).alias("cases"))
+    return rows.where(~text.is_aggregate(F.col("site"))).select("scope", "site", *r4("cases"))
+
+
+@query("P11_capped_nearest", MIN + " SELECT c.scope, c.cell_id, coalesce(m, 600.0) AS minutes, m IS NULL AS unreached FROM cells c LEFT JOIN (SELECT scope, cell_id, min(minutes) AS m FROM mins GROUP BY 1, 2) x ON x.scope = c.scope AND x.cell_id = c.cell_id")
+def p11(spark: SparkSession, sf: str) -> DataFrame:
+    best = minutes(spark, sf).groupBy("scope", "cell_id").agg(F.min("minutes").alias("m"))
+    rows = fx.cells(spark, sf).select("scope", "cell_id").join(best, ["scope", "cell_id"], "left")
+    return rows.select("scope", "cell_id", F.coalesce("m", F.lit(600.0)).alias("minutes"), F.col("m").isNull().alias("unreached"))
+
+
+@query("A13_median_distance", " SELECT scope, round(median(nearest_km), 4) AS median_km, round(quantile_cont(nearest_km, 0.25), 4) AS lower, round(quantile_cont(nearest_km, 0.75), 4) AS upper FROM near GROUP BY scope")
+def a13(spark: SparkSession, sf: str) -> DataFrame:
+    rows = summary.quantiles(near(spark, sf), "nearest_km", {"median_km": 0.5, "lower": 0.25, "upper": 0.75})
+    return rows.select("scope", *r4("median_km", "lower", "upper"))
+
+
+@query("A15_mean_distance", " SELECT n.scope, round(sum(nearest_km * population) / sum(population), 4) AS mean_km FROM near n JOIN dem d ON d.scope = n.scope AND d.cell_id = n.cell_id GROUP BY n.scope HAVING sum(population) > 0")
+def a15(spark: SparkSession, sf: str) -> DataFrame:
+    return summary.distance_summary(near(spark, sf)).where("mean_km is not null").select("scope", *r4("mean_km"))
+
+
+SQL["W4_border_burden"] = "WITH " + BORDER + " SELECT cell_id, scope, round(demand, 4) AS demand FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY demand DESC, scope) AS r FROM dem) x WHERE r = 1"
+
+
+@query("W4_border_burden")
+def w4(spark: SparkSession, sf: str) -> DataFrame:
+    """Of a cell that two countries hold, the row with the higher demand."""
+    rows = demand.cell_demand(fx.border_cells(spark, sf), national(spark, sf))
+    return model.best_of_border(rows, "cell_id", value="demand").select("cell_id", "scope", *r4("demand"))
+
+
+@query("F4_resolutions", f" SELECT c_custkey AS k, CAST((({H3}) >> 52) & 15 AS INTEGER) AS res FROM customer")
+def f4(spark: SparkSession, sf: str) -> DataFrame:
+    return hexagons(spark, sf).select(F.col("c_custkey").alias("k"), geo.h3_resolution(F.col("h3")).alias("res"))
+
+
+@query("C11_capacity_only", ", m AS (SELECT scope, sum(machines) AS m FROM fac GROUP BY scope) SELECT t.scope, CAST(ceil(coalesce(n.demand, 0.0) / 450.0) AS BIGINT) - CAST(coalesce(m, 0.0) AS BIGINT) AS gap, CAST(ceil(coalesce(n.demand, 0.0) / 450.0) AS BIGINT) > CAST(coalesce(m, 0.0) AS BIGINT) AS short FROM tot t LEFT JOIN national n ON n.scope = t.scope LEFT JOIN m ON m.scope = t.scope")
+def c11(spark: SparkSession, sf: str) -> DataFrame:
+    """Machines that a country is short of by its own demand, without any geography."""
+    return a20(spark, sf).where("norm = 'optimal'").select("scope", "gap", (F.col("gap") > 0).alias("short"))

@@ -194,6 +194,20 @@ def test_waves_equal_grouped_allocation(spark):
         assert all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(one, by_waves, strict=True)) and sum(r[2] for r in one) > 0
 
 
+def test_waves_pass_each_pair_on_once(spark):
+    """What waves write grows with the pairs, not with pairs times waves."""
+    from pathlib import Path
+
+    rows = [(1, c, f, 0, 1.0, 5.0, 2.0) for f in range(12) for c in range(f, f + 8)]  # a chain of 12 waves
+    pairs = spark.createDataFrame(rows, "scope int, cell_id long, fac_seq long, ring int, p double, capacity double, demand double")
+    folder = Path(sinks.new_path(spark, "x").removeprefix("file://")).parent
+    before = set(folder.glob("wave-*"))
+    assert allocation.allocate_by_waves(pairs).agg(F.sum("treated")).first()[0] == pytest.approx(sum(allocation.allocate_scope(pairs.toPandas())["treated"]))
+    count = lambda kind: sum(spark.read.parquet(f"file://{p}").count() for p in set(folder.glob(f"{kind}-*")) - before)
+    assert count("wave-pairs") == count("wave-inbox") == len(rows)
+    assert spark.read.parquet(*[f"file://{p}" for p in set(folder.glob("wave-pairs-*")) - before]).select("wave").distinct().count() == 12
+
+
 def km_between(a, b):
     (p, q), (r, t) = (tuple(math.radians(x[k]) for k in ("lat", "lon")) for x in (a, b))
     return 2 * 6371.0088 * math.asin(math.sqrt(math.sin((r - p) / 2) ** 2 + math.cos(p) * math.cos(r) * math.sin((t - q) / 2) ** 2))
