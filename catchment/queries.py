@@ -660,9 +660,45 @@ def s11(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --- plans ------------------------------------------------------------------------
+def next_place(views: str) -> str:
+    """The next step of a plan for the facilities of ``views``: where unmet demand is highest, merged
+    with a facility within 100 km, and what is treated before it."""
+    km = KM.format(a="b", b="f")
+    return f"""(SELECT * FROM (WITH RECURSIVE {views + ACC + ALLOC}, top AS (SELECT d.scope, d.cell_id, d.rem AS score, c.lat, c.lon FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY rem DESC, cell_id) AS r FROM done) d JOIN cells c ON c.scope = d.scope AND c.cell_id = d.cell_id WHERE r = 1 AND rem >= 1.0),
+close AS (SELECT b.scope, arg_min(f.fac_seq, {km}) AS s FROM top b JOIN fac f ON f.scope = b.scope WHERE {km} <= 100.0 GROUP BY b.scope),
+ends AS (SELECT scope, max(fac_seq) AS last FROM fac GROUP BY scope)
+SELECT stats.scope, stats.treated AS base, b.cell_id, b.score, b.lat, b.lon, s, coalesce(s, coalesce(last, 0) + 1) AS seq FROM stats LEFT JOIN top b ON b.scope = stats.scope LEFT JOIN close c ON c.scope = stats.scope LEFT JOIN ends e ON e.scope = stats.scope) q)"""
+
+
+def planned(steps: int) -> str:
+    """VIEWS with the facilities after so many steps of a plan, and step1, step2 and so on."""
+    head, tail = VIEWS.replace("fac AS (SELECT s_suppkey", "fac0 AS (SELECT s_suppkey").split(END)
+    views = VIEWS
+    for k in range(1, steps + 1):
+        name = "fac" if k == steps else f"fac{k}"
+        head += f"""{END if k == 1 else ''}
+step{k} AS {next_place(views)},
+{name} AS (SELECT o.fac_seq, o.scope, o.lat, o.lon, o.machines + CASE WHEN c.s = o.fac_seq THEN 2.0 ELSE 0.0 END AS machines FROM fac{k - 1} o LEFT JOIN step{k} c ON c.scope = o.scope UNION ALL SELECT seq, scope, lat, lon, 2.0 FROM step{k} WHERE s IS NULL AND cell_id IS NOT NULL),"""
+        views = planned(k) if k < steps else views
+    return head + tail
+
+
+def plan_sql(steps: int) -> str:
+    rows = ["SELECT scope, 0 AS step, CAST(-1 AS BIGINT) AS cell_id, CAST(-1 AS BIGINT) AS fac_seq, CAST(NULL AS DOUBLE) AS score, base AS treated FROM step1"]
+    for k in range(1, steps + 1):
+        after = f"(SELECT scope, base AS treated FROM step{k + 1})" if k < steps else "stats"
+        rows.append(f"SELECT c.scope, {k}, c.cell_id, c.seq, c.score, t.treated FROM step{k} c JOIN {after} t ON t.scope = c.scope WHERE c.cell_id IS NOT NULL")
+    return "WITH RECURSIVE " + planned(steps) + ACC + ALLOC + f" SELECT scope, step, cell_id, fac_seq, round(score, 4) AS score, round(treated, 4) AS treated, round(treated - lag(treated) OVER (PARTITION BY scope ORDER BY step), 4) AS gain FROM ({' UNION ALL '.join(rows)}) p"
+
+
+SQL["C14_placement_plan"] = plan_sql(2)
+
+
 @query("C14_placement_plan")
 def c14(spark: SparkSession, sf: str) -> DataFrame:
-    return planning.place(demand_cells(spark, sf), fx.facilities(spark, sf), steps=2, machines=2.0, snap_km=100.0, **OPTIONS)
+    """The start (-1 for cell and facility) and two steps of a plan."""
+    rows = planning.place(demand_cells(spark, sf), fx.facilities(spark, sf), steps=2, machines=2.0, snap_km=100.0, **OPTIONS)
+    return rows.fillna(-1, ["cell_id", "fac_seq"]).select("scope", "step", "cell_id", "fac_seq", *r4("score", "treated", "gain"))
 
 
 @query("C14_plan_by_distance")
@@ -1102,23 +1138,6 @@ def c5_uniform(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("cell_id", "access", *r4("treated"))
 
 
-#: The first step of a plan: where unmet demand is highest, merged with a facility within 100 km.
-CHOSEN = f"""chosen AS (SELECT * FROM (WITH RECURSIVE {VIEWS + ACC + ALLOC}, top AS (SELECT d.scope, d.cell_id, d.rem AS score, c.lat, c.lon FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY rem DESC, cell_id) AS r FROM done) d JOIN cells c ON c.scope = d.scope AND c.cell_id = d.cell_id WHERE r = 1 AND rem >= 1.0),
-close AS (SELECT b.scope, arg_min(f.fac_seq, {KM.format(a="b", b="f")}) AS s FROM top b JOIN fac f ON f.scope = b.scope WHERE {KM.format(a="b", b="f")} <= 100.0 GROUP BY b.scope),
-ends AS (SELECT scope, max(fac_seq) AS last FROM fac GROUP BY scope)
-SELECT stats.scope, stats.treated AS base, b.cell_id, b.lat, b.lon, s, coalesce(s, coalesce(last, 0) + 1) AS seq FROM stats LEFT JOIN top b ON b.scope = stats.scope LEFT JOIN close c ON c.scope = stats.scope LEFT JOIN ends e ON e.scope = stats.scope) q),
-fac AS (SELECT o.fac_seq, o.scope, o.lat, o.lon, o.machines + CASE WHEN c.s = o.fac_seq THEN 2.0 ELSE 0.0 END AS machines FROM old o LEFT JOIN chosen c ON c.scope = o.scope UNION ALL SELECT seq, scope, lat, lon, 2.0 FROM chosen WHERE s IS NULL AND cell_id IS NOT NULL),"""
-PLANNED = VIEWS.replace("fac AS (SELECT s_suppkey", "old AS (SELECT s_suppkey").replace(END, END + "\n" + CHOSEN)
-SQL["C14_one_step"] = "WITH RECURSIVE " + PLANNED + ACC + ALLOC + " SELECT scope, 0 AS step, CAST(-1 AS BIGINT) AS cell_id, CAST(-1 AS BIGINT) AS fac_seq, round(base, 4) AS treated FROM chosen UNION ALL SELECT c.scope, 1, c.cell_id, c.seq, round(t.treated, 4) FROM chosen c JOIN stats t ON t.scope = c.scope WHERE c.cell_id IS NOT NULL"
-
-
-@query("C14_one_step")
-def c14_one(spark: SparkSession, sf: str) -> DataFrame:
-    """The start (-1 for cell and facility) and the first step of a plan."""
-    rows = planning.place(demand_cells(spark, sf), fx.facilities(spark, sf), steps=1, machines=2.0, snap_km=100.0, **OPTIONS)
-    return rows.fillna(-1, ["cell_id", "fac_seq"]).select("scope", "step", "cell_id", "fac_seq", *r4("treated"))
-
-
 # --- rows of their own for steps that others hold -------------------------------------
 @query("P1_numbers", ", " + RAW + " SELECT k, CASE WHEN cnt = 'n/a' THEN 0.0 ELSE CAST(cnt AS DOUBLE) END AS machines FROM raw")
 def p1(spark: SparkSession, sf: str) -> DataFrame:
