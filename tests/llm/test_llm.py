@@ -226,8 +226,9 @@ def test_repeats(docs, none):
     assert all(r["n_words"] >= 50 for r in rows)
 
 
-def test_repeats_have_exact_spans_beside_a_hot_line(spark):
-    """Passages that start before or end after a line of many other texts, whose copies other
+@pytest.mark.parametrize("bits", [64, 6])
+def test_repeats_have_exact_spans_beside_a_hot_line(spark, bits):
+    """With 6 bits different windows have equal hashes all the time. Passages that start before or end after a line of many other texts, whose copies other
     texts separate in sorted order; edits close by; spans equal those of all windows."""
     rng = np.random.default_rng(5)
     word = lambda n: [f"v{x}" for x in rng.integers(0, 10**9, n)]
@@ -250,8 +251,19 @@ def test_repeats_have_exact_spans_beside_a_hot_line(spark):
             if n > k + 50:
                 want.add((i, first, k + 50))
                 first = None
-    rows = suffix_dedup.repeats(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3)).collect()
+    first, cut = set(), Counter()
+    for i, w in enumerate(texts):
+        gone = set()
+        for k in range(len(w) - 49):
+            gone |= {*range(k, k + 50)} if tuple(w[k : k + 50]) in first else set()
+            first.add(tuple(w[k : k + 50]))
+        cut[i] = len(gone)
+    rows = suffix_dedup.repeats(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3), bits=bits).collect()
     assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in rows} == want and len(rows) == len(want)
+    removed = Counter()
+    for r in rows:
+        removed[r["doc_id"]] += r["n_removed"]
+    assert +removed == +cut
 
 
 def test_repeats_of_rows_without_or_with_equal_ids(spark):
@@ -263,6 +275,18 @@ def test_repeats_of_rows_without_or_with_equal_ids(spark):
     assert sorted(((r["doc_id"], r["start_word"], r["end_word"]) for r in got), key=key) == sorted(want, key=key)
 
 
+def test_one_copy_of_repeats_stays(spark):
+    word = lambda n, k: " ".join(f"{k}{i}" for i in range(n))
+    a, b = word(60, "a"), word(55, "b")
+    rows = [(1, f"x \n{a}\t y", 7, 0), (2, f"u  v {a.upper()}  w", 7, 1), (None, f"{b} z {b}", 7, 2), (None, f"{b} z {b}", None, 3), (4, None, None, 4), (5, "", 0, 5), (6, a, 7, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, row int").coalesce(1)
+    out = suffix_dedup.removed(docs)
+    got = {r["row"]: r for r in out.collect()}
+    assert out.columns == docs.columns and len(got) == 7 and suffix_dedup.removed(docs.limit(0)).count() == 0
+    assert [got[i]["text"] for i in range(7)] == [rows[0][1], "u  v w", f"{b} z ", "", None, "", ""]
+    assert [got[i]["n_chars"] for i in range(7)] == [7, 6, len(b) + 3, 0, None, 0, 0]
+
+
 # --- 3 -----------------------------------------------------------------------------
 def test_decontamination(spark, docs, none):
     items = [(1, BASE[2]), (2, "one"), (3, None), (4, ""), (5, " ".join(LONG.split()[500:515])), (5, "two words"), (6, " ".join(BASE[3].split()[-12:]) + " tail"), (6, " ".join(BASE[3].split()[-12:]) + " tail")]
