@@ -230,7 +230,38 @@ def joined(rows: DataFrame, keys: list[str]) -> DataFrame:
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.coalesce((F.col("start") > reached).cast("int"), F.lit(1))
     merged = rows.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return merged.groupBy(*keys, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), *([] if "other_id" in keys else [F.min("other_id").alias("other_id")])).drop("run")
+    return merged.groupBy(*keys, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("other_id").alias("other_id")).drop("run")
+
+
+def extended(rows: DataFrame, least: int) -> DataFrame:
+    """doc_id, other_id, shift, start, end of the unions of matched windows (doc_id, other_id,
+    shift, pos) that overlap or touch."""
+    names = ["doc_id", "other_id", "shift", "start", "end"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # the last stretch, which may go on
+        for batch in batches:
+            if not len(batch):
+                continue
+            *keys, pos = (c.to_numpy() for c in batch.columns)
+            fresh = np.diff(pos, prepend=pos[:1]) > least
+            for c in keys:
+                fresh[1:] |= c[1:] != c[:-1]
+            fresh[0] = True
+            first = np.flatnonzero(fresh)
+            found = [*(c[first] for c in keys), pos[first], pos[np.append(first[1:], len(pos)) - 1] + least]
+            if held:
+                if all(h[0] == c[0] for h, c in zip(held[:3], found[:3], strict=True)) and found[3][0] <= held[4][0]:
+                    found[3][0] = held[3][0]
+                else:
+                    found = [np.concatenate([h, c]) for h, c in zip(held, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c[:-1]) for c in found], names=names)
+            held = [c[-1:] for c in found]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=names)
+
+    order = ["doc_id", "other_id", "shift"]
+    return rows.repartition(*order).sortWithinPartitions(*order, "pos").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def digests(docs: DataFrame, stretches: DataFrame) -> DataFrame:
@@ -254,8 +285,7 @@ def confirmed(docs: DataFrame, matches: DataFrame, least: int) -> DataFrame:
     """doc_id, start, end, other_id, later of the stretches that stand elsewhere too by their
     words; later: elsewhere is before it, by doc_id and position."""
     shift = F.col("pos") - F.col("other_pos")
-    stretches = joined(matches.select("doc_id", "other_id", shift.alias("shift"), F.col("pos").alias("start"), (F.col("pos") + least).alias("end")), ["doc_id", "other_id", "shift"])
-    stretches = stored(stretches, "stretches")
+    stretches = stored(extended(matches.select("doc_id", "other_id", shift.alias("shift"), "pos"), least), "stretches")
     theirs = stretches.select(F.col("other_id").alias("doc_id"), (F.col("start") - F.col("shift")).alias("start"), (F.col("end") - F.col("shift")).alias("end"))
     sums = stored(digests(docs, stretches.select("doc_id", "start", "end").union(theirs)), "digests")
     other = sums.select(F.col("doc_id").alias("other_id"), F.col("start").alias("other_start"), F.col("end").alias("other_end"), F.col("sha").alias("other_sha"))
@@ -282,7 +312,7 @@ def found_stretches(docs: DataFrame, least: int, bits: int) -> DataFrame:
     small_batches(docs.sparkSession)
     # stored, as sorting by range reads its input twice
     flagged = stored(with_equal_neighbour(stored(suffixes(docs), "suffixes")), "flagged").distinct()
-    found = stored(repeated(windows(docs, flagged, least, bits=bits)), "repeated")
+    found = stored(repeated(stored(windows(docs, flagged, least, bits=bits), "windows")), "repeated")
     return confirmed(docs, all_matches(found), least)
 
 
