@@ -195,7 +195,7 @@ def j2(spark: SparkSession, sf: str) -> DataFrame:
     return access.pairs_within(fx.cells(spark, sf), fx.facilities(spark, sf), REACH, geo.haversine_km).select("cell_id", "fac_seq", *r4("km"))
 
 
-@query("J3_nearest", " SELECT cell_id, round(min(km), 4) AS nearest_km, arg_min(fac_seq, km) AS fac_seq FROM pairs GROUP BY cell_id")
+@query("J3_nearest", " SELECT cell_id, round(min(km), 4) AS nearest_km, arg_min(fac_seq, row(km, fac_seq)) AS fac_seq FROM pairs GROUP BY cell_id")
 def j3(spark: SparkSession, sf: str) -> DataFrame:
     return access.nearest(fx.cells(spark, sf), fx.facilities(spark, sf), distance=geo.haversine_km).select("cell_id", *r4("nearest_km"), "fac_seq")
 
@@ -273,7 +273,7 @@ TIMED = MIN + ALLOC.replace("s.cap, CAST(", "s.cap, exp(-p.minutes / 30.0) AS p,
 BY_TIME = " SELECT d.cell_id, round(coalesce(a, 0.0), 6) AS access, m AS nearest_min, round(treated, 4) AS treated FROM done d LEFT JOIN (SELECT scope, cell_id, 1 - product(1 - CASE WHEN minutes <= 300.0 THEN exp(-minutes / 30.0) ELSE 0.0 END) AS a, min(minutes) AS m FROM mins GROUP BY scope, cell_id) x ON x.cell_id = d.cell_id AND x.scope = d.scope"
 #: Facilities at the centres of their cells, those of one cell as one; travel times of their parts.
 SNAPPED = VIEWS.replace("fac AS (SELECT s_suppkey", "old AS (SELECT s_suppkey").replace("pairs AS (SELECT d.cell_id", f"""opairs AS (SELECT d.cell_id, d.scope, f.fac_seq, {KM.format(a="d", b="f")} AS km FROM dem d JOIN old f ON d.scope = f.scope),
-spot AS (SELECT scope, fac_seq, arg_min(cell_id, km) AS cell_id FROM opairs GROUP BY scope, fac_seq),
+spot AS (SELECT scope, fac_seq, arg_min(cell_id, row(km, cell_id)) AS cell_id FROM opairs GROUP BY scope, fac_seq),
 moved AS (SELECT scope, fac_seq, cell_id, min(fac_seq) OVER (PARTITION BY scope, cell_id) AS new_seq FROM spot),
 fac AS (SELECT m.scope, m.new_seq AS fac_seq, m.cell_id AS at_cell, c.lat, c.lon, sum(o.machines) AS machines FROM moved m JOIN old o ON o.scope = m.scope AND o.fac_seq = m.fac_seq JOIN cells c ON c.scope = m.scope AND c.cell_id = m.cell_id GROUP BY 1, 2, 3, 4, 5),
 pairs AS (SELECT d.cell_id""")
@@ -498,12 +498,12 @@ def j13(spark: SparkSession, sf: str) -> DataFrame:
     return cells.with_parent(rows, targets, 7).select(F.col("c_custkey").alias("k"), "parent")
 
 
-@query("J14_snapped_facilities", " SELECT fac_seq, arg_min(cell_id, km) AS cell_id FROM pairs GROUP BY fac_seq")
+@query("J14_snapped_facilities", " SELECT fac_seq, arg_min(cell_id, row(km, cell_id)) AS cell_id FROM pairs GROUP BY fac_seq")
 def j14(spark: SparkSession, sf: str) -> DataFrame:
     return cells.snapped(fx.facilities(spark, sf), fx.cells(spark, sf), geo.haversine_km).select("fac_seq", "cell_id")
 
 
-@query("J15_snap_target", MIN + " SELECT p.cell_id, arg_min(p.fac_seq, p.km) AS fac_seq, round(min(p.km), 4) AS km FROM pairs p LEFT JOIN mins m ON m.cell_id = p.cell_id AND m.fac_seq = p.fac_seq WHERE p.km <= 60.0 OR m.minutes <= 40.0 GROUP BY p.cell_id")
+@query("J15_snap_target", MIN + " SELECT p.cell_id, arg_min(p.fac_seq, row(p.km, p.fac_seq)) AS fac_seq, round(min(p.km), 4) AS km FROM pairs p LEFT JOIN mins m ON m.cell_id = p.cell_id AND m.fac_seq = p.fac_seq WHERE p.km <= 60.0 OR m.minutes <= 40.0 GROUP BY p.cell_id")
 def j15(spark: SparkSession, sf: str) -> DataFrame:
     return cells.snap_target(fx.cells(spark, sf), fx.facilities(spark, sf), 60.0, minutes(spark, sf), 40.0, geo.haversine_km).select("cell_id", "fac_seq", *r4("km"))
 
@@ -665,7 +665,7 @@ def next_place(views: str) -> str:
     with a facility within 100 km, and what is treated before it."""
     km = KM.format(a="b", b="f")
     return f"""(SELECT * FROM (WITH RECURSIVE {views + ACC + ALLOC}, top AS (SELECT d.scope, d.cell_id, d.rem AS score, c.lat, c.lon FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY rem DESC, cell_id) AS r FROM done) d JOIN cells c ON c.scope = d.scope AND c.cell_id = d.cell_id WHERE r = 1 AND rem >= 1.0),
-close AS (SELECT b.scope, arg_min(f.fac_seq, {km}) AS s FROM top b JOIN fac f ON f.scope = b.scope WHERE {km} <= 100.0 GROUP BY b.scope),
+close AS (SELECT b.scope, arg_min(f.fac_seq, row({km}, f.fac_seq)) AS s FROM top b JOIN fac f ON f.scope = b.scope WHERE {km} <= 100.0 GROUP BY b.scope),
 ends AS (SELECT scope, max(fac_seq) AS last FROM fac GROUP BY scope)
 SELECT stats.scope, stats.treated AS base, b.cell_id, b.score, b.lat, b.lon, s, coalesce(s, coalesce(last, 0) + 1) AS seq FROM stats LEFT JOIN top b ON b.scope = stats.scope LEFT JOIN close c ON c.scope = stats.scope LEFT JOIN ends e ON e.scope = stats.scope) q)"""
 
