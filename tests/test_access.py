@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from catchment import queries
 from catchment.functions import geo, text
 from catchment.operators import access, allocation, cells, demand, model, quality, summary
 from catchment.plans import planning
@@ -149,6 +150,49 @@ def test_snapping(spark):
     assert values(quality.not_near(new, fac), "scope", "lat") == [(1, 0.0002), (2, 0.0)]
 
 
+def plain_km(a, b, c, d):
+    a, b, c, d = map(math.radians, (a, b, c, d))
+    return 2 * geo.EARTH_KM * math.asin(math.sqrt(min(1.0, math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
+
+
+def test_snap_target_has_travel_times_at_any_distance(spark, tmp_path):
+    """J15: a facility that minutes reach counts however far it is; its table once ended at 400 km."""
+    people, fac = [(c, c % 3, 1.0) for c in range(600)], [(s, s % 2) for s in range(9)]
+    spark.createDataFrame(people, "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(fac, "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    want = {}
+    for c, scope, _ in people:
+        for s, of in fac:
+            at = [-40 + 10 * scope + ((c * 37) % 601 - 300) / 100, -150 + 12 * scope + ((c * 91) % 601 - 300) / 100]
+            km = plain_km(*at, -40 + 10 * scope + ((s * 53) % 401 - 200) / 100, -150 + 12 * scope + ((s * 17) % 401 - 200) / 100)
+            if of == scope and (km <= 60 or (c + s) % 3 and 20 + (c * 7 + s * 13) % 100 <= 40):
+                want[c] = min(want.get(c, (math.inf, 0)), (km, s))
+    got = {r["cell_id"]: (r["km"], r["fac_seq"]) for r in queries.QUERIES["J15_snap_target"](spark, str(tmp_path)).collect()}
+    assert max(want.values())[0] > 400 and {c: s for c, (_, s) in got.items()} == {c: s for c, (_, s) in want.items()}
+    assert all(abs(got[c][0] - want[c][0]) < 1e-3 for c in want)
+
+
+@pytest.mark.parametrize("all_pairs", [0, 2_000, 20_000_000])
+def test_snapping_by_a_function_equals_all_pairs(spark, all_pairs):
+    rng = np.random.default_rng(8)
+    place = lambda n, scopes: [(i, int(rng.integers(scopes)), float(rng.uniform(-90, 90)), float(rng.uniform(-180, 180))) for i in range(n)]
+    people, places = place(300, 4), place(60, 3)
+    places += [(60 + f, *places[f][1:]) for f in range(5)]  # the same places again
+    people.append((300, 0, *places[0][2:]))
+    spots = spark.createDataFrame(people, "cell_id long, scope int, lat double, lon double")
+    fac = spark.createDataFrame(places, "fac_seq long, scope int, lat double, lon double")
+    asked = lambda pairs: pairs.withColumn("minutes", F.expr("if((cell_id + fac_seq) % 3 = 0 or cell_id % 10 = 1, null, double((cell_id * 7 + fac_seq * 13) % 50))"))
+    want = {}
+    for c, scope, a, b in people:
+        for s, of, x, y in places:
+            if of == scope and ((km := plain_km(a, b, x, y)) <= 300 or (c + s) % 3 and c % 10 != 1 and (c * 7 + s * 13) % 50 <= 5):
+                want[c] = min(want.get(c, (math.inf, 0)), (round(km, 6), s))
+    got = cells.snap_target(spots, fac, 300.0, asked, 5.0, geo.haversine_km, all_pairs)
+    assert values(got, "cell_id", "fac_seq") == sorted((c, s) for c, (_, s) in want.items()) and 0 < len(want) < 250
+    table = asked(spots.select("cell_id", "scope").join(fac.select("fac_seq", "scope"), "scope"))
+    assert values(cells.snap_target(spots, fac, 300.0, table, 5.0, geo.haversine_km), "cell_id", "fac_seq") == values(got, "cell_id", "fac_seq")
+
+
 def test_kept_tables_replace_only_their_partition(spark, tmp_path):
     path = f"file://{tmp_path}/kept"
     row = lambda v: spark.createDataFrame([(v,)], "v int")
