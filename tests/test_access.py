@@ -478,3 +478,127 @@ def test_regions(spark):
     rows = {r["code"]: r["members"] for r in regions.regions(spark).collect()}
     assert len(rows) == 12 and set(rows["WLD"]) == {m for k, v in rows.items() if k != "WLD" for m in v} and rows["NAM"] == ["CA", "PR", "US"]
     assert all(len(m) == len(set(m)) for m in rows.values()) and regions.aliases(spark).count() == 28
+
+
+def folders(spark, name):
+    """The tables called ``name`` that this session has stored."""
+    from pathlib import Path
+
+    root = Path(sinks.new_path(spark, "x").removeprefix("file://")).parent
+    return set(root.glob(f"{name}-*"))
+
+
+def stored_rows(spark, name, before):
+    new = folders(spark, name) - before
+    return sum(spark.read.parquet(f"file://{p}").count() for p in new)
+
+
+@pytest.fixture(scope="module")
+def copies(spark, tmp_path_factory):
+    """sf0.001 once and four times, with keys shifted so that the copies stand at the same places."""
+    out = []
+    for n in (1, 4):
+        path = f"file://{tmp_path_factory.mktemp('copies')}"
+        for name, shift in (("customer", {"c_custkey": 601 * 2}), ("supplier", {"s_suppkey": 401 * 4}), ("part", {}), ("lineitem", {}), ("nation", {})):
+            rows = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+            if shift:
+                rows = rows.crossJoin(spark.range(n).withColumnRenamed("id", "_k"))
+                rows = rows.withColumns({k: F.col(k) + F.col("_k") * s for k, s in shift.items()}).drop("_k")
+            rows.write.parquet(f"{path}/{name}.parquet")
+        out.append(path)
+    return out
+
+
+BY_PLACE = [
+    "A11_scope_totals", "A22_region_statistics", "A23_ratios", "A25_stop_tests", "C10_border_report", "C10_country_report", "C13_scenario", "C14_placement_plan",
+    "C15_before_after", "C3_allocation", "C3_soft_decay", "C14_plan_by_distance", "C5_access_statistics", "C5_uniform", "C5_border_cells", "C7_region_border_cells",
+    "C7_region_uniform", "C8_region_by_country",
+]
+
+
+@pytest.mark.parametrize("name", BY_PLACE)
+def test_pairs_are_of_places(spark, copies, name):
+    """Copies of cells and facilities at the same places make no more pairs."""
+    sizes = []
+    for path in copies:
+        before = folders(spark, "access-pairs")
+        queries.QUERIES[name](spark, path).write.format("noop").mode("overwrite").save()
+        sizes.append(stored_rows(spark, "access-pairs", before))
+    changed = 2 * 25 * 150 if name in ("C13_scenario", "C15_before_after") else 0  # their new facility stands elsewhere
+    if "border" in name or name.startswith("C8"):  # halves of shifted keys pair other cells
+        changed = sizes[0]
+    assert 0 < sizes[1] <= sizes[0] + changed
+
+
+def crowded(spark, seed=5):
+    """Cells and facilities of two scopes at few places, some without any."""
+    rng = np.random.default_rng(seed)
+    spot, site = rng.uniform(0, 1.5, (9, 2)), rng.uniform(0, 1.5, (5, 2))
+    at = [spot[i] for i in rng.integers(0, 9, 80)]
+    people = [(i, i % 2, float(a), float(b), float(v), float(v / 3)) for i, ((a, b), v) in enumerate(zip(at, rng.integers(0, 90, 80), strict=True))]
+    people += [(100, 0, None, None, 7.0, 1.0), (101, 1, None, None, 8.0, 2.0)]
+    places = [(i, i % 2, float(site[j][0]), float(site[j][1]), float(i % 3)) for i, j in enumerate(rng.integers(0, 5, 24))]
+    cells = spark.createDataFrame(people, "cell_id long, scope int, lat double, lon double, population double, demand double")
+    return cells, spark.createDataFrame(places, "fac_seq long, scope int, lat double, lon double, machines double")
+
+
+@pytest.mark.parametrize(("kind", "task_pairs"), [("step", 10**6), ("exponential", 10**6), ("exponential", 0), ("uniform", 10**6)])
+def test_cells_of_a_place_share_what_it_is_served(spark, kind, task_pairs):
+    """The model by places equals the allocation of every single cell and facility."""
+    cells, fac = crowded(spark)
+    options = {"model": kind, "scale": 40.0, "reach": 70.0, "resolution": 6, "distance": geo.haversine_km}
+    inputs = model.prepared(cells, fac, **options)
+    assert inputs.pairs.count() <= 2 * 10 * 5 and inputs.pairs.agg(F.max("n")).first()[0] > 1
+    got = model.assembled(inputs, model.served_demand(inputs.pairs, inputs.facilities, 9.0, task_pairs), geo.haversine_km)
+    every = access.with_km(cells.join(access.named(fac), "scope"), geo.haversine_km)
+    every = every.withColumn("p", geo.decay(F.col("km"), kind, 40.0, reach=70.0)).withColumn("ring", geo.ring(F.col("km"), 6)).where("p > 0")
+    pairs = every.withColumn("capacity", F.col("machines") * 9.0).where("capacity > 0").toPandas()
+    want = {(s, c): t for s in (0, 1) for c, t in allocation.allocate_scope(pairs[pairs["scope"] == s]).itertuples(index=False)}
+    miss = {(r["scope"], r["cell_id"]): r["m"] for r in every.groupBy("scope", "cell_id").agg(F.product(1 - F.col("p")).alias("m")).collect()}
+    near = {(r["scope"], r["cell_id"]): r["km"] for r in access.with_km(cells.where("lat is not null").join(access.named(fac), "scope"), geo.haversine_km).groupBy("scope", "cell_id").agg(F.min("km").alias("km")).collect()}
+    rows = got.collect()
+    assert len(rows) == 82 and 0 < sum(want.values()) < sum(r["demand"] for r in rows)
+    for r in rows:
+        k = (r["scope"], r["cell_id"])
+        assert r["treated"] == pytest.approx(want.get(k, 0.0), abs=1e-9)
+        assert r["access"] == pytest.approx(1 - miss.get(k, 1.0), abs=1e-12) and r["nearest_km"] == near.get(k)
+
+
+def test_access_within_equals_all_pairs(spark):
+    cells, fac = crowded(spark, 6)
+    options = {"model": "exponential", "scale": 30.0}
+    before = folders(spark, "access-cells")
+    got = access.access_within(cells, fac, 300.0, geo.haversine_km, **options)
+    want = access.geographic_access(cells, access.pairs_within(cells, fac, 300.0, geo.haversine_km), **options)
+    for x, y in zip(values(got, "scope", "cell_id", "access", "with_access"), values(want, "scope", "cell_id", "access", "with_access"), strict=True):
+        assert x == pytest.approx(y, abs=1e-12)
+    assert stored_rows(spark, "access-cells", before) == 82
+
+
+def test_pairs_at_places_are_all_pairs(spark):
+    cells, fac = crowded(spark, 7)
+    before = folders(spark, "spots")
+    near = access.places_within(cells, fac, 90.0)
+    assert stored_rows(spark, "spots", before) <= 2 * 10
+    rows = access.pairs_at(near, cells.select("cell_id", *access.PLACE), fac.select("fac_seq", *access.PLACE))
+    want = access.pairs_within(cells, fac, 90.0)
+    assert rows.count() == want.count() > 300 and values(rows, "scope", "cell_id", "fac_seq", "km") == values(want, "scope", "cell_id", "fac_seq", "km")
+
+
+def test_plan_asks_for_minutes_of_its_pairs_alone(spark):
+    cells, fac = crowded(spark, 8)
+    cells = cells.where("lat is not null")
+    travel = lambda pairs: pairs.withColumn("minutes", F.when((F.col("cell_id") + F.col("fac_seq")) % 3 != 0, (F.col("cell_id") * 7 + F.col("fac_seq") * 13) % 60))
+    table = travel(cells.select("scope", "cell_id").join(fac.select("scope", "fac_seq"), "scope")).where("minutes is not null")
+    options = {"model": "step", "reach": 20.0, "capacity": 4.0, "distance": geo.haversine_km, "snap_min": 6.0}
+    asked = []
+
+    def counted(pairs):
+        asked.append(pairs.count())
+        return travel(pairs)
+
+    one, two = (planning.place(cells, fac, 3, 2.0, 1.0, minutes=m, **options) for m in (table, counted))
+    names = ["scope", "step", "cell_id", "fac_seq", "treated"]
+    assert values(one, *names) == values(two, *names) and asked and max(asked) <= 24
+    with pytest.raises(ValueError):
+        planning.place(cells, fac, 1, 2.0, 1.0, minutes=travel, snap=True, **options)
